@@ -14,6 +14,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 # Characters of a start that name its block: up to the hour.
 BLOCK_CHARS = 13
@@ -176,10 +177,18 @@ def top_level(records: DataFrame, parents: DataFrame, children: str) -> DataFram
 
     A reader that looks for a tag also returns the nested ones, so nested ones are taken off again.
     """
-    fields = parents.schema[children].dataType.elementType.fieldNames()
-    key = [c for c in records.columns if c not in fields]
-    nested = parents.select(*key, F.inline(children)).select(
-        *[F.col(c).cast(records.schema[c].dataType) if c in [*key, *fields] else F.lit(None).alias(c) for c in records.columns]
+    kind = parents.schema[children].dataType
+    one = isinstance(kind, StructType)
+    fields = (kind if one else kind.elementType).fieldNames()
+    inside = F.inline(F.array(children) if one else F.col(children))
+    key = [c for c in records.columns if c not in fields and c in parents.columns]
+    nested = parents.filter(F.col(children).isNotNull()).select(*key, inside)
+    # Attributes no child has are NULL there, as they are in the equal record.
+    nested = nested.select(
+        *[
+            (F.col(f.name) if f.name in nested.columns else F.lit(None)).cast(f.dataType).alias(f.name)
+            for f in records.schema
+        ]
     )
     return records.exceptAll(nested)
 
