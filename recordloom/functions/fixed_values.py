@@ -60,6 +60,7 @@ RATIOS = [
 REPO_URL = r"^https?://github\.com/([^/]+)/([^/.]+)"
 INSERTIONS = r"(\d+) insertion"
 DELETIONS = r"(\d+) deletion"
+ANY_CHANGE = r"\d (?:insertion|deletion)"
 
 # ---- health export: element kinds
 ALWAYS_KEPT = ["ExportDate", "Me", "Workout"]
@@ -70,3 +71,10 @@ SNIFF_CHARS = 4096
 SNIFF_BYTES = 8192
 
 DEFAULT_PREVIEW_ROWS = 3
+
+# ---- characters counted as white space: ASCII ones, the four separators, then the Unicode ones
+WHITE_SPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+    "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)

@@ -52,7 +52,7 @@ def parse_value(text: Column) -> Column:
     cleaned = _without(strip(text), "$", ",")
     negative = r"^\((.+)\)$"
     signed = F.when(
-        cleaned.rlike(negative), F.concat(F.lit("-"), F.regexp_extract(cleaned, negative, 1))
+        cleaned.startswith("(") & cleaned.rlike(negative), F.concat(F.lit("-"), F.regexp_extract(cleaned, negative, 1))
     ).otherwise(cleaned)
     none = F.lit(None).cast("double")
     return F.when(F.lower(cleaned).isin(V.NULL_WORDS), none).otherwise(to_number(signed, none))

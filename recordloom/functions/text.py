@@ -13,8 +13,8 @@ _CASED_RUNS = r"([\p{Lu}\p{Ll}\p{Lt}]+|[^\p{Lu}\p{Ll}\p{Lt}]+)"
 
 
 def strip(text: Column) -> Column:
-    """Removes Unicode white space at both ends (`trim` removes blanks only)."""
-    return F.regexp_replace(text, rf"(?U)^{_SPACE}+|{_SPACE}+$", "")
+    """Removes Unicode white space at both ends (plain `trim` removes blanks only)."""
+    return F.btrim(text, F.lit(V.WHITE_SPACE))
 
 
 def title_case(text: Column) -> Column:
@@ -119,14 +119,15 @@ def is_text(content: Column) -> Column:
     return F.when(whole, True).when(~decodes(head(1)), False).when(enough(head(1)), True).otherwise(after_one)
 
 
+def has_shortstat(line: Column) -> Column:
+    """Whether the line states inserted or deleted lines."""
+    return line.rlike(V.ANY_CHANGE)
+
+
 def shortstat_lines(line: Column) -> Column:
-    """Inserted plus deleted lines of a shortstat line; NULL when it states neither."""
+    """Inserted plus deleted lines of a shortstat line, 0 for what it does not state."""
 
     def figure(pattern: str) -> Column:
-        return F.regexp_extract(line, pattern, 1).try_cast("bigint")
+        return F.coalesce(F.regexp_extract(line, pattern, 1).try_cast("bigint"), F.lit(0).cast("bigint"))
 
-    inserted, deleted = figure(V.INSERTIONS), figure(V.DELETIONS)
-    return F.when(
-        inserted.isNotNull() | deleted.isNotNull(),
-        F.coalesce(inserted, F.lit(0)) + F.coalesce(deleted, F.lit(0)),
-    )
+    return figure(V.INSERTIONS) + figure(V.DELETIONS)

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from recordloom.functions.numbers import days_between, size_mb
-from recordloom.functions.text import is_text, line_count, repo_name, repo_owner, shortstat_lines
+from recordloom.functions.text import has_shortstat, is_text, line_count, repo_name, repo_owner, shortstat_lines
 
 BY = ("repo",)
 
@@ -70,7 +70,8 @@ def describe_distribution(values: DataFrame, value: str, by: Sequence[str] = BY)
 
 def commit_lines_from_log(commit_log: DataFrame, by: Sequence[str] = BY) -> DataFrame:
     """``(by, lines)`` per commit with a shortstat line; a sum of 0 stays."""
-    return commit_log.select(*by, shortstat_lines(F.col("line")).alias("lines")).filter("lines is not null")
+    stated = commit_log.filter(has_shortstat(F.col("line")))
+    return stated.select(*by, shortstat_lines(F.col("line")).alias("lines"))
 
 
 def commit_lines_from_answers(answers: DataFrame, by: Sequence[str] = BY) -> DataFrame:
@@ -79,8 +80,10 @@ def commit_lines_from_answers(answers: DataFrame, by: Sequence[str] = BY) -> Dat
         "errors string, "
         "data struct<repository: map<string, struct<additions: bigint, deletions: bigint>>>"
     )
-    read = answers.select(*by, F.from_json("body", shape).alias("_a")).filter("_a.errors is null")
-    nodes = read.select(*by, F.explode("_a.data.repository").alias("_alias", "_node"))
+    read = answers.select(*by, F.from_json("body", shape).alias("_a"))
+    # Not a filter: it would be moved below the parsing and parse every answer twice.
+    usable = F.when(F.col("_a.errors").isNull(), F.col("_a.data.repository"))
+    nodes = read.select(*by, F.explode(usable).alias("_alias", "_node"))
     zero = F.lit(0).cast("long")
     lines = F.coalesce("_node.additions", zero) + F.coalesce("_node.deletions", zero)
     return nodes.filter("_node is not null").select(*by, lines.alias("lines")).filter("lines > 0")

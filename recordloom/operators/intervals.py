@@ -2,10 +2,10 @@
 
 Starts and ends are texts and are compared as texts. A window is closed: touching is overlapping.
 
-Rows are worked on per (owner, block), a block being the first characters of the start: for
-``2024-01-01 10:05:00`` the hour. What earlier blocks contribute is one figure per block, the largest
-end so far, so one owner's rows are spread over many tasks and only its list of blocks is walked in
-order.
+Where an owner has more rows than one task should get, its rows are worked on per block, a block being
+the first characters of the start: for ``2024-01-01 10:05:00`` the hour. What the earlier blocks
+contribute is one figure per block, the largest end so far, so the rows are spread over many tasks and
+only the owner's list of blocks is walked in order.
 """
 
 from __future__ import annotations
@@ -16,8 +16,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from recordloom.operators.shared import saved
+
 # Characters of a start that name its block: up to the hour.
 BLOCK_CHARS = 13
+# Windows of one owner, equal starts counted once, beyond which they are merged block by block.
+LARGE_OWNER = 1 << 20
+# Equal records that one task writes out.
+MANY_COPIES = 1 << 16
 # Records of one (owner, block) beyond which they are joined without being brought together.
 LARGE_BLOCK = 1 << 20
 
@@ -32,47 +38,50 @@ def merge_intervals(
     start: str = "start",
     end: str = "end",
     block_chars: int = BLOCK_CHARS,
+    large_owner: int = LARGE_OWNER,
 ) -> DataFrame:
     """Windows that overlap or touch, merged: ``(by, start, end, copies)``.
 
     Windows without start or end are left out. ``copies`` is 1, save that a window ending before it
     starts never merges with its equals and stands for that many of them.
     """
-    wide, in_block = [*by], [*by, "_block"]
     backwards = F.when(F.col("end") < F.col("start"), F.col("end"))
     # Of windows with the same start only the longest matters, so equal starts are reduced first.
-    rows = (
+    rows = saved(
         windows.select(*by, F.col(start).alias("start"), F.col(end).alias("end"))
         .filter("start <> '' and end <> ''")
         .groupBy(*by, "start", backwards.alias("_backwards"))
         .agg(F.max("end").alias("end"), F.count("*").alias("copies"))
         .select(
             *by,
-            _block_of(F.col("start"), block_chars).alias("_block"),
             "start",
             "end",
             F.when(F.col("_backwards").isNull(), 1).otherwise(F.col("copies")).alias("copies"),
         )
     )
-
-    earlier_blocks = Window.partitionBy(*wide).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    carried = (
-        rows.groupBy(*in_block)
-        .agg(F.max("end").alias("_block_end"))
-        .select(*in_block, F.max("_block_end").over(earlier_blocks).alias("_carried"))
-    )
-
-    ordered = Window.partitionBy(*in_block).orderBy("start", "end")
-    earlier = ordered.rowsBetween(Window.unboundedPreceding, -1)
-    so_far = ordered.rowsBetween(Window.unboundedPreceding, 0)
-    reached = F.greatest(F.max("end").over(earlier), F.col("_carried"))
+    large = rows.groupBy(*by).agg(F.count("*").alias("_n")).filter(F.col("_n") > large_owner).drop("_n")
+    if not by:
+        return _merge_in_blocks(rows, by, block_chars) if rows.count() > large_owner else _merge(rows, by)
+    if large.isEmpty():
+        return _merge(rows, by)
+    # There are at most (all rows / large_owner) large owners, so their list may be broadcast.
+    large = F.broadcast(saved(large))
+    usual = _merge(rows.join(large, list(by), "left_anti"), by)
+    return usual.unionByName(_merge_in_blocks(rows.join(large, list(by), "left_semi"), by, block_chars))
+
+
+def _pieces(rows: DataFrame, key: Sequence[str], carried: Column | None = None) -> DataFrame:
+    """Merged rows of each key, numbered; number 0 goes on from ``carried``, the end reached before."""
+    ordered = Window.partitionBy(*key).orderBy("start", "end")
+    reached = F.max("end").over(ordered.rowsBetween(Window.unboundedPreceding, -1))
+    if carried is not None:
+        reached = F.greatest(reached, carried)
     opens = F.coalesce(F.col("start") > F.col("_reached"), F.lit(True))
-    pieces = (
-        rows.join(carried, in_block)
-        .withColumn("_reached", reached)
+    return (
+        rows.withColumn("_reached", reached)
         .withColumn("_opens", opens)
-        .withColumn("_nth", F.count_if("_opens").over(so_far))
-        .groupBy(*in_block, "_nth")
+        .withColumn("_nth", F.count_if("_opens").over(ordered.rowsBetween(Window.unboundedPreceding, 0)))
+        .groupBy(*key, "_nth")
         .agg(
             F.min("start").alias("start"),
             F.max("end").alias("end"),
@@ -80,21 +89,28 @@ def merge_intervals(
         )
     )
 
-    # Piece 0 of a block continues the window opened last in the blocks before. Those two get the
-    # same number; pieces inside a block are complete as they are.
-    last_in_block = pieces.groupBy(*in_block).agg(F.max("_nth").alias("_last"))
-    numbered = last_in_block.select(
-        *in_block,
-        "_last",
-        F.coalesce(F.count_if(F.col("_last") > 0).over(earlier_blocks), F.lit(0)).alias("_before"),
-    )
-    nth = F.col("_nth")
-    across = F.when(nth == 0, F.col("_before")).when(nth == F.col("_last"), F.col("_before") + 1)
+
+def _merge(rows: DataFrame, by: Sequence[str]) -> DataFrame:
+    return _pieces(rows, by).select(*by, "start", "end", "copies")
+
+
+def _merge_in_blocks(rows: DataFrame, by: Sequence[str], chars: int) -> DataFrame:
+    key = [*by, "_block"]
+    rows = rows.withColumn("_block", _block_of(F.col("start"), chars))
+    earlier = Window.partitionBy(*by).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    ends = rows.groupBy(*key).agg(F.max("end").alias("_block_end"))
+    carried = ends.select(*key, F.max("_block_end").over(earlier).alias("_carried"))
+    pieces = saved(_pieces(rows.join(carried, key), key, F.col("_carried")))
+
+    # Piece 0 of a block goes on with the window that was opened last in the blocks before it.
+    own = F.col("_nth") > 0
+    opened = pieces.groupBy(*key).agg(F.max(F.when(own, F.col("start"))).alias("_last"))
+    going_on = opened.select(*key, F.max("_last").over(earlier).alias("_from"))
+    backwards = F.when(own & (F.col("end") < F.col("start")), F.col("end"))
     return (
-        pieces.join(numbered, in_block)
-        .withColumn("_across", across)
-        .groupBy(*by, "_across", F.when(F.col("_across").isNull(), F.col("start")).alias("_inside"))
-        .agg(F.min("start").alias("start"), F.max("end").alias("end"), F.max("copies").alias("copies"))
+        pieces.join(going_on, key)
+        .groupBy(*by, F.when(own, F.col("start")).otherwise(F.col("_from")).alias("start"), backwards.alias("_alone"))
+        .agg(F.max("end").alias("end"), F.max("copies").alias("copies"))
         .select(*by, "start", "end", "copies")
     )
 
@@ -113,7 +129,8 @@ def interval_overlap(
     A record overlaps exactly when, among the windows that start no later than it ends, one ends no
     earlier than it starts. Windows starting in earlier blocks than the record's end all start early
     enough, so of them the largest end suffices; only those of the same block are looked at singly.
-    Each record is therefore needed in one block only, however long it is.
+    Each record is therefore needed in one block only, however long it is. The table of blocks is
+    computed first and saved: one row per owner and hour instead of one per record.
     """
     key = [*by, "_block"]
     dated = records.withColumn("_block", _block_of(F.col(end), block_chars)).filter(
@@ -127,7 +144,7 @@ def interval_overlap(
         .agg(F.max("_to").alias("_block_end"), F.collect_list(F.struct("_from", "_to")).alias("_windows"))
     )
     earlier = Window.partitionBy(*by).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = (
+    blocks = saved(
         per_block.join(in_block, key, "full")
         .withColumn("_reached", F.max("_block_end").over(earlier))
         .filter("_n is not null and (_reached is not null or _windows is not null)")
@@ -145,15 +162,15 @@ def interval_overlap(
             match = match & (F.col(f"{record}.{name}") == F.col(f"{block}.{name}"))
         return match
 
+    def joined(blocks: DataFrame) -> DataFrame:
+        met = same("r", "b") & meets("r", "b")
+        return dated.alias("r").join(blocks.alias("b"), met, "left_semi").drop("_block")
+
+    kept = joined(blocks.filter(F.col("_n") <= large_block))
     # There are at most (all records / large_block) large blocks, each with the windows of one block,
     # so they may be broadcast and their records stay where they are.
     large = blocks.filter(F.col("_n") > large_block)
-    usual = blocks.filter(F.col("_n") <= large_block)
-    in_large = dated.alias("r").join(
-        F.broadcast(large).alias("b"), same("r", "b") & meets("r", "b"), "left_semi"
-    )
-    in_usual = dated.alias("r").join(usual.alias("b"), same("r", "b") & meets("r", "b"), "left_semi")
-    return in_usual.unionByName(in_large).drop("_block")
+    return kept if large.isEmpty() else kept.unionByName(joined(F.broadcast(large)))
 
 
 def keep_records(
@@ -172,10 +189,12 @@ def keep_records(
     return records.filter(forced).unionByName(rest)
 
 
-def top_level(records: DataFrame, parents: DataFrame, children: str) -> DataFrame:
+def top_level(records: DataFrame, parents: DataFrame, children: str, many: int = MANY_COPIES) -> DataFrame:
     """Records without those that are children of ``parents``; each child removes one equal record.
 
     A reader that looks for a tag also returns the nested ones, so nested ones are taken off again.
+    Equal records are counted, inside the map tasks first, and the copies left are written out again;
+    a record with a great many copies is written out by several tasks.
     """
     kind = parents.schema[children].dataType
     one = isinstance(kind, StructType)
@@ -188,9 +207,27 @@ def top_level(records: DataFrame, parents: DataFrame, children: str) -> DataFram
         *[
             (F.col(f.name) if f.name in nested.columns else F.lit(None)).cast(f.dataType).alias(f.name)
             for f in records.schema
-        ]
+        ],
+        F.lit(-1).alias("_n"),
     )
-    return records.exceptAll(nested)
+    columns = records.columns
+    left = (
+        records.withColumn("_n", F.lit(1))
+        .unionByName(nested)
+        .groupBy(*columns)
+        .agg(F.sum("_n").alias("_n"))
+        .filter("_n > 0")
+    )
+    n, most = F.col("_n"), F.lit(many).cast("long")
+    parts = left.filter(n > most).select(
+        *columns, "_n", F.explode(F.sequence(F.lit(0), F.call_function("div", n - 1, most))).alias("_part")
+    )
+    shared = parts.withColumn("_n", F.least(most, n - F.col("_part") * most)).repartition(*columns, "_part")
+
+    def written_out(counted: DataFrame) -> DataFrame:
+        return counted.select(*columns, F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n")))).drop("col")
+
+    return written_out(left.filter(n <= most)).unionByName(written_out(shared))
 
 
 def element_counts(elements: DataFrame, by: Sequence[str] = (), kind: str = "kind") -> DataFrame:

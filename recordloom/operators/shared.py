@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -16,12 +17,15 @@ def checkpoint_dir(spark: SparkSession) -> str:
         if not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         current = tempfile.mkdtemp(prefix="recordloom-")
-    if context.getCheckpointDir() is None:
         context.setCheckpointDir(current)
     return current
 
 
 def saved(df: DataFrame) -> DataFrame:
-    """The frame written to the shared checkpoint folder: computed once, safe against lost executors."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """The frame written as a table to the shared folder and read back.
+
+    It is computed once, survives lost executors, and its real size is known to the joins after it.
+    """
+    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/saved-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

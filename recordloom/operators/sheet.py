@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from recordloom.functions import fixed_values as V
 from recordloom.functions.numbers import parse_value, pct_change, ratio_pct
 from recordloom.functions.text import field_name, strip
+from recordloom.operators.shared import saved
 
 RATIO_NAMES = [name for name, *_ in V.RATIOS]
 
@@ -137,15 +138,29 @@ def pivot_yoy(yoy: DataFrame, fields: Sequence[str], by: Sequence[str] = ()) ->
 
 
 def analysis_table(returns: DataFrame, fields: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
-    """The stored analysis: ratios and one change column per field, one row per year."""
-    changes = pivot_yoy(yoy_change(returns, fields, by), fields, by)
-    return derived_ratios(returns, by).join(changes, [*by, "tax_year"])
+    """The stored analysis: ratios and one change column per field, one row per year, in one pass."""
+    in_order = Window.partitionBy(*by).orderBy("tax_year")
+    years = _years(returns, by).withColumn("_before", F.lag("_figures").over(in_order))
+
+    def figure(name: str, of: str = "_figures"):
+        return F.try_element_at(of, F.lit(name))
+
+    return years.select(
+        *by,
+        "tax_year",
+        *[ratio_pct(figure(top), figure(bottom)).alias(name) for name, top, bottom, _ in V.RATIOS],
+        *[pct_change(figure(f), figure(f, "_before")).alias(f"yoy_{f}_pct") for f in fields],
+    )
 
 
 def label_fields(figures: DataFrame, fields: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Figures with the form, line and description of their field."""
+    """Figures with the form, line and description of their field.
+
+    Fields common to all owners are few names, each with a large share of the rows. They are saved, so
+    that their size is known and Spark sends them to the figures instead of shuffling by name.
+    """
     shared = [c for c in by if c in fields.columns]
-    return figures.join(fields, [*shared, "db_col"])
+    return figures.join(fields if shared else saved(fields), [*shared, "db_col"])
 
 
 def analysis_report(

@@ -40,32 +40,30 @@ _ALL = 2**63 - 1
 
 
 def cancel_transfers(
-    transactions: DataFrame,
-    by: Sequence[str] = (),
-    two_accounts: bool = False,
-    block: int = BLOCK,
-    chunk: int = CHUNK,
+    transactions: DataFrame, by: Sequence[str] = (), block: int = BLOCK, chunk: int = CHUNK
 ) -> DataFrame:
     """Transactions without the pairs that are one transfer between two accounts.
 
     Needs ``date, amount, account_id, ord``; ``ord`` is a unique whole number giving the input order.
-    ``two_accounts`` states that no bucket has more than two accounts, as in imports of two layouts,
-    and leaves out the part for more. That part looks once whether any bucket has more than ``chunk``
-    pairs, since those need several rounds; everything else is one lazy plan.
+
+    The counts of the buckets that can hold a transfer are computed first and saved, since every later
+    step starts from them, and steps that no bucket needs are left out. In all, the transactions are
+    read once for the counts, once for the result, and once more, only key columns, for classes that
+    go in part and for buckets of three and more accounts.
     """
     keyed = transactions.withColumns(_keys())
     narrow = keyed.select(*_bucket(by), "_sign", "account_id", "ord").filter("_sign <> 0")
-    per_account, buckets = _counted(narrow, by)
-    large = _large(buckets, by, block)
-    rows = _in_blocks(narrow, large, by, block)
-    blocks = _blocks(narrow, large, by, block)
-    classes = buckets.filter("_accounts = 2").withColumn("_lead", F.lit(0).cast("long")).drop("_accounts")
-    if not two_accounts:
-        many = buckets.filter("_accounts > 2")
-        classes = classes.unionByName(_held_account(rows, blocks, per_account, many, by, chunk))
-    plan = _spread(_cuts(rows, blocks, _quotas(classes, _bucket(by)), by), blocks, by)
+    buckets = saved(_counted(narrow, by))
+    splitting = _Blocks(narrow, buckets, by, block)
+    rows = splitting.split(narrow)
+    held = buckets.filter("_accounts = 2").withColumn("_lead", F.lit(0).cast("long")).drop("_accounts")
+    many = buckets.filter("_accounts > 2")
+    if not many.isEmpty():
+        held = held.unionByName(_held_account(rows, splitting, many, by, chunk))
+    classes = saved(_quotas(held, _bucket(by)))
+    plan = splitting.spread(_cuts(rows, splitting, classes, by))
     gone = _in_class(by) & (F.col("t.ord") <= F.col("c.cut"))
-    everything = _in_blocks(keyed, large, by, block)
+    everything = splitting.split(keyed)
     return everything.alias("t").join(plan.alias("c"), gone, "left_anti").drop("_cents", "_sign", "_block")
 
 
@@ -78,13 +76,13 @@ def _bucket(by: Sequence[str]) -> list[str]:
     return [*by, "date", "_cents"]
 
 
-def _counted(rows: DataFrame, by: Sequence[str]) -> tuple[DataFrame, DataFrame]:
-    """Rows per bucket and account, and the buckets that can hold a transfer at all."""
+def _counted(rows: DataFrame, by: Sequence[str]) -> DataFrame:
+    """The buckets that can hold a transfer, with their counts."""
     bucket = _bucket(by)
     per_account = rows.groupBy(*bucket, "account_id").agg(
         F.count_if(F.col("_sign") > 0).alias("_pos"), F.count_if(F.col("_sign") < 0).alias("_neg")
     )
-    buckets = (
+    return (
         per_account.groupBy(*bucket)
         .agg(
             F.count("*").alias("_accounts"),
@@ -96,48 +94,42 @@ def _counted(rows: DataFrame, by: Sequence[str]) -> tuple[DataFrame, DataFrame]:
         )
         .filter("_accounts > 1 and _all_pos > 0 and _all_neg > 0")
     )
-    return per_account, buckets
-
-
-# ---- large buckets are split into blocks of `ord`
-#
-# Every join, group and window below has `_block` in its key. It is -1 for all buckets but those of
-# more than `block` rows, where it is the block of `ord`: no task ever gets more than `block` rows of
-# one bucket. The list of large buckets is at most (all rows / block) long, which is why it may be
-# broadcast.
-
-
-def _large(buckets: DataFrame, by: Sequence[str], block: int) -> DataFrame:
-    return buckets.filter(F.col("_all_pos") + F.col("_all_neg") > block).select(
-        *_bucket(by), F.lit(True).alias("_is_large")
-    )
-
-
-def _block_number(block: int) -> Column:
-    return F.call_function("div", F.col("ord"), F.lit(block))
-
-
-def _in_blocks(rows: DataFrame, large: DataFrame, by: Sequence[str], block: int) -> DataFrame:
-    return (
-        rows.join(F.broadcast(large), _bucket(by), "left")
-        .withColumn("_block", F.when(F.col("_is_large"), _block_number(block)).otherwise(F.lit(-1)))
-        .drop("_is_large")
-    )
 
 
-def _blocks(rows: DataFrame, large: DataFrame, by: Sequence[str], block: int) -> DataFrame:
-    """The blocks of the large buckets; without large buckets the rows are not read for this."""
-    inside = rows.join(F.broadcast(large), _bucket(by))
-    return inside.select(*_bucket(by), _block_number(block).alias("_its")).distinct()
+class _Blocks:
+    """Splits large buckets into blocks of `ord`.
 
+    Every join, group and window over rows has `_block` in its key. It is -1 for all buckets but those
+    of more than `block` rows, where it is the block of `ord`: no task ever gets more than `block` rows
+    of one bucket. The list of large buckets is at most (all rows / block) long, which is why it may be
+    broadcast.
+    """
 
-def _spread(per_bucket: DataFrame, blocks: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Rows that hold for a whole bucket, repeated for each of its blocks."""
-    return (
-        per_bucket.join(blocks, _bucket(by), "left")
-        .withColumn("_block", F.coalesce("_its", F.lit(-1)))
-        .drop("_its")
-    )
+    def __init__(self, rows: DataFrame, buckets: DataFrame, by: Sequence[str], block: int):
+        self._bucket, self._block = _bucket(by), block
+        size = F.col("_all_pos") + F.col("_all_neg")
+        large = buckets.filter(size > block).select(*self._bucket, F.lit(True).alias("_is_large"))
+        self._large = None if large.isEmpty() else F.broadcast(large)
+        if self._large is not None:
+            inside = rows.join(self._large, self._bucket)
+            self._blocks = saved(inside.select(*self._bucket, self._number().alias("_its")).distinct())
+
+    def _number(self) -> Column:
+        return F.call_function("div", F.col("ord"), F.lit(self._block).cast("long"))
+
+    def split(self, rows: DataFrame) -> DataFrame:
+        """Rows with their `_block`."""
+        if self._large is None:
+            return rows.withColumn("_block", F.lit(-1).cast("long"))
+        number = F.when(F.col("_is_large"), self._number()).otherwise(F.lit(-1))
+        return rows.join(self._large, self._bucket, "left").withColumn("_block", number).drop("_is_large")
+
+    def spread(self, per_bucket: DataFrame) -> DataFrame:
+        """Rows that hold for a whole bucket, repeated for each of its blocks."""
+        if self._large is None:
+            return per_bucket.withColumn("_block", F.lit(-1).cast("long"))
+        blocks = per_bucket.join(self._blocks, self._bucket, "left")
+        return blocks.withColumn("_block", F.coalesce("_its", F.lit(-1))).drop("_its")
 
 
 def _in_class(by: Sequence[str]) -> Column:
@@ -148,12 +140,12 @@ def _in_class(by: Sequence[str]) -> Column:
     return same & (F.col("t.account_id").eqNullSafe(F.col("c._held")) == F.col("c._is_held"))
 
 
-def _cuts(rows: DataFrame, blocks: DataFrame, classes: DataFrame, by: Sequence[str]) -> DataFrame:
+def _cuts(rows: DataFrame, splitting: _Blocks, classes: DataFrame, by: Sequence[str]) -> DataFrame:
     """Per class the last ``ord`` that goes (``cut``)."""
     columns = [*_bucket(by), "_sign", "_held", "_is_held", "cut"]
-    whole = classes.filter("_quota >= _size").withColumn("cut", F.lit(_ALL))
-    part = _cut_inside(rows, blocks, classes.filter("_quota < _size"), by)
-    return whole.select(*columns).unionByName(part.select(*columns))
+    whole = classes.filter("_quota >= _size").withColumn("cut", F.lit(_ALL)).select(*columns)
+    part = classes.filter("_quota < _size")
+    return whole if part.isEmpty() else whole.unionByName(_cut_inside(rows, splitting, part, by).select(*columns))
 
 
 def _quotas(held: DataFrame, bucket: list[str]) -> DataFrame:
@@ -185,9 +177,7 @@ def _quotas(held: DataFrame, bucket: list[str]) -> DataFrame:
     return held.select(*bucket, "_held", F.inline(classes)).filter("_quota > 0")
 
 
-def _cut_inside(
-    rows: DataFrame, blocks: DataFrame, classes: DataFrame, by: Sequence[str]
-) -> DataFrame:
+def _cut_inside(rows: DataFrame, splitting: _Blocks, classes: DataFrame, by: Sequence[str]) -> DataFrame:
     """The `ord` of the `_quota`-th row of each class, without sorting a large class in one task.
 
     Rows are counted per block; running sums of those counts tell the block the quota falls into,
@@ -196,7 +186,7 @@ def _cut_inside(
     group = [*_bucket(by), "_sign", "_held", "_is_held"]
     inside = (
         rows.alias("t")
-        .join(_spread(classes, blocks, by).alias("c"), _in_class(by))
+        .join(splitting.spread(classes).alias("c"), _in_class(by))
         .select(*[f"c.{name}" for name in group], "c._block", "c._quota", "t.ord")
     )
     counts = inside.groupBy(*group, "_block").agg(F.count("*").alias("_n"), F.min("_quota").alias("_quota"))
@@ -222,57 +212,45 @@ def _cut_inside(
 
 
 def _held_account(
-    rows: DataFrame,
-    blocks: DataFrame,
-    per_account: DataFrame,
-    buckets: DataFrame,
-    by: Sequence[str],
-    chunk: int,
+    rows: DataFrame, splitting: _Blocks, buckets: DataFrame, by: Sequence[str], chunk: int
 ) -> DataFrame:
     """The account held back at the end of each bucket, with its counts and ``_lead``."""
     bucket = _bucket(by)
     totals = buckets.select(*bucket, "_all_pos", "_all_neg", F.least("_all_pos", "_all_neg").alias("_pairs_n"))
-    pairs = _pairs(rows, blocks, totals, by, chunk)
+    numbered = saved(_numbered(rows, splitting, totals.select(*bucket, "_pairs_n"), by))
+    pairs = _pairs(numbered, bucket, chunk)
     ends = _fold(_chunks(pairs.filter(F.col("_pairs_n") <= chunk), bucket), _start()).select(*bucket, "_end.*")
-    long = totals.filter(F.col("_pairs_n") > chunk)
-    if not long.isEmpty():
+    if not totals.filter(F.col("_pairs_n") > chunk).isEmpty():
         ends = ends.unionByName(_fold_long(pairs.filter(F.col("_pairs_n") > chunk), bucket))
 
-    # Rows of the held account among the paired ones; nothing is held where the count is zero.
-    held = ends.filter(F.col("held").isNotNull()).withColumnRenamed("held", "_held")
-    slots = pairs.select(*bucket, F.explode(F.array("pos", "neg")).alias("_held"))
-    met = (
-        slots.groupBy(*bucket, "_held")
-        .agg(F.count("*").alias("_met"))
-        .join(held, [*bucket, "_held"])
-        .join(per_account.withColumnRenamed("account_id", "_held"), [*bucket, "_held"])
-        .withColumnsRenamed({"_pos": "_held_pos", "_neg": "_held_neg"})
+    # Rows of each account, and how many of them are among the pairs.
+    accounts = numbered.groupBy(*bucket, F.col("account_id").alias("held")).agg(
+        F.count_if(F.col("_sign") > 0).alias("_held_pos"),
+        F.count_if(F.col("_sign") < 0).alias("_held_neg"),
+        F.count_if(F.col("_i") < F.col("_pairs_n")).alias("_met"),
     )
-    joined = totals.join(met, bucket, "left")
+    # Nothing is held where the state ended free.
+    held = ends.filter("held is not null").join(accounts, [*bucket, "held"])
     none = F.lit(0).cast("long")
-    return joined.select(
+    return totals.join(held, bucket, "left").select(
         *bucket,
         "_all_pos",
         "_all_neg",
-        "_held",
+        F.col("held").alias("_held"),
         F.coalesce("_held_pos", none).alias("_held_pos"),
         F.coalesce("_held_neg", none).alias("_held_neg"),
         (F.coalesce("_met", none) - F.col("_pairs_n") - F.coalesce("count", none)).alias("_lead"),
     )
 
 
-def _pairs(
-    rows: DataFrame, blocks: DataFrame, totals: DataFrame, by: Sequence[str], chunk: int
-) -> DataFrame:
-    """``(bucket, _pairs_n, _chunk, _i, pos, neg)``: the accounts of the i-th positive and negative.
+def _numbered(rows: DataFrame, splitting: _Blocks, totals: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Rows of the buckets with ``_i``, their number among the rows of their bucket and sign.
 
     Rows are numbered inside blocks, and the counts of the earlier blocks are added, so the numbering
     of one large bucket is spread over its blocks.
     """
-    bucket = _bucket(by)
-    side = [*bucket, "_sign"]
-    counted = _spread(totals.select(*bucket, "_pairs_n"), blocks, by)
-    inside = rows.join(counted, [*bucket, "_block"]).select(*side, "_block", "_pairs_n", "account_id", "ord")
+    side = [*_bucket(by), "_sign"]
+    inside = rows.join(splitting.spread(totals), [*_bucket(by), "_block"])
     before = Window.partitionBy(*side).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         inside.groupBy(*side, "_block")
@@ -280,19 +258,22 @@ def _pairs(
         .select(*side, "_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
     )
     in_block = Window.partitionBy(*side, "_block").orderBy("ord")
-    numbered = (
-        inside.join(offsets, [*side, "_block"])
-        .withColumn("_i", F.col("_offset") + F.row_number().over(in_block) - 1)
-        .filter("_i < _pairs_n")
+    return inside.join(offsets, [*side, "_block"]).select(
+        *side, "_pairs_n", "account_id", (F.col("_offset") + F.row_number().over(in_block) - 1).alias("_i")
     )
+
+
+def _pairs(numbered: DataFrame, bucket: list[str], chunk: int) -> DataFrame:
+    """``(bucket, _pairs_n, _chunk, _i, pos, neg)``: the accounts of the i-th positive and negative."""
     account = F.col("account_id")
     return (
-        numbered.groupBy(*bucket, "_pairs_n", "_i")
+        numbered.filter("_i < _pairs_n")
+        .groupBy(*bucket, "_pairs_n", "_i")
         .agg(
             F.max(F.when(F.col("_sign") > 0, account)).alias("pos"),
             F.max(F.when(F.col("_sign") < 0, account)).alias("neg"),
         )
-        .withColumn("_chunk", F.call_function("div", F.col("_i"), F.lit(chunk)))
+        .withColumn("_chunk", F.call_function("div", F.col("_i"), F.lit(chunk).cast("long")))
     )
 
 

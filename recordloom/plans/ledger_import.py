@@ -23,14 +23,14 @@ def analysis_path(store: str) -> str:
     return f"{store}/analysis"
 
 
-def import_batch(batch: DataFrame, store: str, by: Sequence[str] = (), two_accounts: bool = True) -> DataFrame:
+def import_batch(batch: DataFrame, store: str, by: Sequence[str] = ()) -> DataFrame:
     """Cancels transfers inside the batch, appends what is not stored yet and rebuilds the summary.
 
     Returns one row ``parsed, cancelled, inserted, skipped, analysis_rows``. Importing a batch again,
     also after a run that broke off half-way, adds only what is missing.
     """
     spark = batch.sparkSession
-    kept = saved(cancel_transfers(batch, by, two_accounts=two_accounts))
+    kept = saved(cancel_transfers(batch, by))
     stored = read_appended(spark, transactions_path(store))
     if stored is not None:
         # The date is part of the key, so stored rows outside the batch's dates cannot match; the

@@ -122,7 +122,7 @@ gone as (
 
 def ledger_summary(spark: SparkSession, folder: str) -> DataFrame:
     """The whole ledger run: clean, cancel transfers, leave out repeated rows, summarise."""
-    kept = cancel_transfers(orders_as_ledger(spark, folder), two_accounts=True)
+    kept = cancel_transfers(orders_as_ledger(spark, folder))
     return annual_summary(merge_ignore(kept, None))
 
 
@@ -133,7 +133,7 @@ def summary_of(operator):
 def cancel(accounts: int):
     def query(spark: SparkSession, folder: str) -> DataFrame:
         ledger = events_as_ledger(spark, folder, accounts)
-        return cancel_transfers(ledger, two_accounts=accounts == 2).select(*_KEPT)
+        return cancel_transfers(ledger).select(*_KEPT)
 
     return query
 
@@ -157,7 +157,7 @@ def import_report(spark: SparkSession, folder: str) -> DataFrame:
     """Parsed, kept and cancelled transactions per source file."""
     ledger = orders_as_ledger(spark, folder)
     parsed = ledger.groupBy("source_file").agg(F.count("*").alias("parsed"))
-    kept = cancel_transfers(ledger, two_accounts=True).groupBy("source_file").agg(F.count("*").alias("kept"))
+    kept = cancel_transfers(ledger).groupBy("source_file").agg(F.count("*").alias("kept"))
     left = F.coalesce("kept", F.lit(0))
     return parsed.join(kept, "source_file", "left").select(
         "source_file", "parsed", left.alias("kept"), (F.col("parsed") - left).alias("cancelled")
@@ -200,7 +200,7 @@ def dates(spark: SparkSession, folder: str) -> DataFrame:
 def amounts(spark: SparkSession, folder: str) -> DataFrame:
     """One figure written in several ways, read by the three parsers."""
     whole = F.floor("o_totalprice").cast("string")
-    grouped = F.regexp_replace(whole, r"(\d)(?=(\d{3})+$)", "$1,")
+    grouped = F.format_number(F.floor("o_totalprice"), 0)
     n = F.col("o_orderkey") % 8
     raw = (
         F.when(n == 0, F.concat(F.lit("$"), grouped, F.lit(".50")))

@@ -75,7 +75,7 @@ def sheet(spark: SparkSession, folder: str) -> DataFrame:
     )
 
     def text(year: int):
-        grouped = F.regexp_replace(F.col(f"`{year}`").cast("string"), r"(\d)(?=(\d{3})+$)", "$1,")
+        grouped = F.format_number(F.col(f"`{year}`"), 0)
         dollars = F.concat(F.lit("$"), grouped)
         written = F.when(F.col("o_orderstatus") == "F", F.concat(F.lit("("), grouped, F.lit(")"))).otherwise(dollars)
         return F.when(F.col(f"`{year}`") < 20000, "NA").otherwise(written).alias(str(year))

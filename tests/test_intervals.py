@@ -40,12 +40,14 @@ def merged(spark, rows, **options):
     return sorted((r.start, r.end) for r in found for _ in range(r.copies))
 
 
+@pytest.mark.parametrize("large", [1 << 20, 5])
 @pytest.mark.parametrize("seed,n,spread,chars", [(1, 200, 20_000, 13), (2, 300, 3_000, 13), (3, 100, 9_000, 10), (4, 150, 2_000, 16)])
-def test_merge_equals_the_fold(spark, seed, n, spread, chars):
+def test_merge_equals_the_fold(spark, seed, n, spread, chars, large):
     rows = sample(seed, n, spread)
     rows += rows[:20] + [(minute(100), ""), ("", minute(3)), (None, None)]
-    rows += [(minute(50_000), minute(7))] * 3
-    assert merged(spark, rows, block_chars=chars) == fold(rows)
+    rows += [(minute(25_000), minute(7))] * 3 + [(minute(25_000), minute(8)), (minute(25_000), minute(25_500))]
+    rows += [(minute(25_400), minute(3)), (minute(26_000), minute(30_000)), (minute(27_000), minute(1))]
+    assert merged(spark, rows, block_chars=chars, large_owner=large) == fold(rows)
 
 
 def test_merge_documented_cases(spark):
@@ -55,11 +57,12 @@ def test_merge_documented_cases(spark):
     assert merged(spark, []) == []
 
 
-def test_merge_keeps_owners_apart(spark):
-    rows = [(o, s, e) for o in "xy" for s, e in sample(ord(o), 60, 5_000)]
+@pytest.mark.parametrize("large", [1 << 20, 45, 5])
+def test_merge_keeps_owners_apart(spark, large):
+    rows = [(o, s, e) for o, n in (("x", 60), ("y", 30)) for s, e in sample(ord(o), n, 5_000)]
     df = spark.createDataFrame(rows, "subject string, start string, end string")
     found = {}
-    for r in merge_intervals(df, by=["subject"]).collect():
+    for r in merge_intervals(df, by=["subject"], large_owner=large).collect():
         found.setdefault(r.subject, []).extend([(r.start, r.end)] * r.copies)
     for o in "xy":
         assert sorted(found[o]) == fold([(s, e) for w, s, e in rows if w == o])
@@ -93,7 +96,11 @@ def test_forced_types(spark):
     assert sorted(x.id for x in keep_records(r, w).collect()) == [1, 4]
 
 
-def test_children_are_taken_off_once(spark):
-    r = spark.createDataFrame([("s", "Sys", "1", "2"), ("s", "Sys", "1", "2"), ("s", "HR", "1", "2")], "subject string, type string, start string, end string")
-    p = spark.createDataFrame([("s", [("Sys", "1", "2")])], "subject string, Record array<struct<type:string,start:string,end:string>>")
-    assert sorted(x.type for x in top_level(r, p, "Record").collect()) == ["HR", "Sys"]
+@pytest.mark.parametrize("many", [1 << 16, 3])
+def test_children_are_taken_off_once(spark, many):
+    records = [("s", "Sys", "1", "2")] * 2 + [("s", "HR", "1", None)] * 10 + [("t", "HR", "1", None)]
+    r = spark.createDataFrame(records, "subject string, type string, start string, end string")
+    kind = "subject string, Record array<struct<type:string,start:string>>, end string"
+    p = spark.createDataFrame([("s", [("Sys", "1")], "2"), ("s", [("HR", "1"), ("HR", "1"), ("No", "1")], None), ("s", None, None)], kind)
+    left = [tuple(x) for x in top_level(r, p, "Record", many).collect()]
+    assert sorted(left, key=str) == sorted([records[0]] + [records[2]] * 8 + [records[-1]], key=str)

@@ -65,8 +65,8 @@ SHORTSTATS = {
     " 3 files changed, 10 insertions(+), 2 deletions(-)": 12,
     " 1 file changed, 1 deletion(-)": 1,
     " 1 file changed, 0 insertions(+), 0 deletions(-)": 0,
-    "4f1c2d": None,
-    "": None,
+    "4f1c2d": 0,
+    "": 0,
 }
 NAMES = {
     "https://x.example/a/next.js.git": "next.js",
