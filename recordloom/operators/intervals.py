@@ -147,7 +147,8 @@ def interval_overlap(
     blocks = saved(
         per_block.join(in_block, key, "full")
         .withColumn("_reached", F.max("_block_end").over(earlier))
-        .filter("_n is not null and (_reached is not null or _windows is not null)")
+        .withColumn("_possible", F.col("_reached").isNotNull() | F.col("_windows").isNotNull())
+        .filter((F.col("_n").isNotNull() & F.col("_possible")) | (F.col("_n") > large_block))
         .select(*key, "_n", "_reached", "_windows")
     )
 
@@ -162,15 +163,18 @@ def interval_overlap(
             match = match & (F.col(f"{record}.{name}") == F.col(f"{block}.{name}"))
         return match
 
-    def joined(blocks: DataFrame) -> DataFrame:
+    def joined(rows: DataFrame, blocks: DataFrame) -> DataFrame:
         met = same("r", "b") & meets("r", "b")
-        return dated.alias("r").join(blocks.alias("b"), met, "left_semi").drop("_block")
+        return rows.alias("r").join(blocks.alias("b"), met, "left_semi").drop("_block")
 
-    kept = joined(blocks.filter(F.col("_n") <= large_block))
+    usual, large = (blocks.filter(condition) for condition in (F.col("_n") <= large_block, F.col("_n") > large_block))
+    if large.isEmpty():
+        return joined(dated, usual)
     # There are at most (all records / large_block) large blocks, each with the windows of one block,
     # so they may be broadcast and their records stay where they are.
-    large = blocks.filter(F.col("_n") > large_block)
-    return kept if large.isEmpty() else kept.unionByName(joined(F.broadcast(large)))
+    large = F.broadcast(large)
+    others = dated.alias("r").join(large.alias("b"), same("r", "b"), "left_anti")
+    return joined(others, usual).unionByName(joined(dated, large))
 
 
 def keep_records(

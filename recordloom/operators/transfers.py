@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from recordloom.operators.shared import saved
 
-# Rows of one bucket that are handled together. `ord` is unique, so a block of this many consecutive
+# Rows of one bucket that are handled together at most. `ord` is unique, so a block of this many consecutive
 # `ord` values can never hold more rows than this, however many rows the bucket has.
 BLOCK = 1 << 20
 # Pairs whose state is folded in one array.
@@ -52,10 +52,11 @@ def cancel_transfers(
     go in part and for buckets of three and more accounts.
     """
     keyed = transactions.withColumns(_keys())
-    narrow = keyed.select(*_bucket(by), "_sign", "account_id", "ord").filter("_sign <> 0")
-    buckets = saved(_counted(narrow, by))
-    splitting = _Blocks(narrow, buckets, by, block)
-    rows = splitting.split(narrow)
+    narrow = keyed.select(*_bucket(by), "_sign", "account_id", "ord")
+    counted = saved(_counted(narrow, by).filter(F.expr(_CAN_HOLD) | (F.col("_rows") > block)))
+    splitting = _Blocks(narrow, counted, by, block)
+    buckets = counted.filter(_CAN_HOLD).drop("_rows")
+    rows = splitting.split(narrow.filter("_sign <> 0"))
     held = buckets.filter("_accounts = 2").withColumn("_lead", F.lit(0).cast("long")).drop("_accounts")
     many = buckets.filter("_accounts > 2")
     if not many.isEmpty():
@@ -69,30 +70,41 @@ def cancel_transfers(
 
 def _keys() -> dict[str, Column]:
     amount = F.col("amount")
-    return {"_cents": F.round(F.abs(amount), 2), "_sign": F.signum(amount).cast("int")}
+    # Rows without amount get a bucket of their own kind: NULL keys would all meet in one task.
+    return {
+        "_cents": F.coalesce(F.round(F.abs(amount), 2), F.lit(-1.0)),
+        "_sign": F.coalesce(F.signum(amount).cast("int"), F.lit(0)),
+    }
 
 
 def _bucket(by: Sequence[str]) -> list[str]:
     return [*by, "date", "_cents"]
 
 
+# A bucket can hold a transfer when it has both signs and more than one account.
+_CAN_HOLD = "_accounts > 1 and _all_pos > 0 and _all_neg > 0"
+
+
 def _counted(rows: DataFrame, by: Sequence[str]) -> DataFrame:
-    """The buckets that can hold a transfer, with their counts."""
+    """Counts per bucket: rows, accounts and rows per sign, and those of its first account."""
     bucket = _bucket(by)
-    per_account = rows.groupBy(*bucket, "account_id").agg(
-        F.count_if(F.col("_sign") > 0).alias("_pos"), F.count_if(F.col("_sign") < 0).alias("_neg")
-    )
-    return (
-        per_account.groupBy(*bucket)
+    per_account = (
+        rows.groupBy(*bucket, "account_id")
         .agg(
-            F.count("*").alias("_accounts"),
-            F.sum("_pos").alias("_all_pos"),
-            F.sum("_neg").alias("_all_neg"),
-            F.min("account_id").alias("_held"),
-            F.min_by("_pos", "account_id").alias("_held_pos"),
-            F.min_by("_neg", "account_id").alias("_held_neg"),
+            F.count("*").alias("_rows"),
+            F.count_if(F.col("_sign") > 0).alias("_pos"),
+            F.count_if(F.col("_sign") < 0).alias("_neg"),
         )
-        .filter("_accounts > 1 and _all_pos > 0 and _all_neg > 0")
+        .withColumn("_account", F.when(F.col("_pos") + F.col("_neg") > 0, F.col("account_id")))
+    )
+    return per_account.groupBy(*bucket).agg(
+        F.sum("_rows").alias("_rows"),
+        F.count("_account").alias("_accounts"),
+        F.sum("_pos").alias("_all_pos"),
+        F.sum("_neg").alias("_all_neg"),
+        F.min("_account").alias("_held"),
+        F.min_by("_pos", "_account").alias("_held_pos"),
+        F.min_by("_neg", "_account").alias("_held_neg"),
     )
 
 
@@ -107,8 +119,7 @@ class _Blocks:
 
     def __init__(self, rows: DataFrame, buckets: DataFrame, by: Sequence[str], block: int):
         self._bucket, self._block = _bucket(by), block
-        size = F.col("_all_pos") + F.col("_all_neg")
-        large = buckets.filter(size > block).select(*self._bucket, F.lit(True).alias("_is_large"))
+        large = buckets.filter(F.col("_rows") > block).select(*self._bucket, F.lit(True).alias("_is_large"))
         self._large = None if large.isEmpty() else F.broadcast(large)
         if self._large is not None:
             inside = rows.join(self._large, self._bucket)

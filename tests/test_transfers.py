@@ -11,7 +11,7 @@ def brute_force(rows):
     """The rule row by row: each positive takes the first unused negative of another account."""
     gone = set()
     for _, ord_, date, amount, account in sorted(rows, key=lambda r: r[1]):
-        if amount <= 0:
+        if amount is None or amount <= 0:
             continue
         for _, other, d, a, acc in sorted(rows, key=lambda r: r[1]):
             if other not in gone and d == date and a == -amount and acc != account:
@@ -85,3 +85,11 @@ def test_owners_do_not_mix(spark):
         brute_force([r for r in rows if r[0] == "x"]) + brute_force([r for r in rows if r[0] == "y"])
     )
     assert run(spark, rows, by=["owner"]) == expected
+
+
+def test_large_bucket_without_transfers_and_rows_without_amount(spark):
+    rows = [("o", i, "2025-01-01", 4.0, "a") for i in range(50)]
+    rows += [("o", 100 + i, "2025-01-01", 0.0, "ab"[i % 2]) for i in range(50)]
+    rows += [("o", 200 + i, "2025-01-01", None, "ab"[i % 2]) for i in range(50)]
+    rows += [("o", 300, "2025-01-01", 0.001, "a"), ("o", 301, "2025-01-01", -0.001, "b")]
+    assert run(spark, rows, block=16) == [r[1] for r in rows if r[1] < 300]
