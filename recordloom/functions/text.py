@@ -19,12 +19,16 @@ def strip(text: Column) -> Column:
 
 def title_case(text: Column) -> Column:
     """Capitalises every run of letters: ``o'neil 7eleven`` -> ``O'Neil 7Eleven``."""
+
+    def capitalised(run: Column) -> Column:
+        first = F.upper(F.substring(run, 1, 1))
+        # Outside ASCII a first letter may become two, of which one stays upper case: ß -> Ss.
+        # `initcap` knows these but is slow.
+        first = F.when(F.octet_length(first) == 1, first).otherwise(F.initcap(first))
+        return F.concat(first, F.lower(F.substring(run, 2, 2**31 - 1)))
+
     runs = F.regexp_extract_all(text, F.lit(_CASED_RUNS), F.lit(1))
-    capitalised = F.transform(
-        runs,
-        lambda run: F.concat(F.upper(F.substring(run, 1, 1)), F.lower(F.substring(run, 2, 2**31 - 1))),
-    )
-    return F.array_join(capitalised, "")
+    return F.array_join(F.transform(runs, capitalised), "")
 
 
 def normalize_description(text: Column) -> Column:

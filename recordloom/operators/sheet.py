@@ -84,8 +84,11 @@ def field_collisions(rows: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 def unpivot_sheet(rows: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Long form ``(by, tax_year, db_col, value)``; of lines with the same name the last one counts."""
-    long = _valid(rows).select(
-        *by, "ord", field_name(F.col("form"), F.col("line")).alias("db_col"), F.inline("cells")
+    # The outer form, as for the plain one Spark checks the array's size first and builds it twice.
+    long = (
+        _valid(rows)
+        .select(*by, "ord", field_name(F.col("form"), F.col("line")).alias("db_col"), F.inline_outer("cells"))
+        .filter("tax_year is not null")
     )
     return (
         long.groupBy(*by, "tax_year", "db_col")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from recordloom.operators import sheet as S
 from recordloom.operators.merge import merge_replace
+from recordloom.operators.shared import saved
 from recordloom.queries.tables import table
 
 BY = ["filer"]
@@ -129,7 +130,7 @@ def analysis(spark: SparkSession, folder: str) -> DataFrame:
 
 def replaced(spark: SparkSession, folder: str) -> DataFrame:
     """A later import of 1997 and after that lacks one field replaces those years whole."""
-    stored = returns(spark, folder)
+    stored = saved(returns(spark, folder))
     new = stored.filter("tax_year >= 1997 and db_col <> 'f_d_7'").withColumn("value", F.col("value") + 1)
     return merge_replace(stored, new, by=BY)
 

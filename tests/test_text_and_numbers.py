@@ -1,4 +1,5 @@
 import io
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -91,6 +92,13 @@ def test_cases(spark, expression, cases):
     assert apply(spark, expression, cases) == list(cases.values())
 
 
+def test_title_case_of_random_texts(spark):
+    rnd = random.Random(3)
+    letters = "abAB zZ '-_7.\tßÉéǆﬁΩσς中İı1"
+    texts = ["".join(rnd.choice(letters) for _ in range(rnd.randint(0, 9))) for _ in range(2000)]
+    assert apply(spark, T.title_case, texts) == [t.title() for t in texts]
+
+
 def test_field_name(spark):
     rows = spark.createDataFrame([("1040", "1z"), ("D", "1a"), ("X-1", "2.b")], "f string, l string")
     found = [r[0] for r in rows.select(T.field_name(F.col("f"), F.col("l"))).collect()]
