@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 TRANSACTION_KEY = ("date", "description", "amount", "account_id")
-TRANSACTION_REQUIRED = ("date", "description", "normalized_description", "amount", "category")
 
 
 def first_rows(

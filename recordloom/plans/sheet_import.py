@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,10 +33,28 @@ def field_list(rows: DataFrame) -> list[str]:
 def import_sheets(
     spark: SparkSession, paths: Sequence[str], store: str, filer_of: Callable[[str], str] | None = None
 ) -> DataFrame:
-    """Imports sheets; the years they have replace the stored years of their filer. Returns the rejected."""
+    """Imports sheets; the years they have replace the stored years of their filer. Returns the rejected.
+
+    Sheets of different filers are imported together. A filer's second sheet replaces whole years of
+    the first, so it is imported after it.
+    """
+    turns: list[list[str]] = []
+    seen: dict[str, int] = {}
+    for path in paths:
+        filer = filer_of(path) if filer_of else ""
+        turn = seen[filer] = seen.get(filer, -1) + 1
+        if turn == len(turns):
+            turns.append([])
+        turns[turn].append(path)
+    rejected = [_import_together(spark, together, store, filer_of) for together in turns]
+    return reduce(DataFrame.unionByName, rejected)
+
+
+def _import_together(
+    spark: SparkSession, paths: Sequence[str], store: str, filer_of: Callable[[str], str] | None
+) -> DataFrame:
     scan = scan_sheets(spark, paths, filer_of)
-    new = unpivot_sheet(scan.rows, BY).withColumn("imported_at", F.current_timestamp())
-    new = saved(new)
+    new = saved(unpivot_sheet(scan.rows, BY).withColumn("imported_at", F.current_timestamp()))
     if not new.isEmpty():
         stored = read_snapshot(spark, returns_path(store))
         write_snapshot(merge_replace(stored, new, by=BY), returns_path(store))

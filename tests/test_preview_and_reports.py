@@ -39,3 +39,26 @@ def test_repository_report_from_stored_tables(spark, tmp_path):
     target = write_report(spark, str(tmp_path / "in"), str(tmp_path / "out"))
     found = {r.repo: (r.total_lines, r.commit_max, r.size_mb) for r in spark.read.parquet(target).collect()}
     assert found == {"a": (2, 4, 1.0), "b": (1, 9, 0.5)}
+
+
+def test_stored_logs_dates_and_answers(spark, tmp_path):
+    from recordloom.operators.codestats import commit_lines_from_answers, commit_lines_from_log, lifespan
+    from recordloom.sources.repo_files import scan_answers, scan_commit_dates, scan_commit_log
+
+    for folder in ("log", "dates", "answers"):
+        (tmp_path / folder).mkdir()
+    for repo, changed in (("a", 3), ("b", 5)):
+        (tmp_path / "log" / f"{repo}.txt").write_text(f"c0ffee\n 1 file changed, {changed} insertions(+)\n\nbeef\n")
+        days = [f"2024-01-{31 - i:02d}T00:00:00+00:00" for i in range(changed)]
+        (tmp_path / "dates" / f"{repo}.txt").write_text("\n".join(days) + "\n")
+        (tmp_path / "answers" / f"{repo}.json").write_text('{"data":{"repository":{"c0":{"additions":%d,"deletions":1}}}}' % changed)
+    log = scan_commit_log(spark, str(tmp_path / "log"))
+    assert {r.repo: r.lines for r in commit_lines_from_log(log).collect()} == {"a": 3, "b": 5}
+    assert [r.line for r in log.filter("repo = 'a'").orderBy("ord").collect()][0] == "c0ffee"
+    spans = lifespan(scan_commit_dates(spark, str(tmp_path / "dates")))
+    assert {r.repo: (r.first_date, r.last_date, r.lifespan_days) for r in spans.collect()} == {
+        "a": ("2024-01-29", "2024-01-31", 2),
+        "b": ("2024-01-27", "2024-01-31", 4),
+    }
+    answers = scan_answers(spark, str(tmp_path / "answers"))
+    assert {r.repo: r.lines for r in commit_lines_from_answers(answers).collect()} == {"a": 4, "b": 6}

@@ -107,6 +107,9 @@ def test_import_and_analyze(spark, tmp_path):
     later = write(tmp_path, "t.csv", "Form,Line,Description,2024\n1040,24,Total tax,60\n")
     import_sheets(spark, [later], store)
     assert versions(spark, returns_path(store)) == [1, 2]
+    together = str(tmp_path / "together")
+    assert import_sheets(spark, [sheet, later], together).count() == 0
+    assert long(read_snapshot(spark, returns_path(together)), "tax_year", "db_col") == long(read_snapshot(spark, returns_path(store)), "tax_year", "db_col")
     stored = long(read_snapshot(spark, returns_path(store)), "tax_year", "db_col")
     assert stored[(2024, "f_1040_24")] == 60.0 and (2024, "f_d_7") not in stored and len(stored) == 7
     wide = all_returns(spark, store, ["f_1040_24", "f_d_7"]).collect()
