@@ -129,14 +129,16 @@ def interval_overlap(
     A record overlaps exactly when, among the windows that start no later than it ends, one ends no
     earlier than it starts. Windows starting in earlier blocks than the record's end all start early
     enough, so of them the largest end suffices; only those of the same block are looked at singly.
-    Each record is therefore needed in one block only, however long it is. The table of blocks is
-    computed first and saved: one row per owner and hour instead of one per record.
+    Each record is therefore needed in one block only, however long it is. The table of blocks where
+    an overlap is possible is computed first and saved. It is about as small as the windows, and as its
+    real size is then known, Spark sends it to the records where it is small enough, which are then not
+    shuffled at all.
     """
     key = [*by, "_block"]
     dated = records.withColumn("_block", _block_of(F.col(end), block_chars)).filter(
         F.col(start).isNotNull() & F.col(end).isNotNull()
     )
-    per_block = dated.groupBy(*key).agg(F.count("*").alias("_n"))
+    per_block = dated.groupBy(*key).agg(F.count("*").alias("_n"), F.min(start).alias("_first"))
     in_block = (
         windows.select(*by, F.col("start").alias("_from"), F.col("end").alias("_to"))
         .withColumn("_block", _block_of(F.col("_from"), block_chars))
@@ -147,7 +149,8 @@ def interval_overlap(
     blocks = saved(
         per_block.join(in_block, key, "full")
         .withColumn("_reached", F.max("_block_end").over(earlier))
-        .withColumn("_possible", F.col("_reached").isNotNull() | F.col("_windows").isNotNull())
+        # Blocks without windows, and after the end of all earlier ones, hold no overlapping record.
+        .withColumn("_possible", F.col("_windows").isNotNull() | (F.col("_reached") >= F.col("_first")))
         .filter((F.col("_n").isNotNull() & F.col("_possible")) | (F.col("_n") > large_block))
         .select(*key, "_n", "_reached", "_windows")
     )
