@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from recordloom.operators.shared import saved
 
-# Rows of one bucket that are handled together at most. `ord` is unique, so a block of this many consecutive
+# Most rows of one bucket that are handled together. `ord` is unique, so a block of this many consecutive
 # `ord` values can never hold more rows than this, however many rows the bucket has.
 BLOCK = 1 << 20
 # Pairs whose state is folded in one array.
