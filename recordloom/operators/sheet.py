@@ -90,11 +90,9 @@ def unpivot_sheet(rows: DataFrame, by: Sequence[str] = ()) -> DataFrame:
         .select(*by, "ord", field_name(F.col("form"), F.col("line")).alias("db_col"), F.inline_outer("cells"))
         .filter("tax_year is not null")
     )
-    return (
-        long.groupBy(*by, "tax_year", "db_col")
-        .agg(F.max_by("raw", "ord").alias("_raw"))
-        .select(*by, "tax_year", "db_col", parse_value(F.col("_raw")).alias("value"))
-    )
+    # Numbers are aggregated by hashing; texts would be sorted first.
+    values = long.select(*by, "tax_year", "db_col", "ord", parse_value(F.col("raw")).alias("value"))
+    return values.groupBy(*by, "tax_year", "db_col").agg(F.max_by("value", "ord").alias("value"))
 
 
 def _years(returns: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -142,17 +140,18 @@ def pivot_yoy(yoy: DataFrame, fields: Sequence[str], by: Sequence[str] = ()) ->
 
 def analysis_table(returns: DataFrame, fields: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """The stored analysis: ratios and one change column per field, one row per year, in one pass."""
+    operands = {name for _, top, bottom, _ in V.RATIOS for name in (top, bottom)}
+    names = sorted({*fields, *operands})
+    wide = returns.groupBy(*by, "tax_year").agg(
+        *[F.max(F.when(F.col("db_col") == name, F.col("value"))).alias(name) for name in names]
+    )
     in_order = Window.partitionBy(*by).orderBy("tax_year")
-    years = _years(returns, by).withColumn("_before", F.lag("_figures").over(in_order))
-
-    def figure(name: str, of: str = "_figures"):
-        return F.try_element_at(of, F.lit(name))
-
-    return years.select(
+    before = wide.select("*", *[F.lag(name).over(in_order).alias(f"_before_{name}") for name in fields])
+    return before.select(
         *by,
         "tax_year",
-        *[ratio_pct(figure(top), figure(bottom)).alias(name) for name, top, bottom, _ in V.RATIOS],
-        *[pct_change(figure(f), figure(f, "_before")).alias(f"yoy_{f}_pct") for f in fields],
+        *[ratio_pct(F.col(top), F.col(bottom)).alias(name) for name, top, bottom, _ in V.RATIOS],
+        *[pct_change(F.col(f), F.col(f"_before_{f}")).alias(f"yoy_{f}_pct") for f in fields],
     )
 
 
