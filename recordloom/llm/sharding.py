@@ -10,19 +10,20 @@ from recordloom.operators.shared import saved
 
 SHARDS = 24
 #: Bins per node of one refinement, and the share of a node's bytes that a cut may be off.
-BINS = 1 << 12
+BINS = 1 << 16
 PRECISION = 1 / 4096
 ROW_BYTES = 8
-_SIDE = 31
+#: Bits of a value's place in its dimension, and of the hash that tells rows of one place apart.
+_VALUE, _HASH = 16, 24
 
 
 def _numeric(column: Column, low: float, high: float) -> Column:
-    """A number on the scale 0 to 2^31 - 1; null is 0."""
+    """A number on the scale 0 to 2^16 - 1; null is 0."""
     span = float(high) - float(low)
     if not span:
         return F.lit(0).cast("long")
     share = (column.cast("double") - F.lit(float(low))) / F.lit(span)
-    return F.coalesce(F.floor(share * F.lit(float((1 << _SIDE) - 1))), F.lit(0)).cast("long")
+    return F.coalesce(F.floor(share * F.lit(float((1 << _VALUE) - 1))), F.lit(0)).cast("long")
 
 
 def shard(
@@ -56,23 +57,20 @@ def shard(
         (F.octet_length(text) + ROW_BYTES).cast("long").alias("size"),
         F.crc32(text).alias("text_crc32"),
         *[F.col(c).cast("double").alias(f"_n{i}") for i, c in enumerate(numeric)],
-        *[F.pmod(F.xxhash64(F.col(c)), F.lit(1 << _SIDE)).alias(f"_l{i}") for i, c in enumerate(labels)],
+        *[F.pmod(F.xxhash64(F.col(c)), F.lit(1 << _VALUE)).alias(f"_l{i}") for i, c in enumerate(labels)],
     )
     rows = saved(rows)
     ends = rows.agg(F.count("*"), *[f(f"_n{i}") for i in range(len(numeric)) for f in (F.min, F.max)]).first()
     scaled = [_numeric(F.col(f"_n{i}"), ends[2 * i + 1] or 0, ends[2 * i + 2] or 0) for i in range(len(numeric))]
-    hashed = F.pmod(F.xxhash64(F.col("_id"), F.col("text_crc32")), F.lit(1 << _SIDE))
-    keys = [F.shiftleft(c, _SIDE).bitwiseOR(hashed) for c in [*scaled, *[F.col(f"_l{i}") for i in range(len(labels))]]]
+    hashed = F.pmod(F.xxhash64(F.col("_id"), F.col("text_crc32")), F.lit(1 << _HASH))
+    keys = [F.shiftleft(c, _HASH).bitwiseOR(hashed) for c in [*scaled, *[F.col(f"_l{i}") for i in range(len(labels))]]]
     dims = range(len(keys)) if keys else range(1)
-    keys = keys or [F.shiftleft(hashed, _SIDE)]
+    keys = keys or [hashed]
     tree = rows.select("_id", "size", "text_crc32", hashed.alias("_hash"), *[k.alias(f"_k{i}") for i, k in enumerate(keys)])
     tree = tree.withColumn("node", F.lit(0).cast("long")).withColumn("parts", F.lit(shards))
-    while shards > 1 and ends[0]:
+    for _ in range((shards - 1).bit_length() if ends[0] else 0):
         tree = saved(tree)
-        cuts = _cuts(tree, dims)
-        if cuts is None:
-            break
-        tree = tree.join(cuts, "node", "left")
+        tree = tree.join(_cuts(tree, dims), "node", "left")
         above = F.coalesce(F.col("_split") >= F.col("cut"), F.lit(False))
         split = F.element_at(F.array(*[F.col(f"_k{i}") for i in dims]), F.col("dim") + 1)
         below = F.floor(F.col("parts") / 2).cast("int")
@@ -84,7 +82,7 @@ def shard(
     tree = saved(tree.select("_id", "size", "text_crc32", "_hash", F.col("node").cast("int").alias("shard")))
     per_shard = tree.groupBy(F.col("shard").alias("_of")).agg(F.count("*").alias("_rows"))
     tree = tree.join(saved(per_shard), F.col("shard") == F.col("_of"))
-    block = F.floor(F.col("_hash") / F.lit(float(1 << _SIDE)) * F.ceil(F.col("_rows") / block_rows))
+    block = F.floor(F.col("_hash") / F.lit(float(1 << _HASH)) * F.ceil(F.col("_rows") / block_rows))
     out = running_sums(tree, ["shard"], block.cast("long"), ["_hash", "_id", "text_crc32", "size"], {"slot": F.lit(1)})
     return out.select(
         F.col("_id").alias(id_col),
@@ -97,8 +95,8 @@ def shard(
     )
 
 
-def _cuts(tree: DataFrame, dims: range) -> DataFrame | None:
-    """(node, dim, cut) for every node that has to give more than one shard; None if there is none.
+def _cuts(tree: DataFrame, dims: range) -> DataFrame:
+    """(node, dim, cut) for every node that has to give more than one shard.
 
     Numbers of nodes are the numbers of their first shard.
     """
@@ -118,9 +116,7 @@ def _cuts(tree: DataFrame, dims: range) -> DataFrame | None:
     # The cut lies in [low, low + BINS * step); want bytes of that range are to stay below it.
     step = F.ceil((F.col("width") + 1) / BINS).cast("long")
     want = F.col("bytes") * F.floor(F.col("parts") / 2) / F.col("parts")
-    state = saved(stats.select("node", "bytes", widest.alias("dim"), low.alias("low"), step.alias("step"), want.alias("want")))
-    if state.isEmpty():
-        return None
+    state = stats.select("node", "bytes", widest.alias("dim"), low.alias("low"), step.alias("step"), want.alias("want"))
     while True:
         split = F.element_at(F.array(*[F.col(f"_k{i}") for i in dims]), F.col("dim") + 1)
         bins = todo.join(state, "node").withColumn("_bin", F.floor((split - F.col("low")) / F.col("step")))
@@ -147,8 +143,5 @@ def _cuts(tree: DataFrame, dims: range) -> DataFrame | None:
         nearer = F.when(F.col("want") * 2 < F.col("held"), F.col("low")).otherwise(F.col("low") + F.col("wide"))
         if found.filter(open_).isEmpty():
             return found.select("node", "dim", nearer.alias("cut"))
-        state = saved(
-            found.select(
-                "node", "bytes", "dim", "low", F.ceil(F.col("wide") / BINS).cast("long").alias("step"), "want"
-            )
-        )
+        step = F.ceil(F.col("wide") / BINS).cast("long")
+        state = found.select("node", "bytes", "dim", "low", step.alias("step"), "want")
