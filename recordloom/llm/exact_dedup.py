@@ -64,11 +64,13 @@ def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     Of rows that repeat both id and text one stays (any one, should their other columns differ).
     """
     names = docs.columns
-    found = exact_groups(docs, id_col, text_col).filter("kept")
-    found = saved(found.select(F.col(id_col).alias("_kept_id"), F.col("text_sha256").alias("_kept_sha")))
-    rows = docs.withColumn("_sha", F.sha2(F.encode(normalised(F.col(text_col)), "UTF-8"), 256))
-    same = F.col(id_col).eqNullSafe(F.col("_kept_id")) & (F.col("_sha") == F.col("_kept_sha"))
+    docs = docs.toDF(*[f"_c{i}" for i in range(len(names))])  # no name of theirs can clash with ours
+    own, text = f"_c{names.index(id_col)}", f"_c{names.index(text_col)}"
+    found = exact_groups(docs, own, text).filter("kept")
+    found = saved(found.select(F.col(own).alias("_kept_id"), F.col("text_sha256").alias("_kept_sha")))
+    rows = docs.withColumn("_sha", F.sha2(F.encode(normalised(F.col(text)), "UTF-8"), 256))
+    same = F.col(own).eqNullSafe(F.col("_kept_id")) & (F.col("_sha") == F.col("_kept_sha"))
     rows = rows.join(found, same, "left_semi")
-    if found.groupBy("_kept_id", "_kept_sha").count().filter("count > 1").isEmpty():
-        return rows.select(*names)
-    return rows.dropDuplicates([id_col, "_sha"]).select(*names)
+    if not found.groupBy("_kept_id", "_kept_sha").count().filter("count > 1").isEmpty():
+        rows = rows.dropDuplicates([own, "_sha"])
+    return rows.drop("_sha").toDF(*names)

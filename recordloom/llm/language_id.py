@@ -95,7 +95,7 @@ def training_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str,
 
     found = rows.select("_lang", "_rank", "_text").mapInArrow(work, "_lang string, _rank int, bits binary")
     found = found.filter(F.col("_rank") <= sample).orderBy("_lang", "_rank").collect()
-    bits = np.frombuffer(b"".join(r["bits"] for r in found), np.uint8).reshape(len(found), -1)
+    bits = np.frombuffer(b"".join(r["bits"] for r in found), np.uint8).reshape(len(found), _WIDTH // 8)
     return np.unpackbits(bits, axis=1), np.array([r["_lang"] for r in found], dtype=object)
 
 

@@ -121,11 +121,12 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     Rows that share an id, a source and a size share out their passes in the order of a hash of the text.
     """
     names = docs.columns
+    docs = docs.toDF(*[f"_c{i}" for i in range(len(names))])  # no name of theirs can clash with ours
+    id_col, text_col, source_col = (f"_c{names.index(c)}" for c in (id_col, text_col, source_col))
     found = mix(docs, id_col, text_col, source_col, **options)
     found = saved(found.select(F.col(id_col).alias("_id"), F.col(source_col).alias("_source"), F.col("size").alias("_size"), "passes"))
-    keys = ["_id", "_source", "_size"]
-    found = found.filter("passes > 0").groupBy(*keys).agg(F.sort_array(F.collect_list("passes"), asc=False).alias("_passes"))
-    rows = docs.select("*", n_words(F.col(text_col)).alias("_n"))
+    found = found.groupBy("_id", "_source", "_size").agg(F.sort_array(F.collect_list("passes"), asc=False).alias("_passes"))
+    rows = docs.withColumn("_n", n_words(F.col(text_col)))
     same = (
         F.col(id_col).eqNullSafe(F.col("_id")) & F.col(source_col).eqNullSafe(F.col("_source")) & (F.col("_n") == F.col("_size"))
     )
@@ -135,6 +136,7 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
         alike = Window.partitionBy(id_col, source_col, "_n").orderBy(F.xxhash64(text_col))
         turn = F.row_number().over(alike)
     rows = rows.withColumn("_turn", turn).join(found, same)
-    rows = rows.withColumn("_times", F.coalesce(F.try_element_at("_passes", F.col("_turn")), F.lit(0)))
-    rows = rows.filter("_times > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int"))))
-    return rows.select(*[F.col(f"`{c}`") for c in names])
+    times = F.try_element_at("_passes", F.col("_turn")).cast("int")
+    rows = rows.withColumn("_times", times).filter("_times > 0")
+    rows = rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times"))))
+    return rows.select(*[f"_c{i}" for i in range(len(names))]).toDF(*names)

@@ -254,7 +254,9 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     A component of null ids keeps all its rows; rows repeating an id stay or go together.
     """
-    found = simhash_components(docs, id_col, text_col, threshold)
-    found = found.filter(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_kept")).distinct()
-    names = [f"`{c}`" for c in docs.columns]
-    return docs.join(saved(found), F.col(id_col).eqNullSafe(F.col("_kept")), "left_semi").select(*names)
+    names = docs.columns
+    docs = docs.toDF(*[f"_c{i}" for i in range(len(names))])  # no name of theirs can clash with ours
+    own = f"_c{names.index(id_col)}"
+    found = simhash_components(docs, own, f"_c{names.index(text_col)}", threshold)
+    found = found.filter(F.col(own).eqNullSafe(F.col("component_id"))).select(F.col(own).alias("_kept")).distinct()
+    return docs.join(saved(found), F.col(own).eqNullSafe(F.col("_kept")), "left_semi").toDF(*names)
