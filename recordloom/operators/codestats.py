@@ -36,9 +36,10 @@ def describe_distribution(values: DataFrame, value: str, by: Sequence[str] = BY)
     Equal values are counted first, inside the map tasks too, so a group is reduced to its distinct
     values before its rows come together; the median is where the running count passes the middle.
     """
+    whole = values.schema[value].dataType.typeName() in ("byte", "short", "integer", "long")
     counted = (
         values.filter(F.col(value).isNotNull())
-        .groupBy(*by, F.col(value).cast("long").alias("_v"))
+        .groupBy(*by, (F.col(value).cast("long") if whole else F.col(value)).alias("_v"))
         .agg(F.count("*").alias("_n"))
     )
     group = Window.partitionBy(*by)

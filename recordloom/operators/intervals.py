@@ -196,19 +196,19 @@ def keep_records(
     return records.filter(forced).unionByName(rest)
 
 
-def top_level(records: DataFrame, parents: DataFrame, children: str, many: int = MANY_COPIES) -> DataFrame:
+def top_level(
+    records: DataFrame, parents: DataFrame, children: str, by: Sequence[str] = (), many: int = MANY_COPIES
+) -> DataFrame:
     """Records without those that are children of ``parents``; each child removes one equal record.
 
     A reader that looks for a tag also returns the nested ones, so nested ones are taken off again.
     Equal records are counted, inside the map tasks first, and the copies left are written out again;
-    a record with a great many copies is written out by several tasks.
+    a record with a great many copies is written out by several tasks. A child has its own attributes and
+    the owner of its parent (``by``), nothing else of it.
     """
-    kind = parents.schema[children].dataType
-    one = isinstance(kind, StructType)
-    fields = (kind if one else kind.elementType).fieldNames()
+    one = isinstance(parents.schema[children].dataType, StructType)
     inside = F.inline(F.array(children) if one else F.col(children))
-    key = [c for c in records.columns if c not in fields and c in parents.columns]
-    nested = parents.filter(F.col(children).isNotNull()).select(*key, inside)
+    nested = parents.filter(F.col(children).isNotNull()).select(*by, inside)
     # Attributes no child has are NULL there, as they are in the equal record.
     nested = nested.select(
         *[

@@ -26,6 +26,18 @@ def saved(df: DataFrame) -> DataFrame:
 
     It is computed once, survives lost executors, and its real size is known to the joins after it.
     """
-    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/saved-{uuid.uuid4().hex}"
+    path = f"{_folder(df.sparkSession)}/saved-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _folder(spark: SparkSession) -> str:
+    """The folder of this application's saved tables."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/{spark.sparkContext.applicationId}"
+
+
+def clean(spark: SparkSession) -> None:
+    """Deletes all tables saved by this application; results that still read them are lost."""
+    context = spark.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(_folder(spark))
+    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)

@@ -69,7 +69,8 @@ def cancel_transfers(
 
 
 def _keys() -> dict[str, Column]:
-    amount = F.col("amount")
+    # NaN is no amount.
+    amount = F.when(~F.isnan(F.col("amount").cast("double")), F.col("amount"))
     # Rows without amount get a bucket of their own kind: NULL keys would all meet in one task.
     return {
         "_cents": F.coalesce(F.round(F.abs(amount), 2), F.lit(-1.0)),
@@ -327,7 +328,9 @@ def _fold(chunks: DataFrame, start: Column) -> DataFrame:
 
 
 def _fold_long(pairs: DataFrame, bucket: list[str]) -> DataFrame:
-    pairs = saved(pairs)
+    # Accounts are only compared, so inside they are texts, whatever their type.
+    kind = pairs.schema["pos"].dataType
+    pairs = saved(pairs.withColumns({side: F.col(side).cast("string") for side in ("pos", "neg")}))
     chunks = saved(_chunks(pairs, bucket))
     heavy = saved(_heavy(pairs, bucket))
     where = [*bucket, "_chunk"]
@@ -344,7 +347,7 @@ def _fold_long(pairs: DataFrame, bucket: list[str]) -> DataFrame:
         walked = saved(_walk(known, heavy, bucket))
         asked = walked.filter("not final").drop("final")
         if asked.isEmpty():
-            return walked.select(*bucket, "held", "count")
+            return walked.select(*bucket, F.col("held").cast(kind).alias("held"), "count")
         known = saved(known.unionByName(worked_out(asked)))
 
 

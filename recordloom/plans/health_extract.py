@@ -7,6 +7,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructField, StructType
 
 from recordloom.functions import fixed_values as V
 from recordloom.operators.intervals import element_counts, interval_overlap, keep_records, merge_intervals, top_level
@@ -16,12 +17,27 @@ from recordloom.sources.health_xml import root_attributes, scan_elements, write_
 DATES = {"start": "_startDate", "end": "_endDate"}
 
 
+#: Attributes that the rules read; absent ones are NULL.
+READ = {"Workout": DATES.values(), "Record": ["_type", *DATES.values()], "Correlation": DATES.values()}
+
+
 def _scan(spark: SparkSession, path, kind: str, schemas: dict) -> DataFrame | None:
     """Elements of a kind, landed once; None when the files hold none."""
     elements = scan_elements(spark, path, kind, schemas.get(kind))
     if len(elements.columns) <= 1:
         return None
-    return saved(elements)
+    absent = [c for c in READ.get(kind, ()) if c not in elements.columns]
+    return saved(elements.withColumns({c: F.lit(None).cast("string") for c in absent}))
+
+
+def _with_records(spark: SparkSession, path, records: DataFrame, schemas: dict) -> dict:
+    """The schemas, correlations having their records as an array of what ``records`` are."""
+    found = scan_elements(spark, path, "Correlation", schemas.get("Correlation")).drop("subject")
+    if "Record" not in found.columns:
+        return schemas
+    inside = ArrayType(StructType([f for f in records.schema if f.name != "subject"]))
+    fields = [StructField("Record", inside) if f.name == "Record" else f for f in found.schema]
+    return {**schemas, "Correlation": StructType(fields)}
 
 
 def extract(
@@ -34,16 +50,19 @@ def extract(
     """The kept elements per kind, and the merged windows ``(subject, start, end, copies)``."""
     by, schemas = ["subject"], schemas or {}
     workouts = _scan(spark, path, "Workout", schemas)
-    if workouts is None or not set(DATES.values()) <= set(workouts.columns):
+    if workouts is None:
         raise ValueError("no Workout elements with dates in the input")
     windows = saved(merge_intervals(workouts, by, **DATES))
     if windows.isEmpty():
         raise ValueError("no Workout elements with dates in the input")
     kept = {"Workout": workouts}
-    records, correlations = (_scan(spark, path, kind, schemas) for kind in ("Record", "Correlation"))
+    records = _scan(spark, path, "Record", schemas)
+    if records is not None:
+        schemas = _with_records(spark, path, records, schemas)
+    correlations = _scan(spark, path, "Correlation", schemas)
     if records is not None:
         if correlations is not None and "Record" in correlations.columns:
-            records = saved(top_level(records, correlations, "Record"))
+            records = saved(top_level(records, correlations, "Record", by))
         kept["Record"] = keep_records(records, windows, by, force_types, "_type", **DATES)
     if correlations is not None:
         kept["Correlation"] = interval_overlap(correlations, windows, by, **DATES)

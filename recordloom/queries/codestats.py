@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from recordloom.functions import fixed_values as V
 from recordloom.functions.text import repo_name, repo_owner, repo_short_name
 from recordloom.operators import codestats as C
 from recordloom.queries.tables import table
@@ -174,11 +175,11 @@ select s.repo, 'o' || s.repo % 7 as owner, 'repo-' || s.repo as name, s.repo * 1
   coalesce(c.n, 0) as commits_with_lines,
   c.min as commit_min, c.median as commit_median, c.mean as commit_mean, c.max as commit_max
 from spans s left join f on f.repo = s.repo left join c on c.repo = s.repo""",
-    "parse_repo_url": r"""with u as (
+    "parse_repo_url": rf"""with u as (
   select page_id, case when page_id % 3 = 0 then url else regexp_replace(url, '^https?://[^/]+', 'https://github.com') end as url from pages)
 select page_id,
-  nullif(regexp_extract(url, '^https?://github\.com/([^/]+)/([^/.]+)', 1), '') as owner,
-  nullif(regexp_extract(url, '^https?://github\.com/([^/]+)/([^/.]+)', 2), '') as repo,
+  nullif(regexp_extract(url, '{V.REPO_URL}', 1), '') as owner,
+  nullif(regexp_extract(url, '{V.REPO_URL}', 2), '') as repo,
   regexp_replace(list_last(string_split(regexp_replace(url, '/+$', ''), '/')), '\.git$', '') as name
 from u""",
 }

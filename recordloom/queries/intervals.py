@@ -56,9 +56,11 @@ def counts(spark: SparkSession, folder: str) -> DataFrame:
 def without_nested(spark: SparkSession, folder: str) -> DataFrame:
     """Events read as records, errors being nested ones too: those are taken off again."""
     elements = _elements(spark, folder).drop("id")
+    # The parent has an attribute, source, that neither its child nor the other records have a value for.
+    elements = elements.withColumn("source", F.lit(None).cast("string"))
     child = F.array(F.struct("type", "start", "end"))
-    parents = elements.filter("type = 'error'").select("subject", child.alias("Record"))
-    return top_level(elements, parents, "Record")
+    parents = elements.filter("type = 'error'").select("subject", F.lit("cuff").alias("source"), child.alias("Record"))
+    return top_level(elements, parents, "Record", BY).drop("source")
 
 
 QUERIES = {

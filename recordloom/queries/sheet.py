@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from recordloom.functions import fixed_values as V
 from recordloom.operators import sheet as S
 from recordloom.operators.merge import merge_replace
 from recordloom.operators.shared import saved
@@ -211,11 +212,7 @@ changes as (
 _WIDE_YOY = ", ".join(f"max(case when db_col = '{f}' then yoy_pct end) as yoy_{f}_pct" for f in FIELDS)
 _RATIOS = ", ".join(
     f"""max(case when db_col = '{top}' then value end) / nullif(max(case when db_col = '{bottom}' then value end), 0) * 100 as {name}"""
-    for name, top, bottom in (
-        ("effective_tax_rate_pct", "f_1040_24", "f_1040_15"),
-        ("capital_gain_short_vs_long_ratio_pct", "f_d_7", "f_d_15"),
-        ("ca_effective_tax_rate_pct", "f_540_64", "f_540_19"),
-    )
+    for name, top, bottom, _ in V.RATIOS
 )
 
 SQL = {

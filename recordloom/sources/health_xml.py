@@ -22,7 +22,8 @@ def root_attributes(spark: SparkSession, path: str | Sequence[str]) -> str:
 def scan_elements(
     spark: SparkSession, path: str | Sequence[str], kind: str, schema: StructType | str | None = None
 ) -> DataFrame:
-    """All elements of one kind, nested ones included, with ``subject`` = name of the file.
+    """All elements of one kind, nested ones included, with ``subject`` = path of the file: exports of
+    several people often have one name.
 
     Values stay text. Without a schema the names are collected in a first pass over the files, so
     give one for large inputs.
@@ -37,7 +38,7 @@ def scan_elements(
     if schema is not None:
         reader = reader.schema(schema)
     elements = reader.load(path if isinstance(path, str) else list(path))
-    return elements.select(F.col("_metadata.file_name").alias("subject"), *[f"`{c}`" for c in elements.columns])
+    return elements.select(F.col("_metadata.file_path").alias("subject"), *[f"`{c}`" for c in elements.columns])
 
 
 def write_elements(elements: DataFrame, path: str, kind: str, attributes: str = "") -> None:

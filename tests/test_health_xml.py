@@ -70,9 +70,17 @@ def test_no_root_or_no_workout(spark, tmp_path):
 def test_given_schema_and_namespace(spark, tmp_path):
     (tmp_path / "n.xml").write_text('<h:HealthData xmlns:h="u">\n<h:Workout startDate="1" endDate=""/>\n</h:HealthData>')
     rows = scan_elements(spark, str(tmp_path / "n.xml"), "Workout", "_startDate string, _endDate string").collect()
-    assert [tuple(r) for r in rows] == [("n.xml", "1", "")]
+    assert [(r.subject.rsplit("/", 1)[-1], *r[1:]) for r in rows] == [("n.xml", "1", "")]
 
 
 def test_counts(spark):
     df = spark.createDataFrame([("a",), ("a",), ("b",)], "kind string")
     assert {r.kind: r.n for r in element_counts(df).collect()} == {"a": 2, "b": 1}
+
+
+def test_exports_of_one_name_are_of_two_owners(spark, tmp_path):
+    for person in "cd":
+        (tmp_path / person).mkdir()
+        (tmp_path / person / "export.xml").write_text('<HealthData>\n<Workout startDate="1" endDate="2"/>\n</HealthData>')
+    rows = scan_elements(spark, str(tmp_path / "*"), "Workout", "_startDate string, _endDate string").collect()
+    assert len({r.subject for r in rows}) == 2

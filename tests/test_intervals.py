@@ -100,7 +100,16 @@ def test_forced_types(spark):
 def test_children_are_taken_off_once(spark, many):
     records = [("s", "Sys", "1", "2")] * 2 + [("s", "HR", "1", None)] * 10 + [("t", "HR", "1", None)]
     r = spark.createDataFrame(records, "subject string, type string, start string, end string")
-    kind = "subject string, Record array<struct<type:string,start:string>>, end string"
-    p = spark.createDataFrame([("s", [("Sys", "1")], "2"), ("s", [("HR", "1"), ("HR", "1"), ("No", "1")], None), ("s", None, None)], kind)
-    left = [tuple(x) for x in top_level(r, p, "Record", many).collect()]
+    kind = "subject string, Record array<struct<type:string,start:string,end:string>>, end string"
+    p = spark.createDataFrame(
+        [("s", [("Sys", "1", "2")], "9"), ("s", [("HR", "1", None), ("HR", "1", None), ("No", "1", None)], None), ("s", None, None)], kind
+    )
+    left = [tuple(x) for x in top_level(r, p, "Record", ["subject"], many).collect()]
     assert sorted(left, key=str) == sorted([records[0]] + [records[2]] * 8 + [records[-1]], key=str)
+
+
+def test_children_take_no_attribute_of_their_parent(spark):
+    r = spark.createDataFrame([("s", "HR", "watch"), ("s", "Sys", None), ("s", "Sys", "cuff")], "subject string, type string, device string")
+    p = spark.createDataFrame([("s", "cuff", [("Sys",)])], "subject string, device string, Record array<struct<type:string>>")
+    left = {tuple(x) for x in top_level(r, p, "Record", ["subject"]).collect()}
+    assert left == {("s", "HR", "watch"), ("s", "Sys", "cuff")}

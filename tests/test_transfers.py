@@ -93,3 +93,14 @@ def test_large_bucket_without_transfers_and_rows_without_amount(spark):
     rows += [("o", 200 + i, "2025-01-01", None, "ab"[i % 2]) for i in range(50)]
     rows += [("o", 300, "2025-01-01", 0.001, "a"), ("o", 301, "2025-01-01", -0.001, "b")]
     assert run(spark, rows, block=16) == [r[1] for r in rows if r[1] < 300]
+
+
+@pytest.mark.parametrize("kind", ["string", "int", "long"])
+def test_long_buckets_end_for_any_type_of_account(spark, kind):
+    rows = [(i, "2024-01-01", 5.0 if (i * 7) % 5 < 2 else -5.0, (i * 11) % 3) for i in range(300)]
+    rows.append((300, "2024-01-01", float("nan"), 1))
+    df = spark.createDataFrame(rows, "ord long, date string, amount double, account_id long")
+    df = df.withColumn("account_id", df["account_id"].cast(kind))
+    short = sorted(r.ord for r in cancel_transfers(df).collect())
+    long = sorted(r.ord for r in cancel_transfers(df, block=64, chunk=16).collect())
+    assert short == long and 300 in short
