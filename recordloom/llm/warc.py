@@ -41,11 +41,15 @@ def plan_records(pages: DataFrame, id_col: str, url_col: str, payload_col: str,
     rows = pages.select(F.col(id_col).alias("_id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"))
     rows = rows.withColumn("payload_bytes", F.octet_length("payload").cast("long")).withColumn("sha1", F.sha1("payload"))
     rows = rows.withColumn("_same", F.sha2(F.encode("payload", "UTF-8"), 256))
-    # Only hashes are grouped and joined; copies shrink to one row per map task before the shuffle.
-    first = rows.groupBy(F.col("_same").alias("_of")).agg(F.max("_id").alias("_first"))
-    rows = rows.join(first, F.col("_same") == F.col("_of"))
-    small = (F.col("payload_bytes") < revisit_bytes) | F.col("_id").eqNullSafe(F.col("_first")) | F.col("_first").isNull()
-    return rows.withColumn("refers_to", F.when(~small, F.col("_first"))).drop("_same", "_of", "_first")
+    # Only hashes are grouped; copies shrink to one row per map task before the shuffle. Payloads stay where
+    # they are unless the list of revisits is too long to be sent to them.
+    keys = rows.select("_id", "_same", "payload_bytes")
+    first = keys.groupBy("_same").agg(F.max("_id").alias("_first"))
+    again = keys.join(first, "_same").filter((F.col("payload_bytes") >= revisit_bytes) & F.col("_first").isNotNull())
+    again = again.filter(~F.col("_id").eqNullSafe(F.col("_first")))
+    again = saved(again.select(F.col("_id").alias("_page"), F.col("_same").alias("_of"), F.col("_first").alias("refers_to")).distinct())
+    on = F.col("_id").eqNullSafe(F.col("_page")) & (F.col("_same") == F.col("_of"))
+    return rows.join(again, on, "left").drop("_same", "_of", "_page")
 
 
 def write_archives(
