@@ -66,11 +66,13 @@ def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     names = docs.columns
     docs = docs.toDF(*[f"_c{i}" for i in range(len(names))])  # no name of theirs can clash with ours
     own, text = f"_c{names.index(id_col)}", f"_c{names.index(text_col)}"
-    found = exact_groups(docs, own, text).filter("kept")
-    found = saved(found.select(F.col(own).alias("_kept_id"), F.col("text_sha256").alias("_kept_sha")))
+    found = saved(exact_groups(docs, own, text).select(F.col(own).alias("_gone"), "kept", F.col("text_sha256").alias("_sha_of")))
+    kept, gone = found.filter("kept"), found.filter("not kept")
+    single = kept.groupBy("_gone").count().filter("count > 1").isEmpty()
+    if single and kept.select("_gone").join(gone.select("_gone"), "_gone", "left_semi").isEmpty():
+        # An id stands for one row: those that go, the smaller part, are all that has to be known.
+        return docs.join(saved(gone.select("_gone")), F.col(own).eqNullSafe(F.col("_gone")), "left_anti").toDF(*names)
     rows = docs.withColumn("_sha", F.sha2(F.encode(normalised(F.col(text)), "UTF-8"), 256))
-    same = F.col(own).eqNullSafe(F.col("_kept_id")) & (F.col("_sha") == F.col("_kept_sha"))
-    rows = rows.join(found, same, "left_semi")
-    if not found.groupBy("_kept_id", "_kept_sha").count().filter("count > 1").isEmpty():
-        rows = rows.dropDuplicates([own, "_sha"])
+    same = F.col(own).eqNullSafe(F.col("_gone")) & (F.col("_sha") == F.col("_sha_of"))
+    rows = rows.join(kept, same, "left_semi").dropDuplicates([own, "_sha"])
     return rows.drop("_sha").toDF(*names)

@@ -252,11 +252,13 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD) -> DataFrame:
     """The documents that stay, with all columns: the one with the smallest id of each component.
 
-    A component of null ids keeps all its rows; rows repeating an id stay or go together.
+    A component of null ids keeps all its rows; rows that share an id all stay if one of them does.
     """
     names = docs.columns
     docs = docs.toDF(*[f"_c{i}" for i in range(len(names))])  # no name of theirs can clash with ours
     own = f"_c{names.index(id_col)}"
     found = simhash_components(docs, own, f"_c{names.index(text_col)}", threshold)
-    found = found.filter(F.col(own).eqNullSafe(F.col("component_id"))).select(F.col(own).alias("_kept")).distinct()
-    return docs.join(saved(found), F.col(own).eqNullSafe(F.col("_kept")), "left_semi").toDF(*names)
+    # Those that go, the smaller part, are all that has to be known.
+    gone = found.groupBy(F.col(own).alias("_gone")).agg(F.max(F.col(own).eqNullSafe(F.col("component_id"))).alias("_stays"))
+    gone = gone.filter("not _stays").select("_gone")
+    return docs.join(saved(gone), F.col(own).eqNullSafe(F.col("_gone")), "left_anti").toDF(*names)

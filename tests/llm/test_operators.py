@@ -286,7 +286,7 @@ def test_packing_in_rounds(spark, rows):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
     out = [r.asDict() for r in packing.pack_pieces(docs, group_pieces=10).collect()]
     n = check_packed(out, {r["doc_id"]: r["text"] for r in rows})
-    assert n <= -(-sum(r["length"] for r in out) // 2048) + 2
+    assert n <= 1.05 * -(-sum(r["length"] for r in out) // 2048)  # groups of ten pieces
 
 
 def test_bounds_and_best_fit():
