@@ -73,4 +73,18 @@ QUERIES = {
     )
 }
 
-SQL: dict[str, str] = {}
+_BASE32 = f"""array_to_string(list_transform(range(32), lambda k: substr('{warc.BASE32}',
+  (((('0x' || substr(sha1(payload), 5 * (k // 4) + 1, 5))::int) >> (15 - 5 * (k % 4))) & 31) + 1, 1)), '')"""
+
+SQL: dict[str, str] = {
+    "op1_exact_dedup": r"""with n as (
+  select doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') as t from documents),
+g as (select t, min(doc_id) as keep_id, count(*) as group_size from n group by t)
+select doc_id, keep_id, group_size, doc_id = keep_id as kept, sha256(n.t) as text_sha256 from n join g using (t)""",
+    "op8_warc": f"""with p as (select page_id, coalesce(html, '') as payload from pages),
+g as (select payload, max(page_id) as first from p group by payload)
+select page_id, strlen(payload) as payload_bytes, {_BASE32} as payload_digest,
+  case when page_id = first then 'response' else 'revisit' end as record_type,
+  case when page_id <> first then first end as refers_to
+from p join g using (payload)""",
+}
