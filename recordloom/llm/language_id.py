@@ -18,6 +18,8 @@ SPECTRUM = (2, 3, 4)
 BITS = 14
 #: Labelled rows per language that the regression is fitted on at most, and landmarks per language among them.
 SAMPLE, LANDMARKS = 400, 64
+#: Landmarks of all languages together at most (but one each): 100 MB on the driver.
+MAX_LANDMARKS = 512
 RIDGE = 1e-3
 _LETTER = r"\p{L}"
 _WIDTH = len(SPECTRUM) << BITS
@@ -58,27 +60,37 @@ def normalised(present: np.ndarray) -> np.ndarray:
     return (parts / norm).reshape(len(present), -1)
 
 
-def fit(present: np.ndarray, languages: np.ndarray, landmarks: int = LANDMARKS, ridge: float = RIDGE) -> tuple[list[str], np.ndarray]:
-    """The languages and one column of weights for each, over n-grams.
+def fit(bits: np.ndarray, languages: np.ndarray, landmarks: int = LANDMARKS, ridge: float = RIDGE) -> tuple[list[str], np.ndarray]:
+    """The languages and one column of weights for each, over n-grams; ``bits`` are packed presence rows.
 
     Landmarks are the first rows of each language. One-versus-rest kernel ridge regression on the
     Nystroem approximation gives a weight per landmark; as the kernel is a product of presence rows, the
     landmarks' rows and weights multiply out to one matrix, so scoring is a single matrix product.
+    Rows are unpacked a few at a time; only the landmarks' rows are held.
     """
     names = sorted(set(languages.tolist()))
-    x = normalised(present).astype(np.float64)
+    landmarks = max(1, min(landmarks, MAX_LANDMARKS // len(names)))
     chosen = np.concatenate([np.flatnonzero(languages == name)[:landmarks] for name in names])
-    among, across = x[chosen] @ x[chosen].T, x @ x[chosen].T
+
+    def rows(at: np.ndarray) -> Iterator[np.ndarray]:
+        for i in range(0, len(at), 64):
+            yield normalised(np.unpackbits(bits[at[i : i + 64]], axis=1))
+
+    held = np.empty((len(chosen), _WIDTH), dtype=np.float32)
+    for i, part in enumerate(rows(chosen)):
+        held[64 * i : 64 * i + len(part)] = part
+    across = np.concatenate([part @ held.T for part in rows(np.arange(len(bits)))]).astype(np.float64)
+    among = across[chosen]
     wanted = np.where(languages[:, None] == np.array(names)[None, :], 1.0, -1.0)
     # Languages count alike, however many rows each has.
-    share = np.array([len(x) / (len(names) * (languages == name).sum()) for name in languages])
-    left = across.T @ (across * share[:, None]) + ridge * len(x) * (among + 1e-6 * np.eye(len(among)))
+    share = np.array([len(bits) / (len(names) * (languages == name).sum()) for name in languages])
+    left = across.T @ (across * share[:, None]) + ridge * len(bits) * (among + 1e-6 * np.eye(len(among)))
     weights = np.linalg.solve(left, across.T @ (wanted * share[:, None]))
-    return names, (x[chosen].T @ weights).astype(np.float32)
+    return names, held.T @ weights.astype(np.float32)
 
 
 def training_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, sample: int) -> tuple[np.ndarray, np.ndarray]:
-    """Presence rows and languages of at most ``sample`` labelled rows per language, by hash of the id."""
+    """Packed presence rows and languages of at most ``sample`` labelled rows per language, by hash of the id."""
     narrow = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(F.col(id_col)))
     narrow = narrow.select(F.col(id_col).alias("_id"), F.col(lang_col).alias("_lang"), F.xxhash64(id_col).alias("_h"), F.col(text_col).alias("_text"))
     rank = F.row_number().over(Window.partitionBy("_lang").orderBy("_h", "_id"))
@@ -96,7 +108,7 @@ def training_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str,
     found = rows.select("_lang", "_rank", "_text").mapInArrow(work, "_lang string, _rank int, bits binary")
     found = found.filter(F.col("_rank") <= sample).orderBy("_lang", "_rank").collect()
     bits = np.frombuffer(b"".join(r["bits"] for r in found), np.uint8).reshape(len(found), _WIDTH // 8)
-    return np.unpackbits(bits, axis=1), np.array([r["_lang"] for r in found], dtype=object)
+    return bits, np.array([r["_lang"] for r in found], dtype=object)
 
 
 def identify(
@@ -109,8 +121,8 @@ def identify(
     ``und`` with score 0 if the text is null or has no letter, or if nothing was learned. Null ids and
     repeated rows are documents like others. Empty input gives no rows. Other columns are not read.
     """
-    present, languages = training_sample(docs, id_col, text_col, lang_col, sample)
-    names, weights = fit(present, languages, landmarks) if len(languages) else ([], np.zeros((_WIDTH, 0), np.float32))
+    bits, languages = training_sample(docs, id_col, text_col, lang_col, sample)
+    names, weights = fit(bits, languages, landmarks) if len(languages) else ([], np.zeros((_WIDTH, 0), np.float32))
     shared = docs.sparkSession.sparkContext.broadcast((names, weights))  # 200 KB per language
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
