@@ -152,8 +152,8 @@ def certified_cutoff(good: np.ndarray, bad: np.ndarray, risk: float, delta: floa
     ``good`` and ``bad`` count labelled documents per bin. Cutoffs are tested in a fixed order, from the
     top bin down, each against "more than ``risk`` of the good documents are rejected" by the exact
     binomial tail, which is the test that belongs to the exact (Clopper-Pearson) upper bound; the first
-    failure ends the sequence, so no correction among cutoffs is needed. Of the certified cutoffs the
-    highest that rejects 99 % of the bad documents the lowest one rejects is taken.
+    failure ends the sequence, so no correction among cutoffs is needed. Of the certified cutoffs that
+    reject more bad than good documents, the highest that rejects 99 % of the bad ones they can is taken.
     """
     n, certified = int(good.sum()), []
     lost = np.cumsum(good[::-1])[::-1]
@@ -162,9 +162,10 @@ def certified_cutoff(good: np.ndarray, bad: np.ndarray, risk: float, delta: floa
             break
         certified.append(b)
     caught = np.cumsum(bad[::-1])[::-1]
-    if not certified or not caught[certified[-1]]:
+    useful = [b for b in certified if caught[b] > lost[b]]
+    if not useful:
         return None
-    return max(b for b in certified if caught[b] >= 0.99 * caught[certified[-1]])
+    return max(b for b in useful if caught[b] >= 0.99 * caught[useful[-1]])
 
 
 def thresholds(
