@@ -1,6 +1,6 @@
 """Stored output of the version control tool and stored API answers, one file per repository.
 
-The repository is the file name up to its first dot.
+The repository is the file name without its ending, so names may hold dots.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from recordloom.functions.text import strip
 
 
 def _repo() -> Column:
-    return F.regexp_extract(F.col("_metadata.file_name"), r"^([^.]*)", 1).alias("repo")
+    return F.regexp_extract(F.col("_metadata.file_name"), r"^(.+?)(\.[^.]*)?$", 1).alias("repo")
 
 
 def _lines(spark: SparkSession, path: str | Sequence[str], name: str) -> DataFrame:
