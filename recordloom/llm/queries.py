@@ -81,6 +81,37 @@ SQL: dict[str, str] = {
   select doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') as t from documents),
 g as (select t, min(doc_id) as keep_id, count(*) as group_size from n group by t)
 select doc_id, keep_id, group_size, doc_id = keep_id as kept, sha256(n.t) as text_sha256 from n join g using (t)""",
+    "op2_mixing": r"""with recursive docs as (
+  select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as size,
+    ('0x' || substr(md5('mix/' || coalesce(doc_id::varchar, '')), 1, 12))::bigint as spread from documents),
+sources as (
+  select source, sum(size)::bigint as source_size, [5.0, 2.0, 1.0][((row_number() over (order by source nulls last) - 1) % 3 + 1)::int]::double as weight
+  from docs group by source),
+rounds as (
+  select 0 as n, 0::double as level, -1::bigint as held
+  union all
+  select n + 1, (total - 3 * held_size) / free, held_rows from (
+    select r.n, r.held, (select sum(source_size) from sources)::bigint as total,
+      (select coalesce(sum(source_size), 0) from sources where source_size * 3 < weight * r.level)::bigint as held_size,
+      (select count(*) from sources where source_size * 3 < weight * r.level) as held_rows,
+      (select sum(weight) from sources where not source_size * 3 < weight * r.level) as free
+    from rounds r)
+  where held_rows <> held and free > 0),
+targets as (
+  select source, source_size, case when source_size * 3 < weight * level then source_size::double * 3 else weight * level end as target
+  from sources cross join (select level from rounds order by n desc limit 1)),
+queue as (
+  select d.*, t.source_size, t.target, sum(size) over (partition by d.source order by spread, doc_id nulls first, size rows unbounded preceding)::bigint as queued
+  from docs d join targets t on d.source is not distinct from t.source),
+units as (
+  select *, (pass * source_size + queued) / target as finish from queue cross join (values (0), (1), (2)) p(pass)
+  where size > 0 and pass * source_size + queued - size < target),
+spent as (
+  select *, sum(size) over (order by finish, source nulls first, spread, doc_id nulls first, pass, size rows unbounded preceding) as spent from units),
+counted as (
+  select doc_id, source, count(*) as passes from spent where spent <= (select sum(size) from docs) group by doc_id, source)
+select q.doc_id, size, source_size, target, (size * coalesce(passes, 0))::bigint as taken
+from queue q left join counted c on q.doc_id is not distinct from c.doc_id and q.source is not distinct from c.source""",
     "op8_warc": f"""with p as (select page_id, coalesce(html, '') as payload from pages),
 g as (select payload, max(page_id) as first from p group by payload)
 select page_id, strlen(payload) as payload_bytes, {_BASE32} as payload_digest,
