@@ -7,12 +7,12 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StructField, StructType
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from recordloom.functions import fixed_values as V
 from recordloom.operators.intervals import element_counts, interval_overlap, keep_records, merge_intervals, top_level
 from recordloom.operators.shared import saved
-from recordloom.sources.health_xml import root_attributes, scan_elements, write_elements
+from recordloom.sources.health_xml import roots, scan_elements, subject_folder, write_elements
 
 DATES = {"start": "_startDate", "end": "_endDate"}
 
@@ -21,23 +21,18 @@ DATES = {"start": "_startDate", "end": "_endDate"}
 READ = {"Workout": DATES.values(), "Record": ["_type", *DATES.values()], "Correlation": DATES.values()}
 
 
-def _scan(spark: SparkSession, path, kind: str, schemas: dict) -> DataFrame | None:
-    """Elements of a kind, landed once; None when the files hold none."""
-    elements = scan_elements(spark, path, kind, schemas.get(kind))
-    if len(elements.columns) <= 1:
-        return None
-    absent = [c for c in READ.get(kind, ()) if c not in elements.columns]
-    return saved(elements.withColumns({c: F.lit(None).cast("string") for c in absent}))
-
-
-def _with_records(spark: SparkSession, path, records: DataFrame, schemas: dict) -> dict:
-    """The schemas, correlations having their records as an array of what ``records`` are."""
-    found = scan_elements(spark, path, "Correlation", schemas.get("Correlation")).drop("subject")
-    if "Record" not in found.columns:
-        return schemas
-    inside = ArrayType(StructType([f for f in records.schema if f.name != "subject"]))
-    fields = [StructField("Record", inside) if f.name == "Record" else f for f in found.schema]
-    return {**schemas, "Correlation": StructType(fields)}
+def _schemas(spark: SparkSession, path, kinds: Sequence[str], given: dict) -> dict[str, StructType]:
+    """Schemas of the kinds the files hold; one kind inside another is an array of what it is by itself."""
+    found = {kind: scan_elements(spark, path, kind, given.get(kind)).drop("subject").schema for kind in kinds}
+    found = {kind: schema for kind, schema in found.items() if schema.fields}
+    for kind, schema in found.items():
+        absent = [c for c in READ.get(kind, ()) if c not in schema.names]
+        found[kind] = StructType([*schema, *[StructField(c, StringType()) for c in absent]])
+    plain = dict(found)
+    for kind, schema in found.items():
+        inside = {f.name: ArrayType(plain[f.name]) for f in schema if f.name in plain}
+        found[kind] = StructType([StructField(f.name, inside.get(f.name, f.dataType)) for f in schema])
+    return found
 
 
 def extract(
@@ -48,31 +43,26 @@ def extract(
     schemas: dict | None = None,
 ) -> tuple[dict[str, DataFrame], DataFrame]:
     """The kept elements per kind, and the merged windows ``(subject, start, end, copies)``."""
-    by, schemas = ["subject"], schemas or {}
-    workouts = _scan(spark, path, "Workout", schemas)
-    if workouts is None:
+    by, kinds = ["subject"], [*V.ALWAYS_KEPT, "Record", "Correlation"]
+    if include_activity_summaries:
+        kinds.append("ActivitySummary")
+    found = _schemas(spark, path, kinds, schemas or {})
+    read = {kind: saved(scan_elements(spark, path, kind, schema)) for kind, schema in found.items()}
+    if "Workout" not in read:
         raise ValueError("no Workout elements with dates in the input")
-    windows = saved(merge_intervals(workouts, by, **DATES))
+    windows = saved(merge_intervals(read["Workout"], by, **DATES))  # of workouts at any depth
     if windows.isEmpty():
         raise ValueError("no Workout elements with dates in the input")
-    kept = {"Workout": workouts}
-    records = _scan(spark, path, "Record", schemas)
-    if records is not None:
-        schemas = _with_records(spark, path, records, schemas)
-    correlations = _scan(spark, path, "Correlation", schemas)
-    if records is not None:
-        if correlations is not None and "Record" in correlations.columns:
-            records = saved(top_level(records, correlations, "Record", by))
-        kept["Record"] = keep_records(records, windows, by, force_types, "_type", **DATES)
-    if correlations is not None:
-        kept["Correlation"] = interval_overlap(correlations, windows, by, **DATES)
-    others = [k for k in V.ALWAYS_KEPT if k != "Workout"]
-    if include_activity_summaries:
-        others.append("ActivitySummary")
-    for kind in others:
-        elements = _scan(spark, path, kind, schemas)
-        if elements is not None:
-            kept[kind] = elements
+    # Only children of the root are kept; readers of a kind also return those inside other elements.
+    kept = dict(read)
+    for kind in kept:
+        for parent, elements in read.items():
+            if parent != kind and kind in elements.columns:
+                kept[kind] = saved(top_level(kept[kind], elements, kind, by))
+    if "Record" in kept:
+        kept["Record"] = keep_records(kept["Record"], windows, by, force_types, "_type", **DATES)
+    if "Correlation" in kept:
+        kept["Correlation"] = interval_overlap(kept["Correlation"], windows, by, **DATES)
     return kept, windows
 
 
@@ -83,10 +73,19 @@ def kept_counts(kept: dict[str, DataFrame]) -> DataFrame:
 
 
 def write_extract(spark: SparkSession, path: str | Sequence[str], out: str, **options) -> DataFrame:
-    """Writes one directory per kind below ``out`` and returns the counts."""
-    attributes = root_attributes(spark, path)
+    """Writes one directory per kind below ``out``, in it one per owner, and returns the counts.
+
+    Every owner's files have the attributes of the owner's own root. Owners are written together per
+    distinct text of attributes; ``out/owners`` lists ``(subject, folder, attributes)``.
+    """
+    owners = saved(roots(spark, path))
+    if owners.isEmpty():
+        raise ValueError("no HealthData root element in the input")
     kept, _ = extract(spark, path, **options)
     kept = {kind: saved(df) for kind, df in kept.items()}
-    for kind, elements in kept.items():
-        write_elements(elements, f"{out}/{kind}", kind, attributes)
+    owners.withColumn("folder", subject_folder(F.col("subject"))).write.parquet(f"{out}/owners")
+    for r in owners.select("attributes").distinct().orderBy("attributes").toLocalIterator():
+        alike = owners.filter(F.col("attributes") == r.attributes).select("subject")
+        for kind, elements in kept.items():
+            write_elements(elements.join(alike, "subject", "left_semi"), f"{out}/{kind}", kind, r.attributes, "append")
     return kept_counts(kept)

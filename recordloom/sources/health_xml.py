@@ -9,21 +9,34 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 
+def _subject(df: DataFrame):
+    """The owner of an element: the folder name ``subject=...`` of files written per owner, else the path of the file."""
+    return F.col("subject") if "subject" in df.columns else F.col("_metadata.file_path")
+
+
+def roots(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
+    """``(subject, attributes)``: attribute text of each file's ``HealthData`` root, which may run over several lines."""
+    pattern = r"(?s)<(?:\w+:)?HealthData(\s[^<]*)?$"
+    tags = spark.read.option("lineSep", ">").text(path if isinstance(path, str) else list(path))
+    tags = tags.filter(F.col("value").rlike(pattern))
+    text = F.regexp_replace(F.regexp_extract("value", pattern, 1), r"[\r\n\t]+", " ")
+    found = tags.select(_subject(tags).alias("subject"), F.trim(text).alias("attributes"))
+    return found.groupBy("subject").agg(F.min("attributes").alias("attributes"))
+
+
 def root_attributes(spark: SparkSession, path: str | Sequence[str]) -> str:
-    """Attribute text of the ``HealthData`` root element; without such a root an error."""
-    pattern = r"<(?:\w+:)?HealthData(\s[^>]*)?>"
-    lines = spark.read.text(path).filter(F.col("value").rlike(pattern))
-    found = lines.select(F.trim(F.regexp_extract("value", pattern, 1)).alias("a")).first()
+    """Attribute text of the ``HealthData`` root element of the first subject; without such a root an error."""
+    found = roots(spark, path).orderBy("subject").first()
     if found is None:
         raise ValueError("no HealthData root element in the input")
-    return found.a
+    return found.attributes
 
 
 def scan_elements(
     spark: SparkSession, path: str | Sequence[str], kind: str, schema: StructType | str | None = None
 ) -> DataFrame:
     """All elements of one kind, nested ones included, with ``subject`` = path of the file: exports of
-    several people often have one name.
+    several people often have one name. Files written per owner have the owner's folder as ``subject``.
 
     Values stay text. Without a schema the names are collected in a first pass over the files, so
     give one for large inputs.
@@ -38,17 +51,24 @@ def scan_elements(
     if schema is not None:
         reader = reader.schema(schema)
     elements = reader.load(path if isinstance(path, str) else list(path))
-    return elements.select(F.col("_metadata.file_path").alias("subject"), *[f"`{c}`" for c in elements.columns])
+    others = [f"`{c}`" for c in elements.columns if c != "subject"]
+    return elements.select(_subject(elements).alias("subject"), *others)
+
+
+def subject_folder(subject):
+    """Folder name of an owner: paths are too long for one, so their SHA-1."""
+    return F.sha1(F.coalesce(subject, F.lit("")))
 
 
-def write_elements(elements: DataFrame, path: str, kind: str, attributes: str = "") -> None:
-    """Writes elements of one kind below a ``HealthData`` root, one directory per kind."""
+def write_elements(elements: DataFrame, path: str, kind: str, attributes: str = "", mode: str = "errorifexists") -> None:
+    """Writes elements of one kind, one folder ``subject=<SHA-1>`` per owner, files below a ``HealthData`` root."""
     (
-        elements.drop("subject")
+        elements.withColumn("subject", subject_folder(F.col("subject")))
         .write.format("xml")
         .option("rootTag", f"HealthData {attributes}".strip())
         .option("rowTag", kind)
         .option("declaration", 'version="1.0" encoding="UTF-8"')
-        .mode("errorifexists")
+        .partitionBy("subject")
+        .mode(mode)
         .save(path)
     )
