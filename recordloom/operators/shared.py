@@ -36,6 +36,11 @@ def _folder(spark: SparkSession) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/{spark.sparkContext.applicationId}"
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A new place for files below the folder of this application."""
+    return f"{_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def clean(spark: SparkSession) -> None:
     """Deletes all tables saved by this application; results that still read them are lost."""
     context = spark.sparkContext

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from recordloom.queries import codestats, intervals, ledger, preview, sheet
+from recordloom.queries import codestats, files, intervals, ledger, preview, sheet
 
-_AREAS = (ledger, intervals, codestats, sheet, preview)
+_AREAS = (ledger, intervals, codestats, sheet, preview, files)
 
 
 def all_queries() -> dict:

@@ -34,26 +34,26 @@ FIELDS = [
     "f_a_1_1z",
     "f_a_1_8a",
 ]
+#: Years that the report shows.
 YEARS = list(range(1995, 2002))
 
 
 def _form() -> F.Column:
-    out = F.lit(None).cast("string")
+    out = F.coalesce("o_orderpriority", F.lit(""))  # an unknown priority is a form of its own
     for priority, form in FORMS.items():
         out = F.when(F.col("o_orderpriority") == priority, form).otherwise(out)
     return out
 
 
 def _line() -> F.Column:
-    out = F.lit(None).cast("string")
+    out = F.coalesce("o_orderstatus", F.lit(""))
     for form, lines in LINES.items():
         for status, line in lines.items():
             out = F.when((F.col("form") == form) & (F.col("o_orderstatus") == status), line).otherwise(out)
     return out
 
 
-def _sums(spark: SparkSession, folder: str) -> DataFrame:
-    orders = table(spark, folder, "orders")
+def _sums(orders: DataFrame) -> DataFrame:
     return (
         orders.select(
             F.col("o_custkey").alias("filer"),
@@ -67,12 +67,16 @@ def _sums(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def sheet(spark: SparkSession, folder: str) -> DataFrame:
-    """The sheets as wide text: dollars with commas, parentheses for status F, NA below 20,000."""
+def sheet_of(orders: DataFrame) -> DataFrame:
+    """The sheets as wide text: dollars with commas, parentheses for status F, NA below 20,000.
+
+    The years are those of the orders, a short list whatever the number of orders.
+    """
+    years = sorted(r.y for r in orders.select(F.year("o_orderdate").alias("y")).distinct().collect() if r.y is not None)
     wide = (
-        _sums(spark, folder)
+        _sums(orders)
         .groupBy("filer", F.col("form").alias("Form"), F.col("line").alias("Line"), "o_orderpriority", "o_orderstatus")
-        .pivot("year", YEARS)
+        .pivot("year", years)
         .agg(F.sum("whole"))
     )
 
@@ -88,10 +92,14 @@ def sheet(spark: SparkSession, folder: str) -> DataFrame:
         "Form",
         "Line",
         F.concat("o_orderpriority", F.lit("/"), "o_orderstatus").alias("Description"),
-        *[text(y) for y in YEARS],
+        *[text(y) for y in years],
     )
 
 
+def sheet(spark: SparkSession, folder: str) -> DataFrame:
+    return sheet_of(table(spark, folder, "orders"))
+
+
 def _rows(spark: SparkSession, folder: str) -> DataFrame:
     return S.sheet_rows(sheet(spark, folder), BY)
 
@@ -178,10 +186,8 @@ _SQL_NAMES = {
 _SQL_FORMS = {p: f.strip() for p, f in FORMS.items()}
 _SQL_LINES = {f"{p}/{s}": line for p, f in FORMS.items() for s, line in LINES[f].items()}
 _SQL_COLUMNS = {f"{p}/{s}": name for (p, s), name in _SQL_NAMES.items()}
-_YEAR_LIST = ", ".join(f"({y})" for y in YEARS)
-
 # Lines O and F of the fourth form share a name; O comes later in the sheet, so O counts.
-_RETURNS = f"""lines as (
+RETURNS = f"""lines as (
   select distinct o_custkey as filer, o_orderpriority || '/' || o_orderstatus as description,
     {_sql_case("o_orderpriority || '/' || o_orderstatus", _SQL_COLUMNS)} as db_col,
     {_sql_case("o_orderpriority", _SQL_FORMS)} as form, {_sql_case("o_orderpriority || '/' || o_orderstatus", _SQL_LINES)} as line,
@@ -195,10 +201,9 @@ sums as (
   from orders group by all),
 returns as (
   select f.filer, y.tax_year, f.db_col, case when s.s < 20000 then null when f.status = 'F' then -s.s else s.s end::double as value
-  from fields f cross join (values {_YEAR_LIST}) y(tax_year)
+  from fields f cross join (select distinct year(o_orderdate)::int as tax_year from orders) y
   left join sums s on s.filer = f.filer and s.description = f.description and s.tax_year = y.tax_year)"""
-_GAP = """gapped as (select * from returns where not (tax_year = 1998 and filer % 3 = 0)),
-years as (
+_CHANGES = """years as (
   select filer, tax_year, lag(tax_year) over (partition by filer order by tax_year) as before
   from (select distinct filer, tax_year from gapped)),
 changes as (
@@ -209,30 +214,42 @@ changes as (
   left join gapped p on p.filer = y.filer and p.tax_year = y.before and p.db_col = n.db_col)""".replace(
     "{names}", "[" + ", ".join(f"'{f}'" for f in FIELDS) + "]"
 )
+_GAP = f"""gapped as (select * from returns where not (tax_year = 1998 and filer % 3 = 0)),
+{_CHANGES}"""
 _WIDE_YOY = ", ".join(f"max(case when db_col = '{f}' then yoy_pct end) as yoy_{f}_pct" for f in FIELDS)
 _RATIOS = ", ".join(
     f"""max(case when db_col = '{top}' then value end) / nullif(max(case when db_col = '{bottom}' then value end), 0) * 100 as {name}"""
     for name, top, bottom, _ in V.RATIOS
 )
 
+
+
+def changes_sql(tables: str, returns: str) -> str:
+    """The analysis of a table of returns."""
+    return f"""{tables}, gapped as (select * from {returns}), {_CHANGES},
+r as (select filer, tax_year, {_RATIOS} from gapped group by filer, tax_year),
+w as (select filer, tax_year, {_WIDE_YOY} from changes group by filer, tax_year)
+select * from r join w using (filer, tax_year)"""
+
+
 SQL = {
-    "sheet_fields": f"with {_RETURNS} select filer, db_col, description, form, line from fields",
-    "unpivot_sheet": f"with {_RETURNS} select filer, tax_year, db_col, value from returns",
-    "pivot_returns": f"with {_RETURNS} select filer, tax_year, "
+    "sheet_fields": f"with {RETURNS} select filer, db_col, description, form, line from fields",
+    "unpivot_sheet": f"with {RETURNS} select filer, tax_year, db_col, value from returns",
+    "pivot_returns": f"with {RETURNS} select filer, tax_year, "
     + ", ".join(f"max(case when db_col = '{f}' then value end) as {f}" for f in FIELDS)
     + " from returns group by filer, tax_year",
-    "yoy_change": f"with {_RETURNS}, {_GAP} select filer, tax_year, db_col, yoy_pct from changes",
-    "pivot_yoy": f"with {_RETURNS}, {_GAP} select filer, tax_year, {_WIDE_YOY} from changes group by filer, tax_year",
-    "derived_ratios": f"with {_RETURNS} select filer, tax_year, {_RATIOS} from returns group by filer, tax_year",
-    "analysis_table": f"""with {_RETURNS}, {_GAP},
+    "yoy_change": f"with {RETURNS}, {_GAP} select filer, tax_year, db_col, yoy_pct from changes",
+    "pivot_yoy": f"with {RETURNS}, {_GAP} select filer, tax_year, {_WIDE_YOY} from changes group by filer, tax_year",
+    "derived_ratios": f"with {RETURNS} select filer, tax_year, {_RATIOS} from returns group by filer, tax_year",
+    "analysis_table": f"""with {RETURNS}, {_GAP},
 r as (select filer, tax_year, {_RATIOS} from gapped group by filer, tax_year),
 w as (select filer, tax_year, {_WIDE_YOY} from changes group by filer, tax_year)
 select * from r join w using (filer, tax_year)""",
-    "merge_replace": f"""with {_RETURNS},
+    "merge_replace": f"""with {RETURNS},
 fresh as (select filer, tax_year, db_col, value + 1 as value from returns where tax_year >= 1997 and db_col <> 'f_d_7')
 select * from fresh union all select * from returns r
 where not exists (select 1 from fresh n where n.filer = r.filer and n.tax_year = r.tax_year)""",
-    "analysis_report": f"""with {_RETURNS}, {_GAP}
+    "analysis_report": f"""with {RETURNS}, {_GAP}
 select c.filer, c.db_col, '[' || f.form || ':' || f.line || '] ' || f.description as label, """
     + ", ".join(f"max(case when c.tax_year = {y} then yoy_pct end) as y{y}" for y in YEARS)
     + " from changes c join fields f on f.filer = c.filer and f.db_col = c.db_col group by 1, 2, 3",

@@ -1,6 +1,7 @@
 """Stored output of the version control tool and stored API answers, one file per repository.
 
-The repository is the file name without its ending, so names may hold dots.
+The repository is the file name without its ending, so names may hold dots; files in folders ``repo=<name>``,
+as Spark writes them, belong to the repository of the folder.
 """
 
 from __future__ import annotations
@@ -14,7 +15,9 @@ from recordloom.functions.text import strip
 
 
 def _repo() -> Column:
-    return F.regexp_extract(F.col("_metadata.file_name"), r"^(.+?)(\.[^.]*)?$", 1).alias("repo")
+    file = F.regexp_extract(F.col("_metadata.file_name"), r"^(.+?)(\.[^.]*)?$", 1)
+    folder = F.url_decode(F.regexp_extract(F.col("_metadata.file_path"), r"/repo=([^/]+)/[^/]+$", 1))
+    return F.when(folder != "", folder).otherwise(file).alias("repo")
 
 
 def _lines(spark: SparkSession, path: str | Sequence[str], name: str) -> DataFrame:

@@ -73,6 +73,48 @@ def test_given_schema_and_namespace(spark, tmp_path):
     assert [(r.subject.rsplit("/", 1)[-1], *r[1:]) for r in rows] == [("n.xml", "1", "")]
 
 
+def test_owners_with_one_file_name_keep_apart(spark, tmp_path):
+    run = '<Workout startDate="2024-01-01 10:00:00" endDate="2024-01-01 11:00:00"/>'
+    record = '<Record type="{}" startDate="{}" endDate="{}"><MetadataEntry key="a" value="1"/>{}</Record>'
+    two = '<MetadataEntry key="b" value="2"/>'
+    inside, outside = ("2024-01-01 10:05:00", "2024-01-01 10:06:00"), ("2024-01-03 10:05:00", "2024-01-03 10:06:00")
+    files = {
+        "c": f"""<HealthData
+ locale="x">
+{run}
+{record.format("HR", *inside, two)}
+<Correlation device="cuff" startDate="2024-01-01 10:05:00" endDate="2024-01-01 10:06:00">
+ {record.format("Sys", *inside, "")}
+ {run}
+</Correlation>
+</HealthData>""",
+        "d": f"""<HealthData locale="y">
+<Workout startDate="2024-01-03 10:00:00" endDate="2024-01-03 11:00:00"/>
+{record.format("HR", *inside, two)}
+{record.format("Steps", *outside, "")}
+</HealthData>""",
+    }
+    for name, text in files.items():
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "export.xml").write_text(text)
+    path = [str(tmp_path / name / "export.xml") for name in files]
+    kept, _ = extract(spark, path)
+    assert sorted((r.subject.split("/")[-2], r._type) for r in kept["Record"].collect()) == [("c", "HR"), ("d", "Steps")]
+    assert sorted(r.subject.split("/")[-2] for r in kept["Workout"].collect()) == ["c", "d"]
+    write_extract(spark, path, str(tmp_path / "out"))
+    owners = {r.folder: (r.subject.split("/")[-2], r.attributes) for r in spark.read.parquet(str(tmp_path / "out" / "owners")).collect()}
+    back = scan_elements(spark, str(tmp_path / "out" / "Record"), "Record").collect()
+    assert sorted((*owners[r.subject], r._type) for r in back) == [("c", 'locale="x"', "HR"), ("d", 'locale="y"', "Steps")]
+    for folder, (_, attributes) in owners.items():
+        assert root_attributes(spark, str(tmp_path / "out" / "Record" / f"subject={folder}")) == attributes
+
+
+def test_records_without_dates_or_type(spark, tmp_path):
+    run = '<Workout startDate="2024-01-01 10:00:00" endDate="2024-01-01 11:00:00"/>'
+    (tmp_path / "e.xml").write_text(f'<HealthData>\n{run}\n<Record startDate="2024-01-01 10:00:00"/>\n</HealthData>')
+    assert extract(spark, str(tmp_path / "e.xml"), force_types=["HR"])[0]["Record"].count() == 0
+
+
 def test_counts(spark):
     df = spark.createDataFrame([("a",), ("a",), ("b",)], "kind string")
     assert {r.kind: r.n for r in element_counts(df).collect()} == {"a": 2, "b": 1}

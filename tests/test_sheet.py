@@ -128,3 +128,12 @@ def test_reports(spark, tmp_path):
     assert grid["[1040:24] Total tax"] == (None, pytest.approx(-102.5), pytest.approx(6100.0))
     metrics = {r.metric: r["2021"] for r in S.ratio_report(returns, [2021]).collect()}
     assert metrics["Effective tax rate"] == 20.0
+
+
+def test_sheets_of_orders_have_the_years_and_priorities_of_the_orders(spark):
+    from recordloom.queries.sheet import sheet_of
+
+    rows = [(1, "1-URGENT", "O", "1980-01-01", 50000.0), (1, "9-OTHER", "X", "2030-01-01", 60000.0)]
+    orders = spark.createDataFrame(rows, "o_custkey long, o_orderpriority string, o_orderstatus string, o_orderdate string, o_totalprice double")
+    found = S.unpivot_sheet(S.sheet_rows(sheet_of(orders), ["filer"]), ["filer"]).filter("value is not null").collect()
+    assert sorted((r.tax_year, r.db_col, r.value) for r in found) == [(1980, "f_1040_15", 50000.0), (2030, "f_9_other_x", 60000.0)]
