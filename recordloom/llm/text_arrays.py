@@ -28,13 +28,13 @@ _powers = (np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64))
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     global _powers
     if len(_powers[0]) < n:
-        size = 1 << max(16, (n - 1).bit_length())
+        size = -(-n // (1 << 20)) << 20  # whole megabytes, not doubled: 16 bytes each
         with np.errstate(over="ignore"):
             made = []
             for base in (_P, _P_INVERSE):
                 powers = np.full(size, base, dtype=np.uint64)
                 powers[0] = 1
-                made.append(np.multiply.accumulate(powers))
+                made.append(np.multiply.accumulate(powers, out=powers))
         _powers = (made[0], made[1])
     return _powers
 
@@ -104,8 +104,12 @@ class Pack:
         powers, inverse = _power_tables(len(self.data) + 1)
         with np.errstate(over="ignore"):
             if self._sums is None:
+                # In place: a pack of a bucket has millions of bytes, each eight here.
                 sums = np.zeros(len(self.data) + 1, dtype=np.uint64)
-                np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * powers[: len(self.data)], out=sums[1:])
+                sums[1:] = self.data
+                sums[1:] += np.uint64(1)
+                sums[1:] *= powers[: len(self.data)]
+                np.add.accumulate(sums[1:], out=sums[1:])
                 self._sums = sums
             return scramble((self._sums[end] - self._sums[begin]) * inverse[begin])
 
