@@ -24,9 +24,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType
 
 from recordloom.operators.shared import saved
 
@@ -230,10 +230,11 @@ def _held_account(
     bucket = _bucket(by)
     totals = buckets.select(*bucket, "_all_pos", "_all_neg", F.least("_all_pos", "_all_neg").alias("_pairs_n"))
     numbered = saved(_numbered(rows, splitting, totals.select(*bucket, "_pairs_n"), by))
-    pairs = _pairs(numbered, bucket, chunk)
-    ends = _fold(_chunks(pairs.filter(F.col("_pairs_n") <= chunk), bucket), _start()).select(*bucket, "_end.*")
+    pairs = _pairs(numbered, bucket)
+    short = _chunks(pairs.filter(F.col("_pairs_n") <= chunk), bucket)
+    ends = _fold(short, rows.schema["account_id"].dataType).select(*bucket, "_end.*")
     if not totals.filter(F.col("_pairs_n") > chunk).isEmpty():
-        ends = ends.unionByName(_fold_long(pairs.filter(F.col("_pairs_n") > chunk), bucket))
+        ends = ends.unionByName(_fold_long(pairs.filter(F.col("_pairs_n") > chunk), bucket, chunk))
 
     # Rows of each account, and how many of them are among the pairs.
     accounts = numbered.groupBy(*bucket, F.col("account_id").alias("held")).agg(
@@ -275,8 +276,8 @@ def _numbered(rows: DataFrame, splitting: _Blocks, totals: DataFrame, by: Sequen
     )
 
 
-def _pairs(numbered: DataFrame, bucket: list[str], chunk: int) -> DataFrame:
-    """``(bucket, _pairs_n, _chunk, _i, pos, neg)``: the accounts of the i-th positive and negative."""
+def _pairs(numbered: DataFrame, bucket: list[str]) -> DataFrame:
+    """``(bucket, _pairs_n, _i, pos, neg)``: the accounts of the i-th positive and negative."""
     account = F.col("account_id")
     return (
         numbered.filter("_i < _pairs_n")
@@ -285,133 +286,191 @@ def _pairs(numbered: DataFrame, bucket: list[str], chunk: int) -> DataFrame:
             F.max(F.when(F.col("_sign") > 0, account)).alias("pos"),
             F.max(F.when(F.col("_sign") < 0, account)).alias("neg"),
         )
-        .withColumn("_chunk", F.call_function("div", F.col("_i"), F.lit(chunk).cast("long")))
     )
 
 
 def _chunks(pairs: DataFrame, bucket: list[str]) -> DataFrame:
-    """One row per chunk with its pairs in order; a chunk has a fixed largest size."""
+    """One row per bucket of at most one chunk, with its pairs in order."""
     ordered = F.sort_array(F.collect_list(F.struct("_i", "pos", "neg")))
-    return pairs.groupBy(*bucket, "_chunk").agg(ordered.alias("_pairs"))
+    return pairs.groupBy(*bucket).agg(ordered.alias("_pairs"))
 
 
-def _state(held: Column, count: Column) -> Column:
-    return F.struct(held.cast("string").alias("held"), count.cast("long").alias("count"))
+def _fold(chunks: DataFrame, kind: DataType) -> DataFrame:
+    """Adds ``_end``: the state after the pairs of each bucket (the rule in the module text)."""
 
+    def state(held: Column, count: Column) -> Column:
+        return F.struct(held.cast(kind).alias("held"), count.cast("long").alias("count"))
 
-def _start() -> Column:
-    return _state(F.lit(None), F.lit(0))
-
-
-def _fold(chunks: DataFrame, start: Column) -> DataFrame:
-    """Adds ``_end``: the state after the pairs of each chunk (the rule in the module text)."""
-
-    def step(state: Column, pair: Column) -> Column:
-        held, count, pos, neg = state["held"], state["count"], pair["pos"], pair["neg"]
+    def step(before: Column, pair: Column) -> Column:
+        held, count, pos, neg = before["held"], before["count"], pair["pos"], pair["neg"]
         grown = count + (pos == held).cast("long") + (neg == held).cast("long") - 1
         free = count == 0
         count_after = F.when(free, (pos == neg).cast("long")).otherwise(grown)
         held_after = F.when(free & (pos == neg), pos).when(~free & (grown > 0), held)
-        return _state(held_after, count_after)
+        return state(held_after, count_after)
 
-    return chunks.withColumn("_end", F.aggregate("_pairs", start, step)).drop("_pairs")
+    return chunks.withColumn("_end", F.aggregate("_pairs", state(F.lit(None), F.lit(0)), step)).drop("_pairs")
 
 
 # ---- buckets of many chunks
 #
-# The state at the end of a chunk depends on the state it starts with. Two things are worked out for
-# all chunks side by side: the end when starting free, and for accounts with a large share of the
-# chunk how far their count would sink and change. A count that is larger than it can sink just
-# changes by that amount. Only short summaries are then walked through in order. Where a chunk is
-# met in a state not worked out yet, that state is noted, the walk goes on with a guess, and the
-# noted states are worked out side by side in the next round; this ends when no guess was needed.
+# Take "free after t pairs" as a place t. From a place whose next pair is of two accounts the state is free
+# one pair later. If both are account s, the level of s, its rows so far less the pairs so far, rises by
+# one with that pair, and the state is free again when the level is first back. Levels change by one at
+# most, so the return is the next fall from the level reached, and rises and falls of one account and level
+# take turns. Falls where s is absent need rows of their own, but only those that end a rise: never more
+# than there are rises. So every place has one place it leads to, or is where the state ends, and the end
+# of place 0 is found by doubling the steps: log2(pairs) rounds of joins, whatever the accounts are.
+# Nothing is walked in order, and all windows are inside one chunk of places or over one figure per chunk.
+
+
+def _fold_long(pairs: DataFrame, bucket: list[str], chunk: int) -> DataFrame:
+    """``(bucket, held, count)``: the state after all pairs of each bucket."""
+    pairs = saved(pairs.select(*bucket, "_pairs_n", (F.col("_i") + 1).alias("_at"), "pos", "neg"))
+    levels = saved(_levels(pairs, bucket, chunk))
+    rises = _returns(levels, bucket, chunk)
+    kind = pairs.schema["pos"].dataType
+    nothing, zero = F.lit(None).cast(kind), F.lit(0).cast("long")
+    # Places before a pair of two accounts lead to the next rise of their chunk, or to the end of the chunk.
+    later = Window.partitionBy(*bucket, "_chunk").orderBy("_at").rowsBetween(1, Window.unboundedFollowing)
+    before_rise = F.when(F.col("pos") == F.col("neg"), F.col("_at") - 1)
+    passed = (
+        pairs.withColumn("_chunk", _chunk_of("_at", chunk))
+        .withColumn("_to", F.coalesce(F.min(before_rise).over(later), F.max("_at").over(later), "_at"))
+        .filter(before_rise.isNull())
+        .select(*bucket, (F.col("_at") - 1).alias("_place"), "_to", nothing.alias("held"), zero.alias("count"))
+    )
+    last = pairs.filter("_at = _pairs_n").select(
+        *bucket, F.col("_pairs_n").alias("_place"), F.lit(None).cast("long").alias("_to"),
+        nothing.alias("held"), zero.alias("count"),
+    )
+    places = saved(passed.unionByName(rises).unionByName(last))
+    return _end_of_first(places, bucket, pairs)
 
 
-def _fold_long(pairs: DataFrame, bucket: list[str]) -> DataFrame:
-    # Accounts are only compared, so inside they are texts, whatever their type.
-    kind = pairs.schema["pos"].dataType
-    pairs = saved(pairs.withColumns({side: F.col(side).cast("string") for side in ("pos", "neg")}))
-    chunks = saved(_chunks(pairs, bucket))
-    heavy = saved(_heavy(pairs, bucket))
-    where = [*bucket, "_chunk"]
-
-    def worked_out(asked: DataFrame) -> DataFrame:
-        ends = _fold(asked.join(chunks, where), _state(F.col("held"), F.col("count")))
-        return ends.select(
-            *where, "held", "count", F.col("_end.held").alias("end_held"), F.col("_end.count").alias("end_count")
-        )
+def _chunk_of(at: str, chunk: int) -> Column:
+    return F.call_function("div", F.col(at), F.lit(chunk).cast("long"))
 
-    free = chunks.select(*where, F.lit(None).cast("string").alias("held"), F.lit(0).cast("long").alias("count"))
-    known = saved(worked_out(free))
-    while True:
-        walked = saved(_walk(known, heavy, bucket))
-        asked = walked.filter("not final").drop("final")
-        if asked.isEmpty():
-            return walked.select(*bucket, F.col("held").cast(kind).alias("held"), "count")
-        known = saved(known.unionByName(worked_out(asked)))
-
-
-def _heavy(pairs: DataFrame, bucket: list[str]) -> DataFrame:
-    """Per chunk and account with an eighth of its places: how the count changes and sinks."""
-    where = [*bucket, "_chunk"]
-    places = pairs.select(*where, "_i", F.explode(F.array("pos", "neg")).alias("held"))
-    # Places of one account in one pair are taken together: one row per pair it is in.
-    per_pair = places.groupBy(*where, "held", "_i").agg(F.count("*").alias("_here"))
-    length = pairs.groupBy(*where).agg(F.count("*").alias("_length"), F.min("_i").alias("_first"))
-    before = Window.partitionBy(*where, "held").orderBy("_i").rowsBetween(Window.unboundedPreceding, -1)
-    sunk = (
-        per_pair.join(length, where)
-        .withColumn("_met", F.coalesce(F.sum("_here").over(before), F.lit(0)))
-        .groupBy(*where, "held", "_length")
-        .agg(
-            F.max(F.col("_i") - F.col("_first") - F.col("_met")).alias("_sunk"),
-            F.sum("_here").alias("_all"),
-        )
-        .filter("_all * 4 >= _length")
+
+def _levels(pairs: DataFrame, bucket: list[str], chunk: int) -> DataFrame:
+    """Per account and pair it is in: its level after the pair, and the falls after it that end a rise.
+
+    ``_falls`` are those up to the account's next pair; ``_final`` is its level after all pairs.
+    """
+    both = F.col("pos") == F.col("neg")
+    one, two = F.lit(1).cast("long"), F.lit(2).cast("long")
+    found = F.when(both, F.array(F.struct(F.col("pos").alias("held"), two.alias("_here")))).otherwise(
+        F.array(*[F.struct(F.col(side).alias("held"), one.alias("_here")) for side in ("pos", "neg")])
+    )
+    account, at = [*bucket, "held"], F.col("_at")
+    in_chunk = Window.partitionBy(*account, "_chunk").orderBy("_at")
+    upto = in_chunk.rowsBetween(Window.unboundedPreceding, 0)
+    rows = (
+        pairs.select(*bucket, "_pairs_n", "_at", F.inline(found))
+        .withColumn("_chunk", _chunk_of("_at", chunk))
+        .withColumn("_met", F.sum("_here").over(upto))
+        # The level just before the pair, the lowest since the account's pair before it.
+        .withColumn("_dip", F.col("_met") - F.col("_here") - at + 1)
+        .withColumn("_low", F.min("_dip").over(upto))
+        .withColumn("_next", F.lead("_at").over(in_chunk))
     )
-    change = F.col("_all") - F.col("_length")
-    return sunk.select(
-        *where, "held", change.alias("change"), F.greatest(F.col("_sunk"), -change, F.lit(0)).alias("sink")
+    before = Window.partitionBy(*account).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(*account)
+    zero = F.lit(0).cast("long")
+    chunks = (
+        rows.groupBy(*account, "_chunk")
+        .agg(F.sum("_here").alias("_all"), F.min("_dip").alias("_lowest"), F.min("_at").alias("_first"))
+        .withColumn("_met_before", F.coalesce(F.sum("_all").over(before), zero))
+        .withColumn("_total", F.sum("_all").over(whole))
+        .withColumn("_low_before", F.least(F.min(F.col("_lowest") + F.col("_met_before")).over(before), zero))
+        .withColumn("_next_first", F.lead("_first").over(Window.partitionBy(*account).orderBy("_chunk")))
+        .select(*account, "_chunk", "_met_before", "_total", "_low_before", "_next_first")
+    )
+    level = F.col("_met_before") + F.col("_met") - at
+    low = F.least(F.col("_low") + F.col("_met_before"), F.coalesce("_low_before", zero), zero)
+    absent = F.coalesce("_next", "_next_first", F.col("_pairs_n") + 1) - at - 1
+    return rows.join(chunks, [*account, "_chunk"]).select(
+        *account,
+        "_at",
+        (F.col("_here") == 2).alias("_rise"),
+        level.alias("_level"),
+        F.least(absent, level - low).alias("_falls"),
+        (F.col("_total") - F.col("_pairs_n")).alias("_final"),
     )
 
 
-def _walk(known: DataFrame, heavy: DataFrame, bucket: list[str]) -> DataFrame:
-    """Walks each bucket's chunk summaries in order; returns its last state, or the states to work out."""
-    nothing = F.lit(None).cast("long")
-    lines = known.withColumns({"change": nothing, "sink": nothing}).unionByName(
-        heavy, allowMissingColumns=True
+def _returns(levels: DataFrame, bucket: list[str], chunk: int) -> DataFrame:
+    """Per rise the place it leads to, or, where its level is never left again, the state at the end."""
+    key = [*bucket, "held", "_level"]
+    none = F.lit(None).cast("long")
+    rises = levels.filter("_rise").select(*key, "_at", F.lit(True).alias("_rise"), "_final")
+    steps = F.lit(chunk).cast("long")
+    # A long stretch of falls is written out by several tasks.
+    parts = (
+        levels.filter("_falls > 0")
+        .select(*key, "_at", "_falls", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_falls") - 1, steps)).alias("_from"))
+        .repartition(*key, "_at", "_from")
+    )
+    upto = F.least(F.col("_from") + steps, F.col("_falls")) - 1
+    falls = parts.select(*key, "_at", F.explode(F.sequence("_from", upto)).alias("_k")).select(
+        *bucket,
+        "held",
+        (F.col("_level") - F.col("_k")).alias("_level"),
+        (F.col("_at") + F.col("_k") + 1).alias("_at"),
+        F.lit(False).alias("_rise"),
+        none.alias("_final"),
+    )
+    both = rises.unionByName(falls).withColumn("_chunk", _chunk_of("_at", chunk))
+    in_chunk = Window.partitionBy(*key, "_chunk").orderBy("_at")
+    turns = both.withColumn("_to", F.lead("_at").over(in_chunk)).filter("_rise")
+    firsts = both.groupBy(*key, "_chunk").agg(F.min("_at").alias("_first"))
+    after = firsts.select(
+        *key, "_chunk", F.lead("_first").over(Window.partitionBy(*key).orderBy("_chunk")).alias("_later")
     )
-    keys = [lines.schema[c] for c in bucket]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keys)
-    schema += ", _chunk long, held string, count long, final boolean"
-    width = len(bucket)
-
-    def walk(key, lines):
-        ends, slopes = {}, {}
-        for chunk, held, count, end_held, end_count, change, sink in lines[
-            ["_chunk", "held", "count", "end_held", "end_count", "change", "sink"]
-        ].itertuples(index=False):
-            if change == change and change is not None:
-                slopes[chunk, held] = (int(change), int(sink))
-            else:
-                held = held if isinstance(held, str) else None
-                end_held = end_held if isinstance(end_held, str) else None
-                ends[chunk, held, int(count)] = (end_held, int(end_count))
-        state, asked, chunk = (None, 0), [], 0
-        for chunk in sorted({c for c, _, _ in ends}):
-            held, count = state
-            change, sink = slopes.get((chunk, held), (0, count))
-            if count > sink:
-                state = (held, count + change)
-            elif (chunk, held, count) in ends:
-                state = ends[chunk, held, count]
-            else:
-                asked.append((chunk, held, count, False))
-                state = ends[chunk, None, 0]
-        out = asked or [(chunk, *state, True)]
-        frame = pd.DataFrame(out, columns=["_chunk", "held", "count", "final"])
-        for place in range(width):
-            frame.insert(place, bucket[place], key[place])
-        return frame
-
-    return lines.groupBy(*bucket).applyInPandas(walk, schema)
+    to = F.coalesce("_to", "_later")
+    ended = to.isNull()
+    return turns.join(after, [*key, "_chunk"]).select(
+        *bucket,
+        (F.col("_at") - 1).alias("_place"),
+        to.alias("_to"),
+        F.when(ended, F.col("held")).alias("held"),
+        F.when(ended, F.col("_final") - F.col("_level") + 1).otherwise(F.lit(0)).alias("count"),
+    )
+
+
+def _end_of_first(places: DataFrame, bucket: list[str], pairs: DataFrame) -> DataFrame:
+    """The state at the end of the way that starts at place 0.
+
+    Each round doubles the way of every step. Only places that some step leads to can be met again, so
+    the others are left out, and so are steps whose way has ended.
+    """
+    longest = pairs.agg(F.max("_pairs_n")).first()[0]
+    # A place that leads nowhere is an end; a step that reaches one is done.
+    ends = places.filter("_to is null").select(*bucket, F.col("_place").alias("_end"), "held", "count")
+    marks = ends.select(*bucket, F.col("_end").alias("_to"), F.lit(True).alias("_done"))
+    led = places.filter("_to is not null").select(*bucket, "_place", "_to")
+    steps = led.join(marks, [*bucket, "_to"], "left").withColumn("_done", F.coalesce("_done", F.lit(False)))
+    ways = saved(steps.select(*bucket, "_place", "_to", "_done"))
+    for _ in range(rounds(longest)):
+        if ways.filter("_place = 0 and not _done").isEmpty():
+            break
+        met = ways.filter("not _done").select(*bucket, F.col("_to").alias("_place")).distinct()
+        first = ways.filter("_place = 0")
+        needed = first.unionByName(ways.filter("_place <> 0").join(met, [*bucket, "_place"], "left_semi"))
+        after = needed.select(
+            *bucket, F.col("_place").alias("_to"), F.col("_to").alias("_farther"), F.col("_done").alias("_there")
+        )
+        doubled = (
+            needed.filter("not _done")
+            .join(after, [*bucket, "_to"])
+            .select(*bucket, "_place", F.col("_farther").alias("_to"), F.col("_there").alias("_done"))
+        )
+        ways = saved(doubled.unionByName(needed.filter("_done")))
+    first = ways.filter("_place = 0").select(*bucket, F.col("_to").alias("_end"))
+    own = ends.filter("_end = 0").select(*bucket, "_end")
+    return first.unionByName(own).join(ends, [*bucket, "_end"]).select(*bucket, "held", "count")
+
+
+def rounds(pairs: int) -> int:
+    """Most rounds that a bucket of so many pairs takes: a way has at most one step per pair."""
+    return max(1, int(pairs).bit_length())

@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from recordloom.operators.transfers import cancel_transfers
+from recordloom.operators.transfers import cancel_transfers, rounds
 
 COLUMNS = "owner string, ord long, date string, amount double, account_id string"
 
@@ -104,3 +104,13 @@ def test_long_buckets_end_for_any_type_of_account(spark, kind):
     short = sorted(r.ord for r in cancel_transfers(df).collect())
     long = sorted(r.ord for r in cancel_transfers(df, block=64, chunk=16).collect())
     assert short == long and 300 in short
+
+
+def test_rounds_are_bounded():
+    assert [rounds(n) for n in (1, 2, 3, 1000, 2**40)] == [1, 2, 2, 10, 41]
+
+
+def test_no_python_where_buckets_are_long(spark):
+    df = spark.createDataFrame(sample(3, 3, 200), COLUMNS)
+    plan = cancel_transfers(df, block=16, chunk=4)._jdf.queryExecution().toString()
+    assert "Python" not in plan and "FlatMapGroups" not in plan
