@@ -24,8 +24,8 @@ BLOCK_CHARS = 13
 LARGE_OWNER = 1 << 20
 # Equal records that one task writes out.
 MANY_COPIES = 1 << 16
-# Records of one (owner, block) beyond which they are joined without being brought together.
-LARGE_BLOCK = 1 << 20
+# Lengths of the prefixes the largest end is carried over: day, hour, second.
+LEVELS = (10, 13, 19)
 
 
 def _block_of(text: Column, chars: int) -> Column:
@@ -121,64 +121,53 @@ def interval_overlap(
     by: Sequence[str] = (),
     start: str = "start",
     end: str = "end",
-    block_chars: int = BLOCK_CHARS,
-    large_block: int = LARGE_BLOCK,
+    levels: Sequence[int] = LEVELS,
 ) -> DataFrame:
     """Records that overlap one of the merged windows ``(by, start, end)``; those without dates do not.
 
-    A record overlaps exactly when, among the windows that start no later than it ends, one ends no
-    earlier than it starts. Windows starting in earlier blocks than the record's end all start early
-    enough, so of them the largest end suffices; only those of the same block are looked at singly.
-    Each record is therefore needed in one block only, however long it is. The table of blocks where
-    an overlap is possible is computed first and saved. It is about as small as the windows, and as its
-    real size is then known, Spark sends it to the records where it is small enough, which are then not
-    shuffled at all.
+    A record overlaps exactly when, of the windows that start no later than it ends, the largest end is no
+    earlier than its start. So only the different ends of records are put among the starts of windows, and
+    the largest end of a window is carried along, first over prefixes of the texts and then inside the
+    longest prefix (``levels``). The ends where an overlap is possible are saved; as their real size is
+    then known, Spark sends them to the records where they are small enough, which are then not shuffled.
     """
-    key = [*by, "_block"]
-    dated = records.withColumn("_block", _block_of(F.col(end), block_chars)).filter(
-        F.col(start).isNotNull() & F.col(end).isNotNull()
-    )
-    per_block = dated.groupBy(*key).agg(F.count("*").alias("_n"), F.min(start).alias("_first"))
-    in_block = (
-        windows.select(*by, F.col("start").alias("_from"), F.col("end").alias("_to"))
-        .withColumn("_block", _block_of(F.col("_from"), block_chars))
-        .groupBy(*key)
-        .agg(F.max("_to").alias("_block_end"), F.collect_list(F.struct("_from", "_to")).alias("_windows"))
-    )
-    earlier = Window.partitionBy(*by).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = saved(
-        per_block.join(in_block, key, "full")
-        .withColumn("_reached", F.max("_block_end").over(earlier))
-        # Blocks without windows, and after the end of all earlier ones, hold no overlapping record.
-        .withColumn("_possible", F.col("_windows").isNotNull() | (F.col("_reached") >= F.col("_first")))
-        .filter((F.col("_n").isNotNull() & F.col("_possible")) | (F.col("_n") > large_block))
-        .select(*key, "_n", "_reached", "_windows")
+    dated = records.filter(F.col(start).isNotNull() & F.col(end).isNotNull())
+    ends = dated.groupBy(*by, F.col(end).alias("_at")).agg(F.min(start).alias("_first"))
+    starts = windows.groupBy(*by, F.col("start").alias("_at")).agg(F.max("end").alias("_to"))
+    points = ends.join(starts, [*by, "_at"], "full")
+    reached = _largest_so_far(points, by, levels).filter("_first <= _reached")
+    kept = saved(reached.select(*by, F.col("_at").alias("_end"), "_reached"))
+    met = (F.col(f"r.{end}") == F.col("k._end")) & (F.col(f"r.{start}") <= F.col("k._reached"))
+    for name in by:
+        met = met & (F.col(f"r.{name}") == F.col(f"k.{name}"))
+    return dated.alias("r").join(kept.alias("k"), met, "left_semi")
+
+
+def _largest_so_far(points: DataFrame, by: Sequence[str], levels: Sequence[int]) -> DataFrame:
+    """Points with ``_reached``, the largest ``_to`` of their owner up to and with their own ``_at``.
+
+    A prefix of a text sorts as the text does. The largest ``_to`` of each prefix is carried over the
+    prefixes that share the next shorter one, so a task gets the days of a month, the hours of a day and
+    so on, and never the points of a whole owner.
+    """
+    names = [f"_p{chars}" for chars in levels]
+    rows = points.withColumns({name: F.substring("_at", 1, chars) for name, chars in zip(names, levels)})
+    finest = rows.groupBy(*by, *names).agg(F.max("_to").alias("_to"))
+    earlier = finest.select(*by, *names)
+    for depth, name in enumerate(names):
+        key = [*by, *names[:depth]]
+        before = Window.partitionBy(*key).orderBy(name).rowsBetween(Window.unboundedPreceding, -1)
+        level = finest.groupBy(*key, name).agg(F.max("_to").alias("_to"))
+        carried = level.select(*key, name, F.max("_to").over(before).alias(f"_before{depth}"))
+        earlier = earlier.join(carried, [*key, name])
+    inside = Window.partitionBy(*by, *names).orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
+    carried = [F.col(f"_before{depth}") for depth in range(len(names))]
+    return (
+        rows.withColumn("_own", F.max("_to").over(inside))
+        .join(earlier, [*by, *names])
+        .withColumn("_reached", F.greatest("_own", *carried))
     )
 
-    def meets(record: str, block: str) -> Column:
-        begins, ends = F.col(f"{record}.{start}"), F.col(f"{record}.{end}")
-        one = F.exists(f"{block}._windows", lambda w: (w["_from"] <= ends) & (w["_to"] >= begins))
-        return F.coalesce(F.col(f"{block}._reached") >= begins, F.lit(False)) | F.coalesce(one, F.lit(False))
-
-    def same(record: str, block: str) -> Column:
-        match = F.col(f"{record}._block") == F.col(f"{block}._block")
-        for name in by:
-            match = match & (F.col(f"{record}.{name}") == F.col(f"{block}.{name}"))
-        return match
-
-    def joined(rows: DataFrame, blocks: DataFrame) -> DataFrame:
-        met = same("r", "b") & meets("r", "b")
-        return rows.alias("r").join(blocks.alias("b"), met, "left_semi").drop("_block")
-
-    usual, large = (blocks.filter(condition) for condition in (F.col("_n") <= large_block, F.col("_n") > large_block))
-    if large.isEmpty():
-        return joined(dated, usual)
-    # There are at most (all records / large_block) large blocks, each with the windows of one block,
-    # so they may be broadcast and their records stay where they are.
-    large = F.broadcast(large)
-    others = dated.alias("r").join(large.alias("b"), same("r", "b"), "left_anti")
-    return joined(others, usual).unionByName(joined(dated, large))
-
 
 def keep_records(
     records: DataFrame,

@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from recordloom.operators.intervals import interval_overlap, keep_records, merge_intervals, top_level
 
@@ -68,15 +69,15 @@ def test_merge_keeps_owners_apart(spark, large):
         assert sorted(found[o]) == fold([(s, e) for w, s, e in rows if w == o])
 
 
-@pytest.mark.parametrize("large", [1 << 20, 2])
-@pytest.mark.parametrize("seed,chars", [(5, 13), (6, 10)])
-def test_overlap_equals_the_rule(spark, seed, chars, large):
+@pytest.mark.parametrize("levels", [(10, 13, 19), (10,), (4, 7, 10, 13, 16, 19)])
+@pytest.mark.parametrize("seed", [5, 6])
+def test_overlap_equals_the_rule(spark, seed, levels):
     windows = fold(sample(seed, 40, 20_000))
     records = [(i, *w) for i, w in enumerate(sample(seed + 50, 500, 25_000))]
     records += [(1000, None, minute(5)), (1001, minute(5), None), (1002, "", minute(9)), (1003, minute(1), minute(40_000))]
     w = spark.createDataFrame(windows, "start string, end string")
     r = spark.createDataFrame(records, "id int, start string, end string")
-    found = sorted(x.id for x in interval_overlap(r, w, block_chars=chars, large_block=large).collect())
+    found = sorted(x.id for x in interval_overlap(r, w, levels=levels).collect())
     assert found == sorted(i for i, s, e in records if overlaps(windows, s, e))
 
 
@@ -86,6 +87,17 @@ def test_overlap_documented_cases(spark):
     assert sorted(x.id for x in interval_overlap(r, w).collect()) == [1, 2, 4]
 
 
+def test_many_windows_in_one_hour(spark):
+    n = 100_000
+    at = F.concat(F.lit("2024-01-01 10:"), F.format_string("%02d:%09.6f", (F.col("id") * 30_000 / 6e7).cast("int"), (F.col("id") * 30_000 % 60_000_000) / 1e6))
+    points = spark.range(n).select("id", at.alias("start"))
+    windows = points.filter("id % 3 = 0").select("start", F.col("start").alias("end"))
+    records = points.withColumn("end", F.col("start"))
+    kept = interval_overlap(records, windows)
+    assert kept.count() == kept.filter("id % 3 = 0").count() == windows.count()
+    assert "NestedLoop" not in kept._jdf.queryExecution().toString()
+
+
 def test_forced_types(spark):
     w = spark.createDataFrame([("1", "3")], "start string, end string")
     r = spark.createDataFrame(
