@@ -81,9 +81,13 @@ def import_ledgers(
     paths: Sequence[str],
     store: str,
     owner_of: Callable[[str], str] | None = None,
+    multi_line: bool = True,
 ) -> tuple[DataFrame | None, DataFrame]:
-    """Imports CSV files into a store; returns the counts (None without any row) and the file report."""
-    scan = scan_ledgers(spark, paths, owner_of)
+    """Imports CSV files into a store; returns the counts (None without any row) and the file report.
+
+    With ``multi_line=False``, for files without line breaks in cells, large files are read in pieces.
+    """
+    scan = scan_ledgers(spark, paths, owner_of, multi_line)
     batch = saved(scan.transactions)  # the files are parsed once
     report = file_counts(batch, scan.rejected)
     if batch.isEmpty():

@@ -31,7 +31,11 @@ def field_list(rows: DataFrame) -> list[str]:
 
 
 def import_sheets(
-    spark: SparkSession, paths: Sequence[str], store: str, filer_of: Callable[[str], str] | None = None
+    spark: SparkSession,
+    paths: Sequence[str],
+    store: str,
+    filer_of: Callable[[str], str] | None = None,
+    multi_line: bool = True,
 ) -> DataFrame:
     """Imports sheets; the years they have replace the stored years of their filer. Returns the rejected.
 
@@ -46,14 +50,15 @@ def import_sheets(
         if turn == len(turns):
             turns.append([])
         turns[turn].append(path)
-    rejected = [_import_together(spark, together, store, filer_of) for together in turns]
+    # No path at all is one empty turn.
+    rejected = [_import_together(spark, together, store, filer_of, multi_line) for together in turns or [[]]]
     return reduce(DataFrame.unionByName, rejected)
 
 
 def _import_together(
-    spark: SparkSession, paths: Sequence[str], store: str, filer_of: Callable[[str], str] | None
+    spark: SparkSession, paths: Sequence[str], store: str, filer_of: Callable[[str], str] | None, multi_line: bool
 ) -> DataFrame:
-    scan = scan_sheets(spark, paths, filer_of)
+    scan = scan_sheets(spark, paths, filer_of, multi_line)
     new = saved(unpivot_sheet(scan.rows, BY).withColumn("imported_at", F.current_timestamp()))
     if not new.isEmpty():
         stored = read_snapshot(spark, returns_path(store))

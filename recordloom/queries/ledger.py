@@ -131,6 +131,50 @@ def cancel(accounts: int):
     return query
 
 
+def events_in_one_bucket(spark: SparkSession, folder: str) -> DataFrame:
+    """All events on one day with one amount, four sixths of the users on the first of three accounts."""
+    events = table(spark, folder, "events")
+    return events.select(
+        F.col("event_id").alias("ord"),
+        F.lit("2000-01-01").alias("date"),
+        F.when(F.col("event_type").isin("purchase", "error"), -1.0).otherwise(1.0).alias("amount"),
+        F.greatest(F.col("user_id") % 6 - 3, F.lit(0)).cast("long").alias("account_id"),
+    )
+
+
+def cancel_skewed(spark: SparkSession, folder: str) -> DataFrame:
+    """One bucket of all rows, split into many small blocks and chunks."""
+    return cancel_transfers(events_in_one_bucket(spark, folder), block=1024, chunk=256).select(*_KEPT)
+
+
+# Three accounts in one bucket: the rule row by row, with one queue of negatives per account and the number
+# used of each.
+_SQL_CANCELLED_SKEWED = """ledger as (
+  select event_id as ord, '2000-01-01' as date,
+    case when event_type in ('purchase', 'error') then -1.0 else 1.0 end::double as amount,
+    greatest(user_id % 6 - 3, 0)::bigint as account_id
+  from events),
+queues as (
+  select list(ord order by ord) filter (amount < 0 and account_id = 0) as q0,
+    list(ord order by ord) filter (amount < 0 and account_id = 1) as q1,
+    list(ord order by ord) filter (amount < 0 and account_id = 2) as q2,
+    list(ord order by ord) filter (amount > 0) as p,
+    list(account_id order by ord) filter (amount > 0) as a
+  from ledger),
+steps as (
+  select 0::bigint as n, 0::bigint as u0, 0::bigint as u1, 0::bigint as u2, null::bigint as positive, null::bigint as negative
+  union all
+  select n + 1, u0 + (h0 = least(h0, h1, h2) is true)::bigint, u1 + (h1 = least(h0, h1, h2) is true)::bigint,
+    u2 + (h2 = least(h0, h1, h2) is true)::bigint, case when least(h0, h1, h2) is not null then o end, least(h0, h1, h2)
+  from (
+    select n, u0, u1, u2, p[n + 1] as o, case when a[n + 1] <> 0 then q0[u0 + 1] end as h0,
+      case when a[n + 1] <> 1 then q1[u1 + 1] end as h1, case when a[n + 1] <> 2 then q2[u2 + 1] end as h2
+    from steps, queues where n < len(p))),
+gone as (
+  select positive as ord from steps where positive is not null
+  union all select negative from steps where negative is not null)"""
+
+
 def _merged(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     batch = events_as_ledger(spark, folder, 2)
     stored = first_rows(batch.filter("morning"))
@@ -246,6 +290,7 @@ QUERIES = {
     "annual_by_source": summary_of(annual_by_source),
     "cancel_transfers": cancel(2),
     "cancel_transfers_multi": cancel(3),
+    "cancel_transfers_skewed": cancel_skewed,
     "merge_ignore": merge_events,
     "import_counts": merge_event_counts,
     "import_summary": import_report,
@@ -288,6 +333,8 @@ stored as (
     "cancel_transfers": f"""with {_sql_events(2)}, {_SQL_CANCELLED_OF_TWO}
 select ord, date, amount, account_id from ledger where ord not in (select ord from gone)""",
     "cancel_transfers_multi": f"""with recursive {_sql_events(3)}, {_SQL_CANCELLED_OF_MANY}
+select ord, date, amount, account_id from ledger where ord not in (select ord from gone)""",
+    "cancel_transfers_skewed": f"""with recursive {_SQL_CANCELLED_SKEWED}
 select ord, date, amount, account_id from ledger where ord not in (select ord from gone)""",
     "merge_ignore": f"with {_sql_events(2)}, {_SQL_MERGED} select ord, date, amount, account_id, description from fresh",
     "import_counts": f"""with {_sql_events(2)}, {_SQL_MERGED}

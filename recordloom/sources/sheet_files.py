@@ -42,7 +42,10 @@ def _rows(cells: DataFrame, names: Sequence[str]) -> DataFrame:
 
 
 def scan_sheets(
-    spark: SparkSession, paths: Sequence[str], filer_of: Callable[[str], str] | None = None
+    spark: SparkSession,
+    paths: Sequence[str],
+    filer_of: Callable[[str], str] | None = None,
+    multi_line: bool = True,
 ) -> SheetScan:
     """Rows of all sheets; sheets without the columns ``Form`` and ``Line`` are listed as rejected."""
     files = find_files(spark, paths, filer_of or (lambda path: ""))
@@ -55,7 +58,7 @@ def scan_sheets(
     for header, group in by_header.items():
         names = header_names(header)
         if "Form" in names and "Line" in names:
-            parts.append(_rows(read_cells(spark, group), names))
+            parts.append(_rows(read_cells(spark, group, multi_line), names))
         else:
             rejected += [(f.path, "needs the columns 'Form' and 'Line'") for f in group]
     rows = reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], SHEET_ROWS)

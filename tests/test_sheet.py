@@ -137,3 +137,7 @@ def test_sheets_of_orders_have_the_years_and_priorities_of_the_orders(spark):
     orders = spark.createDataFrame(rows, "o_custkey long, o_orderpriority string, o_orderstatus string, o_orderdate string, o_totalprice double")
     found = S.unpivot_sheet(S.sheet_rows(sheet_of(orders), ["filer"]), ["filer"]).filter("value is not null").collect()
     assert sorted((r.tax_year, r.db_col, r.value) for r in found) == [(1980, "f_1040_15", 50000.0), (2030, "f_9_other_x", 60000.0)]
+
+
+def test_import_of_no_sheet(spark, tmp_path):
+    assert import_sheets(spark, [], str(tmp_path / "store")).isEmpty()
