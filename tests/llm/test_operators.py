@@ -412,6 +412,18 @@ def test_scores_beat_the_base_on_held_out_text(spark):
     assert sum(r.score for r in out) > sum(r.base_score for r in out)
 
 
+@pytest.mark.parametrize("frequent", [1, 1 << 18])
+def test_scores_of_long_unseen_words(make, frequent):
+    held = [i for i in range(200) if zlib.crc32(str(i).encode()) % 10 == 0][:4]
+    long = ["q7Zk" * n for n in (50, 500, 2500)]
+    docs = make(*[(i, f"some plain words {i % 9}", "en" if i % 2 else "de", "s") for i in range(200) if i not in held], *zip(held, long, "eee", "sss"))
+    out = {r.doc_id: r for r in lm_scoring.score(docs, frequent=frequent, sample=500).collect()}
+    # Every byte costs: ten times as long a word is at least some five times as unlikely.
+    scores = [out[i].score for i in held[:3]]
+    assert scores[0] < -50 and scores[1] < 5 * scores[0] and scores[2] < 3 * scores[1] and scores[2] > -float("inf")
+    assert all(out[i].bits_per_byte > 1 for i in held[:3])
+
+
 def test_scores_odd(odd, none):
     out = lm_scoring.score(odd).collect()
     assert len(out) == odd.count() and all(r.score < 0 and r.n_tokens >= 1 for r in out)
