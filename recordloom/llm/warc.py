@@ -16,7 +16,7 @@ BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 RECORDS_PER_FILE = 20_000
-#: Longest header of a record.
+#: Bytes that the end of a header is looked for in first; where they hold none, the whole piece is searched.
 HEADER_BYTES = 1 << 16
 
 
@@ -124,8 +124,10 @@ def _chain(table: pa.Table) -> pa.Table:
 
 
 def _after_blank_line(value: Column) -> Column:
-    """The byte, from 1, at which the first empty line of the value begins; 0 if none within 64 KB."""
-    return F.instr(F.decode(F.substring(value, 1, HEADER_BYTES), "ISO-8859-1"), "\r\n\r\n")
+    """The byte, from 1, at which the first empty line of the value begins; 0 if there is none."""
+    near = F.instr(F.decode(F.substring(value, 1, HEADER_BYTES), "ISO-8859-1"), "\r\n\r\n")
+    far = F.when(F.octet_length(value) > HEADER_BYTES, F.instr(F.decode(value, "ISO-8859-1"), "\r\n\r\n")).otherwise(near)
+    return F.when(near > 0, near).otherwise(far)
 
 
 def _field(header: Column, name: str) -> Column:
@@ -148,12 +150,13 @@ def read_archives(spark: SparkSession, folder: str) -> DataFrame:
     needs 16 bytes per candidate, so the longest file bounds a task's memory, not the number of files.
 
     A record in one piece is described where it is read. Only records that are cut by a magic of their own
-    have their pieces read again and joined. A file that does not start with the magic, and what follows a
-    broken record, is left out. An empty folder gives no rows.
+    have their pieces read again and joined. A file whose chain does not lead to its end, as one that does not
+    start with the magic or holds a broken record, raises. An empty folder gives no rows.
     """
     text = spark.read.option("lineSep", MAGIC).schema("value string").text(folder)
     text = text.select(
         F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_size").alias("file_size"),
         F.col("_metadata.file_block_start").alias("split"),
         F.monotonically_increasing_id().alias("line"),
         F.col("value").cast("binary").alias("value"),
@@ -165,7 +168,7 @@ def read_archives(spark: SparkSession, folder: str) -> DataFrame:
     found = found.withColumn("long", F.when(long != "", long).cast("long"))
     block = F.substring(F.col("value"), F.col("cut") + 4, F.col("long").cast("int"))
     found = found.withColumn("block", F.when((F.col("cut") > 0) & (F.col("size") - len(MAGIC) >= F.col("cut") + 3 + F.col("long")), block))
-    narrow = saved(found.select("file", "split", "line", "size", "cut", "long", "header", *_described(F.col("block"))))
+    narrow = saved(found.select("file", "file_size", "split", "line", "size", "cut", "long", "header", *_described(F.col("block"))))
     # Offsets: the pieces before it in the split, and the splits before that, each with the magic that ends it.
     inner = Window.partitionBy("file", "split").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
     outer = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
@@ -173,7 +176,7 @@ def read_archives(spark: SparkSession, folder: str) -> DataFrame:
     splits = splits.select("file", "split", F.coalesce(F.sum("_size").over(outer), F.lit(0)).alias("before"))
     within = F.coalesce(F.sum("size").over(inner), F.lit(0))
     # A piece begins after its magic; the first one of a file is what stands before the first magic.
-    pieces = narrow.select("file", "split", "line", "cut", "long", within.alias("within")).join(splits, ["file", "split"])
+    pieces = narrow.select("file", "file_size", "split", "line", "cut", "long", within.alias("within")).join(splits, ["file", "split"])
     pieces = pieces.withColumn("at", F.col("before") + F.col("within") - len(MAGIC))
     candidates = pieces.filter((F.col("at") >= 0) & (F.col("cut") > 0) & F.col("long").isNotNull())
     after = F.col("at") + len(MAGIC) + F.col("cut") + 3 + F.col("long") + 4
@@ -181,9 +184,14 @@ def read_archives(spark: SparkSession, folder: str) -> DataFrame:
     starts = candidates.groupBy("_file").applyInArrow(_chain, "_file string, _start long, _next long")
     starts = saved(
         pieces.join(starts, (F.col("file") == F.col("_file")) & (F.col("at") == F.col("_start")), "left").select(
-            "file", "line", "at", F.col("_start").alias("start"), F.col("_next").alias("next")
+            "file", "file_size", "line", "at", F.col("_start").alias("start"), F.col("_next").alias("next")
         )
     )
+    # The last record may lack the two line ends after it.
+    ends = starts.groupBy("file").agg(F.max("file_size").alias("size"), F.coalesce(F.max("next"), F.lit(0)).alias("end"))
+    lost = ends.filter((F.col("end") < F.col("size")) | (F.col("end") - 4 > F.col("size"))).first()
+    if lost is not None:
+        raise ValueError(f"records of {lost['file']} lead to byte {lost['end']} of {lost['size']}")
     whole = narrow.select("line", "header", "payload_bytes", "sha1").join(starts.filter("start is not null"), "line")
     out = whole.filter("sha1 is not null").select("file", "start", "header", "payload_bytes", "sha1")
     broken = saved(whole.filter("sha1 is null").select("file", F.col("start").alias("_from"), F.col("next").alias("_to")))

@@ -365,6 +365,26 @@ def test_warc_with_magic_in_payloads_and_splits(spark, tmp_path):
     assert picked(out, "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to") == want and len(out) == len(rows)
 
 
+def test_warc_with_long_urls(spark, tmp_path):
+    rows = [(i, f"http://h/{i}?" + "q " * (100_000 if i in (0, 7) else 3), f"page {i % 5}") for i in range(20)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    warc.write_archives(pages, str(tmp_path / "a"))
+    out = [r.asDict() for r in warc.page_records(spark, str(tmp_path / "a")).collect()]
+    want = brute.payloads([{"page_id": r[0], "html": r[2]} for r in rows])
+    assert picked(out, "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to") == want and len(out) == len(rows)
+
+
+@pytest.mark.parametrize("damage", [lambda data: data[:-40], lambda data: data.replace(b"Content-Length", b"Content-Longth", 3), lambda data: b"x" + data])
+def test_warc_broken_files_raise(spark, tmp_path, damage):
+    pages = spark.createDataFrame([(i, "u", f"page {i}") for i in range(9)], "page_id long, url string, html string").coalesce(1)
+    warc.write_archives(pages, str(tmp_path / "a"))
+    (path,) = (tmp_path / "a").glob("part-*")
+    (tmp_path / "b").mkdir()
+    (tmp_path / "b" / "one.warc").write_bytes(damage(path.read_bytes()))
+    with pytest.raises(ValueError, match="one.warc"):
+        warc.page_records(spark, str(tmp_path / "b"))
+
+
 def test_warc_odd(spark):
     rows = [(1, "u", "x"), (1, "u", "x"), (None, None, "x"), (None, "u", "y"), (2, "u", None), (3, "u", "")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
