@@ -300,6 +300,20 @@ def test_bounds_and_best_fit():
     assert packing.lower_bound(np.array([6, 6, 6, 4, 4, 4]), 10) == 3 and packing.lower_bound(np.array([7, 7, 7]), 10) == 3
 
 
+def test_packing_reads_added_tokens(make):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    reader = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    mark = "<|endoftext|>"
+    texts = [f"a{mark}b", mark, f"{mark}{mark} x", f"one  {mark}  two\n\n{mark}", "<|endoftext|", "<|endof<|endoftext|>text|>", f"é {mark.upper()} {mark}ü"]
+    assert reader.encode(texts[0], add_special_tokens=False).ids == [64, 50256, 65]
+    out = {r.doc_id: r for r in packing.pack_pieces(make(*[(i, t, "en", "s") for i, t in enumerate(texts)])).collect()}
+    for i, text in enumerate(texts):
+        ids = np.array(reader.encode(text, add_special_tokens=False).ids + [0], dtype="<u4")
+        assert (out[i].length, out[i].ids_crc32) == (len(ids), zlib.crc32(ids.tobytes()))
+
+
 def test_packing_odd(odd, none):
     out = [r.asDict() for r in packing.pack_pieces(odd).collect()]
     by = Counter(r["doc_id"] for r in out)
