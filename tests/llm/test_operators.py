@@ -458,6 +458,20 @@ def test_scores_of_long_unseen_words(make, frequent):
     assert all(out[i].bits_per_byte > 1 for i in held[:3])
 
 
+def test_long_words_are_spelled_in_parts(monkeypatch):
+    words = [b"abab", b"abba" * 300, b"", b"aab"] * 5
+    weight, tables = np.arange(1, 21), [lm_scoring.empty_tables() for _ in range(2)]
+    lm_scoring.count_bits(tables[0], words, weight)
+    model = lm_scoring.fit_mixer(tables[0], words)
+    whole = lm_scoring.log10_words(model, words)
+    seen, slots = [], lm_scoring._slots
+    monkeypatch.setattr(lm_scoring, "SPELL_BYTES", 100)
+    monkeypatch.setattr(lm_scoring, "_slots", lambda data, contexts: seen.append(len(data)) or slots(data, contexts))
+    lm_scoring.count_bits(tables[1], words, weight)
+    assert all((a == b).all() for a, b in zip(*tables, strict=True))
+    assert lm_scoring.log10_words(model, words) == pytest.approx(whole) and max(seen) <= 100
+
+
 def test_scores_odd(odd, none):
     out = lm_scoring.score(odd).collect()
     assert len(out) == odd.count() and all(r.score < 0 and r.n_tokens >= 1 for r in out)
