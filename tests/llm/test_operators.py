@@ -458,6 +458,18 @@ def test_scores_of_long_unseen_words(make, frequent):
     assert all(out[i].bits_per_byte > 1 for i in held[:3])
 
 
+def test_weights_are_fitted_on_all_training_words(spark):
+    words = sorted({f"{a}{b}{c}".encode() for a in ("un", "re", "") for b in ("do", "make", "tie", "read") for c in ("s", "er", "ing", "")})
+    counts = spark.createDataFrame([(bytearray(w), 1) for w in words] + [(bytearray(b"held"), 0)], "word binary, c long")
+    one, many = lm_scoring.train(counts), lm_scoring.train(counts, sample=5)
+    assert one.seen.sum() == many.seen.sum() == 2 * 8 * sum(len(w) + 1 for w in words)
+    # A run of all words is the fit itself.
+    order = {r.word: r.h for r in counts.selectExpr("word", "xxhash64(word) as h").collect()}
+    direct = lm_scoring.fit_mixer(one.tables, sorted(words, key=lambda w: (order[w], w)))
+    assert one.weights == pytest.approx(direct.weights) and one.refined == pytest.approx(direct.refined)
+    assert (many.weights != lm_scoring.fit_mixer(one.tables, []).weights).any()
+
+
 def test_long_words_are_spelled_in_parts(monkeypatch):
     words = [b"abab", b"abba" * 300, b"", b"aab"] * 5
     weight, tables = np.arange(1, 21), [lm_scoring.empty_tables() for _ in range(2)]
