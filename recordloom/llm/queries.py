@@ -5,7 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recordloom.llm import exact_dedup, language_id, lm_scoring, mixing, packing, quality, sharding, simhash, substring, warc
+from recordloom.llm import (
+    crc,
+    exact_dedup,
+    importance,
+    language_id,
+    lexical_search,
+    lm_scoring,
+    mixing,
+    packing,
+    quality,
+    sharding,
+    simhash,
+    substring,
+    warc,
+)
 from recordloom.llm.ship import ship
 
 
@@ -57,6 +71,14 @@ def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return language_id.identify(_table(spark, folder, "documents"))
 
 
+def op11_lexical_search(spark: SparkSession, folder: str) -> DataFrame:
+    return lexical_search.search(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+
+
+def op13_importance_resampling(spark: SparkSession, folder: str) -> DataFrame:
+    return importance.resample(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -70,12 +92,32 @@ QUERIES = {
         op8_warc,
         op9_lm_scoring,
         op10_language_id,
+        op11_lexical_search,
+        op13_importance_resampling,
     )
 }
 
 _BASE32 = f"""array_to_string(list_transform(range(32), lambda k: substr('{warc.BASE32}',
   (((('0x' || substr(sha1(payload), 5 * (k // 4) + 1, 5))::int) >> (15 - 5 * (k % 4))) & 31) + 1, 1)), '')"""
 
+_LOWER = "translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _terms(text: str) -> str:
+    return rf"regexp_extract_all({_LOWER.format(text)}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+
+def _runs(words: str, longest: int = importance.LONGEST) -> str:
+    """The runs of 1 to ``longest`` of a list of words, joined by a space."""
+    parts = [
+        f"list_transform(range(1, len({words}) - {n - 2}), lambda i: array_to_string({words}[i:i + {n - 1}], ' '))"
+        for n in range(1, longest + 1)
+    ]
+    return f"list_concat({', '.join(parts)})"
+
+
+_BUCKETS = importance.BUCKETS
+
 SQL: dict[str, str] = {
     "op1_exact_dedup": r"""with n as (
   select doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') as t from documents),
@@ -118,4 +160,50 @@ select page_id, strlen(payload) as payload_bytes, {_BASE32} as payload_digest,
   case when page_id = first then 'response' else 'revisit' end as record_type,
   case when page_id <> first then first end as refers_to
 from p join g using (payload)""",
+    "op11_lexical_search": f"""with d as (
+  select row_number() over () as doc, doc_id, {_terms("text")} as terms from documents),
+n as (select doc, doc_id, len(terms)::bigint as n from d),
+total as (select count(*) filter (n > 0) as documents, coalesce(sum(n), 0)::bigint as occurrences from n),
+i as (select row_number() over () as item, item_id, list_distinct({_terms("text")}) as terms from benchmark),
+asked as (select item, item_id, unnest(terms) as term from i),
+held as (
+  select doc, term, count(*) as tf from (select doc, unnest(terms) as term from d) where term in (select term from asked) group by doc, term),
+weights as (
+  select term, floor(1000 * ln((2 * documents + 2) / (2 * count(*) + 1)))::bigint as w from held cross join total group by term, documents),
+scores as (
+  select item, item_id, doc_id, doc, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * documents) // occurrences))))::bigint as score
+  from asked join weights using (term) join held using (term) join n using (doc) cross join total group by item, item_id, doc_id, doc),
+ranked as (
+  select *, row_number() over (partition by item order by score desc, doc_id nulls last)::int as rank from scores where score > 0)
+select item_id, rank, doc_id, score from ranked where rank <= {lexical_search.BEST}""",
+    "op13_importance_resampling": f"""with recursive steps as (
+  select 0 as k, b, b as c from (select unnest(range(256)) as b)
+  union all
+  select k + 1, b, case when c & 1 = 1 then xor(c >> 1, {crc.POLYNOMIAL}) else c >> 1 end from steps where k < 8),
+sums as (select list(c order by b) as of_byte from steps where k = 8),
+d as (select row_number() over () as doc, doc_id, {_terms("text")} as words from documents),
+b as (select {_terms("text")} as words from benchmark),
+features as (select doc, unnest({_runs("words")}) as feature from d),
+wanted as (select unnest({_runs("words")}) as feature from b),
+known as (select feature, hex(feature) as digits from (select feature from features union select feature from wanted)),
+hashed as (
+  select feature, xor(list_reduce(list_transform(range(0, len(digits) // 2), lambda i: ('0x' || substr(digits, 2 * i + 1, 2))::bigint),
+    lambda crc, byte: xor(crc >> 8, of_byte[(xor(crc, byte) & 255) + 1]), 4294967295), 4294967295) % {_BUCKETS} as bucket
+  from known cross join sums),
+counts as (select bucket, count(*) as n from features join hashed using (feature) group by bucket),
+target as (select bucket, count(*) as n from wanted join hashed using (feature) group by bucket),
+totals as (select (select count(*) from features) as s_all, (select count(*) from wanted) as t_all),
+gains as (
+  select bucket, floor(1000 * ln((coalesce(t.n, 0) + 1) * (s_all + {_BUCKETS}) / ((c.n + 1) * (t_all + {_BUCKETS}))))::bigint as gain
+  from counts c left join target t using (bucket) cross join totals),
+weights as (
+  select doc, count(*) as n_features, sum(gain)::bigint as weight from features join hashed using (feature) join gains using (bucket) group by doc),
+scored as (
+  select doc, doc_id, len(words) as n_words, coalesce(n_features, 0) as n_features, coalesce(weight, 0) as weight, coalesce(weight, 0)
+    + floor(-1000 * ln(-ln((('0x' || substr(sha256('{importance.SEED}:' || coalesce(doc_id::varchar, '')), 1, 8))::bigint + 0.5::double) / 4294967296)))::bigint as score
+  from d left join weights using (doc)),
+ranked as (
+  select doc, row_number() over (order by score desc, doc_id nulls last) as rank, count(*) over () as n from scored where n_words >= {importance.MIN_WORDS})
+select doc_id, n_features, weight, score, rank from scored left join (
+  select doc, rank from ranked where rank <= ({importance.PERCENT} * n) // 100) using (doc)""",
 }
