@@ -107,13 +107,12 @@ def _terms(text: str) -> str:
     return rf"regexp_extract_all({_LOWER.format(text)}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 
-def _runs(words: str, longest: int = importance.LONGEST) -> str:
-    """The runs of 1 to ``longest`` of a list of words, joined by a space."""
-    parts = [
-        f"list_transform(range(1, len({words}) - {n - 2}), lambda i: array_to_string({words}[i:i + {n - 1}], ' '))"
-        for n in range(1, longest + 1)
-    ]
-    return f"list_concat({', '.join(parts)})"
+def _runs(table: str) -> str:
+    """(doc, feature): the runs of 1 to 3 of the words of a table (doc, words), joined by a space."""
+    return f"""select doc, unnest([x, x || ' ' || y, x || ' ' || y || ' ' || z]) as feature from (
+    select doc, x, lead(x) over w as y, lead(x, 2) over w as z from (
+      select doc, unnest(words) as x, generate_subscripts(words, 1) as place from {table})
+    window w as (partition by doc order by place))"""
 
 
 _BUCKETS = importance.BUCKETS
@@ -182,14 +181,25 @@ select item_id, rank, doc_id, score from ranked where rank <= {lexical_search.BE
   select k + 1, b, case when c & 1 = 1 then xor(c >> 1, {crc.POLYNOMIAL}) else c >> 1 end from steps where k < 8),
 sums as (select list(c order by b) as of_byte from steps where k = 8),
 d as (select row_number() over () as doc, doc_id, {_terms("text")} as words from documents),
-b as (select {_terms("text")} as words from benchmark),
-features as (select doc, unnest({_runs("words")}) as feature from d),
-wanted as (select unnest({_runs("words")}) as feature from b),
+b as (select row_number() over () as doc, {_terms("text")} as words from benchmark),
+features as materialized (select * from ({_runs("d")}) where feature is not null),
+wanted as materialized (select * from ({_runs("b")}) where feature is not null),
 known as (select feature, hex(feature) as digits from (select feature from features union select feature from wanted)),
-hashed as (
-  select feature, xor(list_reduce(list_transform(range(0, len(digits) // 2), lambda i: ('0x' || substr(digits, 2 * i + 1, 2))::bigint),
-    lambda crc, byte: xor(crc >> 8, of_byte[(xor(crc, byte) & 255) + 1]), 4294967295), 4294967295) % {_BUCKETS} as bucket
-  from known cross join sums),
+bytes as (
+  select feature, len(digits) // 2 as length, unnest(range(0, len(digits) // 2)) as place, digits from known),
+longest as (select coalesce(max(len(digits) // 2), 0) as bytes from known),
+moved as (
+  select 0 as far, b, c from steps where k = 8
+  union all
+  select far + 1, b, xor(c >> 8, of_byte[(c & 255) + 1]) from moved cross join sums where far < (select bytes from longest)),
+begun as (
+  select 0 as far, 4294967295 as c
+  union all
+  select far + 1, xor(c >> 8, of_byte[(c & 255) + 1]) from begun cross join sums where far < (select bytes from longest)),
+raw as (
+  select feature, length, bit_xor(c) as c
+  from bytes join moved on far = length - 1 - place and b = ('0x' || substr(digits, 2 * place + 1, 2))::bigint group by feature, length),
+hashed as (select feature, xor(xor(raw.c, begun.c), 4294967295) % {_BUCKETS} as bucket from raw join begun on far = length),
 counts as (select bucket, count(*) as n from features join hashed using (feature) group by bucket),
 target as (select bucket, count(*) as n from wanted join hashed using (feature) group by bucket),
 totals as (select (select count(*) from features) as s_all, (select count(*) from wanted) as t_all),
