@@ -9,6 +9,7 @@ from recordloom.llm import (
     crc,
     exact_dedup,
     importance,
+    jaccard,
     language_id,
     lexical_search,
     lm_scoring,
@@ -75,6 +76,10 @@ def op11_lexical_search(spark: SparkSession, folder: str) -> DataFrame:
     return lexical_search.search(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
 
 
+def op12_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard.jaccard_components(_table(spark, folder, "documents"))
+
+
 def op13_importance_resampling(spark: SparkSession, folder: str) -> DataFrame:
     return importance.resample(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
 
@@ -93,6 +98,7 @@ QUERIES = {
         op9_lm_scoring,
         op10_language_id,
         op11_lexical_search,
+        op12_ngram_jaccard_join,
         op13_importance_resampling,
     )
 }
@@ -175,6 +181,28 @@ scores as (
 ranked as (
   select *, row_number() over (partition by item order by score desc, doc_id nulls last)::int as rank from scores where score > 0)
 select item_id, rank, doc_id, score from ranked where rank <= {lexical_search.BEST}""",
+    "op12_ngram_jaccard_join": rf"""with recursive d as (
+  select row_number() over () as doc, doc_id, regexp_extract_all({_LOWER.format("text")}, '[^\x20\x09-\x0D]+') as words from documents),
+runs as (
+  select doc, x || ' ' || lead(x) over w || ' ' || lead(x, 2) over w as shingle from (
+    select doc, unnest(words) as x, generate_subscripts(words, 1) as place from d)
+  window w as (partition by doc order by place)),
+s as materialized (
+  select distinct doc, shingle from runs where shingle is not null
+  union all
+  select doc, array_to_string(words, ' ') from d where len(words) between 1 and {jaccard.SHINGLE - 1}),
+n as (select doc, count(*) as n from s group by doc),
+links as materialized (
+  select a, b from (
+    select x.doc as a, y.doc as b, count(*) as common from s x join s y on x.shingle = y.shingle and x.doc <> y.doc group by x.doc, y.doc)
+  join n p on p.doc = a join n q on q.doc = b where 100 * common >= {jaccard.PERCENT} * (p.n + q.n - common)),
+reached as (
+  select doc, doc as other from n
+  union
+  select r.doc, l.b from reached r join links l on r.other = l.a),
+least as (select r.doc, min(d.doc_id) as least from reached r join d on d.doc = r.other group by r.doc)
+select doc_id, coalesce(n, 0) as n_shingles, case when n is null then doc_id else least end as component_id
+from d left join n using (doc) left join least using (doc)""",
     "op13_importance_resampling": f"""with recursive steps as (
   select 0 as k, b, b as c from (select unnest(range(256)) as b)
   union all
