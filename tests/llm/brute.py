@@ -138,3 +138,89 @@ def unigram(rows):
         base = sum(math.log10((count[t] + 0.1) / (n + 0.1 * (v + 1))) for t in tokens)
         out[r["doc_id"]] = (not learn(r), len(tokens), sum(count[t] > 0 for t in tokens), n, base)
     return out
+
+
+TERM = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+
+def terms(text):
+    return TERM.findall(lower(text))
+
+
+def search(rows, items, k=10):
+    """(item place, rank, doc_id, score) of the best documents; ids are whole numbers or null, null last."""
+    held = [(r["doc_id"], Counter(terms(r["text"]))) for r in rows]
+    n = [sum(c.values()) for _, c in held]
+    many, total = sum(x > 0 for x in n), sum(n)
+    df = Counter(t for _, c in held for t in c)
+    out = []
+    for place, item in enumerate(items):
+        scores = []
+        for (i, count), size in zip(held, n):
+            m = 100 - 90 + (90 * size * many) // total if total else 10
+            score = sum(
+                math.floor(1000 * math.log((2 * many + 2) / (2 * df[t] + 1))) * ((1000000000 * count[t]) // (1000 * count[t] + 8 * m))
+                for t in set(terms(item))
+                if count[t]
+            )
+            if score > 0:
+                scores.append((-score, i is None, i))
+        out += [(place, rank, i, -s) for rank, (s, _, i) in enumerate(sorted(scores, key=lambda x: x[:2] + (x[2] or 0,))[:k], 1)]
+    return out
+
+
+def shingle_set(text, k=3):
+    w = words(lower(text))
+    return {" ".join(w[i : i + k]) for i in range(len(w) - k + 1)} or ({" ".join(w)} if w else set())
+
+
+def jaccard(rows, percent=90):
+    """{place of the row: (n_shingles, component_id)}."""
+    sets = [shingle_set(r["text"]) for r in rows]
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a in range(len(rows)):
+        for b in range(a):
+            if sets[a] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    groups = defaultdict(list)
+    for i in range(len(rows)):
+        groups[find(i)].append(rows[i]["doc_id"])
+    least = {r: min((i for i in ids if i is not None), default=None) for r, ids in groups.items()}
+    return {i: (len(sets[i]), least[find(i)]) for i in range(len(rows))}
+
+
+def run_counts(texts, longest=3, buckets=10000):
+    out = Counter()
+    for text in texts:
+        w = terms(text)
+        for n in range(1, longest + 1):
+            out.update(zlib.crc32(" ".join(w[i : i + n]).encode()) % buckets for i in range(len(w) - n + 1))
+    return out
+
+
+def resample(rows, target, percent=5, min_words=20, buckets=10000):
+    """[(doc_id, n_features, weight, score, rank)] in the order of the rows."""
+    raw, wanted = run_counts(r["text"] for r in rows), run_counts(target)
+    s_all, t_all = sum(raw.values()), sum(wanted.values())
+    out = []
+    for r in rows:
+        own = run_counts([r["text"]])
+        gain = {
+            b: math.floor(1000 * math.log((wanted[b] + 1) * (s_all + buckets) / ((raw[b] + 1) * (t_all + buckets)))) for b in own
+        }
+        h = int(hashlib.sha256(f"42:{'' if r['doc_id'] is None else r['doc_id']}".encode()).hexdigest()[:8], 16)
+        weight = sum(gain[b] * n for b, n in own.items())
+        score = weight + math.floor(-1000 * math.log(-math.log((h + 0.5) / 4294967296)))
+        out.append([r["doc_id"], sum(own.values()), weight, score, None])
+    able = [i for i, r in enumerate(rows) if len(terms(r["text"])) >= min_words]
+    able.sort(key=lambda i: (-out[i][3], rows[i]["doc_id"] is None, rows[i]["doc_id"] or 0))
+    for rank, i in enumerate(able[: percent * len(able) // 100], 1):
+        out[i][4] = rank
+    return [tuple(x) for x in out]
