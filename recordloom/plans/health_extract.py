@@ -5,34 +5,65 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType, StructField, StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from recordloom.functions import fixed_values as V
-from recordloom.operators.intervals import element_counts, interval_overlap, keep_records, merge_intervals, top_level
+from recordloom.operators.intervals import element_counts, keep_records, merge_intervals
 from recordloom.operators.shared import saved
-from recordloom.sources.health_xml import roots, scan_elements, subject_folder, write_elements
-
-DATES = {"start": "_startDate", "end": "_endDate"}
+from recordloom.sources.health_xml import subject_folder
+from recordloom.sources.xml_nesting import children_of_kind, read_children, schemas_of
 
+ROOT = "HealthData"
+#: Pieces of text (1 MB) of an owner that one file of an extract holds at most.
+CHUNKS_PER_FILE = 64
 
 #: Attributes that the rules read; absent ones are NULL.
-READ = {"Workout": DATES.values(), "Record": ["_type", *DATES.values()], "Correlation": DATES.values()}
-
-
-def _schemas(spark: SparkSession, path, kinds: Sequence[str], given: dict) -> dict[str, StructType]:
-    """Schemas of the kinds the files hold; one kind inside another is an array of what it is by itself."""
-    found = {kind: scan_elements(spark, path, kind, given.get(kind)).drop("subject").schema for kind in kinds}
-    found = {kind: schema for kind, schema in found.items() if schema.fields}
+READ = {
+    "Workout": ["_startDate", "_endDate"],
+    "Record": ["_type", "_startDate", "_endDate"],
+    "Correlation": ["_startDate", "_endDate"],
+}
+PLACE = ["file", "block", "nth", "at"]
+
+
+def _kept_children(
+    spark: SparkSession, path: str | Sequence[str], force_types: Sequence[str], summaries: bool
+) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """The children that are kept, all children, workouts ``(subject, start, end)`` and the merged windows."""
+    children = read_children(spark, path, "Workout")
+    first = F.min_by("kind", F.struct("block", "nth", "at"))
+    files = children.filter("not top").groupBy("file").agg(first.alias("kind")).filter(F.col("kind") == ROOT).select("file")
+    own = children.filter("top").join(saved(files), "file", "left_semi")
+    # Workouts at any depth make windows; only those below the root are written.
+    outer = own.filter("kind = 'Workout'").select("subject", "attributes")
+    workouts = outer.unionByName(own.filter(F.size("inner") > 0).select("subject", F.explode("inner").alias("attributes")))
+    workouts = workouts.select("subject", *[F.col("attributes")[a].alias(n) for n, a in (("start", "startDate"), ("end", "endDate"))])
+    workouts = workouts.filter("start <> '' and end <> ''")
+    windows = saved(merge_intervals(workouts, ["subject"]))
+    if windows.isEmpty():
+        raise ValueError("no Workout elements with dates in the input")
+    always = [*V.ALWAYS_KEPT, "ActivitySummary"] if summaries else V.ALWAYS_KEPT
+    dated = own.filter(F.col("kind").isin("Record", "Correlation")).select(
+        "*",
+        F.when(F.col("kind") == "Record", F.col("attributes")["type"]).alias("type"),
+        F.col("attributes")["startDate"].alias("start"),
+        F.col("attributes")["endDate"].alias("end"),
+    )
+    dated = keep_records(dated, windows, ["subject"], force_types, "type").select(*own.columns)
+    return saved(own.filter(F.col("kind").isin(always)).unionByName(dated)), children, workouts, windows
+
+
+def _by_kind(kept: DataFrame, children: DataFrame, kinds: Sequence[str], given: dict) -> dict[str, DataFrame]:
+    found = schemas_of(children, kinds)
+    out = {}
     for kind, schema in found.items():
+        if given.get(kind) is not None:
+            schema = given[kind] if isinstance(given[kind], StructType) else StructType.fromDDL(given[kind])
         absent = [c for c in READ.get(kind, ()) if c not in schema.names]
-        found[kind] = StructType([*schema, *[StructField(c, StringType()) for c in absent]])
-    plain = dict(found)
-    for kind, schema in found.items():
-        inside = {f.name: ArrayType(plain[f.name]) for f in schema if f.name in plain}
-        found[kind] = StructType([StructField(f.name, inside.get(f.name, f.dataType)) for f in schema])
-    return found
+        out[kind] = children_of_kind(kept, kind, StructType([*schema, *[StructField(c, StringType()) for c in absent]]))
+    return out
 
 
 def extract(
@@ -42,28 +73,14 @@ def extract(
     include_activity_summaries: bool = False,
     schemas: dict | None = None,
 ) -> tuple[dict[str, DataFrame], DataFrame]:
-    """The kept elements per kind, and the merged windows ``(subject, start, end, copies)``."""
-    by, kinds = ["subject"], [*V.ALWAYS_KEPT, "Record", "Correlation"]
-    if include_activity_summaries:
-        kinds.append("ActivitySummary")
-    found = _schemas(spark, path, kinds, schemas or {})
-    read = {kind: saved(scan_elements(spark, path, kind, schema)) for kind, schema in found.items()}
-    if "Workout" not in read:
-        raise ValueError("no Workout elements with dates in the input")
-    windows = saved(merge_intervals(read["Workout"], by, **DATES))  # of workouts at any depth
-    if windows.isEmpty():
-        raise ValueError("no Workout elements with dates in the input")
-    # Only children of the root are kept; readers of a kind also return those inside other elements.
-    kept = dict(read)
-    for kind in kept:
-        for parent, elements in read.items():
-            if parent != kind and kind in elements.columns:
-                kept[kind] = saved(top_level(kept[kind], elements, kind, by))
-    if "Record" in kept:
-        kept["Record"] = keep_records(kept["Record"], windows, by, force_types, "_type", **DATES)
-    if "Correlation" in kept:
-        kept["Correlation"] = interval_overlap(kept["Correlation"], windows, by, **DATES)
-    return kept, windows
+    """The kept elements per kind, and the merged windows ``(subject, start, end, copies)``.
+
+    The files are read once. Only children of a ``HealthData`` root are kept, whatever elements others
+    stand in; workouts at any depth make windows.
+    """
+    kept, children, _, windows = _kept_children(spark, path, force_types, include_activity_summaries)
+    kinds = [*V.ALWAYS_KEPT, "Record", "Correlation", *(["ActivitySummary"] if include_activity_summaries else [])]
+    return _by_kind(kept, children, kinds, schemas or {}), windows
 
 
 def kept_counts(kept: dict[str, DataFrame]) -> DataFrame:
@@ -72,20 +89,87 @@ def kept_counts(kept: dict[str, DataFrame]) -> DataFrame:
     return element_counts(reduce(DataFrame.unionByName, kinds))
 
 
-def write_extract(spark: SparkSession, path: str | Sequence[str], out: str, **options) -> DataFrame:
-    """Writes one directory per kind below ``out``, in it one per owner, and returns the counts.
+def _report(spark: SparkSession, kept: DataFrame, workouts: DataFrame, windows: DataFrame) -> DataFrame:
+    found = kept.groupBy("kind").agg(F.count("*").alias("n")).filter(F.col("kind").isin(V.COUNTED_KINDS))
+    kinds = spark.createDataFrame([(k,) for k in V.COUNTED_KINDS], "kind string")
+    counts = kinds.join(found, "kind", "left").select("kind", F.coalesce("n", F.lit(0)).alias("n"))
+    total = counts.agg(F.sum("n").alias("n")).select(F.lit("written").alias("kind"), "n")
+    dated = workouts.agg(F.count("*").alias("n")).select(F.lit("dated workouts").alias("kind"), "n")
+    merged = windows.agg(F.sum("copies").alias("n")).select(F.lit("merged windows").alias("kind"), "n")
+    return dated.unionByName(merged).unionByName(counts).unionByName(total)
+
+
+def extract_report(
+    spark: SparkSession,
+    path: str | Sequence[str],
+    force_types: Sequence[str] = (),
+    include_activity_summaries: bool = False,
+) -> DataFrame:
+    """``(kind, n)``: dated workouts at any depth, merged windows, kept elements per counted kind (0 too), all written."""
+    kept, _, workouts, windows = _kept_children(spark, path, force_types, include_activity_summaries)
+    return _report(spark, kept, workouts, windows)
+
+
+def _write_lines(kept: DataFrame, owners: DataFrame, out: str, chunks: int) -> None:
+    """One document per owner, or several of ``chunks`` pieces of the source each: root, elements in order, end of the root."""
+    order = Window.partitionBy("subject").orderBy("file", "block", "nth")
+    of = kept.select("subject", "file", "block", "nth").distinct()
+    of = of.withColumn("piece", F.floor((F.row_number().over(order) - 1) / chunks))
+    rows = kept.join(of, ["subject", "file", "block", "nth"]).select("subject", "piece", F.lit(1).alias("part"), *PLACE, F.col("xml").alias("value"))
+    runs = saved(rows.select("subject", "piece").distinct().join(owners, "subject"))
+    root = F.concat(F.lit(f'<?xml version="1.0" encoding="UTF-8"?>\n<{ROOT}'), F.when(F.col("attributes") == "", "").otherwise(F.concat(F.lit(" "), "attributes")), F.lit(">"))
+    rim = runs.select("subject", "piece", F.lit(0).alias("part"), root.alias("value"))
+    rim = rim.unionByName(runs.select("subject", "piece", F.lit(2).alias("part"), F.lit(f"</{ROOT}>").alias("value")))
+    lines = rows.unionByName(rim, allowMissingColumns=True).withColumn("subject", subject_folder(F.col("subject")))
+    lines = lines.repartition("subject", "piece").sortWithinPartitions("subject", "piece", "part", *PLACE)
+    lines.select("subject", "piece", "value").write.partitionBy("subject", "piece").text(out)
+
+
+def _owners(children: DataFrame) -> DataFrame:
+    """``(subject, attributes)``: the attribute text of the root of each owner."""
+    roots = children.filter((~F.col("top")) & (F.col("kind") == ROOT))
+    text = F.regexp_extract("xml", r"(?s)^<[^\s/>]+(.*?)/?>$", 1)
+    text = F.trim(F.regexp_replace(text, r"[\r\n\t]+", " "))
+    return roots.groupBy("subject").agg(F.min(text).alias("attributes"))
+
+
+def write_extract(
+    spark: SparkSession,
+    path: str | Sequence[str],
+    out: str,
+    force_types: Sequence[str] = (),
+    include_activity_summaries: bool = False,
+    chunks_per_file: int = CHUNKS_PER_FILE,
+) -> DataFrame:
+    """Writes one directory per kind below ``out``, in it one per owner, and returns the counts of the counted kinds.
+
+    Every owner's files have the attributes of the owner's own root; root and end of root are rows of the
+    owner's run, so there is one job per kind, however many owners there are. Elements stand as in the
+    export, in its order. ``out/owners`` lists ``(subject, folder, attributes)``.
+    """
+    kept, children, _, _ = _kept_children(spark, path, force_types, include_activity_summaries)
+    owners = saved(_owners(children))
+    owners.withColumn("folder", subject_folder(F.col("subject"))).write.parquet(f"{out}/owners")
+    kinds = [*V.ALWAYS_KEPT, "Record", "Correlation", *(["ActivitySummary"] if include_activity_summaries else [])]
+    for kind in kinds:
+        _write_lines(kept.filter(F.col("kind") == kind), owners, f"{out}/{kind}", chunks_per_file)
+    return element_counts(kept.filter(F.col("kind").isin(V.COUNTED_KINDS)))
+
+
+def write_documents(
+    spark: SparkSession,
+    path: str | Sequence[str],
+    out: str,
+    force_types: Sequence[str] = (),
+    include_activity_summaries: bool = False,
+    chunks_per_file: int = CHUNKS_PER_FILE,
+) -> DataFrame:
+    """Writes the kept elements of all kinds of an owner together, in the order of the export, and returns the report.
 
-    Every owner's files have the attributes of the owner's own root. Owners are written together per
-    distinct text of attributes; ``out/owners`` lists ``(subject, folder, attributes)``.
+    One job writes all owners: ``out/documents/subject=<SHA-1>/piece=<n>``; ``out/owners`` as for ``write_extract``.
     """
-    owners = saved(roots(spark, path))
-    if owners.isEmpty():
-        raise ValueError("no HealthData root element in the input")
-    kept, _ = extract(spark, path, **options)
-    kept = {kind: saved(df) for kind, df in kept.items()}
+    kept, children, workouts, windows = _kept_children(spark, path, force_types, include_activity_summaries)
+    owners = saved(_owners(children))
     owners.withColumn("folder", subject_folder(F.col("subject"))).write.parquet(f"{out}/owners")
-    for r in owners.select("attributes").distinct().orderBy("attributes").toLocalIterator():
-        alike = owners.filter(F.col("attributes") == r.attributes).select("subject")
-        for kind, elements in kept.items():
-            write_elements(elements.join(alike, "subject", "left_semi"), f"{out}/{kind}", kind, r.attributes, "append")
-    return kept_counts(kept)
+    _write_lines(kept, owners, f"{out}/documents", chunks_per_file)
+    return _report(spark, kept, workouts, windows)

@@ -13,7 +13,7 @@ from recordloom.functions import fixed_values as V
 from recordloom.operators import codestats as C
 from recordloom.operators.shared import new_folder
 from recordloom.operators.sheet import unpivot_sheet
-from recordloom.plans.health_extract import extract, kept_counts, write_extract
+from recordloom.plans.health_extract import extract, extract_report, kept_counts, write_documents, write_extract
 from recordloom.plans.ledger_import import import_ledgers, read_analysis
 from recordloom.plans.sheet_import import all_returns, analyze, import_sheets
 from recordloom.queries import ledger, sheet
@@ -156,6 +156,67 @@ def written_extract(spark: SparkSession, folder: str) -> DataFrame:
     return back.select("person", "locale", F.col("_type").alias("type"), F.col("_note").alias("note"), F.col("_startDate").alias("start"), pairs.alias("metadata"))
 
 
+def _nested_exports(spark: SparkSession, folder: str) -> str:
+    """A file per user, with prefixed names for odd users: signups are records inside elements of a kind that is
+    not read, every other purchase is a workout inside one, refunds and clicks are summaries."""
+    out = new_folder(spark, "nested")
+    minutes = F.when(F.col("event_type") == "purchase", F.floor("value") * 10).otherwise(1).cast("int")
+    text = "yyyy-MM-dd HH:mm:ss"
+    events = table(spark, folder, "events").select(
+        F.col("user_id").alias("person"),
+        (F.col("event_id") + 1).alias("at"),
+        F.col("event_type").alias("type"),
+        F.when(F.col("user_id") % 2 == 1, "h:").otherwise("").alias("h"),
+        F.date_format("ts", text).alias("start"),
+        F.date_format(F.timestamp_add("MINUTE", minutes, F.col("ts")), text).alias("end"),
+    )
+    dates = F.format_string('startDate="%s" endDate="%s"', "start", "end")
+    record = F.concat(F.format_string('<%sRecord type="%s" note="a > b" ', "h", "type"), dates, F.lit("/>"))
+    run = F.concat(F.format_string("<%sWorkout ", "h"), dates, F.lit("/>"))
+
+    def within(kind: str, inside):
+        return F.concat(F.lit("<"), "h", F.lit(f"{kind}><!-- a > b -->"), inside, F.lit("</"), "h", F.lit(f"{kind}>"))
+
+    element = (
+        F.when((F.col("type") == "purchase") & (F.col("at") % 2 == 0), within("ClinicalRecord", run))
+        .when(F.col("type") == "purchase", run)
+        .when(F.col("type") == "signup", within("Audiogram", record))
+        .when(F.col("type") == "click", F.format_string('<%sActivitySummary day="%s"/>', "h", "start"))
+        .otherwise(record)
+    )
+    lines = events.select("person", "at", element.alias("value"))
+    persons = events.select("person", "h").distinct()
+    root = F.concat(F.lit("<"), "h", F.lit('HealthData xmlns:h="urn:h">'))
+    lines = lines.unionByName(persons.select("person", F.lit(0).cast("long").alias("at"), root.alias("value")))
+    end = F.concat(F.lit("</"), "h", F.lit("HealthData>"))
+    lines = lines.unionByName(persons.select("person", F.lit((1 << 63) - 1).alias("at"), end.alias("value")))
+    lines = lines.repartition("person").sortWithinPartitions("person", "at")
+    lines.select("person", "value").write.partitionBy("person").text(out)
+    return f"{out}/*/part-*"
+
+
+def extract_nested(spark: SparkSession, folder: str) -> DataFrame:
+    """Kept records and summaries of exports with nested elements and prefixed names; signups are asked for but nested."""
+    kept, _ = extract(spark, _nested_exports(spark, folder), force_types=["signup"], include_activity_summaries=True)
+    records = kept["Record"].select(_person("subject"), F.col("_type").alias("type"), F.col("_startDate").alias("start"))
+    return records.unionByName(kept["ActivitySummary"].select(_person("subject"), F.lit("summary").alias("type"), F.col("_day").alias("start")))
+
+
+def report(spark: SparkSession, folder: str) -> DataFrame:
+    """What an extract counts, summaries left out."""
+    return extract_report(spark, _nested_exports(spark, folder))
+
+
+def documents_written(spark: SparkSession, folder: str) -> DataFrame:
+    """Kept elements of all kinds written in one job, one document per person, and read back."""
+    out = new_folder(spark, "documents")
+    write_documents(spark, _nested_exports(spark, folder), out, include_activity_summaries=True)
+    owners = spark.read.parquet(f"{out}/owners").select(_person("subject"), "folder")
+    back = scan_elements(spark, f"{out}/documents", "Record").select("subject", F.col("_type").alias("type"), F.col("_startDate").alias("start"))
+    days = scan_elements(spark, f"{out}/documents", "ActivitySummary").select("subject", F.lit("summary").alias("type"), F.col("_day").alias("start"))
+    return back.unionByName(days).join(owners, F.col("subject") == F.col("folder")).select("person", "type", "start")
+
+
 # ---------------------------------------------------------------- sheets
 
 FILERS = 8
@@ -249,6 +310,9 @@ QUERIES = {
     "extract_records": extract_records,
     "extract_counts": extract_kinds,
     "write_extract": written_extract,
+    "extract_nested": extract_nested,
+    "extract_report": report,
+    "write_documents": documents_written,
     "scan_sheets": read_sheets,
     "import_sheets": stored_returns,
     "stored_analysis": stored_analysis,
@@ -284,6 +348,8 @@ _WINDOWS = """elements as (
 kept as (
   select * from elements e where exists (
     select 1 from elements w where w.type = 'purchase' and w.person = e.person and w.start <= e."end" and w."end" >= e.start))"""
+_NESTED = """select person, type, start from kept where type not in ('purchase', 'signup', 'click')
+union all select person, 'summary', start from elements where type = 'click'"""
 _RETURNS = sheet.RETURNS.replace("o_custkey as filer", f"(o_custkey % {FILERS})::varchar as filer")
 _REPLACED = f"""{_RETURNS},
 later as (
@@ -312,6 +378,19 @@ union all select person, type, start, "end" from kept where type not in ('purcha
 select case type when 'purchase' then 'Workout' when 'error' then 'Correlation' else 'Record' end as kind, count(*) as n from kept group by 1""",
     "write_extract": f"""with {_WINDOWS} select person, 'p' || person % 3 as locale, type, note, start, 'a=1,b=2' as metadata
 from kept where type not in ('purchase', 'error')""",
+    "extract_nested": f"with {_WINDOWS} {_NESTED}",
+    "write_documents": f"with {_WINDOWS} {_NESTED}",
+    "extract_report": f"""with {_WINDOWS},
+reached as (
+  select *, max("end") over (partition by person order by start, "end" rows between unbounded preceding and 1 preceding) as before
+  from elements where type = 'purchase'),
+counted as (
+  select 'dated workouts' as kind, count(*) as n from reached
+  union all select 'merged windows', count(*) from reached where before is null or start > before
+  union all select 'Workout', count(*) from elements where type = 'purchase' and event_id % 2 = 0
+  union all select 'Record', count(*) from kept where type not in ('purchase', 'signup', 'click')
+  union all select 'Correlation', 0 union all select 'ActivitySummary', 0)
+select * from counted union all select 'written', sum(n)::bigint from counted where kind in ('Workout', 'Record')""",
     "scan_sheets": f"with {_RETURNS} select filer, tax_year, db_col, value from returns",
     "import_sheets": f"with {_REPLACED} select filer, tax_year, {_WIDE} from stored group by filer, tax_year",
     "stored_analysis": f"""with {sheet.changes_sql(_REPLACED, "stored")}""",

@@ -51,7 +51,8 @@ def scan_elements(
     if schema is not None:
         reader = reader.schema(schema)
     elements = reader.load(path if isinstance(path, str) else list(path))
-    others = [f"`{c}`" for c in elements.columns if c != "subject"]
+    partitions = ("subject", "piece") if "subject" in elements.columns else ("subject",)
+    others = [f"`{c}`" for c in elements.columns if c not in partitions]
     return elements.select(_subject(elements).alias("subject"), *others)
 
 
