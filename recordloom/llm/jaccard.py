@@ -173,9 +173,11 @@ def _may_link(a: str, b: str, percent: int):
 
 
 def _labelled(lists: DataFrame, links: DataFrame | None) -> DataFrame:
+    """Members with ``root``, the smallest hub they link to: members with one root are in one component."""
     if links is None:
         return lists.withColumn("root", F.col("cid"))
-    of = components(links).select(F.col("node").alias("cid"), "root")
+    member = F.when(F.col("a") == F.col("hub"), F.col("b")).otherwise(F.col("a"))
+    of = links.groupBy(member.alias("cid")).agg(F.min("hub").alias("root"))
     return lists.join(of, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
 
 
@@ -194,7 +196,8 @@ def _to_hubs(rows: DataFrame, turn: int, percent: int) -> DataFrame:
     )
     hubs = saved(hubs.filter("several").select("own", "token", "best.hub.*", "_n"))
     met = join_counted(rows, hubs, ["own", "token"], "_n").filter((F.col("root") != F.col("h_root")) & _may_link("", "h_", percent))
-    return met.select(F.greatest("cid", "h_cid").alias("b"), F.least("cid", "h_cid").alias("a")).distinct().select("a", "b")
+    pairs = met.select(F.least("cid", "h_cid").alias("a"), F.greatest("cid", "h_cid").alias("b"), F.col("h_cid").alias("hub"))
+    return pairs.groupBy("a", "b").agg(F.min("hub").alias("hub"))
 
 
 def _across(percent: int, cells: int = 1 << 20):
@@ -276,6 +279,7 @@ def _all_across(rows: DataFrame, percent: int, held: int, passing: int) -> DataF
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs whose sets link. A document in very many pairs has its set copied, so its pairs spread over tasks."""
     parts = saved(pairs.groupBy("a").agg(F.ceil(F.count("*") / PAIRS).cast("int").alias("parts")).filter("parts > 1"))
+    names = pairs.columns
     first, second = sets.select(F.col("cid").alias("a"), F.col("set").alias("set_a")), sets.select(F.col("cid").alias("b"), F.col("set").alias("set_b"))
     pairs = pairs.join(second, "b")
     if parts.isEmpty():
@@ -286,7 +290,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         pairs = pairs.join(first.drop("parts"), ["a", "part"])
     common = F.size(F.array_intersect("set_a", "set_b"))
     union = F.size("set_a") + F.size("set_b") - common
-    return pairs.filter(F.lit(100) * common >= F.lit(percent) * union).select("a", "b")
+    return pairs.filter(F.lit(100) * common >= F.lit(percent) * union).select(*names)
 
 
 def jaccard_components(
@@ -313,7 +317,6 @@ def jaccard_components(
     (component_id is their own id). A null id is never the smallest; a component of null ids has a null
     id. Repeated rows are rows of one class. Empty input gives no rows. Other columns are not read.
     """
-    spark = docs.sparkSession
     texts = docs.select(
         F.col(id_col).alias("_id"),
         F.col(text_col).alias("_text"),
@@ -336,20 +339,26 @@ def jaccard_components(
     sets = sets.mapInArrow(_whole_sets(k), "_of_text binary, set array<long>").dropDuplicates(["_of_text"])
     sets = saved(sets.join(needed, "_of_text").select("cid", "set"))
 
-    links, tried, turn = None, spark.createDataFrame([], "a long, b long"), 0
+    links, tried, turn = None, None, 0
     while True:  # hubs, as long as they join a good part of what they meet
-        pairs = saved(_to_hubs(_labelled(lists, links), turn, percent).join(tried, ["a", "b"], "left_anti"))
+        pairs = _to_hubs(_labelled(lists, links), turn, percent)
+        pairs = saved(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
         found = saved(_verified(pairs, sets, percent))
-        n_pairs, n_found = pairs.count(), found.count()
         links = found if links is None else links.unionByName(found)
-        tried, turn = tried.unionByName(pairs), turn + 1
-        if n_found * 4 <= n_pairs:
+        now = pairs.select("a", "b")
+        tried, turn = now if tried is None else tried.unionByName(now), turn + 1
+        if found.count() * 4 <= pairs.count():
             break
-    rest = saved(_all_across(_labelled(lists, links), percent, held, passing).join(tried, ["a", "b"], "left_anti"))
-    links = links.unionByName(saved(_verified(rest, sets, percent)))
+    links = links.select("a", "b")
+    of = saved(components(links)).select(F.col("node").alias("cid"), "root")
+    rows_of = lists.join(of, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
+    rest = saved(_all_across(rows_of, percent, held, passing).join(tried, ["a", "b"], "left_anti"))
+    found = saved(_verified(rest, sets, percent))
+    if not found.isEmpty():
+        of = components(of.select(F.col("cid").alias("a"), F.col("root").alias("b")).unionByName(found))
+        of = of.select(F.col("node").alias("cid"), "root")
 
     least = rows.groupBy("_set").agg(F.min("_id").alias("least"), F.count("*").alias("_rows"), F.max("n").alias("n"))
-    of = components(links).select(F.col("node").alias("cid"), "root")
     of = classes.select("cid", "_set").join(of, "cid")
     least = saved(least.join(of.select("_set", "root"), "_set", "left"))
     smallest = saved(least.filter("root is not null").groupBy("root").agg(F.min("least").alias("smallest")))
