@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from recordloom.llm.components import components
 from recordloom.llm.hot import join_counted
 from recordloom.llm.text_arrays import lower_ascii, pack, raw_bytes, slices
-from recordloom.operators.shared import saved
+from recordloom.operators.shared import new_folder, saved
 
 SHINGLE = 3
 PERCENT = 90
@@ -22,7 +23,13 @@ PERCENT = 90
 HELD, PASSING = 1 << 12, 1 << 16
 #: Pairs of one document that are verified in one task.
 PAIRS = 1 << 12
-WORDS_OF_BITS = ("b0", "b1", "b2", "b3")
+#: A set's bitmap: 512 bits in eight columns.
+WORDS_OF_BITS = tuple(f"b{i}" for i in range(8))
+BITS = 64 * len(WORDS_OF_BITS)
+#: Lists of a member that look for hubs: those that most others are in.
+HUB_LISTS = 3
+#: Sets of one bucket of the stored table, and most buckets.
+BUCKET_SETS, BUCKETS = 1 << 14, 50_000
 
 
 def overlap(n, percent: int = PERCENT):
@@ -73,11 +80,11 @@ def _shingle_sets(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _bitmaps(hashes: np.ndarray, upto: np.ndarray) -> np.ndarray:
-    """256 bits per text: whether an odd number of its hashes falls on each. Sets differ by as many at least."""
+    """512 bits per text: whether an odd number of its hashes falls on each. Sets differ by as many at least."""
     n = len(upto) - 1
-    at = np.repeat(np.arange(n), np.diff(upto)) * 256 + (hashes & np.uint64(255)).astype(np.int64)
-    odd = (np.bincount(at, minlength=256 * n) & 1).astype(np.uint8)
-    return np.packbits(odd.reshape(n, 256), axis=1, bitorder="little").view(np.uint64).reshape(n, 4)
+    at = np.repeat(np.arange(n), np.diff(upto)) * BITS + (hashes & np.uint64(BITS - 1)).astype(np.int64)
+    odd = (np.bincount(at, minlength=BITS * n) & 1).astype(np.uint8)
+    return np.packbits(odd.reshape(n, BITS), axis=1, bitorder="little").view(np.uint64).reshape(n, len(WORDS_OF_BITS))
 
 
 def _prefixes(k: int, percent: int):
@@ -110,7 +117,7 @@ def _prefixes(k: int, percent: int):
                     pa.array(keys, pa.binary()),
                     pa.array(prefix_keys, pa.binary()),
                     pa.array(prefixes, pa.list_(pa.int64())),
-                    *[pa.array(bits[:, i].copy().view(np.int64)) for i in range(4)],
+                    *[pa.array(bits[:, i].copy().view(np.int64)) for i in range(len(WORDS_OF_BITS))],
                 ],
                 names=["_id", "_of_text", "n", "_set", "_group", "prefix", *WORDS_OF_BITS],
             )
@@ -133,35 +140,33 @@ def _whole_sets(k: int):
 
 
 def _lists(classes: DataFrame, percent: int) -> DataFrame:
-    """(own, token, cid, central): the lists in which members of linked classes are sure to meet.
+    """(own, token, cid, central, nth): the lists in which members of linked classes are sure to meet.
 
     Lists are made of groups, the classes with one size and one prefix. Of a prefix, tokens that no other
     group has need no list; of the rest the ``left_out`` most frequent need none either. So a group whose
     prefix has no more shared tokens than that is in no list. Members are put back at the end; those of
-    one group share a list of their own.
+    one group share a list of their own. ``nth`` is 1 for the longest list of a member.
     """
     groups = classes.filter("prefix is not null")
-    entries = groups.select("gid", "n", F.size("prefix").alias("length"), F.explode("prefix").alias("token"))
+    entries = groups.select("gid", F.explode("prefix").alias("token"))
     shared = saved(entries.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1"))
     shared = join_counted(entries, shared, ["token"], "df")
     least = F.floor((F.lit(percent) * F.col("n") + 99) / 100)
     out = F.greatest(F.lit(1), F.floor((least - F.floor((F.lit(percent) * least + 99) / 100) + 2) / 2)) - 1
+    sizes = groups.select("gid", out.alias("out"), F.size("prefix").alias("length"))
     group = Window.partitionBy("gid")
     shared = shared.select(
-        "gid",
-        "token",
-        out.alias("out"),
-        F.count("*").over(group).alias("n_shared"),
-        F.row_number().over(group.orderBy("df", "token")).alias("nth"),
-        "length",
+        "gid", "token", F.count("*").over(group).alias("n_shared"), F.row_number().over(group.orderBy(F.desc("df"), F.desc("token"))).alias("nth")
+    )
+    index = shared.join(sizes, "gid").filter("nth > out").select(
+        "gid", "token", (F.col("n_shared") / F.col("length")).alias("central"), (F.col("nth") - F.col("out")).alias("nth")
     )
-    index = shared.filter("nth <= n_shared - out").select("gid", "token", (F.col("n_shared") / F.col("length")).alias("central"))
     members = classes.select("gid", "cid")
     several = members.groupBy("gid").count().filter("count > 1").select("gid")
     own = members.join(several, "gid").select(
-        F.lit(True).alias("own"), F.col("gid").alias("token"), "cid", F.lit(0.0).alias("central")
+        F.lit(True).alias("own"), F.col("gid").alias("token"), "cid", F.lit(0.0).alias("central"), F.lit(1).alias("nth")
     )
-    return index.join(members, "gid").select(F.lit(False).alias("own"), "token", "cid", "central").unionByName(own)
+    return index.join(members, "gid").select(F.lit(False).alias("own"), "token", "cid", "central", "nth").unionByName(own)
 
 
 def _may_link(a: str, b: str, percent: int):
@@ -243,7 +248,7 @@ def _across(percent: int, cells: int = 1 << 20):
     return work
 
 
-def _all_across(rows: DataFrame, percent: int, held: int, passing: int) -> DataFrame:
+def _all_across(rows: DataFrame, about: DataFrame, percent: int, held: int, passing: int) -> DataFrame:
     """All pairs of members of one list that lie in different components and may link.
 
     Members of a list's largest component need not meet each other: the others are held, ``held`` at a
@@ -259,7 +264,7 @@ def _all_across(rows: DataFrame, percent: int, held: int, passing: int) -> DataF
         F.ceil(F.col("_n") / passing).cast("int").alias("chunks"),
         "_n",
     )
-    rows = join_counted(rows, saved(lists), ["own", "token"], "_n")
+    rows = join_counted(rows, saved(lists), ["own", "token"], "_n").join(about, "cid")
     names = ["own", "token", "part", "chunk", "passing", "cid", "n", "root", *WORDS_OF_BITS]
 
     def own_of(number: str) -> F.Column:
@@ -276,15 +281,26 @@ def _all_across(rows: DataFrame, percent: int, held: int, passing: int) -> DataF
     return both.mapInArrow(_across(percent), "a long, b long").distinct()
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _stored(sets: DataFrame, n: int) -> str:
+    """The name of a table of the sets in buckets of ``cid``: joins on it shuffle the other side only."""
+    buckets = min(BUCKETS, max(8, -(-n // BUCKET_SETS)))
+    name = f"sets_{uuid.uuid4().hex}"
+    rows = sets.repartition(buckets, "cid").write.bucketBy(buckets, "cid").sortBy("cid")
+    rows.option("path", new_folder(sets.sparkSession, "sets")).saveAsTable(name)
+    return name
+
+
+def _verified(pairs: DataFrame, sets: str, percent: int) -> DataFrame:
     """The pairs whose sets link. A document in very many pairs has its set copied, so its pairs spread over tasks."""
-    parts = saved(pairs.groupBy("a").agg(F.ceil(F.count("*") / PAIRS).cast("int").alias("parts")).filter("parts > 1"))
     names = pairs.columns
-    first, second = sets.select(F.col("cid").alias("a"), F.col("set").alias("set_a")), sets.select(F.col("cid").alias("b"), F.col("set").alias("set_b"))
-    pairs = pairs.join(second, "b")
+    parts = saved(pairs.groupBy("a").agg(F.ceil(F.count("*") / PAIRS).cast("int").alias("parts")).filter("parts > 1"))
+    first = pairs.sparkSession.table(sets).withColumnRenamed("set", "set_a")
+    second = pairs.sparkSession.table(sets).withColumnRenamed("set", "set_b")
+    pairs = pairs.join(second, F.col("b") == F.col("cid")).drop("cid")
     if parts.isEmpty():
-        pairs = pairs.join(first, "a")
+        pairs = pairs.join(first, F.col("a") == F.col("cid")).drop("cid")
     else:
+        first = first.withColumnRenamed("cid", "a")
         pairs = pairs.join(parts, "a", "left").withColumn("part", F.pmod(F.xxhash64("b"), F.coalesce("parts", F.lit(1))).cast("int"))
         first = first.join(parts, "a", "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)))
         pairs = pairs.join(first.drop("parts"), ["a", "part"])
@@ -332,16 +348,20 @@ def jaccard_components(
     classes = classes.withColumn("gid", F.min("cid").over(Window.partitionBy("_group"))).drop("_group")
     classes = saved(classes.withColumn("prefix", F.when(F.col("cid") == F.col("gid"), F.col("prefix"))))
 
-    lists = _lists(classes, percent)
-    lists = saved(lists.join(classes.select("cid", "n", *WORDS_OF_BITS), "cid"))
+    lists = saved(_lists(classes, percent))
+    about = classes.select("cid", "n", *WORDS_OF_BITS)
     needed = saved(classes.join(lists.select("cid").distinct(), "cid", "left_semi").select("cid", "_of_text"))
-    sets = texts.join(needed.select("_of_text"), "_of_text", "left_semi").select("_of_text", "_text")
-    sets = sets.mapInArrow(_whole_sets(k), "_of_text binary, set array<long>").dropDuplicates(["_of_text"])
-    sets = saved(sets.join(needed, "_of_text").select("cid", "set"))
-
+    # By shuffling at every size: what is needed grows with the documents.
+    own = texts.join(needed.select("_of_text").hint("merge"), "_of_text", "left_semi").select("_of_text", "_text")
+    own = own.mapInArrow(_whole_sets(k), "_of_text binary, set array<long>")
+    # One text may come from several tasks; a class has one text here.
+    own = own.join(needed, "_of_text").select("cid", "set").dropDuplicates(["cid"])
+    sets = _stored(own, needed.count())
+
+    near = saved(lists.filter(F.col("nth") <= HUB_LISTS).join(about, "cid"))
     links, tried, turn = None, None, 0
     while True:  # hubs, as long as they join a good part of what they meet
-        pairs = _to_hubs(_labelled(lists, links), turn, percent)
+        pairs = _to_hubs(_labelled(near, links), turn, percent)
         pairs = saved(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
         found = saved(_verified(pairs, sets, percent))
         links = found if links is None else links.unionByName(found)
@@ -351,8 +371,8 @@ def jaccard_components(
             break
     links = links.select("a", "b")
     of = saved(components(links)).select(F.col("node").alias("cid"), "root")
-    rows_of = lists.join(of, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
-    rest = saved(_all_across(rows_of, percent, held, passing).join(tried, ["a", "b"], "left_anti"))
+    rows_of = lists.select("own", "token", "cid").join(of, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
+    rest = saved(_all_across(rows_of, about, percent, held, passing).join(tried, ["a", "b"], "left_anti"))
     found = saved(_verified(rest, sets, percent))
     if not found.isEmpty():
         of = components(of.select(F.col("cid").alias("a"), F.col("root").alias("b")).unionByName(found))
@@ -365,6 +385,7 @@ def jaccard_components(
     found = saved(
         least.join(smallest, "root", "left").select("_set", "_rows", F.coalesce("smallest", "least").alias("component_id"))
     )
+    texts.sparkSession.sql(f"drop table {sets}")
     out = join_counted(rows.select("_id", "_set", "n"), found, ["_set"], "_rows")
     return out.select(
         F.col("_id").alias(id_col),
