@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from recordloom.llm.components import components
 from recordloom.llm.hot import join_counted
+from recordloom.llm.simhash import _roots as smallest_connected
 from recordloom.llm.text_arrays import lower_ascii, pack, raw_bytes, slices
 from recordloom.operators.shared import new_folder, saved
 
@@ -28,6 +29,9 @@ WORDS_OF_BITS = tuple(f"b{i}" for i in range(8))
 BITS = 64 * len(WORDS_OF_BITS)
 #: Lists of a member that look for hubs: those that most others are in.
 HUB_LISTS = 3
+HUB_TURNS = 4
+#: Links whose components one task finds, 16 bytes each.
+SMALL_GRAPH = 1 << 20
 #: Sets of one bucket of the stored table, and most buckets.
 BUCKET_SETS, BUCKETS = 1 << 14, 50_000
 
@@ -177,13 +181,36 @@ def _may_link(a: str, b: str, percent: int):
     return near & (far * (100 + percent) <= both * (100 - percent))
 
 
-def _labelled(lists: DataFrame, links: DataFrame | None) -> DataFrame:
-    """Members with ``root``, the smallest hub they link to: members with one root are in one component."""
-    if links is None:
+def _in_one_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for batch in batches:
+        a.append(np.asarray(batch.column("a")))
+        b.append(np.asarray(batch.column("b")))
+    nodes, at = np.unique(np.concatenate([*a, *b]), return_inverse=True)
+    half = len(at) // 2
+    root = smallest_connected(len(nodes), at[:half], at[half:])
+    yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[root])], names=["cid", "root"])
+
+
+def _roots(links: DataFrame) -> DataFrame:
+    """(cid, root), saved: the smallest class of the component of each class that has a link (a, b).
+
+    Up to SMALL_GRAPH links fit a task; more are contracted by joins.
+    """
+    links = saved(links.select("a", "b"))
+    if links.count() <= SMALL_GRAPH:
+        return saved(links.coalesce(1).mapInArrow(_in_one_task, "cid long, root long"))
+    return saved(components(links).select(F.col("node").alias("cid"), "root"))
+
+
+def _labelled(lists: DataFrame, roots: DataFrame | None) -> DataFrame:
+    if roots is None:
         return lists.withColumn("root", F.col("cid"))
-    member = F.when(F.col("a") == F.col("hub"), F.col("b")).otherwise(F.col("a"))
-    of = links.groupBy(member.alias("cid")).agg(F.min("hub").alias("root"))
-    return lists.join(of, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
+    return lists.join(roots, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
+
+
+def _with(roots: DataFrame, links: DataFrame) -> DataFrame:
+    return roots.filter("cid <> root").select(F.col("cid").alias("a"), F.col("root").alias("b")).unionByName(links)
 
 
 def _to_hubs(rows: DataFrame, turn: int, percent: int) -> DataFrame:
@@ -201,8 +228,7 @@ def _to_hubs(rows: DataFrame, turn: int, percent: int) -> DataFrame:
     )
     hubs = saved(hubs.filter("several").select("own", "token", "best.hub.*", "_n"))
     met = join_counted(rows, hubs, ["own", "token"], "_n").filter((F.col("root") != F.col("h_root")) & _may_link("", "h_", percent))
-    pairs = met.select(F.least("cid", "h_cid").alias("a"), F.greatest("cid", "h_cid").alias("b"), F.col("h_cid").alias("hub"))
-    return pairs.groupBy("a", "b").agg(F.min("hub").alias("hub"))
+    return met.select(F.least("cid", "h_cid").alias("a"), F.greatest("cid", "h_cid").alias("b")).distinct()
 
 
 def _across(percent: int, cells: int = 1 << 20):
@@ -359,24 +385,18 @@ def jaccard_components(
     sets = _stored(own, needed.count())
 
     near = saved(lists.filter(F.col("nth") <= HUB_LISTS).join(about, "cid"))
-    links, tried, turn = None, None, 0
-    while True:  # hubs, as long as they join a good part of what they meet
-        pairs = _to_hubs(_labelled(near, links), turn, percent)
+    roots, tried = None, None
+    for turn in range(HUB_TURNS):  # as long as hubs join a good part of what they meet
+        pairs = _to_hubs(_labelled(near, roots), turn, percent)
         pairs = saved(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
         found = saved(_verified(pairs, sets, percent))
-        links = found if links is None else links.unionByName(found)
-        now = pairs.select("a", "b")
-        tried, turn = now if tried is None else tried.unionByName(now), turn + 1
+        roots = _roots(found if roots is None else _with(roots, found))
+        tried = pairs if tried is None else tried.unionByName(pairs)
         if found.count() * 4 <= pairs.count():
             break
-    links = links.select("a", "b")
-    of = saved(components(links)).select(F.col("node").alias("cid"), "root")
-    rows_of = lists.select("own", "token", "cid").join(of, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
-    rest = saved(_all_across(rows_of, about, percent, held, passing).join(tried, ["a", "b"], "left_anti"))
-    found = saved(_verified(rest, sets, percent))
-    if not found.isEmpty():
-        of = components(of.select(F.col("cid").alias("a"), F.col("root").alias("b")).unionByName(found))
-        of = of.select(F.col("node").alias("cid"), "root")
+    rest = _all_across(_labelled(lists.select("own", "token", "cid"), roots), about, percent, held, passing)
+    rest = saved(rest.join(tried, ["a", "b"], "left_anti"))
+    of = _roots(_with(roots, saved(_verified(rest, sets, percent))))
 
     least = rows.groupBy("_set").agg(F.min("_id").alias("least"), F.count("*").alias("_rows"), F.max("n").alias("n"))
     of = classes.select("cid", "_set").join(of, "cid")
