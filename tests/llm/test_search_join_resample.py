@@ -148,6 +148,8 @@ def near_copies(rng, passage):
 def test_jaccard_finds_every_link_of_near_copies(spark, seed, held, passing, monkeypatch):
     monkeypatch.setattr(jaccard, "PAIRS", 2 if seed == 2 else 1 << 12)
     monkeypatch.setattr("recordloom.llm.hot.HOT", 5 if seed == 2 else 4096)
+    monkeypatch.setattr(jaccard, "SMALL_GRAPH", 3 if seed == 3 else 1 << 20)
+    monkeypatch.setattr(jaccard, "HUB_TURNS", 1 if seed == 2 else 4)
     rng = random.Random(seed)
     rows = near_copies(rng, [f"p{i}" for i in range(80)])
     want = should_join(rows)
