@@ -27,6 +27,8 @@ PAIRS = 1 << 12
 #: A set's bitmap: 512 bits in eight columns.
 WORDS_OF_BITS = tuple(f"b{i}" for i in range(8))
 BITS = 64 * len(WORDS_OF_BITS)
+#: Bits of the wider bitmap that stands beside a whole set.
+WIDE_BITS = 2048
 #: Lists of a member that look for hubs: those that most others are in.
 HUB_LISTS = 3
 HUB_TURNS = 4
@@ -83,12 +85,12 @@ def _shingle_sets(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
     return hashes[new], np.searchsorted(row[new], np.arange(len(texts) + 1))
 
 
-def _bitmaps(hashes: np.ndarray, upto: np.ndarray) -> np.ndarray:
-    """512 bits per text: whether an odd number of its hashes falls on each. Sets differ by as many at least."""
+def _bitmaps(hashes: np.ndarray, upto: np.ndarray, bits: int = BITS) -> np.ndarray:
+    """``bits`` bits per text: whether an odd number of its hashes falls on each. Sets differ by as many at least."""
     n = len(upto) - 1
-    at = np.repeat(np.arange(n), np.diff(upto)) * BITS + (hashes & np.uint64(BITS - 1)).astype(np.int64)
-    odd = (np.bincount(at, minlength=BITS * n) & 1).astype(np.uint8)
-    return np.packbits(odd.reshape(n, BITS), axis=1, bitorder="little").view(np.uint64).reshape(n, len(WORDS_OF_BITS))
+    at = np.repeat(np.arange(n), np.diff(upto)) * bits + (hashes & np.uint64(bits - 1)).astype(np.int64)
+    odd = (np.bincount(at, minlength=bits * n) & 1).astype(np.uint8)
+    return np.packbits(odd.reshape(n, bits), axis=1, bitorder="little").view(np.uint64).reshape(n, bits // 64)
 
 
 def _prefixes(k: int, percent: int):
@@ -138,7 +140,9 @@ def _whole_sets(k: int):
             part = batch.take(pa.array(new, pa.int64()))
             hashes, upto = _shingle_sets(part.column("_text"), k)
             sets = pa.ListArray.from_arrays(pa.array(upto.astype(np.int32)), pa.array(hashes.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([part.column("_of_text"), sets], names=["_of_text", "set"])
+            wide = _bitmaps(hashes, upto, WIDE_BITS).view(np.int64).reshape(-1)
+            wide = pa.ListArray.from_arrays(pa.array(np.arange(part.num_rows + 1, dtype=np.int32) * (WIDE_BITS // 64)), pa.array(wide))
+            yield pa.RecordBatch.from_arrays([part.column("_of_text"), sets, wide], names=["_of_text", "set", "wide"])
 
     return work
 
@@ -316,12 +320,27 @@ def _stored(sets: DataFrame, n: int) -> str:
     return name
 
 
+def _near_enough(pairs: DataFrame, sets: str, percent: int) -> DataFrame:
+    """The pairs whose wider bitmaps allow a link."""
+    stored = pairs.sparkSession.table(sets)
+    met = pairs.join(stored.select("cid", F.col("n").alias("n_b"), F.col("wide").alias("wide_b")), F.col("b") == F.col("cid")).drop("cid")
+    met = met.join(stored.select("cid", F.col("n").alias("n_a"), F.col("wide").alias("wide_a")), F.col("a") == F.col("cid")).drop("cid")
+    words = F.zip_with("wide_a", "wide_b", lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    far = F.aggregate(words, F.lit(0), lambda total, x: total + x)
+    return met.filter(far * (100 + percent) <= (F.col("n_a") + F.col("n_b")) * (100 - percent)).select(*pairs.columns)
+
+
 def _verified(pairs: DataFrame, sets: str, percent: int) -> DataFrame:
-    """The pairs whose sets link. A document in very many pairs has its set copied, so its pairs spread over tasks."""
+    """The pairs whose sets link.
+
+    First the wider bitmaps are compared, so sets are sent only where a link is all but certain. A
+    document in very many pairs has its set copied, so its pairs spread over tasks.
+    """
     names = pairs.columns
+    pairs = saved(_near_enough(pairs, sets, percent))
     parts = saved(pairs.groupBy("a").agg(F.ceil(F.count("*") / PAIRS).cast("int").alias("parts")).filter("parts > 1"))
-    first = pairs.sparkSession.table(sets).withColumnRenamed("set", "set_a")
-    second = pairs.sparkSession.table(sets).withColumnRenamed("set", "set_b")
+    stored = pairs.sparkSession.table(sets)
+    first, second = (stored.select("cid", F.col("set").alias(name)) for name in ("set_a", "set_b"))
     pairs = pairs.join(second, F.col("b") == F.col("cid")).drop("cid")
     if parts.isEmpty():
         pairs = pairs.join(first, F.col("a") == F.col("cid")).drop("cid")
@@ -379,9 +398,9 @@ def jaccard_components(
     needed = saved(classes.join(lists.select("cid").distinct(), "cid", "left_semi").select("cid", "_of_text"))
     # By shuffling at every size: what is needed grows with the documents.
     own = texts.join(needed.select("_of_text").hint("merge"), "_of_text", "left_semi").select("_of_text", "_text")
-    own = own.mapInArrow(_whole_sets(k), "_of_text binary, set array<long>")
+    own = own.mapInArrow(_whole_sets(k), "_of_text binary, set array<long>, wide array<long>")
     # One text may come from several tasks; a class has one text here.
-    own = own.join(needed, "_of_text").select("cid", "set").dropDuplicates(["cid"])
+    own = own.join(needed, "_of_text").select("cid", "set", "wide", F.size("set").alias("n")).dropDuplicates(["cid"])
     sets = _stored(own, needed.count())
 
     near = saved(lists.filter(F.col("nth") <= HUB_LISTS).join(about, "cid"))
