@@ -34,6 +34,8 @@ HUB_LISTS = 3
 HUB_TURNS = 4
 #: Links whose components one task finds, 16 bytes each.
 SMALL_GRAPH = 1 << 20
+#: Bits that tell which texts cannot be needed: 8 MB.
+SIEVE_BITS = 1 << 26
 #: Sets of one bucket of the stored table, and most buckets.
 BUCKET_SETS, BUCKETS = 1 << 14, 50_000
 
@@ -133,16 +135,16 @@ def _prefixes(k: int, percent: int):
 
 def _whole_sets(k: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[bytes] = set()
+        seen: set[int] = set()
         for batch in slices(batches, "_text"):
-            of = batch.column("_of_text").to_pylist()
+            of = batch.column("cid").to_pylist()
             new = [i for i, key in enumerate(of) if key not in seen and not seen.add(key)]
             part = batch.take(pa.array(new, pa.int64()))
             hashes, upto = _shingle_sets(part.column("_text"), k)
             sets = pa.ListArray.from_arrays(pa.array(upto.astype(np.int32)), pa.array(hashes.view(np.int64)))
             wide = _bitmaps(hashes, upto, WIDE_BITS).view(np.int64).reshape(-1)
             wide = pa.ListArray.from_arrays(pa.array(np.arange(part.num_rows + 1, dtype=np.int32) * (WIDE_BITS // 64)), pa.array(wide))
-            yield pa.RecordBatch.from_arrays([part.column("_of_text"), sets, wide], names=["_of_text", "set", "wide"])
+            yield pa.RecordBatch.from_arrays([part.column("cid"), sets, wide], names=["cid", "set", "wide"])
 
     return work
 
@@ -311,11 +313,30 @@ def _all_across(rows: DataFrame, about: DataFrame, percent: int, held: int, pass
     return both.mapInArrow(_across(percent), "a long, b long").distinct()
 
 
+def _texts_of(texts: DataFrame, needed: DataFrame) -> DataFrame:
+    """(cid, _text): the texts of the needed classes, each at least once.
+
+    Texts that cannot be needed stay where they are: the needed digests are spread over SIEVE_BITS bits, of
+    which the words that have any set are broadcast, so there are SIEVE_BITS / 64 of them at most. Beyond some
+    ten million classes the sieve fills up and lets more texts through to the join, which decides.
+    """
+    bit = F.pmod(F.xxhash64("_of_text"), F.lit(SIEVE_BITS))
+    word, in_word = F.shiftright(bit, 6), F.lit(1).cast("long")
+    # Shifts by a column are SQL functions only.
+    mask = F.call_function("shiftleft", in_word, F.pmod(bit, F.lit(64)).cast("int"))
+    sieve = saved(needed.groupBy(word.alias("_word")).agg(F.bit_or(mask).alias("_bits")))
+    passed = texts.withColumn("_word", word).join(F.broadcast(sieve), "_word").filter(F.col("_bits").bitwiseAND(mask) != 0)
+    # By shuffling at every size: what is needed grows with the documents.
+    return passed.select("_of_text", "_text").join(needed.hint("merge"), "_of_text").select("cid", "_text")
+
+
 def _stored(sets: DataFrame, n: int) -> str:
     """The name of a table of the sets in buckets of ``cid``: joins on it shuffle the other side only."""
     buckets = min(BUCKETS, max(8, -(-n // BUCKET_SETS)))
     name = f"sets_{uuid.uuid4().hex}"
-    rows = sets.repartition(buckets, "cid").write.bucketBy(buckets, "cid").sortBy("cid")
+    # A text that several documents have may come from several tasks.
+    rows = sets.repartition(buckets, "cid").dropDuplicates(["cid"]).withColumn("n", F.size("set"))
+    rows = rows.write.bucketBy(buckets, "cid").sortBy("cid")
     rows.option("path", new_folder(sets.sparkSession, "sets")).saveAsTable(name)
     return name
 
@@ -396,11 +417,7 @@ def jaccard_components(
     lists = saved(_lists(classes, percent))
     about = classes.select("cid", "n", *WORDS_OF_BITS)
     needed = saved(classes.join(lists.select("cid").distinct(), "cid", "left_semi").select("cid", "_of_text"))
-    # By shuffling at every size: what is needed grows with the documents.
-    own = texts.join(needed.select("_of_text").hint("merge"), "_of_text", "left_semi").select("_of_text", "_text")
-    own = own.mapInArrow(_whole_sets(k), "_of_text binary, set array<long>, wide array<long>")
-    # One text may come from several tasks; a class has one text here.
-    own = own.join(needed, "_of_text").select("cid", "set", "wide", F.size("set").alias("n")).dropDuplicates(["cid"])
+    own = _texts_of(texts, needed).mapInArrow(_whole_sets(k), "cid long, set array<long>, wide array<long>")
     sets = _stored(own, needed.count())
 
     near = saved(lists.filter(F.col("nth") <= HUB_LISTS).join(about, "cid"))
