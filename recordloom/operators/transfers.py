@@ -295,11 +295,12 @@ def _chunks(pairs: DataFrame, bucket: list[str]) -> DataFrame:
     return pairs.groupBy(*bucket).agg(ordered.alias("_pairs"))
 
 
-def _fold(chunks: DataFrame, kind: DataType) -> DataFrame:
-    """Adds ``_end``: the state after the pairs of each bucket (the rule in the module text)."""
+def _state(kind: DataType, held: Column, count: Column) -> Column:
+    return F.struct(held.cast(kind).alias("held"), count.cast("long").alias("count"))
+
 
-    def state(held: Column, count: Column) -> Column:
-        return F.struct(held.cast(kind).alias("held"), count.cast("long").alias("count"))
+def _after(kind: DataType, pairs: str, begin: Column) -> Column:
+    """The state after an array of pairs, from the state ``begin`` (the rule in the module text)."""
 
     def step(before: Column, pair: Column) -> Column:
         held, count, pos, neg = before["held"], before["count"], pair["pos"], pair["neg"]
@@ -307,12 +308,126 @@ def _fold(chunks: DataFrame, kind: DataType) -> DataFrame:
         free = count == 0
         count_after = F.when(free, (pos == neg).cast("long")).otherwise(grown)
         held_after = F.when(free & (pos == neg), pos).when(~free & (grown > 0), held)
-        return state(held_after, count_after)
+        return _state(kind, held_after, count_after)
+
+    return F.aggregate(pairs, begin, step)
+
+
+def _fold(chunks: DataFrame, kind: DataType) -> DataFrame:
+    """Adds ``_end``: the state after the pairs of each bucket."""
+    return chunks.withColumn("_end", _after(kind, "_pairs", _state(kind, F.lit(None), F.lit(0)))).drop("_pairs")
+
+
+# ---- buckets of many chunks, by summaries of the chunks
+#
+# A chunk turns the state before it into the state after it. Three cases need only a summary of the chunk:
+# nothing is held before it (the state after it is worked out once); an account is held so often that the
+# pairs without it cannot use it up (its number changes by a sum); or the state before it has been met. So
+# the summaries of a bucket are folded in order; where a state is met that needs the pairs, it is noted, the
+# state after the chunk is guessed, and the fold goes on. All noted states are then worked out at once, a
+# chunk per task, and the fold is repeated with what is known. The first open chunk is always settled, and
+# as most chunks end alike whatever went before, a few turns do. Buckets still open after ``TURNS`` turns,
+# and those of too many chunks for one fold, are left to the doubling below.
+
+TURNS = 12
+#: Chunks of a bucket that one fold takes; a summary has some hundred bytes.
+MOST_CHUNKS = 1 << 19
+#: An account in less than one of so many pairs of a chunk is not in its summary: at most twice as many are.
+LISTED = 8
+
+
+def _fold_long(pairs: DataFrame, bucket: list[str], chunk: int, turns: int = TURNS) -> DataFrame:
+    """``(bucket, held, count)``: the state after all pairs of each bucket."""
+    pairs = saved(pairs)
+    kind = pairs.schema["pos"].dataType
+    usual = F.col("_pairs_n") <= MOST_CHUNKS * chunk
+    ends, left = _fold_summaries(pairs.filter(usual), bucket, chunk, kind, turns)
+    rest = pairs.filter(~usual)
+    if left is not None:
+        rest = rest.unionByName(pairs.join(left, bucket, "left_semi"))
+    if rest.isEmpty():
+        return ends
+    return ends.unionByName(_fold_by_doubling(rest, bucket, chunk))
+
+
+def _fold_summaries(
+    pairs: DataFrame, bucket: list[str], chunk: int, kind: DataType, turns: int
+) -> tuple[DataFrame, DataFrame | None]:
+    """The states at the end of the buckets that are settled, and the buckets that are not."""
+    key = [*bucket, "_chunk"]
+    pairs = pairs.withColumn("_chunk", _chunk_of("_i", chunk))
+    parts = saved(pairs.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("_i", "pos", "neg"))).alias("_pairs")))
+    free = parts.select(*key, F.size("_pairs").cast("long").alias("_m"), _after(kind, "_pairs", _state(kind, F.lit(None), F.lit(0))).alias("_free"))
+    both = F.col("pos") == F.col("neg")
+    two, one = F.lit(2).cast("long"), F.lit(1).cast("long")
+    met = F.when(both, F.array(F.struct(F.col("pos").alias("held"), two.alias("_here")))).otherwise(
+        F.array(*[F.struct(F.col(side).alias("held"), one.alias("_here")) for side in ("pos", "neg")])
+    )
+    present = pairs.select(*key, F.inline(met)).groupBy(*key, "held").agg(F.sum("_here").alias("_rows"), F.count("*").alias("_met"))
+    listed = present.join(free.select(*key, "_m"), key).filter(F.col("_met") * LISTED >= F.col("_m"))
+    entry = F.struct("held", (F.col("_m") - F.col("_met")).alias("absent"), (F.col("_rows") - F.col("_m")).alias("change"))
+    listed = listed.groupBy(*key).agg(F.collect_list(entry).alias("_listed"))
+    summaries = saved(free.join(listed, key, "left"))
+
+    known = None
+    for turn in range(turns + 1):
+        rows = summaries
+        if known is not None:
+            pair = F.struct(F.col("_begin"), F.col("_end"), F.col("_turn"))
+            rows = rows.join(known.groupBy(*key).agg(F.sort_array(F.collect_list(pair.alias("p"))).alias("_known")), key, "left")
+        else:
+            state = f"struct<held: {kind.simpleString()}, count: bigint>"
+            rows = rows.withColumn("_known", F.lit(None).cast(f"array<struct<_begin: {state}, _end: {state}, _turn: int>>"))
+        fields = F.struct("_chunk", "_m", "_free", "_listed", "_known")
+        folded = rows.groupBy(*bucket).agg(F.array_sort(F.collect_list(fields), _in_order).alias("_all"))
+        folded = saved(folded.select(*bucket, _folded(kind).alias("f")))
+        settled = folded.filter(F.size("f.open") == 0).select(*bucket, "f.state.held", "f.state.count")
+        opened = folded.filter(F.size("f.open") > 0)
+        if opened.isEmpty():
+            return settled, None
+        if turn == turns:
+            return settled, opened.select(*bucket)
+        wanted = opened.select(*bucket, F.explode("f.open").alias("o")).select(*bucket, "o._chunk", F.col("o.state").alias("_begin"))
+        found = parts.join(wanted, key).select(*key, "_begin", _after(kind, "_pairs", F.col("_begin")).alias("_end"), F.lit(turn).alias("_turn"))
+        found = saved(found)
+        known = found if known is None else known.unionByName(found)
+    raise AssertionError("the last turn returns")
+
+
+def _in_order(a: Column, b: Column) -> Column:
+    return F.when(a["_chunk"] < b["_chunk"], -1).when(a["_chunk"] > b["_chunk"], 1).otherwise(0)
+
+
+def _folded(kind: DataType) -> Column:
+    """Over the summaries ``_all`` of a bucket in order: the state at the end, and the states that need pairs."""
+    open_type = f"array<struct<_chunk: bigint, state: struct<held: {kind.simpleString()}, count: bigint>>>"
+    begin = F.struct(_state(kind, F.lit(None), F.lit(0)).alias("state"), F.array().cast(open_type).alias("open"))
+
+    def step(before: Column, part: Column) -> Column:
+        held, count = before["state"]["held"], before["state"]["count"]
+        entry = F.get(F.filter(part["_listed"], lambda e: e["held"] == held), F.lit(0))
+        seen = F.filter(part["_known"], lambda k: (k["_begin"]["held"] == held) & (k["_begin"]["count"] == count))
+        passes = F.coalesce(count > entry["absent"], F.lit(False))
+        latest = F.try_element_at(F.array_sort(F.transform(part["_known"], lambda k: F.struct(k["_turn"].alias("t"), k["_end"].alias("e")))), F.lit(-1))
+        guess = F.when(F.size(part["_known"]) > 0, latest["e"]).otherwise(part["_free"])
+        is_known = F.coalesce(F.size(seen), F.lit(0)) > 0
+        after = (
+            F.when(count == 0, part["_free"])
+            .when(is_known, F.get(seen, F.lit(0))["_end"])
+            .when(passes, _state(kind, held, count + entry["change"]))
+            .otherwise(guess)
+        )
+        asks = (count > 0) & ~is_known & ~passes
+        item = F.struct(part["_chunk"].alias("_chunk"), _state(kind, held, count).alias("state"))
+        return F.struct(
+            _state(kind, after["held"], after["count"]).alias("state"),
+            F.when(asks, F.concat(before["open"], F.array(item).cast(open_type))).otherwise(before["open"]).alias("open"),
+        )
 
-    return chunks.withColumn("_end", F.aggregate("_pairs", state(F.lit(None), F.lit(0)), step)).drop("_pairs")
+    return F.aggregate("_all", begin, step)
 
 
-# ---- buckets of many chunks
+# ---- buckets of many chunks, by doubling
 #
 # Take "free after t pairs" as a place t. From a place whose next pair is of two accounts the state is free
 # one pair later. If both are account s, the level of s, its rows so far less the pairs so far, rises by
@@ -324,7 +439,7 @@ def _fold(chunks: DataFrame, kind: DataType) -> DataFrame:
 # Nothing is walked in order, and all windows are inside one chunk of places or over one figure per chunk.
 
 
-def _fold_long(pairs: DataFrame, bucket: list[str], chunk: int) -> DataFrame:
+def _fold_by_doubling(pairs: DataFrame, bucket: list[str], chunk: int) -> DataFrame:
     """``(bucket, held, count)``: the state after all pairs of each bucket."""
     pairs = saved(pairs.select(*bucket, "_pairs_n", (F.col("_i") + 1).alias("_at"), "pos", "neg"))
     levels = saved(_levels(pairs, bucket, chunk))

@@ -2,6 +2,7 @@ import random
 
 import pytest
 
+from recordloom.operators import transfers
 from recordloom.operators.transfers import cancel_transfers, rounds
 
 COLUMNS = "owner string, ord long, date string, amount double, account_id string"
@@ -114,3 +115,26 @@ def test_no_python_where_buckets_are_long(spark):
     df = spark.createDataFrame(sample(3, 3, 200), COLUMNS)
     plan = cancel_transfers(df, block=16, chunk=4)._jdf.queryExecution().toString()
     assert "Python" not in plan and "FlatMapGroups" not in plan
+
+
+@pytest.mark.parametrize("turns", [0, 1, 2, 30])
+@pytest.mark.parametrize("shares", [[1, 1, 1, 1], [9, 1, 1, 1], [6, 6, 1, 1]])
+def test_turns_over_summaries_do_not_matter(spark, monkeypatch, turns, shares):
+    """However few turns are allowed, what is left open is found by doubling."""
+    original = transfers._fold_summaries
+
+    def limited(pairs, bucket, chunk, kind, _):
+        return original(pairs, bucket, chunk, kind, turns)
+
+    monkeypatch.setattr(transfers, "_fold_summaries", limited)
+    rows = [(o, i, "2025-01-01", a and (9.0 if a > 0 else -9.0), acc) for o, i, _, a, acc in sample(sum(shares), 4, 600, shares)]
+    rows += [("p", 9000 + i, d, a, acc) for _, i, d, a, acc in sample(2, 3, 60)]
+    assert run(spark, rows, by=["owner"], block=64, chunk=16) == sorted(
+        brute_force([r for r in rows if r[0] == "o"]) + brute_force([r for r in rows if r[0] == "p"])
+    )
+
+
+def test_buckets_of_too_many_chunks_are_doubled(spark, monkeypatch):
+    monkeypatch.setattr(transfers, "MOST_CHUNKS", 3)
+    rows = [(o, i, "2025-01-01", a and (9.0 if a > 0 else -9.0), acc) for o, i, _, a, acc in sample(5, 3, 300)]
+    assert run(spark, rows, block=64, chunk=16) == brute_force(rows)
