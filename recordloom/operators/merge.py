@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 TRANSACTION_KEY = ("date", "description", "amount", "account_id")
@@ -52,6 +52,35 @@ def merge_ignore(
     return fresh.join(stored.select(*by, *key), [*by, *key], "left_anti")
 
 
+def row_key(columns: Sequence[str]) -> Column:
+    """A digest of the values of a row, NULL if one of them is; zero has one sign."""
+    parts = []
+    for name in columns:
+        value = F.col(name)
+        text = F.when(value == 0, F.lit("0")).otherwise(value.cast("string")) if name == "amount" else value.cast("string")
+        parts += [F.length(text).cast("string"), F.lit(":"), text]
+    return F.unhex(F.sha2(F.concat(*parts), 256))
+
+
+def merge_ignore_keyed(
+    batch: DataFrame,
+    stored: DataFrame | None,
+    key: Sequence[str] = TRANSACTION_KEY,
+    order: str = "ord",
+    required: Sequence[str] = ("date", "description", "amount"),
+    by: Sequence[str] = (),
+) -> DataFrame:
+    """As ``merge_ignore``, with the key as one column ``row_key``, which stored rows have too.
+
+    Where these are in Spark's buckets of it, only the batch is shuffled. A key with a NULL is NULL and
+    equals nothing.
+    """
+    fresh = first_rows(batch, key, order, required, by).withColumn("row_key", row_key([*by, *key]))
+    if stored is None:
+        return fresh
+    return fresh.join(stored.select("row_key"), "row_key", "left_anti")
+
+
 def import_counts(batch: DataFrame, inserted: DataFrame) -> DataFrame:
     """One row: ``inserted`` and ``skipped`` = rows of the batch minus inserted."""
     done = inserted.agg(F.count("*").alias("inserted"))

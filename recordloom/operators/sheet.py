@@ -96,8 +96,11 @@ def unpivot_sheet(rows: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 
 def _years(returns: DataFrame, by: Sequence[str]) -> DataFrame:
-    """One row per owner and year with a map of its figures; a year has at most as many as fields."""
-    entries = F.collect_list(F.struct("db_col", "value"))
+    """One row per owner and year with a map of its figures; a year has at most as many as fields.
+
+    A row without field stands for a year without figures.
+    """
+    entries = F.collect_list(F.when(F.col("db_col").isNotNull(), F.struct("db_col", "value")))
     return returns.groupBy(*by, "tax_year").agg(F.map_from_entries(entries).alias("_figures"))
 
 

@@ -52,18 +52,13 @@ def annual_by_source(transactions: DataFrame, by: Sequence[str] = ()) -> DataFra
     return rows.groupBy(*by, "year", F.col("source_file").alias("group_value")).agg(*_figures())
 
 
-def annual_summary(transactions: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """The three summaries in one table, told apart by ``group_type``, from one pass over the rows.
-
-    Every set is aggregated inside the map tasks first, so a year, description or file with a large
-    share of the rows reaches the shuffle as one partial row per task.
-    """
-    rows = _prepared(transactions, by, ["normalized_description", "source_file"])
+def _sets(rows: DataFrame, by: Sequence[str], figures: Sequence[Column]) -> DataFrame:
+    """The three summaries of rows with year, normalized_description and source_file in one pass."""
     base = [F.col(c) for c in by] + [F.col("year")]
     description, source = F.col("normalized_description"), F.col("source_file")
     summed = rows.groupingSets(
         [base, [*base, description], [*base, source]], *base, description, source
-    ).agg(F.grouping_id().alias("_set"), *_figures())
+    ).agg(F.grouping_id().alias("_set"), *figures)
     # Bits of the id, from the left: by, year, description, source; a set bit is a column left out.
     which = F.col("_set")
     return summed.select(
@@ -76,3 +71,44 @@ def annual_summary(transactions: DataFrame, by: Sequence[str] = ()) -> DataFrame
         "net",
         "txn_count",
     )
+
+
+def annual_summary(transactions: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """The three summaries in one table, told apart by ``group_type``, from one pass over the rows.
+
+    Every set is aggregated inside the map tasks first, so a year, description or file with a large
+    share of the rows reaches the shuffle as one partial row per task.
+    """
+    return _sets(_prepared(transactions, by, ["normalized_description", "source_file"]), by, _figures())
+
+
+def partial_sums(transactions: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """``(by, year, normalized_description, source_file)`` with sums that can be added to those of other rows.
+
+    ``summary_of_sums`` over the partial sums of several batches is the summary of all their rows.
+    """
+    amount, exact = F.col("amount"), F.col("_exact")
+
+    def part(name: str, condition: Column | None) -> list[Column]:
+        a = amount if condition is None else F.when(condition, amount).otherwise(0.0)
+        e = exact if condition is None else F.when(condition, exact).otherwise(0)
+        return [
+            F.sum(e).alias(f"{name}_exact"),
+            F.sum(a).alias(f"{name}_double"),
+            (F.count(e) == F.count(a)).alias(f"{name}_fits"),
+        ]
+
+    rows = _prepared(transactions, by, ["normalized_description", "source_file"])
+    return rows.groupBy(*by, "year", "normalized_description", "source_file").agg(
+        *part("total_income", amount > 0), *part("total_spend", amount < 0), *part("net", None), F.count("*").alias("txn_count")
+    )
+
+
+def summary_of_sums(sums: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """The annual summary from partial sums."""
+
+    def total(name: str) -> Column:
+        whole = F.when(F.bool_and(f"{name}_fits"), F.sum(f"{name}_exact").cast("double")).otherwise(F.sum(f"{name}_double"))
+        return F.coalesce(whole, F.lit(0.0)).alias(name)
+
+    return _sets(sums, by, [total("total_income"), total("total_spend"), total("net"), F.sum("txn_count").alias("txn_count")])

@@ -7,39 +7,67 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recordloom.operators.merge import merge_ignore
+from recordloom.operators.merge import merge_ignore, merge_ignore_keyed
 from recordloom.operators.shared import saved
-from recordloom.operators.summary import annual_summary
+from recordloom.operators.summary import partial_sums, summary_of_sums
 from recordloom.operators.transfers import cancel_transfers
 from recordloom.sources.ledger_files import scan_ledgers
-from recordloom.sources.tables import append, read_appended, read_snapshot, write_snapshot
+from recordloom.sources.tables import (
+    APPENDED_BUCKETS,
+    Keyed,
+    append,
+    mark,
+    marked,
+    read_appended,
+    read_snapshot,
+    unmark,
+    write_snapshot,
+)
 
 
 def transactions_path(store: str) -> str:
     return f"{store}/transactions"
 
 
+def sums_path(store: str) -> str:
+    return f"{store}/sums"
+
+
 def analysis_path(store: str) -> str:
     return f"{store}/analysis"
 
 
-def import_batch(batch: DataFrame, store: str, by: Sequence[str] = ()) -> DataFrame:
-    """Cancels transfers inside the batch, appends what is not stored yet and rebuilds the summary.
+def _open_path(store: str) -> str:
+    """There while an import is under way, and after one that broke off."""
+    return f"{store}/import_under_way"
+
+
+def import_batch(batch: DataFrame, store: str, by: Sequence[str] = (), buckets: int = APPENDED_BUCKETS) -> DataFrame:
+    """Cancels transfers inside the batch, appends what is not stored yet and brings the summary up to date.
+
+    Stored transactions are in Spark's buckets of a digest of their key, so the anti join shuffles the
+    batch only. Beside them stand partial sums per year, description and file; an import adds those of
+    its own rows, and the summary is made from them without reading the transactions.
 
     Returns one row ``parsed, cancelled, inserted, skipped, analysis_rows``. Importing a batch again,
-    also after a run that broke off half-way, adds only what is missing.
+    also after a run that broke off half-way, adds only what is missing; after such a run the sums are
+    made anew from the transactions.
     """
     spark = batch.sparkSession
+    broken = marked(spark, _open_path(store))
     kept = saved(cancel_transfers(batch, by))
-    stored = read_appended(spark, transactions_path(store))
-    if stored is not None:
-        # The date is part of the key, so stored rows outside the batch's dates cannot match; the
-        # range reaches the Parquet scan.
-        first, last = kept.agg(F.min("date"), F.max("date")).first()
-        stored = stored.filter(F.col("date").between(first, last))
-    fresh = saved(merge_ignore(kept, stored, by=by).withColumn("imported_at", F.current_timestamp()))
-    append(fresh, transactions_path(store))
-    rows = rebuild_table(spark, store, by)
+    table = Keyed(spark, transactions_path(store), buckets)
+    fresh = _fresh(kept, table, by)
+    fresh = saved(fresh.withColumn("imported_at", F.current_timestamp()))
+    older = table.exists and read_appended(spark, sums_path(store)) is None
+    mark(spark, _open_path(store))
+    table.append(fresh)
+    if broken or older:
+        rows = rebuild_table(spark, store, by)
+    else:
+        append(partial_sums(fresh, by), sums_path(store))
+        rows = _write_analysis(read_appended(spark, sums_path(store)), store, by)
+    unmark(spark, _open_path(store))
 
     def counted(df: DataFrame, name: str) -> DataFrame:
         return df.agg(F.count("*").alias("n")).withColumn("what", F.lit(name))
@@ -58,11 +86,24 @@ def import_batch(batch: DataFrame, store: str, by: Sequence[str] = ()) -> DataFr
     )
 
 
-def rebuild_table(spark: SparkSession, store: str, by: Sequence[str] = ()) -> int:
-    """Computes the summary of all stored transactions anew; returns its row count."""
-    summary = annual_summary(read_appended(spark, transactions_path(store)), by)
+def _fresh(kept: DataFrame, table: Keyed, by: Sequence[str]) -> DataFrame:
+    """The rows of a batch that the table does not hold, with their key."""
+    if not table.has_keys:
+        return merge_ignore(kept, table.read(), by=by)
+    return merge_ignore_keyed(kept, table.read(), by=by)
+
+
+def _write_analysis(sums: DataFrame, store: str, by: Sequence[str]) -> int:
+    summary = summary_of_sums(sums, by)
     target = write_snapshot(summary.withColumn("computed_at", F.current_timestamp()), analysis_path(store))
-    return spark.read.parquet(target).count()
+    return sums.sparkSession.read.parquet(target).count()
+
+
+def rebuild_table(spark: SparkSession, store: str, by: Sequence[str] = ()) -> int:
+    """Computes the sums and the summary of all stored transactions anew; returns the summary's row count."""
+    stored = spark.read.parquet(transactions_path(store))
+    partial_sums(stored, by).write.mode("overwrite").parquet(sums_path(store))
+    return _write_analysis(read_appended(spark, sums_path(store)), store, by)
 
 
 def read_analysis(spark: SparkSession, store: str) -> DataFrame | None:

@@ -3,16 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from recordloom.operators.merge import merge_replace
 from recordloom.operators.shared import saved
 from recordloom.operators.sheet import analysis_table, pivot_returns, sheet_fields, unpivot_sheet
-from recordloom.sources.sheet_files import scan_sheets
-from recordloom.sources.tables import read_snapshot, write_snapshot
+from recordloom.sources.csv_files import sheet_of_row
+from recordloom.sources.sheet_files import SheetScan, scan_sheets
+from recordloom.sources.tables import read_snapshot, replace_in_buckets, write_snapshot
 
 BY = ["filer"]
 
@@ -39,33 +39,29 @@ def import_sheets(
 ) -> DataFrame:
     """Imports sheets; the years they have replace the stored years of their filer. Returns the rejected.
 
-    Sheets of different filers are imported together. A filer's second sheet replaces whole years of
-    the first, so it is imported after it.
+    One job imports all: of several sheets of a filer the last one in ``paths`` that has a year counts
+    for that year. Only the buckets of the filers at hand are read and written. A year of a sheet without
+    any usable line is stored too, as a row without field: it replaces the year and stands before the next.
     """
-    turns: list[list[str]] = []
-    seen: dict[str, int] = {}
-    for path in paths:
-        filer = filer_of(path) if filer_of else ""
-        turn = seen[filer] = seen.get(filer, -1) + 1
-        if turn == len(turns):
-            turns.append([])
-        turns[turn].append(path)
-    # No path at all is one empty turn.
-    rejected = [_import_together(spark, together, store, filer_of, multi_line) for together in turns or [[]]]
-    return reduce(DataFrame.unionByName, rejected)
-
-
-def _import_together(
-    spark: SparkSession, paths: Sequence[str], store: str, filer_of: Callable[[str], str] | None, multi_line: bool
-) -> DataFrame:
     scan = scan_sheets(spark, paths, filer_of, multi_line)
-    new = saved(unpivot_sheet(scan.rows, BY).withColumn("imported_at", F.current_timestamp()))
+    new = saved(_last_sheets(scan, multi_line).withColumn("imported_at", F.current_timestamp()))
     if not new.isEmpty():
-        stored = read_snapshot(spark, returns_path(store))
-        write_snapshot(merge_replace(stored, new, by=BY), returns_path(store))
+        replace_in_buckets(new, returns_path(store), ["tax_year"], BY)
     return scan.rejected
 
 
+def _last_sheets(scan: SheetScan, multi_line: bool) -> DataFrame:
+    """``(filer, tax_year, db_col, value)`` of the last sheet that has the year of the filer."""
+    rows = scan.rows.withColumn("sheet", sheet_of_row(F.col("ord"), multi_line))
+    figures = unpivot_sheet(rows, [*BY, "sheet"])
+    no_figure = F.lit(None).cast("string").alias("db_col"), F.lit(None).cast("double").alias("value")
+    years = scan.years.select(*BY, "sheet", "tax_year", *no_figure)
+    year = Window.partitionBy(*BY, "tax_year")
+    both = figures.unionByName(years).withColumn("_last", F.max("sheet").over(year)).filter("sheet = _last")
+    some = F.count("db_col").over(year)
+    return both.withColumn("_some", some).filter("db_col is not null or _some = 0").select(*BY, "tax_year", "db_col", "value")
+
+
 def all_returns(spark: SparkSession, store: str, fields: Sequence[str]) -> DataFrame | None:
     """Wide view of the stored returns in the order of the years; None when nothing is stored."""
     stored = read_snapshot(spark, returns_path(store))

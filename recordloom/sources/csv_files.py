@@ -9,11 +9,16 @@ from __future__ import annotations
 import csv
 import re
 from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# Files of more bytes are not read whole for their first line.
+WHOLE_BYTES = 1 << 22
+# Jobs for first lines that run at once.
+HEADER_JOBS = 16
 # File positions are broadcast up to this many files (a few hundred bytes each).
 BROADCAST_FILES = 200_000
 
@@ -48,27 +53,53 @@ def find_files(
 ) -> list[InputFile]:
     """The requested files with their first lines; only file names and header lines reach the driver."""
     jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    found = []
+    found, large = [], set()
     for pos, path in enumerate(paths):
         hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
         fs = hadoop_path.getFileSystem(conf)
         full = fs.makeQualified(hadoop_path) if fs.exists(hadoop_path) else None
         uri = re.sub("^file:/+", "file:/", full.toUri().toString()) if full else None
+        if full and fs.getFileStatus(full).getLen() > WHOLE_BYTES:
+            large.add(full.toString())
         owner = owner_of(path) if owner_of else None
         found.append(InputFile(pos, path, uri, full.toString() if full else None, owner))
-    locations = _locations(found)
     headers = {}
-    if locations:
-        lines = spark.read.text(locations).select(
-            _same_form(F.col("_metadata.file_path")).alias("uri"),
-            F.col("value"),
-            F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("at"),
-        )
-        first = lines.groupBy("uri").agg(F.min_by("value", "at").alias("header"))
-        headers = {r.uri: r.header.lstrip("\ufeff").strip() for r in first.collect()}
+    small = [p for p in _locations(found) if p not in large]
+    for lines in (_first_lines(spark, small), _first_lines_of_large(spark, sorted(large))):
+        headers |= {uri: line.lstrip("\ufeff").strip() for uri, line in lines}
     return [replace(f, header=headers.get(f.uri, "")) for f in found]
 
 
+def _first_lines(spark: SparkSession, locations: Sequence[str]) -> list[tuple[str, str]]:
+    if not locations:
+        return []
+    lines = spark.read.text(list(locations)).select(
+        _same_form(F.col("_metadata.file_path")).alias("uri"),
+        F.col("value"),
+        F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("at"),
+    )
+    return [(r.uri, r.header) for r in lines.groupBy("uri").agg(F.min_by("value", "at").alias("header")).collect()]
+
+
+def _first_lines_of_large(spark: SparkSession, locations: Sequence[str]) -> list[tuple[str, str]]:
+    """First lines of files that are not to be read whole: a job each, which takes the first row of the first split.
+
+    Spark stops reading there, after one buffer, whatever the size of the file. Jobs run side by side.
+    """
+
+    def first(location: str) -> tuple[str, str]:
+        row = spark.read.text(location).select(_same_form(F.col("_metadata.file_path")).alias("uri"), "value").head()
+        return row.uri, row.value
+
+    with ThreadPoolExecutor(HEADER_JOBS) as pool:
+        return list(pool.map(first, locations))
+
+
+def sheet_of_row(order: Column, multi_line: bool = True) -> Column:
+    """The position in the request of the file that a row with this ``ord`` is of."""
+    return F.shiftright(order, _ROW_BITS if multi_line else _BYTE_BITS)
+
+
 def header_names(header: str) -> list[str]:
     return next(csv.reader([header]), [])
 

@@ -22,6 +22,7 @@ SHEET_ROWS = (
 class SheetScan:
     rows: DataFrame
     rejected: DataFrame  # path, reason
+    years: DataFrame  # filer, sheet (position in the request), tax_year: the year columns of each sheet
 
 
 def _rows(cells: DataFrame, names: Sequence[str]) -> DataFrame:
@@ -54,12 +55,17 @@ def scan_sheets(
     for file in files:
         if file.uri is not None:
             by_header.setdefault(file.header, []).append(file)
-    parts = []
+    parts, years = [], []
     for header, group in by_header.items():
         names = header_names(header)
         if "Form" in names and "Line" in names:
             parts.append(_rows(read_cells(spark, group, multi_line), names))
+            years += [(f.owner, f.pos, year) for f in group for _, year in year_columns(names)]
         else:
             rejected += [(f.path, "needs the columns 'Form' and 'Line'") for f in group]
     rows = reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], SHEET_ROWS)
-    return SheetScan(rows, spark.createDataFrame(rejected, "path string, reason string"))
+    return SheetScan(
+        rows,
+        spark.createDataFrame(rejected, "path string, reason string"),
+        spark.createDataFrame(years, "filer string, sheet long, tax_year int"),
+    )

@@ -125,3 +125,22 @@ def test_dedup_is_trimmed_before_the_shuffle(spark, capsys):
     merge_ignore(df, None).explain()
     plan = capsys.readouterr().out
     assert "Partial" in plan[plan.index("Exchange") :] and "WindowGroupLimit" in plan
+
+
+def test_headers_of_large_files_read_little(spark, tmp_path, monkeypatch):
+    """The first line is found without reading the file: bytes read stay far below its size."""
+    from recordloom.sources import csv_files
+
+    line = "x" * 90 + ",1\n"
+    (tmp_path / "big.csv").write_text("\ufeffone,two\n" + line * 600_000)
+    (tmp_path / "next.csv").write_text("three,four\n" + line * 50_000)
+    (tmp_path / "small.csv").write_text("five\n1\n")
+    paths = [str(tmp_path / n) for n in ("big.csv", "small.csv", "none.csv", "next.csv")]
+    store = spark.sparkContext._jsc.sc().statusStore()
+    before = sum(store.executorList(False).apply(i).totalInputBytes() for i in range(store.executorList(False).size()))
+    found = csv_files.find_files(spark, paths)
+    assert [f.header for f in found] == ["one,two", "five", "", "three,four"]
+    after = sum(store.executorList(False).apply(i).totalInputBytes() for i in range(store.executorList(False).size()))
+    assert after - before < 8 << 20
+    monkeypatch.setattr(csv_files, "WHOLE_BYTES", 1)
+    assert [f.header for f in csv_files.find_files(spark, paths)] == ["one,two", "five", "", "three,four"]
