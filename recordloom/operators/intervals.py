@@ -2,10 +2,9 @@
 
 Starts and ends are texts and are compared as texts. A window is closed: touching is overlapping.
 
-Where an owner has more rows than one task should get, its rows are worked on per block, a block being
-the first characters of the start: for ``2024-01-01 10:05:00`` the hour. What the earlier blocks
-contribute is one figure per block, the largest end so far, so the rows are spread over many tasks and
-only the owner's list of blocks is walked in order.
+Where an owner has more rows than one task should get, its rows are sorted by ranges (``in_blocks``). What
+the earlier blocks contribute is one figure per block, the largest end so far, so the rows are spread over
+many tasks, also when they all lie in one hour, and only the owner's list of blocks is walked in order.
 """
 
 from __future__ import annotations
@@ -16,16 +15,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from recordloom.operators.ordered import in_blocks
 from recordloom.operators.shared import saved
 
-# Characters of a start that name its block: up to the hour.
-BLOCK_CHARS = 13
 # Windows of one owner, equal starts counted once, beyond which they are merged block by block.
 LARGE_OWNER = 1 << 20
 # Equal records that one task writes out.
 MANY_COPIES = 1 << 16
-# Lengths of the prefixes the largest end is carried over: day, hour, second.
-LEVELS = (10, 13, 19)
 
 
 def _block_of(text: Column, chars: int) -> Column:
@@ -37,13 +33,14 @@ def merge_intervals(
     by: Sequence[str] = (),
     start: str = "start",
     end: str = "end",
-    block_chars: int = BLOCK_CHARS,
+    block_chars: int | None = None,
     large_owner: int = LARGE_OWNER,
 ) -> DataFrame:
     """Windows that overlap or touch, merged: ``(by, start, end, copies)``.
 
     Windows without start or end are left out. ``copies`` is 1, save that a window ending before it
-    starts never merges with its equals and stands for that many of them.
+    starts never merges with its equals and stands for that many of them. With ``block_chars`` the blocks
+    of a large owner are the first characters of the start instead of ranges.
     """
     backwards = F.when(F.col("end") < F.col("start"), F.col("end"))
     # Of windows with the same start only the longest matters, so equal starts are reduced first.
@@ -64,8 +61,7 @@ def merge_intervals(
         return _merge_in_blocks(rows, by, block_chars) if rows.count() > large_owner else _merge(rows, by)
     if large.isEmpty():
         return _merge(rows, by)
-    # There are at most (all rows / large_owner) large owners, so their list may be broadcast.
-    large = F.broadcast(saved(large))
+    large = saved(large)
     usual = _merge(rows.join(large, list(by), "left_anti"), by)
     return usual.unionByName(_merge_in_blocks(rows.join(large, list(by), "left_semi"), by, block_chars))
 
@@ -94,9 +90,12 @@ def _merge(rows: DataFrame, by: Sequence[str]) -> DataFrame:
     return _pieces(rows, by).select(*by, "start", "end", "copies")
 
 
-def _merge_in_blocks(rows: DataFrame, by: Sequence[str], chars: int) -> DataFrame:
+def _merge_in_blocks(rows: DataFrame, by: Sequence[str], chars: int | None) -> DataFrame:
     key = [*by, "_block"]
-    rows = rows.withColumn("_block", _block_of(F.col("start"), chars))
+    if chars is None:
+        rows = in_blocks(rows, by, ["start", "end"])
+    else:
+        rows = rows.withColumn("_block", _block_of(F.col("start"), chars))
     earlier = Window.partitionBy(*by).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     ends = rows.groupBy(*key).agg(F.max("end").alias("_block_end"))
     carried = ends.select(*key, F.max("_block_end").over(earlier).alias("_carried"))
@@ -121,21 +120,24 @@ def interval_overlap(
     by: Sequence[str] = (),
     start: str = "start",
     end: str = "end",
-    levels: Sequence[int] = LEVELS,
+    levels: Sequence[int] | None = None,
+    large_owner: int = LARGE_OWNER,
 ) -> DataFrame:
     """Records that overlap one of the merged windows ``(by, start, end)``; those without dates do not.
 
     A record overlaps exactly when, of the windows that start no later than it ends, the largest end is no
     earlier than its start. So only the different ends of records are put among the starts of windows, and
-    the largest end of a window is carried along, first over prefixes of the texts and then inside the
-    longest prefix (``levels``). The ends where an overlap is possible are saved; as their real size is
-    then known, Spark sends them to the records where they are small enough, which are then not shuffled.
+    the largest end of a window is carried along: in one window per owner, for large owners over ranges of
+    the texts, or with ``levels`` over prefixes of these lengths and inside the longest. The ends where an
+    overlap is possible are saved; as their real size is then known, Spark sends them to the records where
+    they are small enough, which are then not shuffled.
     """
     dated = records.filter(F.col(start).isNotNull() & F.col(end).isNotNull())
     ends = dated.groupBy(*by, F.col(end).alias("_at")).agg(F.min(start).alias("_first"))
     starts = windows.groupBy(*by, F.col("start").alias("_at")).agg(F.max("end").alias("_to"))
     points = ends.join(starts, [*by, "_at"], "full")
-    reached = _largest_so_far(points, by, levels).filter("_first <= _reached")
+    reached = _largest_in_prefixes(points, by, levels) if levels else _largest_so_far(points, by, large_owner)
+    reached = reached.filter("_first <= _reached")
     kept = saved(reached.select(*by, F.col("_at").alias("_end"), "_reached"))
     met = (F.col(f"r.{end}") == F.col("k._end")) & (F.col(f"r.{start}") <= F.col("k._reached"))
     for name in by:
@@ -143,7 +145,34 @@ def interval_overlap(
     return dated.alias("r").join(kept.alias("k"), met, "left_semi")
 
 
-def _largest_so_far(points: DataFrame, by: Sequence[str], levels: Sequence[int]) -> DataFrame:
+def _largest_so_far(points: DataFrame, by: Sequence[str], large_owner: int) -> DataFrame:
+    """Points with ``_reached``, the largest ``_to`` of their owner up to and with their own ``_at``."""
+    points = saved(points)
+
+    def whole(rows: DataFrame) -> DataFrame:
+        upto = Window.partitionBy(*by).orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
+        return rows.withColumn("_reached", F.max("_to").over(upto))
+
+    def by_ranges(rows: DataFrame) -> DataFrame:
+        rows = in_blocks(rows, by, ["_at"])
+        key = [*by, "_block"]
+        earlier = Window.partitionBy(*by).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+        inside = Window.partitionBy(*key).orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
+        carried = rows.groupBy(*key).agg(F.max("_to").alias("_most")).withColumn("_carried", F.max("_most").over(earlier))
+        rows = rows.withColumn("_own", F.max("_to").over(inside)).join(carried.drop("_most"), key)
+        return rows.withColumn("_reached", F.greatest("_own", "_carried"))
+
+    if not by:
+        return by_ranges(points) if points.count() > large_owner else whole(points)
+    large = saved(points.groupBy(*by).count().filter(F.col("count") > large_owner).drop("count"))
+    if large.isEmpty():
+        return whole(points)
+    names = [*points.columns, "_reached"]
+    usual = whole(points.join(large, list(by), "left_anti"))
+    return usual.select(*names).unionByName(by_ranges(points.join(large, list(by), "left_semi")).select(*names))
+
+
+def _largest_in_prefixes(points: DataFrame, by: Sequence[str], levels: Sequence[int]) -> DataFrame:
     """Points with ``_reached``, the largest ``_to`` of their owner up to and with their own ``_at``.
 
     A prefix of a text sorts as the text does. The largest ``_to`` of each prefix is carried over the

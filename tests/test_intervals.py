@@ -125,3 +125,35 @@ def test_children_take_no_attribute_of_their_parent(spark):
     p = spark.createDataFrame([("s", "cuff", [("Sys",)])], "subject string, device string, Record array<struct<type:string>>")
     left = {tuple(x) for x in top_level(r, p, "Record", ["subject"]).collect()}
     assert left == {("s", "HR", "watch"), ("s", "Sys", "cuff")}
+
+
+@pytest.mark.parametrize("large", [1 << 20, 30, 3])
+@pytest.mark.parametrize("by", [[], ["subject"]])
+def test_ranges_of_large_owners_do_not_matter(spark, monkeypatch, large, by):
+    """Blocks of four rows in several ranges give what one window gives."""
+    monkeypatch.setattr("recordloom.operators.ordered.in_blocks.__defaults__", (2,))
+    rows = [(o, s, e) for o, n in (("x", 80), ("y", 25)) for s, e in sample(ord(o), n, 4_000)]
+    if not by:
+        rows = [("x", s, e) for _, s, e in rows]
+    df = spark.createDataFrame(rows, "subject string, start string, end string")
+    windows = merge_intervals(df, by, large_owner=large)
+    found = {}
+    for r in windows.withColumn("owner", F.col("subject") if by else F.lit("x")).collect():
+        found.setdefault(r.owner, []).extend([(r.start, r.end)] * r.copies)
+    want = {o: fold([(s, e) for w, s, e in rows if w == o]) for o in {r[0] for r in rows}}
+    assert {o: sorted(v) for o, v in found.items()} == want
+    records = [(i, o, *w) for i, (o, w) in enumerate((o, w) for o in want for w in sample(ord(o) + 9, 200, 5_000))]
+    r = spark.createDataFrame(records, "id int, subject string, start string, end string")
+    kept = interval_overlap(r, windows, by, large_owner=large)
+    assert sorted(x.id for x in kept.collect()) == sorted(i for i, o, s, e in records if overlaps(want[o], s, e))
+
+
+def test_windows_of_one_hour_are_merged_in_several_tasks(spark):
+    from recordloom.operators.ordered import in_blocks
+
+    n = 200_000
+    at = F.concat(F.lit("2024-01-01 10:"), F.format_string("%02d:%09.6f", (F.col("id") * 15_000 / 6e7).cast("int"), (F.col("id") * 15_000 % 60_000_000) / 1e6))
+    windows = spark.range(n).select(at.alias("start")).withColumn("end", F.col("start"))
+    assert merge_intervals(windows, large_owner=1000).count() == n
+    sizes = [r["count"] for r in in_blocks(windows, [], ["start"]).groupBy("_block").count().collect()]
+    assert max(sizes) <= 1 << 16 and len(sizes) >= 4
