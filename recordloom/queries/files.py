@@ -15,7 +15,7 @@ from recordloom.operators.shared import new_folder
 from recordloom.operators.sheet import unpivot_sheet
 from recordloom.plans.health_extract import extract, extract_report, kept_counts, write_documents, write_extract
 from recordloom.plans.ledger_import import import_ledgers, read_analysis
-from recordloom.plans.sheet_import import all_returns, analyze, import_sheets
+from recordloom.plans.sheet_import import all_returns, analyze, field_list, import_sheets
 from recordloom.queries import ledger, sheet
 from recordloom.queries.tables import table
 from recordloom.sources.health_xml import scan_elements
@@ -219,13 +219,15 @@ def documents_written(spark: SparkSession, folder: str) -> DataFrame:
 
 # ---------------------------------------------------------------- sheets
 
-FILERS = 8
+#: Customers that one filer stands for, and filers besides.
+PER_FILER, LEAST_FILERS = 100, 8
 
 
 def _sheet_files(spark: SparkSession, folder: str, later: bool = False) -> list[str]:
-    """The sheets of filers 0 to 7, each one file; the later ones hold less and only years after 1996."""
+    """One sheet per filer, whose number grows with the customers; the later ones hold less and only years after 1996."""
     out = new_folder(spark, "sheets")
-    orders = table(spark, folder, "orders").withColumn("o_custkey", F.col("o_custkey") % FILERS)
+    filers = LEAST_FILERS + table(spark, folder, "customer").count() // PER_FILER
+    orders = table(spark, folder, "orders").withColumn("o_custkey", F.col("o_custkey") % filers)
     if later:
         orders = orders.filter("year(o_orderdate) > 1996 and o_orderpriority <> '2-HIGH'")
     wide = sheet.sheet_of(orders).repartition("filer").sortWithinPartitions("filer", "ord")
@@ -250,7 +252,8 @@ def _imported(spark: SparkSession, folder: str) -> tuple[str, list[str]]:
 
 def stored_returns(spark: SparkSession, folder: str) -> DataFrame:
     """All years after a second import replaced those it has."""
-    return all_returns(spark, _imported(spark, folder)[0], sheet.FIELDS)
+    store, paths = _imported(spark, folder)
+    return all_returns(spark, store, field_list(scan_sheets(spark, paths, _filer).rows))
 
 
 def stored_analysis(spark: SparkSession, folder: str) -> DataFrame:
@@ -350,16 +353,15 @@ kept as (
     select 1 from elements w where w.type = 'purchase' and w.person = e.person and w.start <= e."end" and w."end" >= e.start))"""
 _NESTED = """select person, type, start from kept where type not in ('purchase', 'signup', 'click')
 union all select person, 'summary', start from elements where type = 'click'"""
-_RETURNS = sheet.RETURNS.replace("o_custkey as filer", f"(o_custkey % {FILERS})::varchar as filer")
+_FILER = f"(o_custkey % (select {LEAST_FILERS} + count(*) // {PER_FILER} from customer))::varchar as filer"
+_RETURNS = sheet.RETURNS.replace("o_custkey as filer", _FILER)
 _REPLACED = f"""{_RETURNS},
 later as (
-  select distinct (o_custkey % {FILERS})::varchar as filer, year(o_orderdate)::int as tax_year from orders
+  select distinct {_FILER}, year(o_orderdate)::int as tax_year from orders
   where year(o_orderdate) > 1996 and o_orderpriority <> '2-HIGH'),
 stored as (
   select r.* from returns r where not exists (select 1 from (select distinct tax_year from later) y cross join (select distinct filer from later) f
     where f.filer = r.filer and y.tax_year = r.tax_year) or r.db_col not like 'f_d_%')"""
-_WIDE = ", ".join(f"max(case when db_col = '{f}' then value end) as {f}" for f in sheet.FIELDS)
-
 SQL = {
     "scan_ledgers": f"with {_LEDGER} select * from ledger",
     "import_ledgers": f"""with {_LEDGER}, {_LEFT}, {_COUNTS}
@@ -392,7 +394,7 @@ counted as (
   union all select 'Correlation', 0 union all select 'ActivitySummary', 0)
 select * from counted union all select 'written', sum(n)::bigint from counted where kind in ('Workout', 'Record')""",
     "scan_sheets": f"with {_RETURNS} select filer, tax_year, db_col, value from returns",
-    "import_sheets": f"with {_REPLACED} select filer, tax_year, {_WIDE} from stored group by filer, tax_year",
+    "import_sheets": f"with {_REPLACED} select * from (pivot stored on db_col using max(value) group by filer, tax_year)",
     "stored_analysis": f"""with {sheet.changes_sql(_REPLACED, "stored")}""",
     "scan_commit_log": "select l_suppkey::varchar as repo, l_quantity::bigint as lines, count(*) as n from lineitem where l_quantity::int > 0 group by 1, 2",
     "scan_commit_dates": """select o_custkey::varchar as repo, count(*) as total_commits,

@@ -9,6 +9,7 @@ from recordloom.functions import fixed_values as V
 from recordloom.operators import sheet as S
 from recordloom.operators.merge import merge_replace
 from recordloom.operators.shared import saved
+from recordloom.plans.sheet_import import field_list
 from recordloom.queries.tables import table
 
 BY = ["filer"]
@@ -21,21 +22,6 @@ LINES = {
     " A-1 ": {"O": "1z", "F": "1.z", "P": "8a"},
     "0": {"O": "0", "F": "1", "P": "2"},
 }
-FIELDS = [
-    "f_1040_15",
-    "f_1040_24",
-    "f_1040_33",
-    "f_d_7",
-    "f_d_15",
-    "f_d_16",
-    "f_540_19",
-    "f_540_64",
-    "f_540_78b",
-    "f_a_1_1z",
-    "f_a_1_8a",
-]
-#: Years that the report shows.
-YEARS = list(range(1995, 2002))
 
 
 def _form() -> F.Column:
@@ -117,16 +103,21 @@ def returns_with_gap(spark: SparkSession, folder: str) -> DataFrame:
     return returns(spark, folder).filter("not (tax_year = 1998 and filer % 3 = 0)")
 
 
+def field_names(spark: SparkSession, folder: str) -> list[str]:
+    """Names of the fields of the sheets: one per priority and status of the orders, so few."""
+    return field_list(_rows(spark, folder))
+
+
 def pivot(spark: SparkSession, folder: str) -> DataFrame:
-    return S.pivot_returns(returns(spark, folder), FIELDS, BY)
+    return S.pivot_returns(returns(spark, folder), field_names(spark, folder), BY)
 
 
 def yoy(spark: SparkSession, folder: str) -> DataFrame:
-    return S.yoy_change(returns_with_gap(spark, folder), FIELDS, BY)
+    return S.yoy_change(returns_with_gap(spark, folder), field_names(spark, folder), BY)
 
 
 def wide_yoy(spark: SparkSession, folder: str) -> DataFrame:
-    return S.pivot_yoy(S.yoy_change(returns_with_gap(spark, folder), None, BY), FIELDS, BY)
+    return S.pivot_yoy(S.yoy_change(returns_with_gap(spark, folder), None, BY), field_names(spark, folder), BY)
 
 
 def ratios(spark: SparkSession, folder: str) -> DataFrame:
@@ -134,7 +125,7 @@ def ratios(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def analysis(spark: SparkSession, folder: str) -> DataFrame:
-    return S.analysis_table(returns_with_gap(spark, folder), FIELDS, BY)
+    return S.analysis_table(returns_with_gap(spark, folder), field_names(spark, folder), BY)
 
 
 def replaced(spark: SparkSession, folder: str) -> DataFrame:
@@ -145,9 +136,11 @@ def replaced(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def report(spark: SparkSession, folder: str) -> DataFrame:
-    changes = S.yoy_change(returns_with_gap(spark, folder), None, BY)
-    grid = S.analysis_report(changes, fields(spark, folder), YEARS, BY)
-    return grid.withColumnsRenamed({str(y): f"y{y}" for y in YEARS})
+    """The grid has a column for every year that was filed."""
+    stored = saved(returns_with_gap(spark, folder))
+    years = sorted(r.tax_year for r in stored.select("tax_year").distinct().collect())
+    grid = S.analysis_report(S.yoy_change(stored, None, BY), fields(spark, folder), years, BY)
+    return grid.withColumnsRenamed({str(y): f"y{y}" for y in years})
 
 
 QUERIES = {
@@ -169,30 +162,17 @@ def _sql_case(column: str, cases: dict) -> str:
     return f"case {column} " + " ".join(f"when '{k}' then '{v}'" for k, v in cases.items()) + " end"
 
 
-_SQL_NAMES = {
-    ("1-URGENT", "O"): "f_1040_15",
-    ("1-URGENT", "F"): "f_1040_24",
-    ("1-URGENT", "P"): "f_1040_33",
-    ("2-HIGH", "O"): "f_d_7",
-    ("2-HIGH", "F"): "f_d_15",
-    ("2-HIGH", "P"): "f_d_16",
-    ("3-MEDIUM", "O"): "f_540_19",
-    ("3-MEDIUM", "F"): "f_540_64",
-    ("3-MEDIUM", "P"): "f_540_78b",
-    ("4-NOT SPECIFIED", "O"): "f_a_1_1z",
-    ("4-NOT SPECIFIED", "F"): "f_a_1_1z",
-    ("4-NOT SPECIFIED", "P"): "f_a_1_8a",
-}
 _SQL_FORMS = {p: f.strip() for p, f in FORMS.items()}
 _SQL_LINES = {f"{p}/{s}": line for p, f in FORMS.items() for s, line in LINES[f].items()}
-_SQL_COLUMNS = {f"{p}/{s}": name for (p, s), name in _SQL_NAMES.items()}
 # Lines O and F of the fourth form share a name; O comes later in the sheet, so O counts.
-RETURNS = f"""lines as (
-  select distinct o_custkey as filer, o_orderpriority || '/' || o_orderstatus as description,
-    {_sql_case("o_orderpriority || '/' || o_orderstatus", _SQL_COLUMNS)} as db_col,
-    {_sql_case("o_orderpriority", _SQL_FORMS)} as form, {_sql_case("o_orderpriority || '/' || o_orderstatus", _SQL_LINES)} as line,
-    o_orderstatus as status
-  from orders where o_orderpriority <> '5-LOW'),
+RETURNS = f"""forms as (
+  select distinct o_custkey as filer, o_orderpriority || '/' || o_orderstatus as description, o_orderstatus as status,
+    coalesce({_sql_case("o_orderpriority", _SQL_FORMS)}, trim(o_orderpriority)) as form,
+    coalesce({_sql_case("o_orderpriority || '/' || o_orderstatus", _SQL_LINES)}, trim(o_orderstatus)) as line
+  from orders),
+lines as (
+  select *, regexp_replace(replace(lower('f_' || form || '_' || line), '-', '_'), '[^a-z0-9_]', '', 'g') as db_col
+  from forms where form <> '' and line <> '' and form <> '0'),
 fields as (
   select * exclude (n) from (select *, row_number() over (partition by filer, db_col order by ascii(status) desc) as n from lines) where n = 1),
 sums as (
@@ -209,14 +189,12 @@ _CHANGES = """years as (
 changes as (
   select y.filer, y.tax_year, n.db_col,
     case when p.value <> 0 then (c.value - p.value) / abs(p.value) * 100 end as yoy_pct
-  from years y cross join (select unnest({names}) as db_col) n
+  from years y cross join (select distinct db_col from fields) n
   left join gapped c on c.filer = y.filer and c.tax_year = y.tax_year and c.db_col = n.db_col
-  left join gapped p on p.filer = y.filer and p.tax_year = y.before and p.db_col = n.db_col)""".replace(
-    "{names}", "[" + ", ".join(f"'{f}'" for f in FIELDS) + "]"
-)
+  left join gapped p on p.filer = y.filer and p.tax_year = y.before and p.db_col = n.db_col)"""
 _GAP = f"""gapped as (select * from returns where not (tax_year = 1998 and filer % 3 = 0)),
 {_CHANGES}"""
-_WIDE_YOY = ", ".join(f"max(case when db_col = '{f}' then yoy_pct end) as yoy_{f}_pct" for f in FIELDS)
+_WIDE_YOY = "(pivot changes on 'yoy_' || db_col || '_pct' using max(yoy_pct) group by filer, tax_year)"
 _RATIOS = ", ".join(
     f"""max(case when db_col = '{top}' then value end) / nullif(max(case when db_col = '{bottom}' then value end), 0) * 100 as {name}"""
     for name, top, bottom, _ in V.RATIOS
@@ -227,30 +205,28 @@ _RATIOS = ", ".join(
 def changes_sql(tables: str, returns: str) -> str:
     """The analysis of a table of returns."""
     return f"""{tables}, gapped as (select * from {returns}), {_CHANGES},
-r as (select filer, tax_year, {_RATIOS} from gapped group by filer, tax_year),
-w as (select filer, tax_year, {_WIDE_YOY} from changes group by filer, tax_year)
-select * from r join w using (filer, tax_year)"""
+r as (select filer, tax_year, {_RATIOS} from gapped group by filer, tax_year)
+select * from r join {_WIDE_YOY} w using (filer, tax_year)"""
 
 
 SQL = {
     "sheet_fields": f"with {RETURNS} select filer, db_col, description, form, line from fields",
     "unpivot_sheet": f"with {RETURNS} select filer, tax_year, db_col, value from returns",
-    "pivot_returns": f"with {RETURNS} select filer, tax_year, "
-    + ", ".join(f"max(case when db_col = '{f}' then value end) as {f}" for f in FIELDS)
-    + " from returns group by filer, tax_year",
+    "pivot_returns": f"""with {RETURNS}
+select * from (pivot returns on db_col using max(value) group by filer, tax_year)""",
     "yoy_change": f"with {RETURNS}, {_GAP} select filer, tax_year, db_col, yoy_pct from changes",
-    "pivot_yoy": f"with {RETURNS}, {_GAP} select filer, tax_year, {_WIDE_YOY} from changes group by filer, tax_year",
+    "pivot_yoy": f"with {RETURNS}, {_GAP} select * from {_WIDE_YOY}",
     "derived_ratios": f"with {RETURNS} select filer, tax_year, {_RATIOS} from returns group by filer, tax_year",
     "analysis_table": f"""with {RETURNS}, {_GAP},
-r as (select filer, tax_year, {_RATIOS} from gapped group by filer, tax_year),
-w as (select filer, tax_year, {_WIDE_YOY} from changes group by filer, tax_year)
-select * from r join w using (filer, tax_year)""",
+r as (select filer, tax_year, {_RATIOS} from gapped group by filer, tax_year)
+select * from r join {_WIDE_YOY} w using (filer, tax_year)""",
     "merge_replace": f"""with {RETURNS},
 fresh as (select filer, tax_year, db_col, value + 1 as value from returns where tax_year >= 1997 and db_col <> 'f_d_7')
 select * from fresh union all select * from returns r
 where not exists (select 1 from fresh n where n.filer = r.filer and n.tax_year = r.tax_year)""",
-    "analysis_report": f"""with {RETURNS}, {_GAP}
-select c.filer, c.db_col, '[' || f.form || ':' || f.line || '] ' || f.description as label, """
-    + ", ".join(f"max(case when c.tax_year = {y} then yoy_pct end) as y{y}" for y in YEARS)
-    + " from changes c join fields f on f.filer = c.filer and f.db_col = c.db_col group by 1, 2, 3",
+    "analysis_report": f"""with {RETURNS}, {_GAP},
+labelled as (
+  select c.filer, c.db_col, '[' || f.form || ':' || f.line || '] ' || f.description as label, c.tax_year, c.yoy_pct
+  from changes c join fields f on f.filer = c.filer and f.db_col = c.db_col)
+select * from (pivot labelled on 'y' || tax_year using max(yoy_pct) group by filer, db_col, label)""",
 }
