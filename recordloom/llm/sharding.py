@@ -41,13 +41,13 @@ def shard(
     dimension (numbers on a common scale, labels by a hash, so that equal labels stay together while they
     can) at the point that leaves floor(k / 2) of its k parts of the bytes below. The cut is a
     weighted quantile found by histograms: bytes per (node, bin), then the bins of the bin that holds the
-    cut, until that bin has little enough. Rows with equal values are told apart by a hash of their id, so
-    one value may hold any share of the bytes. All figures per node are tables; the driver only sees
+    cut, until that bin has little enough. Rows with equal values are told apart by a hash of their id and
+    text, and rows that repeat both by their number, so one value or row may hold any share of the bytes. All figures per node are tables; the driver only sees
     whether another refinement is needed.
 
     size is the UTF-8 bytes of the text (null: none) plus 8; the law is ``bytes``. Null metadata lies at
-    the low end. Null ids and repeated rows share one hash and stay together. Dimensions that the
-    table lacks are left out. Empty input gives no rows. slot counts the rows of a shard from 0.
+    the low end. Null ids and repeated rows are rows like others. Dimensions that the table lacks are left
+    out. Empty input gives no rows. slot counts the rows of a shard from 0.
     """
     numeric = tuple(c for c in numeric if c in docs.columns)
     labels = tuple(c for c in labels if c in docs.columns)
@@ -59,10 +59,10 @@ def shard(
         *[F.col(c).cast("double").alias(f"_n{i}") for i, c in enumerate(numeric)],
         *[F.pmod(F.xxhash64(F.col(c)), F.lit(1 << _VALUE)).alias(f"_l{i}") for i, c in enumerate(labels)],
     )
-    rows = saved(rows)
+    rows = _numbered(saved(rows.withColumn("_row", F.monotonically_increasing_id())))
     ends = rows.agg(F.count("*"), *[f(f"_n{i}") for i in range(len(numeric)) for f in (F.min, F.max)]).first()
     scaled = [_numeric(F.col(f"_n{i}"), ends[2 * i + 1] or 0, ends[2 * i + 2] or 0) for i in range(len(numeric))]
-    hashed = F.pmod(F.xxhash64(F.col("_id"), F.col("text_crc32")), F.lit(1 << _HASH))
+    hashed = F.pmod(F.xxhash64(F.col("_id"), F.col("text_crc32"), F.col("_copy")), F.lit(1 << _HASH))
     keys = [F.shiftleft(c, _HASH).bitwiseOR(hashed) for c in [*scaled, *[F.col(f"_l{i}") for i in range(len(labels))]]]
     dims = range(len(keys)) if keys else range(1)
     keys = keys or [hashed]
@@ -95,6 +95,23 @@ def shard(
     )
 
 
+def _numbered(rows: DataFrame) -> DataFrame:
+    """Adds ``_copy``, the number of a row among those with its id and text.
+
+    The copies of one row may be a large share of all: they are numbered in blocks of the saved ``_row``.
+    """
+    key = ["_id", "text_crc32"]
+    several = saved(rows.groupBy(*key).agg(F.count("*").alias("_n")).filter("_n > 1").select(*[F.col(c).alias(f"_of{c}") for c in key]))
+    zero = F.lit(0).cast("long")
+    if several.isEmpty():
+        return rows.withColumn("_copy", zero).drop("_row")
+    same = F.col("_id").eqNullSafe(F.col("_of_id")) & (F.col("text_crc32") == F.col("_oftext_crc32"))
+    again = rows.join(several, same, "left_semi")
+    block = F.shiftright("_row", BLOCK_ROWS.bit_length() - 1)
+    again = running_sums(again, key, block, ["_row"], {"_copy": F.lit(1).cast("long")})
+    return saved(rows.join(several, same, "left_anti").withColumn("_copy", zero).unionByName(again).drop("_row"))
+
+
 def _cuts(tree: DataFrame, dims: range) -> DataFrame:
     """(node, dim, cut) for every node that has to give more than one shard.
 
