@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from recordloom.operators.shared import checkpoint_dir, saved
+from recordloom.operators.shared import new_folder, saved
 
 #: Fixed values of the format.
 MAGIC = "WARC/1.1\r\n"
@@ -30,8 +29,18 @@ def base32(sha1_hex: Column) -> Column:
     return F.concat(*out)
 
 
+def visible(text: Column) -> Column:
+    """The text with the UTF-8 bytes of all but visible ASCII characters as %XX, so it is one line for any reader."""
+    runs = F.regexp_extract_all(text, F.lit(r"[\x21-\x7E]+|[^\x21-\x7E]+"), F.lit(0))
+    hidden = F.transform(
+        runs,
+        lambda run: F.when(run.rlike(r"^[\x21-\x7E]"), run).otherwise(F.regexp_replace(F.hex(F.encode(run, "UTF-8")), "(..)", r"%$1")),
+    )
+    return F.when(text.rlike(r"[^\x21-\x7E]"), F.array_join(hidden, "")).otherwise(text)
+
+
 def _head(*fields: tuple[str, Column]) -> Column:
-    lines = [F.concat(F.lit(f"{name}: "), F.regexp_replace(value, r"[\x00-\x20]+", "%20"), F.lit("\r\n")) for name, value in fields]
+    lines = [F.concat(F.lit(f"{name}: "), value, F.lit("\r\n")) for name, value in fields]
     return F.concat(F.lit(MAGIC), *lines, F.lit("\r\n"))
 
 
@@ -65,14 +74,15 @@ def write_archives(
 
     Of pages with equal payloads of at least ``revisit_bytes`` bytes the one with the largest id is the
     response; the others are revisits that name it. Null payloads are empty. In a group of null ids all
-    are responses, as are rows that repeat the largest id. Blanks in a url are escaped, a null url is left out.
+    are responses, as are rows that repeat the largest id. All but visible ASCII characters of a url are
+    written as %XX; a null url is left out. Ids are encoded as in a query of a url.
     """
     rows = plan_records(pages, id_col, url_col, payload_col, revisit_bytes)
-    name = F.coalesce(F.col("_id").cast("string"), F.lit("none"))
+    name = F.coalesce(F.url_encode(F.col("_id").cast("string")), F.lit(""))
     common = [
         ("WARC-Record-ID", F.concat(F.lit("<urn:page:"), name, F.lit(">"))),
         ("WARC-Date", F.lit("1970-01-01T00:00:00Z")),
-        ("WARC-Target-URI", F.coalesce(F.col("url"), F.lit("about:blank"))),
+        ("WARC-Target-URI", F.coalesce(visible(F.col("url")), F.lit("about:blank"))),
         ("WARC-Payload-Digest", F.concat(F.lit("sha1:"), base32(F.col("sha1")))),
         ("Content-Type", F.lit("application/http;msgtype=response")),
     ]
@@ -82,7 +92,7 @@ def write_archives(
         F.lit(_HTTP),
         F.col("payload"),
     )
-    refers = F.concat(F.lit("<urn:page:"), F.col("refers_to").cast("string"), F.lit(">"))
+    refers = F.concat(F.lit("<urn:page:"), F.url_encode(F.col("refers_to").cast("string")), F.lit(">"))
     revisit = F.concat(
         _head(
             ("WARC-Type", F.lit("revisit")),
@@ -131,7 +141,8 @@ def _after_blank_line(value: Column) -> Column:
 
 
 def _field(header: Column, name: str) -> Column:
-    return F.trim(F.regexp_extract(header, rf"(?im)^{name}:([^\r\n]*)", 1))
+    # Lines end at \n only (d): Java would also begin one after U+0085 and others.
+    return F.trim(F.regexp_extract(header, rf"(?imd)^{name}:([^\r\n]*)", 1))
 
 
 def _described(block: Column) -> list[Column]:
@@ -163,7 +174,7 @@ def read_archives(spark: SparkSession, folder: str) -> DataFrame:
     )
     cut = _after_blank_line(F.col("value"))
     head = F.when(cut > 0, F.decode(F.substring(F.col("value"), F.lit(1), cut - 1), "UTF-8"))
-    long = F.regexp_extract("header", r"(?im)^Content-Length:\s*([0-9]{1,18})", 1)
+    long = F.regexp_extract("header", r"(?imd)^Content-Length:[ \t]*([0-9]{1,18})", 1)
     found = text.withColumn("cut", cut).withColumn("header", head).withColumn("size", F.octet_length("value") + len(MAGIC))
     found = found.withColumn("long", F.when(long != "", long).cast("long"))
     block = F.substring(F.col("value"), F.col("cut") + 4, F.col("long").cast("int"))
@@ -176,7 +187,7 @@ def read_archives(spark: SparkSession, folder: str) -> DataFrame:
     splits = splits.select("file", "split", F.coalesce(F.sum("_size").over(outer), F.lit(0)).alias("before"))
     within = F.coalesce(F.sum("size").over(inner), F.lit(0))
     # A piece begins after its magic; the first one of a file is what stands before the first magic.
-    pieces = narrow.select("file", "file_size", "split", "line", "cut", "long", within.alias("within")).join(splits, ["file", "split"])
+    pieces = narrow.select("file", "file_size", "split", "line", "size", "cut", "long", within.alias("within")).join(splits, ["file", "split"])
     pieces = pieces.withColumn("at", F.col("before") + F.col("within") - len(MAGIC))
     candidates = pieces.filter((F.col("at") >= 0) & (F.col("cut") > 0) & F.col("long").isNotNull())
     after = F.col("at") + len(MAGIC) + F.col("cut") + 3 + F.col("long") + 4
@@ -184,7 +195,7 @@ def read_archives(spark: SparkSession, folder: str) -> DataFrame:
     starts = candidates.groupBy("_file").applyInArrow(_chain, "_file string, _start long, _next long")
     starts = saved(
         pieces.join(starts, (F.col("file") == F.col("_file")) & (F.col("at") == F.col("_start")), "left").select(
-            "file", "file_size", "line", "at", F.col("_start").alias("start"), F.col("_next").alias("next")
+            "file", "file_size", "split", "line", "size", "at", F.col("_start").alias("start"), F.col("_next").alias("next")
         )
     )
     # The last record may lack the two line ends after it.
@@ -199,10 +210,14 @@ def read_archives(spark: SparkSession, folder: str) -> DataFrame:
         return out
     # The pieces of these records: those that lie before the end of the last start at or before them.
     upto = Window.partitionBy("file").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
-    of = starts.withColumn("_last", F.max("start").over(upto)).select("file", "line", "at", "_last")
+    of = starts.withColumn("_last", F.max("start").over(upto)).select("file", "split", "line", "size", "at", "_last")
     of = of.join(broken.withColumnRenamed("file", "_file"), (F.col("file") == F.col("_file")) & (F.col("_last") == F.col("_from")))
     of = of.filter(F.col("at") < F.col("_to"))
-    parts = of.join(text.select("line", "value"), "line")
+    # Read again by split, number and size; where Spark has split the files otherwise this time, pieces are missing.
+    again = text.select("file", "split", "line", "value", (F.octet_length("value") + len(MAGIC)).alias("size"))
+    parts = saved(of.drop("_file").join(again, ["file", "split", "line", "size"]))
+    if parts.count() != of.count():
+        raise RuntimeError("the archives were split otherwise when they were read again")
     parts = parts.groupBy("file", F.col("_from").alias("start")).agg(F.sort_array(F.collect_list(F.struct("at", "value"))).alias("_parts"))
     joined = F.aggregate(
         F.slice("_parts", 2, F.size("_parts")),
@@ -223,7 +238,8 @@ def page_records(spark: SparkSession, folder: str, id_type: str = "long") -> Dat
     header = F.col("header")
 
     def page(name: str) -> Column:
-        return F.expr(f"try_cast(`{name}` as {id_type})")
+        # A page without id has an empty name.
+        return F.try_url_decode(F.nullif(F.col(name), F.lit(""))).try_cast(id_type)
 
     found = read_archives(spark, folder).select(
         F.regexp_extract(_field(header, "WARC-Record-ID"), "<urn:page:(.*)>", 1).alias("_id"),
@@ -250,6 +266,6 @@ def page_records(spark: SparkSession, folder: str, id_type: str = "long") -> Dat
 def round_trip(pages: DataFrame, revisit_bytes: int = 0, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> DataFrame:
     """Writes the pages to archives in the shared folder and reads them back: one row per page."""
     spark = pages.sparkSession
-    folder = f"{checkpoint_dir(spark).rstrip('/')}/archives-{uuid.uuid4().hex}"
+    folder = new_folder(spark, "archives")
     write_archives(pages, folder, id_col, url_col, payload_col, revisit_bytes)
     return page_records(spark, folder, pages.schema[id_col].dataType.simpleString())
