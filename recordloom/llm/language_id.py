@@ -18,6 +18,9 @@ SPECTRUM = (2, 3, 4)
 BITS = 14
 #: Labelled rows per language that the regression is fitted on at most, and landmarks per language among them.
 SAMPLE, LANDMARKS = 400, 64
+#: Labelled rows of all languages together at most, 6 KB each on the driver, and languages that are learned at most
+#: (the most frequent ones).
+MAX_SAMPLE, MAX_LANGUAGES = 1 << 14, 1 << 11
 #: Landmarks of all languages together at most (but one each): 100 MB on the driver.
 MAX_LANDMARKS = 512
 RIDGE = 1e-3
@@ -90,12 +93,35 @@ def fit(bits: np.ndarray, languages: np.ndarray, landmarks: int = LANDMARKS, rid
 
 
 def training_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, sample: int) -> tuple[np.ndarray, np.ndarray]:
-    """Packed presence rows and languages of at most ``sample`` labelled rows per language, by hash of the id."""
+    """Packed presence rows and languages of at most ``sample`` labelled rows per language, by hash of the id.
+
+    Rows that share id and language are one row of the sample, the one with the smallest hash of its text. Rows
+    whose hash is too large to be among the first are left out before rows of a language meet: a bound
+    from counts lets some four times as many through as are wanted.
+    """
     narrow = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(F.col(id_col)))
     narrow = narrow.select(F.col(id_col).alias("_id"), F.col(lang_col).alias("_lang"), F.xxhash64(id_col).alias("_h"), F.col(text_col).alias("_text"))
-    rank = F.row_number().over(Window.partitionBy("_lang").orderBy("_h", "_id"))
-    chosen = saved(narrow.drop("_text").withColumn("_rank", rank).filter(F.col("_rank") <= sample))
-    rows = narrow.join(chosen.select("_id", "_lang", "_rank"), ["_id", "_lang"])
+    counts = narrow.filter("_id is not null").groupBy("_lang").agg(F.count("*").alias("_n"))
+    counts = saved(counts.orderBy(F.desc("_n"), "_lang").limit(MAX_LANGUAGES))
+    languages = counts.count()
+    if not languages:
+        return np.zeros((0, _WIDTH // 8), np.uint8), np.zeros(0, dtype=object)
+    sample = max(1, min(sample, MAX_SAMPLE // languages))
+
+    def chosen_below(share: Column) -> DataFrame:
+        """The first ids of each language by hash, among those whose hash is in the lowest ``share``."""
+        limit = F.when(share >= 1, F.lit((1 << 63) - 1)).otherwise((F.lit(-float(1 << 63)) + share * float(1 << 64)).cast("long"))
+        limits = F.broadcast(counts.select("_lang", limit.alias("_limit")))  # MAX_LANGUAGES rows at most
+        ids = narrow.drop("_text").join(limits, "_lang").filter(F.col("_h") <= F.col("_limit")).select("_id", "_lang", "_h").distinct()
+        rank = F.row_number().over(Window.partitionBy("_lang").orderBy("_h", "_id"))
+        return saved(ids.withColumn("_rank", rank).filter(F.col("_rank") <= sample))
+
+    chosen = chosen_below(F.lit(4.0 * sample) / F.col("_n"))
+    found = counts.join(chosen.groupBy("_lang").agg(F.count("*").alias("_got")), "_lang", "left")
+    if not found.filter((F.coalesce("_got", F.lit(0)) < sample) & (F.col("_n") > 4 * sample)).isEmpty():
+        chosen = chosen_below(F.lit(1.0))  # ids that repeat very often
+    rows = narrow.join(F.broadcast(chosen.select("_id", "_lang", "_rank")), ["_id", "_lang"])  # MAX_SAMPLE rows at most
+    rows = rows.groupBy("_lang", "_rank").agg(F.min_by("_text", F.struct(F.xxhash64("_text"), "_text")).alias("_text"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "_text", 1 << 18):
@@ -106,7 +132,7 @@ def training_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str,
             )
 
     found = rows.select("_lang", "_rank", "_text").mapInArrow(work, "_lang string, _rank int, bits binary")
-    found = found.filter(F.col("_rank") <= sample).orderBy("_lang", "_rank").collect()
+    found = found.orderBy("_lang", "_rank").collect()  # MAX_SAMPLE rows at most
     bits = np.frombuffer(b"".join(r["bits"] for r in found), np.uint8).reshape(len(found), _WIDTH // 8)
     return bits, np.array([r["_lang"] for r in found], dtype=object)
 
@@ -119,7 +145,8 @@ def identify(
     Fitted on a bounded sample of labelled rows (``sample`` per language), never on rows that crc32 of the
     id as text modulo 4 = 2 holds out. Whole texts are scored; the prediction sees the text only.
     ``und`` with score 0 if the text is null or has no letter, or if nothing was learned. Null ids and
-    repeated rows are documents like others. Empty input gives no rows. Other columns are not read.
+    repeated rows are scored like others; null ids are not learned from, and rows that share id and
+    language count once in the sample. Of more than MAX_LANGUAGES labels the most frequent are learned. Empty input gives no rows. Other columns are not read.
     """
     bits, languages = training_sample(docs, id_col, text_col, lang_col, sample)
     names, weights = fit(bits, languages, landmarks) if len(languages) else ([], np.zeros((_WIDTH, 0), np.float32))
