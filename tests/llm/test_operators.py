@@ -524,3 +524,59 @@ def test_language_odd(odd, none):
     by = {r.doc_id: r.lang_pred for r in out}
     assert by[3] == by[4] == by[5] == "und" and by[11] != "und"
     assert language_id.identify(none).count() == 0
+
+
+# odd urls, repeated rows
+
+
+@pytest.mark.parametrize("mark", ["\u2028", "\u2029", "\x85", " ", "\r\n", "\n", "\x0b", "\xe9", "\U0001f600", "%41", "+"])
+def test_warc_urls_of_any_characters(spark, tmp_path, mark):
+    urls = [f"http://b/{mark}Content-Length:3", f"http://b/{mark}WARC-Refers-To:<urn:page:1>{mark}", f"{mark}{mark}", None]
+    rows = [(i, u, "same" if i > 1 else f"<p>{mark}WARC/1.1\r\n{i}") for i, u in enumerate(urls)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    out = picked([r.asDict() for r in warc.round_trip(pages).collect()], "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    assert out == brute.payloads([{"page_id": i, "html": t} for i, _, t in rows])
+    warc.write_archives(pages, str(tmp_path / "w"))
+    headers = [r.header for r in warc.read_archives(spark, str(tmp_path / "w")).collect()]
+    assert all(h.isascii() and len(h.split("\r\n")) in (7, 9) for h in headers)
+
+
+def test_warc_text_ids_come_back(spark):
+    ids = ["a b", "a+b", "é/<>\n", "", None, "none", "%20"]
+    pages = spark.createDataFrame([(i, "u", f"p{n // 2}") for n, i in enumerate(ids)], "page_id string, url string, html string")
+    out = warc.round_trip(pages).collect()
+    # An empty id is written like none.
+    assert Counter(r.page_id for r in out) == Counter(i or None for i in ids)
+
+
+def test_sharding_splits_repeated_rows(spark):
+    rows = [(7, "x" * 40, "s", "en")] * 1000 + [(i, "y" * 40, "t", "en") for i in range(100, 2100)] + [(None, "z" * 40, None, None)] * 300
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").repartition(5)
+    out = sharding.shard(docs).collect()
+    size = Counter()
+    for r in out:
+        size[r["shard"]] += r["size"]
+    assert len(size) == 24 and max(size.values()) - min(size.values()) <= 3 * 48
+    for s in size:
+        assert sorted(r.slot for r in out if r.shard == s) == list(range(sum(r.shard == s for r in out)))
+    again = sharding.shard(docs.repartition(3)).collect()
+    assert Counter(tuple(r)[:-2] for r in out) == Counter(tuple(r)[:-2] for r in again)
+
+
+def test_language_sample_of_repeated_rows(spark):
+    rows = [(1, "guten tag und hallo", "de")] * 400 + [(i, f"good day number {i}", "en") for i in range(2, 900)] + [(None, "no id", "fr")] * 50
+    rows += [(5000, "two texts a", "de"), (5000, "two texts b", "de")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    bits, languages = language_id.training_sample(docs, "doc_id", "text", "lang", 400)
+    learned = {r[0] for r in rows if r[0] is not None and zlib.crc32(str(r[0]).encode()) % 4 != 2}
+    want = Counter({"de": len(learned & {1, 5000}), "en": min(400, len(learned - {1, 5000}))})
+    assert Counter(languages.tolist()) == +want and len(bits) == len(languages)
+
+
+def test_language_sample_is_bounded(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "MAX_SAMPLE", 30)
+    monkeypatch.setattr(language_id, "MAX_LANGUAGES", 10)
+    rows = [(i, f"text {i}", f"l{i % (1 + i % 25)}") for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    _, languages = language_id.training_sample(docs, "doc_id", "text", "lang", 400)
+    assert len(set(languages.tolist())) == 10 and set(Counter(languages.tolist()).values()) == {3}
