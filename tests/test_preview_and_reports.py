@@ -62,3 +62,17 @@ def test_stored_logs_dates_and_answers(spark, tmp_path):
     }
     answers = scan_answers(spark, str(tmp_path / "answers"))
     assert {r.repo: r.lines for r in commit_lines_from_answers(answers).collect()} == {"a": 4, "b": 6}
+
+
+def test_lines_of_many_repositories_share_files(spark, tmp_path):
+    """Names of any characters, a null name, blank and null lines, and lines within a value; files do not grow with repositories."""
+    from recordloom.sources.repo_files import scan_commit_log, write_lines
+
+    names = ["a b", "x/y\t%", "é.git", None, *[f"r{i}" for i in range(300)]]
+    rows = [(name, i, f" {name} {i}\n\tsecond\n") for name in names for i in (2, 1)] + [("a b", 3, None)]
+    write_lines(spark.createDataFrame(rows, "repo string, ord long, value string"), str(tmp_path))
+    assert len(list(tmp_path.glob("*/part-*"))) <= 8
+    got = {}
+    for r in scan_commit_log(spark, f"{tmp_path}/*/part-*").orderBy("repo", "ord").collect():
+        got.setdefault(r.repo, []).append(r.line)
+    assert got == {n or "__HIVE_DEFAULT_PARTITION__": [f"{n} 1", "second", f"{n} 2", "second"] for n in names}
