@@ -6,6 +6,9 @@ section or an instruction that holds a ``>``. A task does not know that for the
 keeps the answer for each case and the number of levels gone down or up; the splits of a file are then put
 together in order, a few figures each. With the depth known everywhere, the elements below the root are
 cut out of the text where they stand; only those that lie across a cut are put together in a shuffle.
+
+A file may hold the documents of many owners, one after the other, so that files are as many as the size
+asks for and not as there are owners: the instruction that ``owner_mark`` forms begins a document.
 """
 
 from __future__ import annotations
@@ -13,10 +16,11 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from urllib.parse import unquote_plus
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, StringType, StructField, StructType
 
@@ -36,10 +40,22 @@ _TAG = re.compile(r"<(/?)([^\s/<>!?]+)([^\"'<>]*(?:(?:\"[^\"]*\"|'[^']*')[^\"'<>
 _VALUES = re.compile(r"\"[^\"]*\"|'[^']*'")
 _REFERENCE = re.compile(r"&(#[0-9]+|#x[0-9A-Fa-f]+|lt|gt|amp|quot|apos);")
 _NAMED = {"lt": "<", "gt": ">", "amp": "&", "quot": '"', "apos": "'"}
+_OWNER = re.compile(r"<\?recordloom owner=\"([^\"<>]*)\"\?$")
 #: Shapes of elements that a task remembers, so that their names are worked out once.
 SHAPES = 1 << 14
 
 
+def owner_mark(subject: Column) -> Column:
+    """The instruction that begins the document of an owner in a file that holds many."""
+    return F.concat(F.lit('<?recordloom owner="'), F.url_encode(subject), F.lit('"?>'))
+
+
+def _owner(state: int, piece: str) -> str | None:
+    """The owner whose document begins with a piece."""
+    found = _OWNER.search(piece) if state == PLAIN and piece.endswith('"?') else None
+    return unquote_plus(found[1]) if found else None
+
+
 def _tag_rest(text: str) -> int:
     """The state after the rest of a tag: PLAIN when it is complete, else the quote that is open."""
     if text.count('"') % 2 == 0 and "'" not in text:
@@ -79,11 +95,14 @@ def step(state: int, piece: str) -> tuple[int, int]:
 
 
 def _chunks(limit: int):
-    """Rows of text in order; each with the state and depth at its start for each state at the start of its split."""
+    """Rows of text in order; each with the state, depth and owner at its start for each state at the start of its split.
+
+    With an owner that begins in the split the depth is that in the document, else it is relative to the split's start.
+    """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, nth, held, size = None, 0, [], 0
-        states, depths, begin = list(range(6)), [0] * 6, None
+        states, depths, owners, begin = list(range(6)), [0] * 6, [None] * 6, None
         rows: list[tuple] = []
 
         def close(last: bool) -> None:
@@ -92,12 +111,12 @@ def _chunks(limit: int):
                 rows.append((*key, nth, "".join(held), *begin))
                 nth, held, size = nth + 1, [], 0
             if last and key is not None:
-                rows.append((*key, nth, None, list(states), list(depths)))
+                rows.append((*key, nth, None, list(states), list(depths), list(owners)))
 
         def flush() -> pa.RecordBatch:
-            columns = list(zip(*rows, strict=True)) if rows else [[]] * 7
-            types = (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.int32()))
-            names = ["subject", "file", "block", "nth", "text", "states", "depths"]
+            columns = list(zip(*rows, strict=True)) if rows else [[]] * 8
+            types = (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.string()))
+            names = ["subject", "file", "block", "nth", "text", "states", "depths", "owners"]
             batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
             rows.clear()
             return batch
@@ -108,18 +127,21 @@ def _chunks(limit: int):
                 if (subject, file, block) != key:
                     close(True)
                     key, nth, held, size = (subject, file, block), 0, [], 0
-                    states, depths = list(range(6)) if block else [PLAIN] * 6, [0] * 6
+                    states, depths, owners = list(range(6)) if block else [PLAIN] * 6, [0] * 6, [None] * 6
                 if not held:
-                    begin = (list(states), list(depths))
+                    begin = (list(states), list(depths), list(owners))
                 held.append(piece + ">")
                 size += len(piece) + 1
                 # States that have met go on together; the first of them is worked out.
                 moved: dict[int, tuple[int, int]] = {}
+                owner = _owner(PLAIN, piece)
                 for i, state in enumerate(states):
                     if state not in moved:
                         moved[state] = step(state, piece)
                     states[i], change = moved[state]
                     depths[i] += change
+                    if owner is not None and state == PLAIN:
+                        depths[i], owners[i] = 0, owner
                 if size >= limit:
                     close(False)
             if sum(len(r[4] or "") for r in rows) >= limit:
@@ -131,13 +153,14 @@ def _chunks(limit: int):
 
 
 def _entries(blocks: pd.DataFrame) -> pd.DataFrame:
-    """State and depth at the start of each split of one file."""
+    """State, depth and owner at the start of each split of one file."""
     blocks = blocks.sort_values("block")
-    state, depth, out = PLAIN, 0, []
-    for block, states, depths in zip(blocks["block"], blocks["states"], blocks["depths"], strict=True):
-        out.append((state, depth))
-        state, depth = int(states[state]), depth + int(depths[state])
-    out = pd.DataFrame(out, columns=["state", "depth"])
+    state, depth, owner, out = PLAIN, 0, None, []
+    for states, depths, owners in zip(blocks["states"], blocks["depths"], blocks["owners"], strict=True):
+        out.append((state, depth, owner))
+        depth = int(depths[state]) + (depth if owners[state] is None else 0)
+        state, owner = int(states[state]), owner if owners[state] is None else owners[state]
+    out = pd.DataFrame(out, columns=["state", "depth", "owner"])
     return pd.DataFrame({"file": blocks["file"].to_numpy(), "block": blocks["block"].to_numpy(), **out})
 
 
@@ -147,9 +170,11 @@ class _Cutter:
 
     state: int
     depth: int
+    owner: str | None
 
-    def cut(self, text: str) -> Iterator[tuple[bool, bool, str]]:
-        """(begins here, ends here, text) of each child of the root or part of one, and of the root's own tag."""
+    def cut(self, text: str) -> Iterator[tuple[str | None, bool, bool, bool, str]]:
+        """(owner, below a root, begins here, ends here, text) of each child of a root or part of one, and of the root's own tag."""
+        top = self.depth > 0
         held: list[str] | None = [] if self.depth > 1 or (self.depth <= 1 and self.state in _MARKS) else None
         begins = False
         pieces = text.split(">")
@@ -158,6 +183,10 @@ class _Cutter:
             before, state = self.depth, self.state
             self.state, change = step(state, piece)
             self.depth += change
+            owner = _owner(state, piece)
+            if owner is not None:  # what is still open is lost with the document before
+                self.owner, self.depth, top, held, begins = owner, 0, False, None, False
+                continue
             if held is None:
                 at = piece.find("<")
                 if state == PLAIN and before <= 1 and at >= 0 and piece[at + 1 : at + 2] not in ("!", "?", "/"):
@@ -169,10 +198,10 @@ class _Cutter:
             # The tag of the root is complete one level down, a child of it when the depth is that of the root again.
             tag_done = change == 1 or state in _MARKS or (state == PLAIN and piece.endswith("/"))
             if before == 0 and tag_done or before >= 1 and self.depth <= 1 and (tag_done or change == -1):
-                yield begins, True, "".join(held)
-                held, begins = None, False
+                yield self.owner, top, begins, True, "".join(held)
+                top, held, begins = True, None, False
         if held is not None:
-            yield begins, False, "".join(held)
+            yield self.owner, top, begins, False, "".join(held)
 
 
 def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,11 +209,10 @@ def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     types = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.bool_(), pa.string()]
     for batch in batches:
         for row in batch.to_pylist():
-            cutter, out = _Cutter(row["state"], row["depth"]), []
-            depth = cutter.depth
-            for at, (begins, ends, text) in enumerate(cutter.cut(row["text"])):
-                out.append((row["subject"], row["file"], row["block"], row["nth"], at, depth > 0, begins, ends, text))
-                depth = max(depth, 1)
+            cutter, out = _Cutter(row["state"], row["depth"], row["owner"]), []
+            for at, (owner, top, begins, ends, text) in enumerate(cutter.cut(row["text"])):
+                subject = row["subject"] if owner is None else owner
+                out.append((subject, row["file"], row["block"], row["nth"], at, top, begins, ends, text))
             columns = list(zip(*out, strict=True)) if out else [[]] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
 
@@ -275,8 +303,9 @@ def _read(inner: str):
 def read_children(spark: SparkSession, path: str | Sequence[str], inner: str = "Workout", chunk: int = CHUNK) -> DataFrame:
     """``(subject, file, block, nth, at, top, kind, attributes, xml, inner, facts)``, saved.
 
-    One row per child of the root of each file (``top``), whatever stands inside it, and one for the root
-    itself (not ``top``, its own tag only). ``(block, nth, at)`` is the order in the file. ``inner`` holds the
+    One row per child of the root of each document (``top``), whatever stands inside it, and one for the root
+    itself (not ``top``, its own tag only). A file is one document, or many with an ``owner_mark`` each, whose
+    subject is that owner. ``(block, nth, at)`` is the order in the file. ``inner`` holds the
     attributes of the elements of that name anywhere inside a child. Prefixes of names are taken off and
     comments left out. A file that is cut off in the middle of an element loses that element.
     """
@@ -289,10 +318,11 @@ def read_children(spark: SparkSession, path: str | Sequence[str], inner: str = "
         F.col("_metadata.file_block_start").alias("block"),
         "value",
     )
-    schema = "subject string, file string, block long, nth long, text string, states array<int>, depths array<int>"
+    schema = "subject string, file string, block long, nth long, text string, states array<int>, depths array<int>, owners array<string>"
     chunks = saved(pieces.mapInArrow(_chunks(chunk), schema))
-    blocks = chunks.filter("text is null").select("file", "block", "states", "depths")
-    entries = saved(blocks.groupBy("file").applyInPandas(_entries, "file string, block long, state int, depth int"))
+    blocks = chunks.filter("text is null").select("file", "block", "states", "depths", "owners")
+    entries = saved(blocks.groupBy("file").applyInPandas(_entries, "file string, block long, state int, depth int, owner string"))
+    own = F.col("owners")[F.col("state")]
     entered = chunks.filter("text is not null").join(entries, ["file", "block"]).select(
         "subject",
         "file",
@@ -300,7 +330,8 @@ def read_children(spark: SparkSession, path: str | Sequence[str], inner: str = "
         "nth",
         "text",
         F.col("states")[F.col("state")].alias("state"),
-        (F.col("depth") + F.col("depths")[F.col("state")]).alias("depth"),
+        (F.when(own.isNull(), F.col("depth")).otherwise(0) + F.col("depths")[F.col("state")]).alias("depth"),
+        F.coalesce(own, "owner").alias("owner"),
     )
     schema = "subject string, file string, block long, nth long, at long, top boolean, begins boolean, ends boolean, text string"
     parts = saved(entered.mapInArrow(_parts, schema))
@@ -324,6 +355,47 @@ def read_children(spark: SparkSession, path: str | Sequence[str], inner: str = "
     return saved(whole.mapInArrow(_read(inner), schema))
 
 
+def elements_inside(children: DataFrame, kind: str) -> DataFrame:
+    """Elements of a kind among the children and anywhere inside them, saved: ``(subject, top, kind, xml, facts)``.
+
+    Of elements of the kind inside each other the outermost counts. ``facts`` are those of the element itself.
+    """
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: set[tuple[str, str]] = set()
+        shapes: set[str] = set()
+        for batch in batches:
+            subjects, texts, facts = [], [], []
+            for subject, child in zip(batch.column("subject").to_pylist(), batch.column("xml").to_pylist(), strict=True):
+                begin, depth = 0, 0
+                for tag in _TAG.finditer(child) if f"<{kind}" in child else ():
+                    closing, name, inside = tag.groups()
+                    if name != kind:
+                        continue
+                    begin = begin if depth else tag.start()
+                    depth += -1 if closing else int(not inside.endswith("/"))
+                    if depth:
+                        continue
+                    text = child[begin : tag.end()]
+                    shape, new = _VALUES.sub("", text), set()
+                    if shape not in shapes:
+                        new = _facts(text) - known
+                        known |= new
+                        if len(shapes) >= SHAPES:
+                            shapes.clear()
+                        shapes.add(shape)
+                    subjects.append(subject)
+                    texts.append(text)
+                    facts.append([{"path": p, "fact": f} for p, f in sorted(new)])
+            kinds = pa.array([kind] * len(texts), pa.string())
+            found = pa.array(facts, pa.list_(pa.struct([("path", pa.string()), ("fact", pa.string())])))
+            arrays = [pa.array(subjects, pa.string()), pa.array([True] * len(texts), pa.bool_()), kinds, pa.array(texts, pa.string()), found]
+            yield pa.RecordBatch.from_arrays(arrays, names=["subject", "top", "kind", "xml", "facts"])
+
+    schema = "subject string, top boolean, kind string, xml string, facts array<struct<path: string, fact: string>>"
+    return saved(children.filter("top").select("subject", "xml").mapInArrow(work, schema))
+
+
 def schemas_of(children: DataFrame, kinds: Sequence[str]) -> dict[str, StructType]:
     """The schema of each kind that occurs: attribute ``x`` as ``_x``, elements inside as structs, arrays where one has several.
 

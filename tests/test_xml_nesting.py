@@ -4,10 +4,11 @@ import random
 import xml.etree.ElementTree as ET
 
 import pytest
+from pyspark.sql import functions as F
 
 from recordloom.plans.health_extract import extract, extract_report, write_documents, write_extract
-from recordloom.sources.health_xml import scan_elements
-from recordloom.sources.xml_nesting import PLAIN, attributes, read_children, schemas_of, step
+from recordloom.sources.health_xml import roots, scan_elements
+from recordloom.sources.xml_nesting import PLAIN, attributes, owner_mark, read_children, schemas_of, step
 
 
 def text_of(rng, size):
@@ -138,3 +139,51 @@ def test_schema_of_kinds(spark, tmp_path):
     found = schemas_of(read_children(spark, str(tmp_path / "x.xml")), ["Record", "Me", "Workout"])
     assert found["Record"].simpleString() == "struct<M:array<struct<_k:string>>,N:string,P:struct<_VALUE:string,_q:string>,_a:string,_b:string>"
     assert set(found) == {"Record", "Me"}
+
+
+@pytest.mark.parametrize("chunk", [1, 60, 1 << 20])
+def test_documents_of_many_owners_in_one_file(spark, tmp_path, chunk, small_splits):
+    """Children as of single documents, over small splits; a document that is cut off loses only what is open."""
+    rng = random.Random(chunk)
+    owners = {f"o {i}/\"<é>": text_of(rng, size) for i, size in enumerate([0, 1, 5, 90, 0, 200, 3])}
+    cut = '<HealthData><Record a="1"/><Record b="2"><Note>'
+    names = [r[0] for r in spark.createDataFrame([(o,) for o in owners], "o string").select(owner_mark(F.col("o"))).collect()]
+    (tmp_path / "bundle=0").mkdir()
+    marked = "".join(f"{mark}\n{text}" for mark, text in zip(names, owners.values()))
+    (tmp_path / "bundle=0" / "part-0").write_text(f'<?recordloom owner="cut"?>{cut}{marked}')
+    rows = sorted(read_children(spark, str(tmp_path), "Workout", chunk).collect(), key=lambda r: (r.block, r.nth, r.at))
+    assert [(r.kind, r.attributes) for r in rows if r.subject == "cut"] == [("HealthData", {}), ("Record", {"a": "1"})]
+    for name, text in owners.items():
+        own = [r for r in rows if r.subject == name]
+        assert [(r.kind, r.attributes) for r in own if not r.top] == [("HealthData", {"locale": "x > y"})]
+        got = [(r.kind, r.attributes, [dict(i) for i in r.inner], canonical(ET.fromstring(r.xml))) for r in own if r.top]
+        assert got == children(text)
+
+
+def test_many_owners_share_files(spark, tmp_path):
+    """With more owners than folders the extract and the documents are read back as from folders."""
+    inside = f'<Record type="t" {AT}><M k="1"/><M k="2"/></Record>{RUN}<Correlation {AT}><Record type="in"/></Correlation>'
+    for name in "abc":
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "export.xml").write_text(f'<HealthData locale="{name}">{inside}</HealthData>')
+    paths = [str(tmp_path / n / "export.xml") for n in "abc"]
+    found = {}
+    for folders in (1, 1000):
+        for write, kind in ((write_extract, "Record"), (write_documents, "documents")):
+            out = str(tmp_path / f"{kind}{folders}")
+            counts = {r.kind: r.n for r in write(spark, paths, out, folders=folders).collect()}
+            assert len(list((tmp_path / f"{kind}{folders}" / kind).glob("bundle=*"))) == (folders < 3)
+            back = scan_elements(spark, f"{out}/{kind}", "Record")
+            rows = sorted(back.select("subject", "_type", "_startDate", F.to_json("M").alias("m")).collect(), key=str)
+            heads = sorted(roots(spark, f"{out}/{kind}").collect())
+            assert found.setdefault(kind, (counts, rows, heads)) == (counts, rows, heads)
+    assert len(found["Record"][1]) == 3 and len(found["documents"][1]) == 6
+
+
+def test_exports_of_all_users_are_few_files(spark):
+    """Files do not grow with users."""
+    from recordloom.queries import files
+
+    users = spark.read.parquet("/root/testdata/sf0.01/events.parquet").select("user_id").distinct().count()
+    for written in (files._exports, files._nested_exports):
+        assert len(spark.read.text(written(spark, "/root/testdata/sf0.01")).inputFiles()) <= 8 < users
