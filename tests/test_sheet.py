@@ -141,3 +141,21 @@ def test_sheets_of_orders_have_the_years_and_priorities_of_the_orders(spark):
 
 def test_import_of_no_sheet(spark, tmp_path):
     assert import_sheets(spark, [], str(tmp_path / "store")).isEmpty()
+
+
+def test_wide_views_group_once(spark):
+    """One aggregation per wide view: an entry per row in a task, not one per figure."""
+    from recordloom.operators import sheet as S
+
+    long = spark.createDataFrame([("a", 2001, "x", 1.0), ("a", 2001, "x", 3.0), ("a", 2001, "z", None), ("b", 2002, "y", 2.0), (None, None, None, 5.0)], "filer string, tax_year int, db_col string, value double")
+    fields = spark.createDataFrame([("a", "x", "d", "1", "2"), ("b", "y", "e", "1", "3")], "filer string, db_col string, description string, form string, line string")
+    yoy = long.withColumnRenamed("value", "yoy_pct")
+    views = [
+        (S.pivot_returns(long, ["x", "y"], ["filer"]), [("a", 2001, 3.0, None), ("b", 2002, None, 2.0), (None, None, None, None)], ["x", "y"]),
+        (S.pivot_yoy(yoy, ["x", "y"], ["filer"]), [("a", 2001, 3.0, None), ("b", 2002, None, 2.0), (None, None, None, None)], ["yoy_x_pct", "yoy_y_pct"]),
+        (S.analysis_report(yoy, fields, [2001, 2002], ["filer"]), [("a", "x", "[1:2] d", 3.0, None), ("b", "y", "[1:3] e", None, 2.0)], ["2001", "2002"]),
+    ]
+    for view, rows, names in views:
+        assert view.columns[-2:] == names
+        assert sorted(map(tuple, view.collect()), key=str) == sorted(rows, key=str)
+        assert view._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 1
