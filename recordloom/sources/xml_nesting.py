@@ -16,6 +16,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from itertools import repeat
 from urllib.parse import unquote_plus
 
 import pandas as pd
@@ -31,6 +32,7 @@ CHUNK = 1 << 20
 
 PLAIN, COMMENT, CDATA, INSTRUCTION, DOUBLE, SINGLE = range(6)
 _ENDS = {COMMENT: "--", CDATA: "]]", INSTRUCTION: "?"}
+_LAST = ("-", "]", "?")
 _MARKS = {DOUBLE: '"', SINGLE: "'"}
 _NAME = re.compile(r"</?(?:[^\s/:<>]*:)?([^\s/:<>]+)")
 _ATTRIBUTE = re.compile(r"([^\s=\"'<>/]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)')")
@@ -71,18 +73,19 @@ def step(state: int, piece: str) -> tuple[int, int]:
         at = piece.find("<")
         if at < 0:
             return PLAIN, 0
-        if piece.startswith("</", at):
+        kind = piece[at + 1 : at + 2]
+        if kind == "/":
             return PLAIN, -1
+        if kind not in ("!", "?"):
+            after = _tag_rest(piece[at:])
+            return after, int(after == PLAIN and piece[-1] != "/")
         if piece.startswith("<!--", at):
             return (PLAIN if piece.endswith("--") and len(piece) - at >= 6 else COMMENT), 0
         if piece.startswith("<![CDATA[", at):
             return (PLAIN if piece.endswith("]]") else CDATA), 0
         if piece.startswith("<!", at):
             return (COMMENT if "<!--" in piece and not piece.endswith("--") else PLAIN), 0
-        if piece.startswith("<?", at):
-            return (PLAIN if piece.endswith("?") else INSTRUCTION), 0
-        after = _tag_rest(piece[at:])
-        return after, int(after == PLAIN and not piece.endswith("/"))
+        return (PLAIN if piece.endswith("?") else INSTRUCTION), 0
     if state in _ENDS:
         return (PLAIN if piece.endswith(_ENDS[state]) else state), 0
     if state == DOUBLE and "'" not in piece and piece.count('"') % 2 == 0:
@@ -122,20 +125,31 @@ def _chunks(limit: int):
             return batch
 
         for batch in batches:
-            subjects, files, blocks = (batch.column(c).to_pylist() for c in ("subject", "file", "block"))
-            for subject, file, block, piece in zip(subjects, files, blocks, batch.column("value").to_pylist(), strict=True):
-                if (subject, file, block) != key:
+            place = [batch.column(c) for c in ("subject", "file", "block")]
+            if all(len(c.unique()) == 1 for c in place):  # as most batches are
+                keys = repeat(tuple(c[0].as_py() for c in place), batch.num_rows)
+            else:
+                keys = zip(*(c.to_pylist() for c in place), strict=True)
+            for now, piece in zip(keys, batch.column("value").to_pylist(), strict=True):
+                if now is not key and now != key:
                     close(True)
-                    key, nth, held, size = (subject, file, block), 0, [], 0
+                    key, nth, held, size = now, 0, [], 0
+                    block = now[2]
                     states, depths, owners = list(range(6)) if block else [PLAIN] * 6, [0] * 6, [None] * 6
                 if not held:
                     begin = (list(states), list(depths), list(owners))
                 held.append(piece + ">")
                 size += len(piece) + 1
+                owner = _owner(PLAIN, piece)
+                # Without an end of a hidden part and with whole quotes only what is plain text moves on.
+                if piece[-1:] not in _LAST and "'" not in piece and piece.count('"') % 2 == 0:
+                    moving = [i for i in range(6) if states[i] == PLAIN]
+                else:
+                    moving = range(6)
                 # States that have met go on together; the first of them is worked out.
                 moved: dict[int, tuple[int, int]] = {}
-                owner = _owner(PLAIN, piece)
-                for i, state in enumerate(states):
+                for i in moving:
+                    state = states[i]
                     if state not in moved:
                         moved[state] = step(state, piece)
                     states[i], change = moved[state]
