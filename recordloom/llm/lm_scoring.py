@@ -1,4 +1,8 @@
-"""Language-model scoring by logistic mixing of hashed-context bit predictors."""
+"""Language-model scoring by logistic mixing of hashed-context bit predictors.
+
+Texts are coded word by word (``lm_words``), by predictors whose contexts run across words; what follows here
+spells words without a code and runs both over documents.
+"""
 
 from __future__ import annotations
 
@@ -12,16 +16,19 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from recordloom.llm import lm_words
 from recordloom.llm.text_arrays import Pack, scramble, slices
 from recordloom.operators.shared import saved
 
-#: Bits of the table of each predictor: no context, one to four bytes, the word so far.
+#: Bits of the table of each predictor of spelling: no context, one to four bytes, the word so far.
 TABLE_BITS = (8, 16, 20, 20, 20, 20)
+#: Words with a code of their own at most; all others are announced by one symbol, then counted or spelled.
+CODED = 1 << 11
+#: Training tokens that one task learns the mixing of coded words from, at least where there are many.
+TASK_TOKENS = 1 << 23
 #: Words whose figures every task holds, of so many bytes at most; all others are joined.
 FREQUENT = 1 << 18
 FREQUENT_BYTES = 64
-#: Classes of documents with word frequencies of their own at most; the last one holds all other values.
-CLASSES = 8
 #: Words that one run of fitting the mixing weights learns from, about; there are as many runs as all words need.
 SAMPLE = 1 << 15
 #: Groups of tasks whose counts are added up first.
@@ -95,10 +102,21 @@ def empty_tables() -> list[np.ndarray]:
     return [np.zeros((1 << bits, 2), dtype=np.float64) for bits in TABLE_BITS]
 
 
+def _distinct(data: np.ndarray, contexts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes and contexts of each beginning of a word once, and which of them each byte is: what words begin
+    with alike is predicted alike."""
+    with np.errstate(over="ignore"):
+        key = contexts[_K - 1] + (data.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
+    _, first, which = np.unique(key, return_index=True, return_inverse=True)
+    return data[first], contexts[:, first], which
+
+
 def count_bits(tables: list[np.ndarray], words: list[bytes], weight: np.ndarray) -> None:
     for begin, end in _runs(words, len(words)):
         data, starts, contexts = _symbols(words[begin:end])
         times = np.repeat(weight[begin:end].astype(np.float64), np.diff(np.append(starts, len(data))))
+        data, contexts, which = _distinct(data, contexts)
+        times = np.bincount(which, times)
         for i in range(0, len(data), SPELL_BYTES):
             part = times[i : i + SPELL_BYTES]
             for slots, bit in _slots(data[i : i + SPELL_BYTES], contexts[:, i : i + SPELL_BYTES]):
@@ -134,31 +152,38 @@ def _inputs(tables: list[np.ndarray], slots: np.ndarray, own: np.ndarray | None)
     longer contexts are trusted. ``own`` is the bit itself: it is taken out of the counts once, so that
     weights are fitted on words the tables have not seen.
     """
-    pair = np.empty((*slots.shape, 2), dtype=tables[0].dtype)
-    for k in range(_K):
-        tables[k].take(slots[k], axis=0, out=pair[k], mode="clip")
-    n, ones = pair[..., 0].astype(np.float64), pair[..., 1].astype(np.float64)
+    # Both counts are one number of twice the size: one look-up reads them.
+    pair = np.stack([t.view(f"c{2 * t.itemsize}").reshape(-1).take(slot) for t, slot in zip(tables, slots, strict=True)])
+    n, ones = pair.real.astype(np.float32), pair.imag.astype(np.float32)
     if own is not None:
         n, ones = np.maximum(n - 1, 0), np.maximum(ones - own, 0)
     # The stretched chance (ones + 0.05) / (n + 0.1) is the logarithm of ones to zeros.
-    odds = np.log((ones + 0.05) / (n - ones + 0.05))
-    out = np.empty((slots.shape[1], _K + 1))
-    out[:, :_K] = np.clip(odds, -_FARTHEST, _FARTHEST, out=odds).T
-    out[:, _K] = 0.3
-    level = [np.minimum(np.log2(n[k] + 1), 7).astype(np.int64) for k in (_K - 1, 3)]
+    out = np.full((_K + 1, slots.shape[1]), 0.3, np.float32)
+    odds = np.log((ones + np.float32(0.05)) / (n - ones + np.float32(0.05)))
+    np.clip(odds, -_FARTHEST, _FARTHEST, out=out[:_K])
+    level = [np.minimum((n[k] + 1).view(np.int32) >> 23, 127 + 7).astype(np.int64) - 127 for k in (_K - 1, 3)]
     return out, level[0] * 8 + level[1]
 
 
+def _mixed(weights: np.ndarray, inputs: np.ndarray, gate: np.ndarray) -> np.ndarray:
+    """The inputs joined by the weights of each bit's gate."""
+    x = np.zeros(len(gate), np.float32)
+    for of_input, column in zip(np.ascontiguousarray(weights.T, np.float32), inputs, strict=True):
+        x += of_input.take(gate) * column
+    return x
+
+
 def _refine(refined: np.ndarray, gate: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     place = (np.clip(x, -8, 8) + 8) * ((_STEPS - 1) / 16)
     low = np.minimum(place.astype(np.int64), _STEPS - 2)
-    share = place - low
-    return refined[gate, low] * (1 - share) + refined[gate, low + 1] * share, low, share
+    share, cell = place - low, gate * _STEPS + low
+    below = refined.take(cell)
+    return below + (refined.take(cell + 1) - below) * share, cell, share
 
 
 def _predict(model: Model, inputs: np.ndarray, gate: np.ndarray) -> np.ndarray:
     """The chance that the bit is 1: mixed by the gate's weights, then averaged with its refined value."""
-    x = np.einsum("ij,ij->i", inputs, model.weights[gate])
+    x = _mixed(model.weights, inputs, gate)
     return np.clip((_squash(x) + _refine(model.refined, gate, x)[0]) / 2, 1e-9, 1 - 1e-9)
 
 
@@ -176,17 +201,22 @@ def fit_mixer(tables: list[np.ndarray], words: list[bytes], passes: int = 2, ste
         for begin, end in _runs(words, step):
             data, _, contexts = _symbols(words[begin:end])
             for i in range(0, len(data), SPELL_BYTES):
-                for slots, bit in _slots(data[i : i + SPELL_BYTES], contexts[:, i : i + SPELL_BYTES]):
-                    inputs, gate = _inputs(tables, slots, bit)
-                    x = np.einsum("ij,ij->i", inputs, model.weights[gate])
-                    error = (bit - _squash(x))[:, None] * inputs
-                    change = np.stack([np.bincount(gate, weights=e, minlength=_GATES) for e in error.T], axis=1)
+                steps = list(_slots(data[i : i + SPELL_BYTES], contexts[:, i : i + SPELL_BYTES]))
+                # The tables stay as they are: all eight bits are looked up at once, and learned in turn.
+                every = _inputs(tables, np.concatenate([s for s, _ in steps], axis=1), np.concatenate([b for _, b in steps]))
+                for j, (_, bit) in enumerate(steps):
+                    now = slice(j * len(bit), (j + 1) * len(bit))
+                    inputs, gate = every[0][:, now], every[1][now]
+                    x = _mixed(model.weights, inputs, gate)
+                    error = (bit - _squash(x)) * inputs
+                    change = np.stack([np.bincount(gate, weights=e, minlength=_GATES) for e in error], axis=1)
                     squares += change * change
                     model.weights += rate * change / np.sqrt(squares)
-                    guess, low, share = _refine(model.refined, gate, x)
-                    miss, cell = (bit - guess) * 0.02, gate * _STEPS + low
-                    moved = np.bincount(cell, weights=miss * (1 - share), minlength=_GATES * _STEPS)
-                    moved += np.bincount(cell + 1, weights=miss * share, minlength=_GATES * _STEPS)
+                    guess, cell, share = _refine(model.refined, gate, x)
+                    miss = (bit - guess) * 0.02
+                    up = miss * share
+                    moved = np.bincount(cell, weights=miss - up, minlength=_GATES * _STEPS)
+                    moved += np.bincount(cell + 1, weights=up, minlength=_GATES * _STEPS)
                     model.refined += moved.reshape(_GATES, _STEPS)
                     np.clip(model.refined, 1e-6, 1 - 1e-6, out=model.refined)
                     model.seen += np.bincount(gate, minlength=_GATES)
@@ -198,48 +228,60 @@ def log10_words(model: Model, words: list[bytes]) -> np.ndarray:
     out = np.zeros(len(words))
     for begin, end in _runs(words, 1 << 12):
         data, starts, contexts = _symbols(words[begin:end])
+        data, contexts, which = _distinct(data, contexts)
         total = np.zeros(len(data))
         for i in range(0, len(data), SPELL_BYTES):
             for slots, bit in _slots(data[i : i + SPELL_BYTES], contexts[:, i : i + SPELL_BYTES]):
                 p = _predict(model, *_inputs(model.tables, slots, None))
                 total[i : i + SPELL_BYTES] += np.log10(np.where(bit == 1, p, 1 - p))
-        out[begin:end] = np.add.reduceat(total, starts)
+        out[begin:end] = np.add.reduceat(total[which], starts)
     return out
 
 
 # -- over documents ------------------------------------------------------------------------------------
 
 
-def word_counts(rows: DataFrame, classes: int) -> DataFrame:
-    """(word, c0, c1, ..., n): how often each word stands in the training documents of each class, and in all."""
+def _words(text: str | None) -> list[bytes]:
+    return (text or "").encode().lower().split()
+
+
+def word_counts(rows: DataFrame) -> DataFrame:
+    """(word, c, n): how often each word stands in the training documents, and in all."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush() -> pa.RecordBatch:
-            words = list(every)
-            columns = [pa.array([c[w] for w in words], pa.int64()) for c in train]
-            columns = [pa.array(words, pa.binary()), *columns, pa.array(list(every.values()), pa.int64())]
-            return pa.RecordBatch.from_arrays(columns, names=["word", *[f"c{i}" for i in range(classes)], "n"])
+            n = pa.array([*train.values(), *held.values()], pa.int64())
+            c = pa.array([*train.values(), *([0] * len(held))], pa.int64())
+            arrays = [pa.array([*train, *held], pa.binary()), c, n]
+            return pa.RecordBatch.from_arrays(arrays, names=["word", "c", "n"])
 
-        train, every, size = [Counter() for _ in range(classes)], Counter(), 0
+        train, held, size = Counter(), Counter(), 0
         for batch in slices(batches, "_text"):
-            for text, of in zip(batch.column("_text").to_pylist(), batch.column("_class").to_pylist(), strict=True):
-                words = (text or "").encode().lower().split()
-                every.update(words)
-                if of is not None:
-                    train[of].update(words)
+            for text, learned in zip(batch.column("_text").to_pylist(), batch.column("_train").to_pylist(), strict=True):
+                (train if learned else held).update(_words(text))
                 size += len(text or "")
             if size > COUNT_BYTES:
                 yield flush()
-                train, every, size = [Counter() for _ in range(classes)], Counter(), 0
+                train, held, size = Counter(), Counter(), 0
         yield flush()
 
-    names = [f"c{i}" for i in range(classes)]
-    counted = rows.select("_text", "_class").mapInArrow(work, f"word binary, {', '.join(f'{c} long' for c in names)}, n long")
-    return counted.groupBy("word").agg(*[F.sum(c).alias(c) for c in (*names, "n")])
+    counted = rows.select("_text", "_train").mapInArrow(work, "word binary, c long, n long")
+    return counted.groupBy("word").agg(F.sum("c").alias("c"), F.sum("n").alias("n"))
+
 
+def _blocks(tables: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """Tables of numbers cut into blocks, for ``_summed``."""
+    group = TaskContext.get().partitionId() % PARTS
+    for k, table in enumerate(tables):
+        flat = table.reshape(-1)
+        for block in range(0, len(flat), 2 * _BLOCK):
+            blob = pa.compress(flat[block : block + 2 * _BLOCK].astype(np.float64).tobytes(), "zstd", asbytes=True)
+            arrays = [pa.array([x], pa.int32()) for x in (k, block, group)]
+            yield pa.RecordBatch.from_arrays([*arrays, pa.array([blob], pa.binary())], names=["k", "block", "part", "counts"])
 
-def _add_sorted(step: str):
-    """Adds up blobs of counts that come sorted by (k, block): one sum is held at a time."""
+
+def _add_sorted(sizes: list[int]):
+    """Adds up blobs of numbers that come sorted by (k, block): one sum is held at a time."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, total = None, np.zeros(0)
@@ -247,11 +289,11 @@ def _add_sorted(step: str):
         def row() -> pa.RecordBatch:
             blob = pa.compress(total.tobytes(), "zstd", asbytes=True)
             arrays = [pa.array([key[0]], pa.int32()), pa.array([key[1]], pa.int32()), pa.array([key[2]], pa.int32()), pa.array([blob], pa.binary())]
-            return pa.RecordBatch.from_arrays(arrays, names=["k", "block", step, "counts"])
+            return pa.RecordBatch.from_arrays(arrays, names=["k", "block", "part", "counts"])
 
         for batch in batches:
-            for k, block, part, blob in zip(*(batch.column(c).to_pylist() for c in ("k", "block", step, "counts")), strict=True):
-                n = 2 * min(_BLOCK, 1 << TABLE_BITS[k]) * 8
+            for k, block, part, blob in zip(*(batch.column(c).to_pylist() for c in ("k", "block", "part", "counts")), strict=True):
+                n = min(2 * _BLOCK, sizes[k] - block) * 8
                 now = np.frombuffer(pa.decompress(blob, n, "zstd", asbytes=True))
                 if (k, block, part) != key:
                     if key is not None:
@@ -265,11 +307,27 @@ def _add_sorted(step: str):
     return work
 
 
-def _bit_tables(counts: DataFrame) -> list[np.ndarray]:
-    """The tables of all training words: counted per task, added up per block of slots.
+_BLOCK_SCHEMA = "k int, block int, part int, counts binary"
+
+
+def _summed(blocks: DataFrame, sizes: list[int], dtype: type) -> list[np.ndarray]:
+    """The sums over tasks of tables of so many numbers; the tables are of a bounded size.
 
     Tasks are many at scale, so their blobs are added in two steps: first those of each of PARTS groups of tasks.
     """
+    for key in (["k", "block", "part"], ["k", "block"]):
+        if len(key) == 2:
+            blocks = blocks.withColumn("part", F.lit(0))
+        blocks = blocks.repartition(*key).sortWithinPartitions(*key).mapInArrow(_add_sorted(sizes), _BLOCK_SCHEMA)
+    tables = [np.zeros(n, dtype) for n in sizes]
+    for row in blocks.toLocalIterator():  # rows of 1 MB at most, as many at any size
+        n = min(2 * _BLOCK, sizes[row["k"]] - row["block"])
+        tables[row["k"]][row["block"] : row["block"] + n] = np.frombuffer(pa.decompress(row["counts"], n * 8, "zstd", asbytes=True))
+    return tables
+
+
+def _bit_tables(counts: DataFrame) -> list[np.ndarray]:
+    """The tables of all training words: counted per task, added up per block of slots."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables, any_ = empty_tables(), False
@@ -278,30 +336,14 @@ def _bit_tables(counts: DataFrame) -> list[np.ndarray]:
                 part = batch.slice(i, 1 << 13)
                 count_bits(tables, part.column("word").to_pylist(), np.ones(part.num_rows))
                 any_ = True
-        group = TaskContext.get().partitionId() % PARTS
-        for k, table in enumerate(tables if any_ else []):
-            for block in range(0, len(table), _BLOCK):
-                blob = pa.compress(np.ascontiguousarray(table[block : block + _BLOCK]).tobytes(), "zstd", asbytes=True)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([k], pa.int32()), pa.array([block], pa.int32()), pa.array([group], pa.int32()), pa.array([blob], pa.binary())],
-                    names=["k", "block", "part", "counts"],
-                )
-
-    schema = "k int, block int, part int, counts binary"
-    learned = counts.filter("c > 0").select("word").mapInArrow(count, schema)
-    for key in (["k", "block", "part"], ["k", "block"]):
-        if len(key) == 2:
-            learned = learned.withColumn("part", F.lit(0))
-        learned = learned.repartition(*key).sortWithinPartitions(*key).mapInArrow(_add_sorted("part"), schema)
-    tables = [t.astype(np.float32) for t in empty_tables()]
-    for row in learned.toLocalIterator():  # 66 rows of 1 MB at most, at any size
-        n = 2 * min(_BLOCK, 1 << TABLE_BITS[row["k"]]) * 8
-        part = np.frombuffer(pa.decompress(row["counts"], n, "zstd", asbytes=True)).reshape(-1, 2)
-        tables[row["k"]][row["block"] : row["block"] + len(part)] = part
-    return tables
+        yield from _blocks(tables if any_ else [])
+
+    # In order, words that begin alike stand together.
+    learned = counts.filter("c > 0").select("word").sortWithinPartitions("word").mapInArrow(count, _BLOCK_SCHEMA)
+    return [t.reshape(-1, 2) for t in _summed(learned, [2 << bits for bits in TABLE_BITS], np.float32)]
 
 
-def train(counts: DataFrame, sample: int = SAMPLE) -> Model:
+def train(counts: DataFrame, sample: int = SAMPLE, passes: int = 2) -> Model:
     """The model of all words of training documents and of the end of a text, each counted once.
 
     Counting words, not their occurrences, fits the model to its use: it spells the words that a class has
@@ -318,7 +360,7 @@ def train(counts: DataFrame, sample: int = SAMPLE) -> Model:
     dealt = words.select("word", F.xxhash64("word").alias("_order"), F.pmod(F.xxhash64("word", F.lit("run")), F.lit(runs)).alias("_run"))
 
     def fit(table: pa.Table) -> pa.Table:
-        found = fit_mixer(shared.value, table.sort_by([("_order", "ascending"), ("word", "ascending")]).column("word").to_pylist())
+        found = fit_mixer(shared.value, table.sort_by([("_order", "ascending"), ("word", "ascending")]).column("word").to_pylist(), passes)
         sums = np.column_stack([found.seen, found.seen[:, None] * found.weights, found.seen[:, None] * found.refined])
         return pa.table({"sums": pa.array([sums.tobytes()], pa.binary())})
 
@@ -340,68 +382,80 @@ def train(counts: DataFrame, sample: int = SAMPLE) -> Model:
     return model
 
 
-def _classes(rows: DataFrame, classes: int) -> list[str | None]:
-    """The most frequent values of the class column among training documents; all others share one class."""
-    found = rows.filter("_train").groupBy("_label").count().orderBy(F.desc("count"), F.col("_label")).limit(classes)
-    return [r["_label"] for r in found.collect()][: classes - 1]
+def _mixer(rows: DataFrame, code: lm_words.Code, place: dict[bytes, int], tokens: int) -> lm_words.Mixer:
+    """The model of coded words: each task makes one pass over its training documents; counts are added up, and
+    weights averaged by the bits that each gate saw."""
+    sent = rows.sparkSession.sparkContext.broadcast((code, place))
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        code, place = sent.value
+        get, learner = place.get, None
+        for batch in slices(batches, "_text"):
+            symbols = []
+            for text in batch.column("_text").to_pylist():
+                symbols += [get(w, lm_words.OTHER) for w in _words(text)]
+                symbols.append(lm_words.END)
+            if symbols:
+                learner = learner or lm_words.Learner(code)
+                learner.learn(np.array(symbols))
+        if learner:
+            yield from _blocks([*learner.pairs(), learner.sums()])
+
+    # Every task sends its tables, so a task learns from many texts.
+    tasks = max(rows.sparkSession.sparkContext.defaultParallelism, -(-tokens // TASK_TOKENS))
+    learned = rows.filter("_train").select("_text").coalesce(tasks).mapInArrow(learn, _BLOCK_SCHEMA)
+    *counts, sums = _summed(learned, [*(2 << bits for bits in lm_words.TABLE_BITS), lm_words.SUMS], np.float64)
+    return lm_words.Mixer(code, [c.reshape(-1, 2) for c in counts], sums)
 
 
 def score(
     docs: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
-    class_col: str = "lang",
-    classes: int = CLASSES,
+    coded: int = CODED,
     frequent: int = FREQUENT,
     sample: int = SAMPLE,
 ) -> DataFrame:
     """One row per document: id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte.
 
     A text is its words, ASCII letters lowered, and an end. The base is a smoothed unigram model of the
-    training documents. The score has two levels. Below, the spelling model gives each word a chance, bit
-    by bit: predictors look up how often a bit was 1 after the last 0 to 4 bytes and after the word so far
-    (hashed contexts in tables of a fixed size, filled from all training words); a logistic mixer whose
-    weights a gate picks joins them, and a map learned online refines the result. Above, each class of
-    training documents has its word frequencies, with the spelling model as the prior for words that are
-    rare in it, and the chance of a text is the mixture of the classes, which is the product of predictions
-    that adapt to the words before. The class of a scored document is never looked at.
-
-    Contexts end at the word, so each distinct word is spelled once. Figures of the ``frequent`` most
-    frequent words (a bounded list) are sent to the tasks; all other words of a document travel with their
-    number and are joined to the table of words, so no list of all words is held anywhere and no frequent
-    word makes a hot key. Words of more than 64 bytes are always joined.
-
-    Null text is empty and has one token, its end. A null id counts as the empty text in the split. Null
-    classes are a class. Repeated rows are documents of their own. Empty input gives no rows. With nothing
-    to learn from, every count is 0.
+    training documents. The score is the sum of the chances of all words and the end, each after the words
+    before it. The ``coded`` most frequent training words, the end and "another word" are symbols of a prefix
+    code; each bit of it is predicted from the code alone and from hashed contexts across words (the last
+    word, the last two, the last very frequent one), joined by a logistic mixer whose weights a gate picks, and
+    refined by an adaptive map (``lm_words``). Another word then has the chance of its number among these in
+    training, with its spelling as the prior: mixed in the same way, from the last 0 to 4 bytes and the word
+    so far. Spelling depends on the word alone, so each distinct word is spelled once.
+
+    Counts and weights are learned from all training documents, one online pass per task; so the last digits
+    of a score depend on how the input is dealt to tasks. Tables have a fixed size; hashes that collide share
+    a slot, and a gate that tells how often a slot was met decides how far it is trusted.
+
+    Figures of the ``frequent`` most frequent words (a bounded list) and of the coded ones are sent to the
+    tasks; all other words of a document travel with their number and are joined to the table of words, so no
+    list of all words is held anywhere and no frequent word makes a hot key. Words of more than 64 bytes have no
+    code and are always joined.
+
+    Null text is empty and has one token, its end. A null id counts as the empty text in the split. Repeated
+    rows are documents of their own. Empty input gives no rows. With nothing to learn from, every count is 0.
     """
     spark = docs.sparkSession
-    label = F.col(class_col).cast("string") if class_col in docs.columns else F.lit(None).cast("string")
-    rows = docs.select(
-        F.col(id_col).alias("_id"), in_training(F.col(id_col)).alias("_train"), label.alias("_label"), F.col(text_col).alias("_text")
-    )
-    own_classes = _classes(rows, classes)
-    m = len(own_classes) + 1
-    of = F.lit(m - 1)
-    for i, value in enumerate(own_classes):
-        of = F.when(F.col("_label").eqNullSafe(F.lit(value)), i).otherwise(of)
-    rows = rows.withColumn("_class", F.when(F.col("_train"), of)).drop("_label")
-    names = [f"c{i}" for i in range(m)]
-    counts = saved(word_counts(rows, m).withColumn("c", sum((F.col(c) for c in names), F.lit(0))))
-    ends = np.zeros(m)
-    for r in rows.filter("_train").groupBy("_class").count().collect():
-        ends[r["_class"]] = r["count"]
-    sums = counts.agg(
-        F.count(F.when(F.col("c") > 0, True)),
-        *[F.coalesce(F.sum(c), F.lit(0)) for c in names],
-        *[F.count(F.when(F.col(c) == 1, True)) for c in names],
-    ).first()
-    tokens = np.array(sums[1 : m + 1], dtype=float) + ends
-    # The prior weighs as much as the words that a class has seen once.
-    prior = np.maximum(np.array(sums[m + 1 :], dtype=float), 1.0)
-    n, n_ends = int(tokens.sum()), int(ends.sum())
-    base = n + 0.1 * (sums[0] + (n_ends > 0) + 1)
-    model = train(counts, sample)
+    rows = docs.select(F.col(id_col).alias("_id"), in_training(F.col(id_col)).alias("_train"), F.col(text_col).alias("_text"))
+    counts = saved(word_counts(rows))
+    n_ends = rows.filter("_train").count()
+    known, total, once = counts.agg(F.count(F.when(F.col("c") > 0, True)), F.coalesce(F.sum("c"), F.lit(0)), F.count(F.when(F.col("c") == 1, True))).first()
+    n = total + n_ends
+    base = n + 0.1 * (known + (n_ends > 0) + 1)
+    short = counts.filter(F.octet_length("word") <= FREQUENT_BYTES)
+    kept = short.filter("c > 1").orderBy(F.desc("c"), "word").limit(coded).select("word", "c").toArrow()
+    with_code = kept.column("c").to_numpy()
+    # Both other symbols may follow anything: they count once more.
+    code = lm_words.prefix_code(np.array([n_ends + 1, total - int(with_code.sum()) + 1, *with_code]))
+    place = {w: i for i, w in enumerate(kept.column("word").to_pylist(), lm_words.WORDS)}
+    mixer = _mixer(rows, code, place, n)
+    # The prior weighs as much as the words seen once.
+    prior, others = max(float(once), 1.0), float(total - int(with_code.sum()))
+    model = train(counts, sample, passes=1)
     shared = spark.sparkContext.broadcast(model)  # 34 MB at any size
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -409,86 +463,78 @@ def score(
             found = log10_words(shared.value, batch.column("word").to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found)], names=[*batch.schema.names, "spelled"])
 
-    words = saved(counts.mapInArrow(spell, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in counts.schema) + ", spelled double"))
-    top = words.filter(F.octet_length("word") <= FREQUENT_BYTES).orderBy(F.desc("n"), "word").limit(frequent).select("word", "c", *names, "spelled").toArrow()
-    place = {w: i for i, w in enumerate(top.column("word").to_pylist())}
-    seen = np.stack([np.asarray(top.column(c), dtype=float) for c in names], axis=1).reshape(-1, m)
-    # Per word: base, whether known, and the chance in each class; the last row is the end.
-    total = np.append(np.asarray(top.column("c"), dtype=float), n_ends)
-    seen = np.vstack([seen, ends[None, :]])
-    spelled = np.append(np.asarray(top.column("spelled"), dtype=float), log10_words(model, [b""]))[:, None]
-    # The chance of a long word is below the smallest double: words new to a class stay in logs.
+    words = saved(counts.sortWithinPartitions("word").mapInArrow(spell, "word binary, c long, n long, spelled double"))
+    top = words.filter(F.octet_length("word") <= FREQUENT_BYTES).orderBy(F.desc("n"), "word").limit(frequent).select("word", "c", "spelled").toArrow()
+    more = [(w, c, s) for w, c, s in zip(*(top.column(i).to_pylist() for i in range(3)), strict=True) if w not in place]
+    n_coded = len(place) + lm_words.WORDS
+    place |= {w: i for i, (w, _, _) in enumerate(more, n_coded)}
+    c = np.array([n_ends, 0, *with_code, *(c for _, c, _ in more)], dtype=float)
+    # The chance of a long word is below the smallest double: words new to training stay in logs.
+    spelled = np.array([s for _, _, s in more])
+    seen = c[n_coded:]
     blended = np.log10(np.where(seen > 0, seen + prior * np.power(10.0, spelled), 1.0))
-    in_class = np.where(seen > 0, blended, np.log10(prior) + spelled) - np.log10(tokens + prior)
-    figures = np.column_stack([np.log10((total + 0.1) / base), total > 0, in_class])
-    known = spark.sparkContext.broadcast((place, figures))
+    own = np.where(seen > 0, blended, np.log10(prior) + spelled) - np.log10(others + prior)
+    # Per word: base, whether known, and its chance beside the symbol; words that are joined have their figures there.
+    figures = np.column_stack([np.log10((c + 0.1) / base), c > 0, np.concatenate([np.zeros(n_coded), own])])
+    figures[lm_words.OTHER] = 0
+    sent = spark.sparkContext.broadcast((place, figures, n_coded, mixer))
     kind = rows.schema["_id"].dataType.simpleString()
-    owns = [f"own{i}" for i in range(m)]
 
     def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place, figures = known.value
-        for batch in slices(batches, "_text", 1 << 20):
-            at, word, times, whole, size = [], [], [], [], []
-            rows = batch.column("_row").to_pylist()
-            for r, text in zip(rows, batch.column("_text").to_pylist(), strict=True):
-                parts = (text or "").encode().lower().split()
-                spots, many = [len(figures) - 1], [1]
-                for w, k in Counter(parts).items():
-                    spot = place.get(w)
-                    if spot is None:
-                        at.append(r)
-                        word.append(w)
-                        times.append(k)
-                    else:
-                        spots.append(spot)
-                        many.append(k)
-                whole.append(np.array(many, dtype=float) @ figures[spots])
-                size.append((len(parts) + 1, sum(map(len, parts)) + len(parts) + 1))
-            whole = np.array(whole)
-            rest = len(at)
-            none = np.zeros(rest)
+        place, figures, n_coded, mixer = sent.value
+        get = place.get
+        for batch in slices(batches, "_text"):
+            every, spots, begin, size = [], [], [], []
+            for text in batch.column("_text").to_pylist():
+                parts = _words(text)
+                begin.append(len(spots))
+                size.append((len(parts) + 1, len(b"".join(parts)) + len(parts) + 1))
+                spots += [get(w, lm_words.OTHER) for w in parts]
+                spots.append(lm_words.END)
+                every += parts
+                every.append(b"")
+            if not begin:
+                continue
+            spots, begin, rows = np.array(spots), np.array(begin), batch.column("_row").to_pylist()
+            whole = np.add.reduceat(figures[spots], begin)
+            whole[:, 2] += np.add.reduceat(mixer.log10_symbols(np.where(spots < n_coded, spots, lm_words.OTHER)), begin)
+            left = np.flatnonzero(spots == lm_words.OTHER)
+            of = np.searchsorted(begin, left, side="right") - 1
+            rest = Counter(zip(of.tolist(), map(every.__getitem__, left.tolist()), strict=True))
+            extra, none = len(rest), np.zeros(len(rest))
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array([*rows, *at], pa.int64()),
+                    pa.array([*rows, *(rows[r] for r, _ in rest)], pa.int64()),
                     # A blank is in no word, so these rows find none and spread evenly.
-                    pa.array([*[f" {r}".encode() for r in rows], *word], pa.binary()),
-                    pa.array([0] * len(rows) + times, pa.int64()),
-                    pa.concat_arrays([batch.column("_id"), pa.nulls(rest, batch.column("_id").type)]),
-                    pa.concat_arrays([batch.column("_train"), pa.nulls(rest, pa.bool_())]),
-                    *[pa.array([s[i] for s in size] + [0] * rest, pa.int64()) for i in (0, 1)],
-                    *[pa.array(np.concatenate([whole[:, i], none])) for i in range(m + 2)],
+                    pa.array([*[f" {r}".encode() for r in rows], *(w for _, w in rest)], pa.binary()),
+                    pa.array([0] * len(rows) + list(rest.values()), pa.int64()),
+                    pa.concat_arrays([batch.column("_id"), pa.nulls(extra, batch.column("_id").type)]),
+                    pa.concat_arrays([batch.column("_train"), pa.nulls(extra, pa.bool_())]),
+                    *[pa.array([s[i] for s in size] + [0] * extra, pa.int64()) for i in (0, 1)],
+                    *[pa.array(np.concatenate([whole[:, i], none])) for i in range(3)],
                 ],
-                names=["_row", "word", "n", "_id", "_train", "n_tokens", "n_bytes", "base", "n_known", *owns],
+                names=["_row", "word", "n", "_id", "_train", "n_tokens", "n_bytes", "base", "n_known", "score"],
             )
 
-    schema = f"_row long, word binary, n long, _id {kind}, _train boolean, n_tokens long, n_bytes long, base double, n_known double, "
-    schema += ", ".join(f"{c} double" for c in owns)
-    parts = rows.select("_id", "_train", "_text").withColumn("_row", F.monotonically_increasing_id()).mapInArrow(add_up, schema)
-    parts = parts.join(words.select("word", "c", *names, "spelled"), "word", "left")
+    schema = f"_row long, word binary, n long, _id {kind}, _train boolean, n_tokens long, n_bytes long, base double, n_known double, score double"
+    parts = rows.withColumn("_row", F.monotonically_increasing_id()).mapInArrow(add_up, schema)
+    parts = parts.join(words.select("word", "c", "spelled"), "word", "left")
     found = F.col("c").isNotNull()
 
     def plus(column: str, more: Column) -> Column:
         return (F.col(column) + F.when(found, F.col("n") * more).otherwise(0.0)).alias(column)
 
-    def own(i: int) -> Column:
-        blended = F.log10(F.col(f"c{i}") + float(prior[i]) * F.pow(F.lit(10.0), F.col("spelled")))
-        new = F.col("spelled") + float(np.log10(prior[i]))
-        return F.when(F.col(f"c{i}") > 0, blended).otherwise(new) - float(np.log10(tokens[i] + prior[i]))
-
+    blended = F.log10(F.col("c") + prior * F.pow(F.lit(10.0), F.col("spelled")))
+    own = F.when(F.col("c") > 0, blended).otherwise(F.col("spelled") + float(np.log10(prior))) - float(np.log10(others + prior))
     parts = parts.select(
         *["_row", "_id", "_train", "n_tokens", "n_bytes"],
         plus("n_known", (F.col("c") > 0).cast("int")),
         plus("base", F.log10((F.col("c") + 0.1) / F.lit(float(base)))),
-        *[plus(f"own{i}", own(i)) for i in range(m)],
+        plus("score", own),
     )
-    sums = [F.sum(c).alias(c) for c in ("n_tokens", "n_bytes", "n_known", "base", *owns)]
-    total = parts.groupBy("_row").agg(F.max("_id").alias("_id"), F.max("_train").alias("_train"), *sums)
-    # Classes weigh as their tokens; the sum is formed beside its largest part, so it can't underflow.
-    share = [float(np.log10(max(t, 1e-9) / max(n, 1))) for t in tokens]
-    of_class = [F.col(c) + F.lit(x) for c, x in zip(owns, share, strict=True)]
-    best = F.greatest(*of_class) if m > 1 else of_class[0]
-    mixed = best + F.log10(sum((F.pow(F.lit(10.0), x - best) for x in of_class), F.lit(0.0)))
-    return total.withColumn("score", mixed).select(
+    sums = [F.sum(c).alias(c) for c in ("n_tokens", "n_bytes", "n_known", "base", "score")]
+    total_of = parts.groupBy("_row").agg(F.max("_id").alias("_id"), F.max("_train").alias("_train"), *sums)
+    return total_of.select(
         F.col("_id").alias(id_col),
         (~F.col("_train")).alias("held_out"),
         "n_tokens",

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 import __spark_entry__ as entry
-from recordloom.llm import exact_dedup, language_id, lm_scoring, mixing, packing, quality, sharding, simhash, substring, warc
+from recordloom.llm import exact_dedup, language_id, lm_scoring, lm_words, mixing, packing, quality, sharding, simhash, substring, warc
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -484,6 +484,58 @@ def test_long_words_are_spelled_in_parts(monkeypatch):
     assert lm_scoring.log10_words(model, words) == pytest.approx(whole) and max(seen) <= 100
 
 
+def test_scores_know_the_order_of_words(make):
+    held = [i for i in range(300) if zlib.crc32(str(i).encode()) % 10 == 0][:3]
+    text = "north wind and bright sun argued over who of both was stronger"
+    other = "sun wind stronger both bright of and was who over argued north"
+    docs = make(*[(i, " ".join([text] * 3), "en", "s") for i in range(300) if i not in held], *zip(held, (text, " ".join(reversed(text.split())), other), "eee", "sss"))
+    out = {r.doc_id: r for r in lm_scoring.score(docs).collect()}
+    first, *others = (out[i] for i in held)
+    assert all(r.base_score == pytest.approx(first.base_score) and r.score < first.score - 3 for r in others)
+
+
+def _learned(symbols, counts):
+    learner = lm_words.Learner(lm_words.prefix_code(np.array(counts)))
+    for _ in range(5):
+        learner.learn(symbols)
+    return lm_words.Mixer(learner.code, learner.pairs(), learner.sums())
+
+
+def test_code_of_words_has_their_share():
+    counts = np.array([3, 1, 40, 20, 9, 5, 2, 2])
+    code = lm_words.prefix_code(counts)
+    assert sum(2.0 ** -code.length) == 1
+    for symbol, n in enumerate(counts):
+        at = slice(code.first[symbol], code.first[symbol] + code.length[symbol])
+        one = 1 / (1 + np.exp(-code.odds[at].astype(float)))
+        assert np.prod(np.where(code.bits[at] > 0, one, 1 - one)) == pytest.approx(n / counts.sum(), rel=1e-5)
+
+
+def test_chances_of_the_next_word_sum_to_one():
+    symbols = np.array([2, 3, 4, 5, 0, 3, 4, 5, 1, 0, 2, 3, 4, 0] * 30)
+    mixer = _learned(symbols, np.bincount(symbols))
+    for before in ([], [2], [2, 3], [5, 1], [4, 5]):
+        chances = [10 ** mixer.log10_symbols(np.array([*before, s]))[-1] for s in range(6)]
+        assert sum(chances) == pytest.approx(1, abs=1e-5)
+    after = [10 ** mixer.log10_symbols(np.array([*before, 4]))[-1] for before in ([2, 3], [4, 5])]
+    assert after[0] > 0.9 and after[1] < 0.1
+
+
+def test_contexts_end_with_the_text():
+    symbols = np.array([2, 3, 4, 0, 3, 4, 5, 0, 2, 5, 0] * 20)
+    mixer = _learned(symbols, np.bincount(symbols) + 1)
+    texts = [np.array(t) for t in ([2, 3, 4, 0], [0], [3, 0], [5, 5, 2, 3, 4, 0])]
+    assert mixer.log10_symbols(np.concatenate(texts)) == pytest.approx(np.concatenate([mixer.log10_symbols(t) for t in texts]))
+
+
+def test_beginnings_of_words_are_looked_up_once():
+    words = [b"walk", b"walks", b"walked", b"talk", b""] * 3
+    data, starts, contexts = lm_scoring._symbols(words)
+    once, of_once, which = lm_scoring._distinct(data, contexts)
+    assert (once[which] == data).all() and (of_once[:, which] == contexts).all()
+    assert len(once) == len({(w + b" ")[: i + 1] for w in words for i in range(len(w) + 1)})
+
+
 def test_scores_odd(odd, none):
     out = lm_scoring.score(odd).collect()
     assert len(out) == odd.count() and all(r.score < 0 and r.n_tokens >= 1 for r in out)
