@@ -2,6 +2,7 @@ import sys
 from pathlib import Path
 
 import pytest
+from pyspark import SparkContext, StatusTracker
 from pyspark.sql import SparkSession
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
@@ -22,3 +23,11 @@ def spark(tmp_path_factory):
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
+
+
+@pytest.fixture(autouse=True)
+def own_job_groups(monkeypatch, request):
+    """Job groups of different tests are different ones, whatever their names."""
+    set_group, ids = SparkContext.setJobGroup, StatusTracker.getJobIdsForGroup
+    monkeypatch.setattr(SparkContext, "setJobGroup", lambda self, group, *rest: set_group(self, f"{request.node.nodeid}/{group}", *rest))
+    monkeypatch.setattr(StatusTracker, "getJobIdsForGroup", lambda self, group: ids(self, f"{request.node.nodeid}/{group}"))
