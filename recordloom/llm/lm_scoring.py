@@ -6,12 +6,13 @@ spells words without a code and runs both over documents.
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -35,6 +36,8 @@ SAMPLE = 1 << 15
 PARTS = 64
 #: Bytes of text whose words are counted together.
 COUNT_BYTES = 16 << 20
+#: Bytes of text that are scored at once: words that stand after the same words are predicted once.
+SCORE_BYTES = 2 << 20
 #: Bytes of words whose bits are worked on at once; of a longer single word only the contexts are formed at once.
 SPELL_BYTES = 1 << 17
 _BLOCK = 1 << 16
@@ -91,9 +94,11 @@ def _slots(data: np.ndarray, contexts: np.ndarray) -> Iterator[tuple[np.ndarray,
         slots = np.empty(contexts.shape, dtype=np.int64)
         slots[0] = node
         with np.errstate(over="ignore"):
+            node *= np.uint64(0x9E3779B97F4A7C15)
             for k in range(1, _K):
-                mixed = (salted[k] ^ (node * np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xD6E8FEB86659FD93)
-                slots[k] = mixed >> np.uint64(64 - TABLE_BITS[k])
+                mixed = salted[k] ^ node
+                mixed *= np.uint64(0xD6E8FEB86659FD93)
+                np.right_shift(mixed, np.uint64(64 - TABLE_BITS[k]), out=slots[k].view(np.uint64))
         yield slots, (data >> np.uint8(bit)) & 1
 
 
@@ -111,7 +116,13 @@ def _distinct(data: np.ndarray, contexts: np.ndarray) -> tuple[np.ndarray, np.nd
     return data[first], contexts[:, first], which
 
 
+def _pairs(tables: list[np.ndarray]) -> list[np.ndarray]:
+    """Both counts of a slot as one number of twice the size: one look-up reaches both."""
+    return [t.view(f"c{2 * t.itemsize}").reshape(-1) for t in tables]
+
+
 def count_bits(tables: list[np.ndarray], words: list[bytes], weight: np.ndarray) -> None:
+    pairs = _pairs(tables)
     for begin, end in _runs(words, len(words)):
         data, starts, contexts = _symbols(words[begin:end])
         times = np.repeat(weight[begin:end].astype(np.float64), np.diff(np.append(starts, len(data))))
@@ -120,11 +131,10 @@ def count_bits(tables: list[np.ndarray], words: list[bytes], weight: np.ndarray)
         for i in range(0, len(data), SPELL_BYTES):
             part = times[i : i + SPELL_BYTES]
             for slots, bit in _slots(data[i : i + SPELL_BYTES], contexts[:, i : i + SPELL_BYTES]):
-                ones = part * bit
-                for k in range(_K):
+                both = part + 1j * (part * bit)
+                for table, slot in zip(pairs, slots, strict=True):
                     # Few of the slots are met: only these are written to.
-                    np.add.at(tables[k].reshape(-1), 2 * slots[k], part)
-                    np.add.at(tables[k].reshape(-1), 2 * slots[k] + 1, ones)
+                    np.add.at(table, slot, both)
 
 
 # -- mixing --------------------------------------------------------------------------------------------
@@ -152,17 +162,22 @@ def _inputs(tables: list[np.ndarray], slots: np.ndarray, own: np.ndarray | None)
     longer contexts are trusted. ``own`` is the bit itself: it is taken out of the counts once, so that
     weights are fitted on words the tables have not seen.
     """
-    # Both counts are one number of twice the size: one look-up reads them.
-    pair = np.stack([t.view(f"c{2 * t.itemsize}").reshape(-1).take(slot) for t, slot in zip(tables, slots, strict=True)])
-    n, ones = pair.real.astype(np.float32), pair.imag.astype(np.float32)
-    if own is not None:
-        n, ones = np.maximum(n - 1, 0), np.maximum(ones - own, 0)
-    # The stretched chance (ones + 0.05) / (n + 0.1) is the logarithm of ones to zeros.
-    out = np.full((_K + 1, slots.shape[1]), 0.3, np.float32)
-    odds = np.log((ones + np.float32(0.05)) / (n - ones + np.float32(0.05)))
-    np.clip(odds, -_FARTHEST, _FARTHEST, out=out[:_K])
-    level = [np.minimum((n[k] + 1).view(np.int32) >> 23, 127 + 7).astype(np.int64) - 127 for k in (_K - 1, 3)]
-    return out, level[0] * 8 + level[1]
+    out, level = np.empty((_K + 1, slots.shape[1]), np.float32), {}
+    out[_K] = 0.3
+    for k, (pairs, slot) in enumerate(zip(_pairs(tables), slots, strict=True)):
+        both = pairs.take(slot)
+        n, ones = both.real.astype(np.float32), both.imag.astype(np.float32)
+        if own is not None:
+            n, ones = np.maximum(n - 1, 0), np.maximum(ones - own, 0)
+        if k in (_K - 1, 3):
+            level[k] = np.minimum((n + 1).view(np.int32) >> 23, 127 + 7).astype(np.int64) - 127
+        # The stretched chance (ones + 0.05) / (n + 0.1) is the logarithm of ones to zeros.
+        n -= ones
+        n += np.float32(0.05)
+        ones += np.float32(0.05)
+        ones /= n
+        np.clip(np.log(ones, out=ones), -_FARTHEST, _FARTHEST, out=out[k])
+    return out, level[_K - 1] * 8 + level[3]
 
 
 def _mixed(weights: np.ndarray, inputs: np.ndarray, gate: np.ndarray) -> np.ndarray:
@@ -241,35 +256,57 @@ def log10_words(model: Model, words: list[bytes]) -> np.ndarray:
 # -- over documents ------------------------------------------------------------------------------------
 
 
-def _words(text: str | None) -> list[bytes]:
-    return (text or "").encode().lower().split()
+def _words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts, ASCII letters lowered, and how many each text has; null counts as empty."""
+    parts = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    words = parts.flatten().cast(pa.binary())
+    # Blanks at an end of a text leave an empty part there.
+    real = pc.greater(pc.binary_length(words), 0)
+    before = np.concatenate([[0], np.cumsum(np.asarray(real))])
+    ends = np.cumsum(np.asarray(pc.list_value_length(parts)))
+    return words.filter(real), np.diff(before[ends], prepend=0)
+
+
+def _symbols_of(texts: pa.Array, place: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array, np.ndarray]:
+    """The symbols of all texts, each with its end; where each text begins; the words, and where they stand.
+
+    ``place`` lists the words that have a symbol, in order of these; any other word is ``OTHER``.
+    """
+    words, n = _words(texts)
+    begin = np.cumsum(n + 1) - n - 1
+    at = np.arange(len(words)) + np.repeat(np.arange(len(n)), n)
+    found = np.asarray(pc.fill_null(pc.index_in(words, value_set=place), -1))
+    symbols = np.full(len(words) + len(n), lm_words.END, np.int64)
+    symbols[at] = np.where(found < 0, lm_words.OTHER, found + lm_words.WORDS)
+    return symbols, begin, words, at
 
 
 def word_counts(rows: DataFrame) -> DataFrame:
     """(word, c, n): how often each word stands in the training documents, and in all."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def flush() -> pa.RecordBatch:
-            n = pa.array([*train.values(), *held.values()], pa.int64())
-            c = pa.array([*train.values(), *([0] * len(held))], pa.int64())
-            arrays = [pa.array([*train, *held], pa.binary()), c, n]
-            return pa.RecordBatch.from_arrays(arrays, names=["word", "c", "n"])
+        def flush() -> Iterator[pa.RecordBatch]:
+            for learned, words in met.items():
+                found = pa.chunked_array(words, pa.binary()).value_counts()
+                n = found.field("counts")
+                yield pa.RecordBatch.from_arrays([found.field("values"), n if learned else pa.array(np.zeros(len(n), np.int64)), n], names=["word", "c", "n"])
 
-        train, held, size = Counter(), Counter(), 0
+        met, size = {True: [], False: []}, 0
         for batch in slices(batches, "_text"):
-            for text, learned in zip(batch.column("_text").to_pylist(), batch.column("_train").to_pylist(), strict=True):
-                (train if learned else held).update(_words(text))
-                size += len(text or "")
+            for learned in met:
+                texts = batch.filter(pc.equal(batch.column("_train"), learned)).column("_text")
+                met[learned].append(_words(texts)[0])
+                size += pc.sum(pc.binary_length(texts)).as_py() or 0
             if size > COUNT_BYTES:
-                yield flush()
-                train, held, size = Counter(), Counter(), 0
-        yield flush()
+                yield from flush()
+                met, size = {True: [], False: []}, 0
+        yield from flush()
 
     counted = rows.select("_text", "_train").mapInArrow(work, "word binary, c long, n long")
     return counted.groupBy("word").agg(F.sum("c").alias("c"), F.sum("n").alias("n"))
 
 
-def _blocks(tables: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+def _blocks(tables: Iterable[np.ndarray]) -> Iterator[pa.RecordBatch]:
     """Tables of numbers cut into blocks, for ``_summed``."""
     group = TaskContext.get().partitionId() % PARTS
     for k, table in enumerate(tables):
@@ -382,24 +419,21 @@ def train(counts: DataFrame, sample: int = SAMPLE, passes: int = 2) -> Model:
     return model
 
 
-def _mixer(rows: DataFrame, code: lm_words.Code, place: dict[bytes, int], tokens: int) -> lm_words.Mixer:
+def _mixer(rows: DataFrame, code: lm_words.Code, place: pa.Array, tokens: int) -> lm_words.Mixer:
     """The model of coded words: each task makes one pass over its training documents; counts are added up, and
     weights averaged by the bits that each gate saw."""
     sent = rows.sparkSession.sparkContext.broadcast((code, place))
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code, place = sent.value
-        get, learner = place.get, None
+        learner = None
         for batch in slices(batches, "_text"):
-            symbols = []
-            for text in batch.column("_text").to_pylist():
-                symbols += [get(w, lm_words.OTHER) for w in _words(text)]
-                symbols.append(lm_words.END)
-            if symbols:
+            if batch.num_rows:
                 learner = learner or lm_words.Learner(code)
-                learner.learn(np.array(symbols))
+                learner.learn(_symbols_of(batch.column("_text"), place)[0])
         if learner:
-            yield from _blocks([*learner.pairs(), learner.sums()])
+            # One table at a time: they are large.
+            yield from _blocks(chain(map(lm_words.side_by_side, learner.counts), [learner.sums()]))
 
     # Every task sends its tables, so a task learns from many texts.
     tasks = max(rows.sparkSession.sparkContext.defaultParallelism, -(-tokens // TASK_TOKENS))
@@ -451,7 +485,7 @@ def score(
     with_code = kept.column("c").to_numpy()
     # Both other symbols may follow anything: they count once more.
     code = lm_words.prefix_code(np.array([n_ends + 1, total - int(with_code.sum()) + 1, *with_code]))
-    place = {w: i for i, w in enumerate(kept.column("word").to_pylist(), lm_words.WORDS)}
+    place = kept.column("word").combine_chunks()
     mixer = _mixer(rows, code, place, n)
     # The prior weighs as much as the words seen once.
     prior, others = max(float(once), 1.0), float(total - int(with_code.sum()))
@@ -465,53 +499,49 @@ def score(
 
     words = saved(counts.sortWithinPartitions("word").mapInArrow(spell, "word binary, c long, n long, spelled double"))
     top = words.filter(F.octet_length("word") <= FREQUENT_BYTES).orderBy(F.desc("n"), "word").limit(frequent).select("word", "c", "spelled").toArrow()
-    more = [(w, c, s) for w, c, s in zip(*(top.column(i).to_pylist() for i in range(3)), strict=True) if w not in place]
+    more = top.filter(pc.invert(pc.is_in(top.column("word"), value_set=place)))
     n_coded = len(place) + lm_words.WORDS
-    place |= {w: i for i, (w, _, _) in enumerate(more, n_coded)}
-    c = np.array([n_ends, 0, *with_code, *(c for _, c, _ in more)], dtype=float)
+    place = pa.concat_arrays([place, *more.column("word").chunks])
+    c = np.concatenate([[n_ends, 0], with_code, more.column("c").to_numpy()]).astype(float)
     # The chance of a long word is below the smallest double: words new to training stay in logs.
-    spelled = np.array([s for _, _, s in more])
+    spelled = more.column("spelled").to_numpy()
     seen = c[n_coded:]
     blended = np.log10(np.where(seen > 0, seen + prior * np.power(10.0, spelled), 1.0))
     own = np.where(seen > 0, blended, np.log10(prior) + spelled) - np.log10(others + prior)
     # Per word: base, whether known, and its chance beside the symbol; words that are joined have their figures there.
-    figures = np.column_stack([np.log10((c + 0.1) / base), c > 0, np.concatenate([np.zeros(n_coded), own])])
-    figures[lm_words.OTHER] = 0
+    figures = np.stack([np.log10((c + 0.1) / base), c > 0, np.concatenate([np.zeros(n_coded), own])])
+    figures[:, lm_words.OTHER] = 0
     sent = spark.sparkContext.broadcast((place, figures, n_coded, mixer))
     kind = rows.schema["_id"].dataType.simpleString()
 
     def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place, figures, n_coded, mixer = sent.value
-        get = place.get
-        for batch in slices(batches, "_text"):
-            every, spots, begin, size = [], [], [], []
-            for text in batch.column("_text").to_pylist():
-                parts = _words(text)
-                begin.append(len(spots))
-                size.append((len(parts) + 1, len(b"".join(parts)) + len(parts) + 1))
-                spots += [get(w, lm_words.OTHER) for w in parts]
-                spots.append(lm_words.END)
-                every += parts
-                every.append(b"")
-            if not begin:
+        for batch in slices(batches, "_text", SCORE_BYTES):
+            if not batch.num_rows:
                 continue
-            spots, begin, rows = np.array(spots), np.array(begin), batch.column("_row").to_pylist()
-            whole = np.add.reduceat(figures[spots], begin)
-            whole[:, 2] += np.add.reduceat(mixer.log10_symbols(np.where(spots < n_coded, spots, lm_words.OTHER)), begin)
-            left = np.flatnonzero(spots == lm_words.OTHER)
-            of = np.searchsorted(begin, left, side="right") - 1
-            rest = Counter(zip(of.tolist(), map(every.__getitem__, left.tolist()), strict=True))
-            extra, none = len(rest), np.zeros(len(rest))
+            symbols, begin, words, at = _symbols_of(batch.column("_text"), place)
+            whole = np.stack([np.add.reduceat(f.take(symbols), begin) for f in figures])
+            whole[2] += np.add.reduceat(mixer.log10_symbols(np.where(symbols < n_coded, symbols, lm_words.OTHER)), begin)
+            size = np.diff(begin, append=len(symbols))
+            length = np.zeros(len(symbols), np.int64)
+            length[at] = np.asarray(pc.binary_length(words))
+            # Words without figures, once per document.
+            left = np.flatnonzero(symbols[at] == lm_words.OTHER)
+            other = words.take(pa.array(left)).dictionary_encode()
+            n_other = max(len(other.dictionary), 1)
+            of = np.searchsorted(begin, at[left], side="right") - 1
+            pair, times = np.unique(of * n_other + np.asarray(other.indices), return_counts=True)
+            rows, extra, none = batch.column("_row").to_numpy(), len(pair), np.zeros(len(pair))
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array([*rows, *(rows[r] for r, _ in rest)], pa.int64()),
+                    pa.array(np.concatenate([rows, rows[pair // n_other]])),
                     # A blank is in no word, so these rows find none and spread evenly.
-                    pa.array([*[f" {r}".encode() for r in rows], *(w for _, w in rest)], pa.binary()),
-                    pa.array([0] * len(rows) + list(rest.values()), pa.int64()),
+                    pa.concat_arrays([pa.array([f" {r}".encode() for r in rows], pa.binary()), other.dictionary.take(pa.array(pair % n_other))]),
+                    pa.array(np.concatenate([np.zeros(len(rows), np.int64), times])),
                     pa.concat_arrays([batch.column("_id"), pa.nulls(extra, batch.column("_id").type)]),
                     pa.concat_arrays([batch.column("_train"), pa.nulls(extra, pa.bool_())]),
-                    *[pa.array([s[i] for s in size] + [0] * extra, pa.int64()) for i in (0, 1)],
-                    *[pa.array(np.concatenate([whole[:, i], none])) for i in range(3)],
+                    *[pa.array(np.concatenate([x, np.zeros(extra, np.int64)])) for x in (size, np.add.reduceat(length, begin) + size)],
+                    *[pa.array(np.concatenate([x, none])) for x in whole],
                 ],
                 names=["_row", "word", "n", "_id", "_train", "n_tokens", "n_bytes", "base", "n_known", "score"],
             )

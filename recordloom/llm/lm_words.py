@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,6 +28,8 @@ _LEVELS = 8
 GATES = _LEVELS * _LEVELS
 _STEPS = 33
 _SURE = np.float32(1e-6)
+#: Which half of a number of 64 bits the low bits are.
+_LOW = 0 if sys.byteorder == "little" else 1
 
 
 @dataclass
@@ -72,27 +75,47 @@ def prefix_code(counts: np.ndarray) -> Code:
     return Code(places[:-1], np.diff(places), _hashed(nodes.astype(np.uint64)), np.array(bits, np.float32), np.array(odds, np.float32)[nodes], _hashed(np.arange((_K + 1) * n, dtype=np.uint64) + (np.uint64(1) << np.uint64(56))).reshape(-1, n))
 
 
-def contexts(code: Code, symbols: np.ndarray) -> list[np.ndarray]:
-    """Hashes per predictor and symbol of whole texts that follow each other; no context reaches into another text."""
+def last_words(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Before each symbol of whole texts that follow each other: the last very frequent word, the last word and the one
+    before it; no context reaches into another text."""
     before = np.concatenate([[END], symbols[:-1]])
     second = np.where(before == END, END, np.concatenate([[END], before[:-1]]))
     mark = np.where((before < WORDS + MARKS) & (before != OTHER), np.arange(len(symbols)), 0)
-    marked = before.take(np.maximum.accumulate(mark))
+    return before.take(np.maximum.accumulate(mark)), before, second
+
+
+def contexts(code: Code, marked: np.ndarray, before: np.ndarray, second: np.ndarray) -> list[np.ndarray]:
+    """Hashes per predictor and symbol."""
     of_mark, of_one, of_two, of_second = code.hashes
     return [of_mark.take(marked), of_one.take(before), of_two.take(before) ^ of_second.take(second)]
 
 
-def _steps(code: Code, symbols: np.ndarray, step: int = STEP) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]]:
-    """Per step: where each symbol's bits begin, the bits, their odds without context, their slots per predictor."""
-    hashes = contexts(code, symbols)
+def distinct(n: int, symbols: np.ndarray, marked: np.ndarray, before: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One place for each of ``n`` symbols after the same words, in order of these, and which of them each place is."""
+    every = np.arange(len(symbols))
+    if (WORDS + MARKS) * n**3 >= 1 << 63:  # no number holds all four
+        return every, every
+    found, which = np.unique(((marked * n + second) * n + before) * n + symbols, return_inverse=True)
+    one = np.empty(len(found), np.int64)
+    one[which] = every
+    return one, which
+
+
+def _steps(code: Code, symbols: np.ndarray, hashes: list[np.ndarray], step: int = STEP) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]]:
+    """Per step: where each symbol's bits begin, their places in the code, the bits, their slots per predictor."""
     for i in range(0, len(symbols), step):
         now = symbols[i : i + step]
-        length = code.length[now]
+        length = code.length.take(now)
         begin = np.cumsum(length) - length
-        place = np.arange(int(length.sum())) + np.repeat(code.first[now] - begin, length)
+        place = np.arange(int(length.sum())) + np.repeat(code.first.take(now) - begin, length)
         node = code.nodes.take(place)
-        slots = [(np.repeat(h[i : i + step], length) ^ node) >> (_HASH_BITS - bits) for h, bits in zip(hashes, TABLE_BITS, strict=True)]
-        yield begin, code.bits.take(place), code.odds.take(place), slots
+        slots = []
+        for h, bits in zip(hashes, TABLE_BITS, strict=True):
+            slot = np.repeat(h[i : i + step], length)
+            slot ^= node
+            slot >>= _HASH_BITS - bits
+            slots.append(slot)
+        yield begin, place, code.bits.take(place), slots
 
 
 def _stretched(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
@@ -101,7 +124,7 @@ def _stretched(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
 
 def _level(n: np.ndarray) -> np.ndarray:
     """How often a slot was met: the whole part of the logarithm to base 2, 7 at most."""
-    return np.minimum((n + np.float32(1)).astype(np.float32).view(np.int32) >> 23, 127 + _LEVELS - 1) - 127
+    return np.minimum((n + np.float32(1)).astype(np.float32, copy=False).view(np.int32) >> 23, 127 + _LEVELS - 1) - 127
 
 
 def _mixed(weights: np.ndarray, gate: np.ndarray, inputs: list[np.ndarray]) -> np.ndarray:
@@ -127,6 +150,10 @@ def _refined(refined: np.ndarray, cell: np.ndarray, share: np.ndarray) -> np.nda
     return low + (refined.take(cell + 1) - low) * share
 
 
+def side_by_side(counts: np.ndarray) -> np.ndarray:
+    return np.stack([counts & 0xFFFFFFFF, counts >> 32], axis=1)
+
+
 class Learner:
     """One online pass over texts: each step is predicted from what stood before it, then learned.
 
@@ -138,6 +165,8 @@ class Learner:
         self.code = code
         #: Per predictor and slot the zeros, and times 2^32 the ones: one look-up reads both.
         self.counts = [np.zeros(1 << bits, np.int64) for bits in TABLE_BITS]
+        #: What each place of the code adds to them.
+        self.one = np.where(code.bits > 0, 1 << 32, 1)
         #: Per input (without context, the hashed predictors, a bias) and gate; at first the code's own odds count most.
         self.weights = np.repeat(np.array([0.6, *[0.4 / _K] * _K, 0], np.float32)[:, None], GATES, axis=1)
         self.squares = np.full(self.weights.shape, 1e-2)
@@ -149,14 +178,14 @@ class Learner:
     def learn(self, symbols: np.ndarray) -> None:
         step = min(STEP, max(FIRST_STEP, self.learned >> 7))
         self.learned += len(symbols)
-        for _, bit, odds, slots in _steps(self.code, symbols, step):
-            inputs, levels = [odds], []
+        for _, place, bit, slots in _steps(self.code, symbols, contexts(self.code, *last_words(symbols)), step):
+            inputs, levels = [self.code.odds.take(place)], []
             for counts, slot in zip(self.counts, slots, strict=True):
-                met = counts.take(slot)
-                zeros, ones = (met & 0xFFFFFFFF).astype(np.float32), (met >> 32).astype(np.float32)
+                met = counts.take(slot).view(np.int32).astype(np.float32)
+                zeros, ones = met[_LOW::2], met[1 - _LOW :: 2]
+                levels.append(_level(zeros + ones) if levels else None)
                 inputs.append(_stretched(zeros, ones))
-                levels.append(zeros + ones)
-            gate = (_level(levels[1]) * _LEVELS + _level(levels[2])).astype(np.int64)
+            gate = (levels[1] * _LEVELS + levels[2]).astype(np.int64)
             x = _mixed(self.weights, gate, inputs)
             error = bit - _squash(x)
             change = np.stack([np.bincount(gate, error * column, GATES) for column in inputs] + [np.bincount(gate, error, GATES)])
@@ -168,13 +197,13 @@ class Learner:
             moved = np.bincount(cell, miss - up, GATES * _STEPS) + np.bincount(cell + 1, up, GATES * _STEPS)
             self.refined = np.clip(self.refined + moved, _SURE, 1 - _SURE).astype(np.float32)
             self.seen += np.bincount(gate, minlength=GATES)
-            one = np.where(bit > 0, 1 << 32, 1)
+            one = self.one.take(place)
             for counts, slot in zip(self.counts, slots, strict=True):
                 np.add.at(counts, slot, one)
 
     def pairs(self) -> list[np.ndarray]:
         """Per predictor the zeros and ones of each slot, side by side."""
-        return [np.stack([c & 0xFFFFFFFF, c >> 32], axis=1) for c in self.counts]
+        return [*map(side_by_side, self.counts)]
 
     def sums(self) -> np.ndarray:
         """Weights and map of each gate times the bits it saw, so runs can be averaged."""
@@ -211,9 +240,12 @@ class Mixer:
         return np.clip((_squash(x) + _refined(self.refined, *_cells(gate, x))) * np.float32(0.5), _SURE, 1 - _SURE)
 
     def log10_symbols(self, symbols: np.ndarray) -> np.ndarray:
-        """log10 of the chance of each symbol after those before it in its text."""
+        """log10 of the chance of each symbol after those before it in its text; what stands after the same words more
+        than once is predicted once."""
+        words = last_words(symbols)
+        one, which = distinct(len(self.code.first), symbols, *words)
         out = []
-        for begin, bit, odds, slots in _steps(self.code, symbols):
-            p = self.ones(odds, slots)
+        for begin, place, bit, slots in _steps(self.code, symbols.take(one), contexts(self.code, *(w.take(one) for w in words))):
+            p = self.ones(self.code.odds.take(place), slots)
             out.append(np.add.reduceat(np.log(np.where(bit > 0, p, 1 - p)), begin, dtype=np.float64))
-        return np.concatenate(out) / np.log(10) if out else np.zeros(0)
+        return np.concatenate(out).take(which) / np.log(10) if out else np.zeros(0)

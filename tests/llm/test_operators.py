@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 
 import brute
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import __spark_entry__ as entry
@@ -536,6 +537,26 @@ def test_beginnings_of_words_are_looked_up_once():
     assert len(once) == len({(w + b" ")[: i + 1] for w in words for i in range(len(w) + 1)})
 
 
+def test_symbols_after_the_same_words_are_predicted_once(monkeypatch):
+    text = np.array([2, 3, 4, 5, 1, 3, 0])
+    mixer = _learned(text, np.bincount(text) + 1)
+    want, seen, ones = mixer.log10_symbols(text), [], mixer.ones
+    monkeypatch.setattr(mixer, "ones", lambda odds, slots: seen.append(len(odds)) or ones(odds, slots))
+    assert (mixer.log10_symbols(np.tile(text, 50)) == np.tile(want, 50)).all()
+    assert sum(seen) == mixer.code.length[text].sum()
+
+
+def test_symbols_of_texts_are_those_of_their_words():
+    texts = [" a b ", "", None, "Ünï ÀB\x0bc\x1cd\x85e f", "\n\t", "x", "É  q\x00r\r\nB"]
+    split = [(t or "").encode().lower().split() for t in texts]
+    place = {b"b": 2, b"q\x00r": 3}
+    for i in range(len(texts) + 1):
+        symbols, begin, words, at = lm_scoring._symbols_of(pa.array(texts, pa.string()).slice(i), pa.array([*place], pa.binary()))
+        assert symbols.tolist() == [s for w in split[i:] for s in [*(place.get(x, lm_words.OTHER) for x in w), lm_words.END]]
+        assert np.diff(begin, append=len(symbols)).tolist() == [len(w) + 1 for w in split[i:]]
+        assert words.to_pylist() == [x for w in split[i:] for x in w] and (symbols[np.setdiff1d(np.arange(len(symbols)), at)] == lm_words.END).all()
+
+
 def test_scores_odd(odd, none):
     out = lm_scoring.score(odd).collect()
     assert len(out) == odd.count() and all(r.score < 0 and r.n_tokens >= 1 for r in out)
